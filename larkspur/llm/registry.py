@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_id, line_dedup, quality_rules
+from larkspur.llm import bpe, chat_format, language_id, line_dedup, mixing, quality_rules, token_file
+from larkspur.llm.storage import write_table
+
+
+def tokenizer_path() -> str:
+    """Where the installed vocabulary of public tokenizers keeps the byte-level BPE file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +36,51 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, model, keep=["doc_id", "held_out"])
 
 
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = token_file.write_token_file(_read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return token_file.read_token_file(file, digests=True)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), "text")
+    return mixing.mix(docs).drop("text").withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
+
+
+def _op6_sql() -> str:
+    steps, at = [], "cells0"
+    for k in range(8):
+        for d in mixing.DIMENSIONS:
+            to = f"{d}{k + 1}"
+            steps.append(f"{to} AS (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * coalesce(t.share, 0) * (SELECT sum(tokens) FROM cells0) / sum(c.weight) OVER (PARTITION BY c.{d}) AS weight FROM {at} c JOIN target_{d} t ON t.value = c.{d})")
+            at = to
+    targets = [f"target_{d} AS (SELECT value, mass / sum(mass) OVER () AS share FROM (SELECT {d} AS value, pow(sum(tokens), 0.5) AS mass FROM cells0 GROUP BY {d}))" for d in mixing.DIMENSIONS]
+    return (
+        r"""WITH docs AS (SELECT doc_id, source, lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n_tokens,
+  CASE WHEN contains(lower(text), 'license') THEN 'legal' WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '[0-9]') THEN 'numeric' ELSE 'prose' END AS topic
+  FROM documents),
+cells0 AS MATERIALIZED (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS weight FROM docs GROUP BY ALL),
+"""
+        + ",\n".join([*targets, *[s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps]])
+        + f"""
+SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens::BIGINT AS n_tokens, round(d.w, 6) AS weight, round(least(1, 0.8::DOUBLE * d.w), 6) AS probability,
+  ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':mix'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < least(1, 0.8::DOUBLE * d.w) AS sampled
+FROM (SELECT d.*, CASE WHEN c.tokens > 0 THEN c.weight / c.tokens ELSE 0 END AS w FROM docs d JOIN {at} c
+  ON coalesce(d.source, '') = c.source AND coalesce(d.lang, '') = c.lang AND d.topic = c.topic) d"""
+    )
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    # A conversation that was streamed, and whose answer was generated anew.
+    log = [(-7, 0, 0, "start", "user", "</s>[INST] "), (-7, 1, 0, "delta", "user", "ok [/INST]"), (-7, 2, 1, "start", "assistant", "no"), (-7, 3, 1, "regenerate", "assistant", ""), (-7, 4, 1, "delta", "assistant", "</s>[INST] ok"), (-7, 5, 1, "delta", "assistant", " [/INST]")]
+    streamed = spark.createDataFrame(log, "conv_id long, seq long, turn long, kind string, role string, text string")
+    return chat_format.digests(write_table(chat_format.format_chats(chat_format.message_events(rows).unionByName(streamed)), "chats"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), ids=False, digests=True).drop("text")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(docs)
@@ -49,8 +102,8 @@ FROM documents d LEFT JOIN folded f ON d.doc_id = f.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_language_id": op2_language_id, "op7_line_dedup": op7_line_dedup}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_token_file, op6_mixing, op7_line_dedup, op8_chat_format, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op6_mixing": _op6_sql(), "op7_line_dedup": OP7_SQL}
