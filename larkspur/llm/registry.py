@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat_format, language_id, line_dedup, mixing, quality_rules, token_file
+from larkspur.llm import bpe, chat_format, language_id, line_dedup, mixing, quality_rules, shingle_join, token_file
 from larkspur.llm.storage import write_table
 
 
@@ -36,6 +36,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, model, keep=["doc_id", "held_out"])
 
 
+def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = shingle_join.link_documents(_read(spark, sf_dir, "documents"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = token_file.write_token_file(_read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     return token_file.read_token_file(file, digests=True)
@@ -102,7 +107,7 @@ FROM documents d LEFT JOIN folded f ON d.doc_id = f.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_token_file, op6_mixing, op7_line_dedup, op8_chat_format, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_shingle_join, op4_token_file, op6_mixing, op7_line_dedup, op8_chat_format, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,10 @@ A sketch has one bit for each 64-bit hash: XOR-ing a set's shingles into it flip
 that link differ in at most (n + m) / 9 <= n / 4 shingles. Sketches are cut into words by shingle hash, as many for each size band as
 make words of two or three shingles, and a word is known by the XOR of its bits' hashes. By the pigeonhole principle, linked sketches
 share one of the first D + 1 non-zero words of each, D = n // 4, in any order that is the same for all: these words are
-the join keys. Candidates are verified with their shingle sets.
+the join keys.
+
+Candidates are first held against dense sketches of about n bits (the longer one folded to the shorter's length): pairs whose Hamming distance
+exceeds (n + m) / 9 can't link. What is left is verified with the shingle sets of the texts.
 
 The order puts shingles that many documents share last (words never mix the two kinds), so a common passage
 becomes a key only of documents that consist of little else. Size bands double; a set within a fifth of the band's upper end also emits the
@@ -28,8 +31,9 @@ from larkspur.llm.wordhash import byte_runs, mix, small_batches, windows
 N = 5
 #: Sets under SMALL shingles have words of one shingle each.
 SMALL = 16
-#: Counters that find common shingles, documents that they sample, and documents of these that make a counter common.
-COUNTERS, SAMPLE, COMMON = 1 << 20, 10_000, 40
+#: Counters that find common shingles, and the documents (or share of all) that make a counter common.
+COUNTER_BITS, COMMON, COMMON_SHARE = 22, 8, 1e-4
+_COUNTER = np.uint64(64 - COUNTER_BITS)
 #: Keys with at most this many sets give all pairs at once; those with more first give stars around one of HUBS sets.
 FEW, HUBS = 6, 8
 _SALT = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -68,7 +72,7 @@ def _keys_of_band(shingles: np.ndarray, common: np.ndarray, words: int, take: in
 def join_keys(shingles: np.ndarray, common_counters: np.ndarray) -> np.ndarray:
     """All join keys of a non-empty set."""
     n = len(shingles)
-    common = common_counters[shingles >> np.uint64(44)]
+    common = common_counters[shingles >> _COUNTER]
     take = n // 4 + 1
     band = 0 if n < SMALL else n.bit_length() - 1
     found = []
@@ -82,32 +86,55 @@ def join_keys(shingles: np.ndarray, common_counters: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def dense_sketch(shingles: np.ndarray) -> bytes:
+    """A parity sketch of 64 bits, or the power of two from the set's size on: bit h mod length flips for each shingle."""
+    bits = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    odd = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def may_link(n: int, sketch_n: bytes, m: int, sketch_m: bytes) -> bool:
+    """Whether sets of n and m shingles with these dense sketches can have a similarity of 4/5."""
+    if 5 * min(n, m) < 4 * max(n, m):
+        return False
+    a, b = sorted((sketch_n, sketch_m), key=len)
+    while len(b) > len(a):  # what flips bit i of the longer one flips bit i mod length of the shorter
+        half = len(b) // 2
+        b = (int.from_bytes(b[:half], "little") ^ int.from_bytes(b[half:], "little")).to_bytes(half, "little")
+    return 9 * (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() <= n + m
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, text) to (id, n, k1, k2): the size and the hashes of each shingle set."""
+    """(id, text) to (counter, id, n, k1, k2, sketch): of each shingle set its size, hashes and dense sketch.
+
+    Rows with counter are of no document: how often (n) a task saw shingles of counter `id`, for the few counters that stand out in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["counter", "id", "n", "k1", "k2", "sketch"]
+        hits = np.zeros(1 << COUNTER_BITS, np.uint32)
         for b in small_batches(batches, 2048):
-            found = [(len(s), *set_ids(s)) for s in shingle_sets(b.column("text"))]
+            found = []
+            for s in shingle_sets(b.column("text")):
+                found.append((len(s), *set_ids(s), dense_sketch(s)))
+                np.add.at(hits, s >> _COUNTER, 1)
             n, k1, k2 = (pa.array([x[i] for x in found], pa.int64()) for i in range(3))
-            yield pa.RecordBatch.from_arrays([b.column("id"), n, k1, k2], names=["id", "n", "k1", "k2"])
-
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long")
+            yield pa.RecordBatch.from_arrays([pa.array([False] * len(found)), b.column("id"), n, k1, k2, pa.array([x[3] for x in found], pa.binary())], names=names)
+        mean = float(hits.mean())
+        at = np.flatnonzero(hits >= 2 + int(mean + 3 * mean**0.5))
+        zero = pa.array(np.zeros(len(at), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([True] * len(at), pa.bool_()), pa.array(at.astype(np.int64)), pa.array(hits[at].astype(np.int64)), zero, zero, pa.array([b""] * len(at), pa.binary())], names=names)
 
+    return docs.mapInArrow(run, "counter boolean, id long, n long, k1 long, k2 long, sketch binary")
 
-def common_counters(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Which counters (the first 20 bits of a shingle's hash) COMMON of about SAMPLE documents hit. It orders keys; results don't depend on it."""
-    share = min(1.0, SAMPLE / max(1, n_docs))
-    sample = docs.where(F.pmod(F.xxhash64("id", F.lit("common")), F.lit(1 << 20)) < int(share * (1 << 20)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 2048):
-            hit = [np.unique(s >> np.uint64(44)) for s in shingle_sets(b.column("text"))]
-            at, n = np.unique(np.concatenate(hit) if hit else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], names=["at", "n"])
+def common_counters(sig: DataFrame, n_docs: int) -> np.ndarray:
+    """The counters (first COUNTER_BITS bits of a shingle's hash) that many documents hit; at most 2 ** COUNTER_BITS come to the driver.
 
-    # Documents have a bounded share of hits each, so at most (hits of the sample) / COMMON counters come back, and COUNTERS at most.
-    found = sample.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).select("at").toPandas()["at"]
-    out = np.zeros(COUNTERS, bool)
+    This orders keys and nothing else: results don't depend on it.
+    """
+    found = sig.where("counter").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(COMMON, COMMON_SHARE * n_docs)).select("id").toPandas()["id"]
+    out = np.zeros(1 << COUNTER_BITS, bool)
     out[found.to_numpy(np.int64)] = True
     return out
 
@@ -212,6 +239,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in small_batches(batches, 4096):
+        columns = [b.column(c).to_pylist() for c in ("n_a", "sketch_a", "n_b", "sketch_b")]
+        yield b.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*columns, strict=True)], pa.bool_()))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Those of pairs (a, b: ids) that link, written. Only texts of documents in pairs are shuffled; b is the end that many pairs may share."""
     ids = write_table(pairs.select(F.col("a").alias("i")).unionAll(pairs.select(F.col("b").alias("i"))).distinct(), "pair-ids")
@@ -235,29 +268,31 @@ def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = write_table(signatures(docs), "signatures")
+    tasks = write_table(signatures(docs), "signatures")
+    sig = tasks.where("not counter").drop("counter")
     whole = docs.where("id is not null")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(8, (4 * partitions - 1).bit_length())
-    packed = _emit(whole, common_counters(whole, sig.count()), buckets)
+    packed = _emit(whole, common_counters(tasks, sig.count()), buckets)
     candidates = write_table(packed.repartition(partitions, "bucket").mapInArrow(_meet, "member boolean, x long, y long, n long").distinct(), "candidates")
-    classes = write_table(sig.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), "classes")
-    rep = classes.select("k1", "rep")
+    classes = write_table(sig.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    sig = sig.drop("sketch")
 
-    def as_ids(pairs: DataFrame) -> DataFrame:
-        x, y = rep.select(F.col("k1").alias("x"), F.col("rep").alias("a")), rep.select(F.col("k1").alias("y"), F.col("rep").alias("b"))
-        return write_table(pairs.join(x, "x").join(y, "y").where("a <> b").select("a", "b").distinct(), "pairs")
+    def screened(rows: DataFrame) -> DataFrame:
+        return write_table(rows.where("a <> b").mapInArrow(_may_link, "a long, b long").distinct(), "pairs")
 
-    links = verify(as_ids(candidates.where("not member").select("x", "y")), whole)
+    end = lambda key, c: classes.select(F.col("k1").alias(key), *[F.col(x).alias(y) for x, y in (("rep", c), ("n", f"n_{c}"), ("sketch", f"sketch_{c}"))])
+    pairs = candidates.where("not member").select("x", "y").join(end("x", "a"), "x").join(end("y", "b"), "y").drop("x", "y")
+    links = verify(screened(pairs), whole)
     # Repeated ids: all classes of one id are one document, so ids, not classes, are the vertices.
     joined = write_table(connected_components(links), "components")
-    members = candidates.where("member").join(rep.withColumnRenamed("k1", "x"), "x").join(joined, F.col("rep") == F.col("id"), "left")
-    members = write_table(members.select(F.col("y").alias("g"), F.col("rep").alias("doc"), "n", F.coalesce("component", "rep").alias("c")), "group-members")
+    members = candidates.where("member").select(F.col("y").alias("g"), F.col("x").alias("k1")).join(classes, "k1").join(joined, F.col("rep") == F.col("id"), "left")
+    members = write_table(members.select("g", F.col("rep").alias("doc"), "n", "sketch", F.coalesce("component", "rep").alias("c")), "group-members")
     split = write_table(members.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g"), "split-groups")
-    open_members = write_table(members.join(split, "g"), "open-members")
-    p, q = (open_members.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "c")]) for s in "pq")
-    across = p.join(q, "g").where("c_p > c_q and 5 * least(n_p, n_q) >= 4 * greatest(n_p, n_q)").select(F.col("doc_p").alias("a"), F.col("doc_q").alias("b")).distinct()
-    more = verify(write_table(across.join(links, ["a", "b"], "left_anti"), "pairs"), whole)
+    left = write_table(members.join(split, "g"), "open-members")
+    p, q = (left.select("g", *[F.col(x).alias(y) for x, y in (("doc", c), ("n", f"n_{c}"), ("sketch", f"sketch_{c}"), ("c", f"c_{c}"))]) for c in "ab")
+    across = p.join(q, "g").where("c_a > c_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    more = verify(screened(across).join(links, ["a", "b"], "left_anti"), whole)
     links = links.unionAll(more)
     same_id = sig.where("n > 0 and id is not null").join(classes, ["n", "k1", "k2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = write_table(connected_components(links.unionAll(same_id.where("a <> b"))), "components") if _repeats(sig) else None
