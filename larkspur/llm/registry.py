@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat_format, language_id, line_dedup, mixing, quality_rules, shingle_join, token_file
+from larkspur.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, mixing, quality_rules, shingle_join, token_file
 from larkspur.llm.storage import write_table
 
 
@@ -46,6 +46,10 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_file(file, digests=True)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(_read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), "text")
     return mixing.mix(docs).drop("text").withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
@@ -107,7 +111,7 @@ FROM documents d LEFT JOIN folded f ON d.doc_id = f.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_shingle_join, op4_token_file, op6_mixing, op7_line_dedup, op8_chat_format, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_shingle_join, op4_token_file, op5_embedding_dedup, op6_mixing, op7_line_dedup, op8_chat_format, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
