@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +25,17 @@ def l2_normalize(v: Column) -> Column:
 
 
 def fake_embed(text: Column, dim: int = 64) -> Column:
-    """A stand-in for a model: how many characters have each code modulo dim, of unit length."""
-    codes = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.ascii(c) % dim)
-    counts = F.transform(F.array(codes), lambda xs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(xs, lambda x: x == d)).cast("double")))[0]
-    return l2_normalize(counts)
+    """A stand-in for a model: how many characters have each code modulo dim, of unit length. An Arrow batch at a time, as a model would be."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            counts = np.bincount(np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) % dim, minlength=dim).astype(float)
+            out.append((counts / (np.sqrt((counts * counts).sum()) or 1.0)).astype(np.float32))
+        return pd.Series(out, dtype=object)
+
+    return run(text)
 
 
 def overlap_score(query: Column, text: Column) -> Column:
