@@ -7,7 +7,7 @@ make words of two or three shingles, and a word is known by the XOR of its bits'
 share one of the first D + 1 non-zero words of each, D = n // 4, in any order that is the same for all: these words are
 the join keys.
 
-Candidates are first held against dense sketches of about n bits (the longer one folded to the shorter's length): pairs whose Hamming distance
+Candidates are first held against dense sketches of 4 n to 8 n bits (the longer one folded to the shorter's length): pairs whose Hamming distance
 exceeds (n + m) / 9 can't link. What is left is verified with the shingle sets of the texts.
 
 The order puts shingles that many documents share last (words never mix the two kinds), so a common passage
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.blocks import deal, large_groups, run_blocks
 from larkspur.llm.components import connected_components
 from larkspur.llm.storage import table_bytes, write_table
 from larkspur.llm.wordhash import byte_runs, mix, small_batches, windows
@@ -34,8 +35,10 @@ SMALL = 16
 #: Counters that find common shingles, and the documents (or share of all) that make a counter common.
 COUNTER_BITS, COMMON, COMMON_SHARE = 22, 8, 1e-4
 _COUNTER = np.uint64(64 - COUNTER_BITS)
-#: Keys with at most this many sets give all pairs at once; those with more first give stars around one of HUBS sets.
+#: Keys with at most this many sets give all pairs at once; those with more first give a star around one of HUBS sets, and a ring.
 FEW, HUBS = 6, 8
+#: Members of a group that are compared in one block.
+BLOCK = 1024
 _SALT = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -87,8 +90,8 @@ def join_keys(shingles: np.ndarray, common_counters: np.ndarray) -> np.ndarray:
 
 
 def dense_sketch(shingles: np.ndarray) -> bytes:
-    """A parity sketch of 64 bits, or the power of two from the set's size on: bit h mod length flips for each shingle."""
-    bits = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    """A parity sketch of 64 bits, or the power of two from four times the set's size on: bit h mod length flips for each shingle."""
+    bits = max(64, 1 << max(0, 4 * len(shingles) - 1).bit_length())
     odd = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -214,6 +217,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = int(mix(ids.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
         hub = f + int(np.argmin(mix(ids.view(np.uint64) ^ mix(np.full(n, int(keys[f]) % HUBS, np.uint64)))))
         pair(np.arange(f, f + n), np.full(n, hub))
+        # And a ring in an order of the key's own: over its keys, a set meets many random members.
+        ring = f + np.argsort(mix(ids.view(np.uint64) ^ keys[f]))
+        x, y = ring, np.roll(ring, 1)
+        pair(np.maximum(x, y), np.minimum(x, y))
         if name not in groups:
             groups.add(name)
             members.append((ids, sizes[f : f + n], name))
@@ -245,6 +252,34 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*columns, strict=True)], pa.bool_()))
 
 
+def _across(_: int, a: list, b: list | None) -> list[tuple]:
+    """Pairs of a group whose members are in different components and may link, by vectorised Hamming distances of dense sketches of equal length."""
+
+    def by_length(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        found: dict[int, list] = {}
+        for r in rows:
+            found.setdefault(len(r[3]), []).append(r)
+        return {k: (np.array([r[1] for r in rs]), np.array([r[2] for r in rs]), np.array([r[4] for r in rs]), np.frombuffer(b"".join([r[3] for r in rs]), np.uint64).reshape(len(rs), -1)) for k, rs in found.items()}
+
+    x, y = by_length(a), by_length(a if b is None else b)
+    out: set[tuple] = set()
+    for p, (ids, n, c, words) in x.items():
+        for q, (ids_q, n_q, c_q, words_q) in y.items():
+            if not q / 2 <= p <= 2 * q or b is None and p > q:
+                continue  # sizes of linked sets differ by a quarter at most, their sketches' lengths by a factor of two
+            u = words[:, : q // 8] ^ words[:, q // 8 :] if p > q else words
+            v = words_q[:, : p // 8] ^ words_q[:, p // 8 :] if q > p else words_q
+            step = max(1, (1 << 21) // max(1, v.size))
+            for i in range(0, len(ids), step):
+                distance = np.bitwise_count(u[i : i + step, None, :] ^ v[None, :, :]).sum(axis=2, dtype=np.int64)
+                m, k = n[i : i + step, None], n_q[None, :]
+                may = (9 * distance <= m + k) & (5 * np.minimum(m, k) >= 4 * np.maximum(m, k)) & (c[i : i + step, None] != c_q[None, :])
+                for r, t in zip(*np.nonzero(may), strict=True):
+                    s, d = int(ids[i + r]), int(ids_q[t])
+                    out.add((max(s, d), min(s, d)))
+    return list(out)
+
+
 def verify(pairs: DataFrame, docs: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Those of pairs (a, b: ids) that link, written. Only texts of documents in pairs are shuffled; b is the end that many pairs may share."""
     ids = write_table(pairs.select(F.col("a").alias("i")).unionAll(pairs.select(F.col("b").alias("i"))).distinct(), "pair-ids")
@@ -263,7 +298,7 @@ def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     links with nothing.
 
     Equal sets become one class first (sums of minima: any number of copies). Links between classes in one key group of more than FEW are looked for in
-    two rounds: with a hub of the group, then between those members that the first round left in different components; pairs within one need
+    two rounds: with a hub of the group and along a ring, then between those members that the first round left in different components; pairs within one need
     no check, since only components are asked for. So a group of near copies costs its size, and no link is lost.
     """
     spark = df.sparkSession
@@ -289,10 +324,9 @@ def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     members = candidates.where("member").select(F.col("y").alias("g"), F.col("x").alias("k1")).join(classes, "k1").join(joined, F.col("rep") == F.col("id"), "left")
     members = write_table(members.select("g", F.col("rep").alias("doc"), "n", "sketch", F.coalesce("component", "rep").alias("c")), "group-members")
     split = write_table(members.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g"), "split-groups")
-    left = write_table(members.join(split, "g"), "open-members")
-    p, q = (left.select("g", *[F.col(x).alias(y) for x, y in (("doc", c), ("n", f"n_{c}"), ("sketch", f"sketch_{c}"), ("c", f"c_{c}"))]) for c in "ab")
-    across = p.join(q, "g").where("c_a > c_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    more = verify(screened(across).join(links, ["a", "b"], "left_anti"), whole)
+    left = write_table(members.join(split, "g").select(F.col("g").alias("key"), F.col("doc").alias("id"), "n", "sketch", "c"), "open-members")
+    across = run_blocks(deal(left, large_groups(left, BLOCK)), ["id", "n", "sketch", "c"], _across, "a long, b long")
+    more = verify(write_table(across.distinct().join(links, ["a", "b"], "left_anti"), "pairs"), whole)
     links = links.unionAll(more)
     same_id = sig.where("n > 0 and id is not null").join(classes, ["n", "k1", "k2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = write_table(connected_components(links.unionAll(same_id.where("a <> b"))), "components") if _repeats(sig) else None
@@ -305,6 +339,18 @@ def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return out, links
 
 
+def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of df whose id is the least of its component, so one document of each group; of rows with one id, the least. Rows with a null id stay."""
+    rows, _ = link_documents(df, id_col=id_col, text_col=text_col)
+    gone = write_table(rows.where("id <> component_id").select(F.col("id").alias("_gone")).distinct(), "duplicates")
+    kept = df.join(F.broadcast(gone) if table_bytes(gone) <= broadcast_bytes else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    if not _repeats(rows):
+        return kept
+    rest = [c for c in df.columns if c != id_col]
+    one = kept.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct(*rest)).alias("_row")).select(id_col, "_row.*")
+    return one.select(df.columns).unionAll(kept.where(F.col(id_col).isNull()))
+
+
 def _repeats(sig: DataFrame) -> bool:
     """Whether an id occurs in more than one row."""
     return sig.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count() > 0
