@@ -19,11 +19,12 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(BLANKS)))
 
 
-def drop_boilerplate(df: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 20, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def drop_boilerplate(df: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 5, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """df with boilerplate lines out of text_col, and n_lines, n_dropped (long) added (they replace columns of these names).
 
     A line (trimmed; blank lines never count and always stay) is boilerplate of a host if at least min_pages of the
-    host's pages hold it and these are more than max_ratio of all its pages. Pages are rows: a repeated row counts
+    host's pages hold it and these are more than max_ratio of all its pages. A page of nothing but such lines stays whole: it is a copy of
+    a document, which the removal of duplicates thins out to one. Pages are rows: a repeated row counts
     again, a line twice on a page counts once. A null host is a host of its own. Null text: null, 0 lines.
     Lines are told apart by 64-bit hashes.
 
@@ -41,7 +42,9 @@ def drop_boilerplate(df: DataFrame, *, id_col: str = "doc_id", host_col: str = "
     drop = F.broadcast(drop) if table_bytes(drop) <= broadcast_bytes else drop
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     joined = df.select(*names, _lines(F.col(text_col)).alias("_lines")).join(drop, F.col(host_col).eqNullSafe(F.col("_of")), "left")
-    kept = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains("_drop", _key(x)))))
+    blank = lambda x: F.btrim(x, F.lit(BLANKS)) == ""
+    kept = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: blank(x) | ~F.array_contains("_drop", _key(x)))))
+    kept = kept.withColumn("_kept", F.when(F.forall("_kept", blank), F.col("_lines")).otherwise(F.col("_kept")))
     lines = lambda x: F.when(F.col(text_col).isNull(), 0).otherwise(x).cast("long")
     text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
     return kept.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], lines(F.size("_lines")).alias("n_lines"), lines(F.size("_lines") - F.size("_kept")).alias("n_dropped"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, mixing, quality_rules, shingle_join, token_file
+from larkspur.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, lm_score, mixing, quality_rules, shingle_join, token_file
 from larkspur.llm.storage import write_table
 
 
@@ -86,6 +86,19 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(write_table(chat_format.format_chats(chat_format.message_events(rows).unionByName(streamed)), "chats"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    model = lm_score.train(docs.where(~held_out))
+    return lm_score.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), ids=False, digests=True).drop("text")
 
@@ -100,8 +113,9 @@ WITH lines AS (SELECT doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(1
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 hosts AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 boiler AS (SELECT p.source, p.t FROM (SELECT source, t, count(DISTINCT doc_id) AS pages FROM lines WHERE t <> '' GROUP BY source, t) p
-  JOIN hosts h ON p.source IS NOT DISTINCT FROM h.source WHERE p.pages >= 20 AND p.pages > 0.05 * h.total),
-marked AS (SELECT l.*, b.t IS NOT NULL AS gone FROM lines l LEFT JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND l.t = b.t),
+  JOIN hosts h ON p.source IS NOT DISTINCT FROM h.source WHERE p.pages >= 5 AND p.pages > 0.1::DOUBLE * h.total),
+found AS (SELECT l.*, b.t IS NOT NULL AS boiler FROM lines l LEFT JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND l.t = b.t),
+marked AS (SELECT *, boiler AND NOT bool_and(boiler OR t = '') OVER (PARTITION BY doc_id) AS gone FROM found),
 folded AS (SELECT doc_id, string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY i) AS text, count(*) AS n_lines,
   count(*) FILTER (WHERE gone) AS n_dropped FROM marked GROUP BY doc_id)
 SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(f.text, '') END AS text, coalesce(f.n_lines, 0)::BIGINT AS n_lines,
@@ -111,7 +125,7 @@ FROM documents d LEFT JOIN folded f ON d.doc_id = f.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_shingle_join, op4_token_file, op5_embedding_dedup, op6_mixing, op7_line_dedup, op8_chat_format, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_shingle_join, op4_token_file, op5_embedding_dedup, op6_mixing, op7_line_dedup, op8_chat_format, op9_lm_score, op10_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
