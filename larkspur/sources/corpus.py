@@ -37,7 +37,7 @@ def load_docs(spark: SparkSession, folders: list[str] | tuple[str, ...] = DEFAUL
     for k, folder in enumerate(folders):
         path = jvm.org.apache.hadoop.fs.Path(folder)
         if path.getFileSystem(conf).exists(path):
-            files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+            files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
             parts.append(files.select(F.lit(k).alias("k"), F.col("value").alias("raw"), F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.md$", 1)).alias("doc_id")))
     if not parts:
         return spark.createDataFrame([], "doc_ord long, doc_id string, title string, text string, source string, license string")
