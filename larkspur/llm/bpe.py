@@ -10,7 +10,8 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterator
+import struct
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -25,11 +26,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: A word longer than this is merged with a heap instead of scans.
 LONG_WORD = 300
 #: Pieces a worker keeps, and the longest that it keeps.
-CACHE_SIZE, CACHE_LENGTH = 600_000, 64
+CACHE_SIZE, CACHE_LENGTH = 900_000, 64
 
 # A single space between two characters that aren't blank: the token before ends there and the next begins with it.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_PLAIN = re.compile(r"\s \S|\S \s|^ | $|[^\S \n]")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A text without any of these has no other cuts than its spaces: spaces next to blanks, and blanks that are rare.
+_UNUSUAL = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 
 
 def byte_characters() -> dict[str, int]:
@@ -40,62 +42,100 @@ def byte_characters() -> dict[str, int]:
 
 
 def pieces(text: str) -> list[str]:
-    """Parts of a text that can be encoded on their own; joined, they are the text."""
-    if _PLAIN.search(text):
+    """Parts of a text that can be encoded on their own; a space stands between them, which belongs to the later one."""
+    if text[:1] == " " or text[-1:] == " " or any(x in text for x in _UNUSUAL):
         return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    return text.split(" ")
 
 
-class PieceCache:
-    """Encoded pieces, as bytes of little-endian unsigned 32-bit ids."""
+class Cache(dict):
+    """At most CACHE_SIZE short keys; when it has been full for long, it starts anew."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
-        self.encode_many, self.known = encode_many, {}
+    refused = 0
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(key) <= CACHE_LENGTH:
+            if len(self) < CACHE_SIZE:
+                self[key] = value
+            else:
+                self.refused += 1
+                if self.refused > 20 * CACHE_SIZE:
+                    self.clear()
+                    self.refused = 0
+        return value
+
+
+class Encoder:
+    """Texts to ids, as bytes of little-endian unsigned 32-bit integers; word_ids, of a subclass, encodes one word between cuts."""
+
+    def __init__(self, specials: dict[str, int]):
+        self.specials = {k: v.to_bytes(4, "little") for k, v in specials.items()}
+        self.cut_specials = re.compile("(" + "|".join(re.escape(t) for t in sorted(specials, key=len, reverse=True)) + ")") if specials else None
+        self.pattern = regex.compile(PATTERN)
+        self.words, self.spaced = Cache(), Cache()  # spaced: pieces after a space, without it
+
+    def word_ids(self, word: str) -> list[int]:
+        raise NotImplementedError
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            ids = self.word_ids(word)
+            found = self.words.keep(word, struct.pack(f"<{len(ids)}I", *ids))
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join([self._word(w) for w in self.pattern.findall(piece)])
+
+    def _spaced(self, piece: str) -> bytes:
+        """A piece after a space. Most are letters and perhaps a mark, whose cuts need no pattern."""
+        if piece.isalpha():
+            ids = self.word_ids(" " + piece)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        elif piece[-1:] in (".", ",") and piece[:-1].isalpha():
+            found = (self.spaced.get(piece[:-1]) or self._spaced(piece[:-1])) + self._word(piece[-1])
+        else:
+            found = self._piece(" " + piece)
+        return self.spaced.keep(piece, found)
+
+    def _plain(self, text: str) -> bytes:
+        first, *rest = pieces(text)
+        found = list(map(self.spaced.get, rest))
+        if None in found:
+            new = self._spaced
+            found = [new(p) if x is None else x for p, x in zip(rest, found, strict=True)]
+        return self._piece(first) + b"".join(found)
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(x) for x in texts]
-        known = self.known
-        missing = list({p for ps in cut for p in ps if p not in known})
-        new = dict(zip(missing, self.encode_many(missing), strict=True)) if missing else {}
-        out = []
-        if new:
-            if len(known) + len(new) > CACHE_SIZE:
-                out = [b"".join([known[p] if p in known else new[p] for p in ps]) for ps in cut]
-                known.clear()
-            known.update((k, v) for k, v in new.items() if len(k) <= CACHE_LENGTH)
-        return out or [b"".join([known[p] if p in known else new[p] for p in ps]) for ps in cut]
-
-
-class Bpe:
+        """Special tokens are found in the text, then its other parts are encoded."""
+        if not any(t in text for t in self.specials):
+            return self._plain(text)
+        return b"".join([self.specials[p] if k % 2 else self._plain(p) for k, p in enumerate(self.cut_specials.split(text))])
+
+
+class Bpe(Encoder):
     """The codec of a byte-level BPE tokenizer file (vocabulary, merges and special tokens in JSON)."""
 
     def __init__(self, path: str):
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        super().__init__(specials)
         chars = byte_characters()
         vocab = spec["model"]["vocab"]
         self.bytes_of = {i: bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode() for token, i in vocab.items()}
-        self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes_of |= {i: t.encode() for t, i in self.specials.items()}
+        self.bytes_of |= {i: t.encode() for t, i in specials.items()}
         self.byte_ids = [vocab[c] for c in sorted(chars, key=chars.get)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.never = len(pairs)
-        self.words: dict[str, bytes] = {}
-        self.pattern = regex.compile(PATTERN)
-        self.cut_specials = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
-        self.cache = PieceCache(lambda xs: [self._piece(x) for x in xs])
 
     def _rank(self, a: int, b: int) -> int:
         found = self.merges.get((a, b))
         return self.never if found is None else found[0]
 
-    def word_ids(self, word: bytes) -> list[int]:
-        """Ids of one word. parts holds what lies between the boundaries, ranks[i] the rank of parts[i] with parts[i + 1]."""
-        parts = [self.byte_ids[b] for b in word]
+    def word_ids(self, word: str) -> list[int]:
+        """parts holds what lies between the boundaries, ranks[i] the rank of parts[i] with parts[i + 1]."""
+        parts = [self.byte_ids[b] for b in word.encode()]
         if len(parts) > LONG_WORD:
             return self._long_word_ids(parts)
         merges, never = self.merges, self.never
@@ -134,27 +174,6 @@ class Bpe:
                 heapq.heappush(heap, (r, h))
         return [p for p in parts if p != gone]
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = b"".join(i.to_bytes(4, "little") for i in self.word_ids(word.encode()))
-            if len(word) <= CACHE_LENGTH:
-                if len(self.words) >= CACHE_SIZE:
-                    self.words.clear()
-                self.words[word] = found
-        return found
-
-    def _piece(self, piece: str) -> bytes:
-        return b"".join([self._word(w) for w in self.pattern.findall(piece)])
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; special tokens are found in the texts."""
-        if self.cut_specials and any(t in x for x in texts for t in self.specials):
-            cut = [self.cut_specials.split(x) for x in texts]
-            flat = iter(self.cache.encode_all([p for ps in cut for p in ps[::2]]))
-            return [b"".join([self.specials[p].to_bytes(4, "little") if k % 2 else next(flat) for k, p in enumerate(ps)]) for ps in cut]
-        return self.cache.encode_all(texts)
-
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I").tolist())).decode("utf-8", "replace")
 
@@ -185,7 +204,7 @@ def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         for b in small_batches(batches):
-            found = c.encode_all([x or "" for x in b.column("_text_to_encode").to_pylist()])
+            found = [c.encode(x or "") for x in b.column("_text_to_encode").to_pylist()]
             columns = [b.column(i) for i in range(len(names))]
             if ids:
                 counts = [len(x) // 4 for x in found]

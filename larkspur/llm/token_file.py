@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.bpe import PieceCache
+from larkspur.llm.bpe import Encoder, byte_characters
 from larkspur.llm.storage import table_bytes, write_table
 from larkspur.llm.wordhash import small_batches
 
@@ -32,7 +32,12 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 def best_widths(ids: np.ndarray) -> list[int]:
     """Chunk widths that give the fewest bits: a shortest path over the bits from 0 to the longest id's length."""
-    lengths = np.bincount(np.maximum(1, np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(int)), minlength=2)
+    if ids.max(initial=0) < 1 << 20:
+        distinct = np.bincount(ids)
+        of = np.flatnonzero(distinct)
+        lengths = np.bincount(np.maximum(1, np.frexp(of.astype(float))[1]), distinct[of], 2)
+    else:
+        lengths = np.bincount(np.maximum(1, np.frexp(ids.astype(float))[1]), minlength=2)
     longer = np.r_[lengths[::-1].cumsum()[::-1], 0]  # longer[b]: ids of at least b bits
     top = len(lengths) - 1
     cost: list[tuple[float, list[int]]] = [(0.0, [])]
@@ -42,16 +47,16 @@ def best_widths(ids: np.ndarray) -> list[int]:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    used = (width + 7) // 8
+    raw = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :used])
+    return np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :width].ravel(), bitorder="little").tobytes()
 
 
 def _unpack(data: np.ndarray, count: int, width: int) -> np.ndarray:
-    bits = np.unpackbits(data, bitorder="little", count=count * width).reshape(count, width)
-    out = np.zeros(count, np.uint32)
-    for k in range(width):
-        out |= bits[:, k].astype(np.uint32) << np.uint32(k)
-    return out
+    raw = np.packbits(np.unpackbits(data, bitorder="little", count=count * width).reshape(count, width), axis=1, bitorder="little")
+    out = np.zeros((count, 4), np.uint8)
+    out[:, : raw.shape[1]] = raw
+    return out.view("<u4").ravel()
 
 
 def encode_blob(ids: np.ndarray) -> bytes:
@@ -124,26 +129,32 @@ class Blob:
         return out
 
 
-_CACHES: dict[str, PieceCache] = {}
+class LibraryEncoder(Encoder):
+    """Words encoded by the tokenizers library's model of a byte-level BPE file."""
 
-
-def library_cache(path: str) -> PieceCache:
-    """Pieces encoded by the tokenizers library, one cache for each file and Python worker."""
-    if path not in _CACHES:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        cache = PieceCache(lambda xs: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(xs, add_special_tokens=False)])
-        # A special token may span the pieces, so texts with one are encoded whole.
-        specials = [x.content for x in t.get_added_tokens_decoder().values()]
-        cache.whole = lambda x: any(s in x for s in specials)
-        _CACHES[path] = cache
-    return _CACHES[path]
+        super().__init__({x.content: i for i, x in t.get_added_tokens_decoder().items()})
+        self.tokenize = t.model.tokenize
+        self.shown = str.maketrans({chr(b): c for c, b in byte_characters().items()})
+
+    def word_ids(self, word: str) -> list[int]:
+        if word.isascii():  # only a leading space is shown as another character
+            word = "\u0120" + word[1:] if word[0] == " " and word.isprintable() and " " not in word[1:] else word.translate(self.shown)
+            return [x.id for x in self.tokenize(word)]
+        return [x.id for x in self.tokenize(word.encode().decode("latin-1").translate(self.shown))]
+
+
+_ENCODERS: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(path: str) -> LibraryEncoder:
+    """One for each file and Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = LibraryEncoder(path)
+    return _ENCODERS[path]
 
 
 def write_token_file(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, partitions: int | None = None) -> DataFrame:
@@ -159,7 +170,7 @@ def write_token_file(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     ordered = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, segment = library_cache(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, segment = library_encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
         tail = b"" if end_id is None else end_id.to_bytes(4, "little")
         held: list[tuple[int | None, bytes]] = []
         size = 0
@@ -176,11 +187,8 @@ def write_token_file(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
             return out
 
         for b in small_batches(batches, 128):
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            found = [None if cache.whole(x) else x for x in texts]
-            encoded = iter(cache.encode_all([x for x in found if x is not None]))
-            for doc, text, f in zip(b.column("id").to_pylist(), texts, found, strict=True):
-                ids = (cache.encode_many([text])[0] if f is None else next(encoded)) + tail
+            for doc, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ids = encode(text or "") + tail
                 if held and size + len(ids) // 4 > SEGMENT:
                     yield flush()
                 held.append((doc, ids))
