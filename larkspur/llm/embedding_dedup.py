@@ -54,7 +54,8 @@ def valid_vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             x = x / np.abs(x).max(axis=1, keepdims=True, initial=0) if dim else x
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         good = np.isfinite(x).all(axis=1) & (dim > 0)
-        yield np.array(at)[good], x[good]
+        if good.any():
+            yield np.array(at)[good], x[good]
 
 
 def encode(df: DataFrame, bits: int, tables: int) -> DataFrame:
