@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.storage import write_table
 from larkspur.llm.wordhash import Symbols, small_batches
 
 UNDETERMINED = "und"
@@ -89,10 +90,21 @@ class LanguageModel:
         return sums[first[1:]] - sums[first[:-1]]
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """The least count n such that at most `most` rows have it or more, from a histogram of a few hundred steps."""
+    total, least = 0, 1 << 62
+    for r in counts.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least")).orderBy(F.col("step").desc()).collect():
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["least"]
+    return least
+
+
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_documents: int = 40_000, n_max: int = 4, max_entries: int = 150_000, max_languages: int = 256, salt_col: str = "doc_id") -> LanguageModel:
     """Learns from the rows with text and language; at most about max_documents of them, drawn by a hash of salt_col.
 
-    The model keeps the max_entries most frequent words and as many n-grams, so its size has a bound that does
+    The model keeps at most the max_entries most frequent words and as many n-grams, so its size has a bound that does
     not depend on the corpus; what falls out is unseen and takes the fallback. Null texts and languages are left out.
     No rows give a model that finds UNDETERMINED everywhere.
     """
@@ -124,22 +136,26 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_
 
     counts = rows.select("text", "lang").mapInArrow(count, "kind int, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
     entry = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    cols = ["kind", "key", "by"]
-    order = [F.col("n").desc(), F.col("key")]
-    top = entry.where("kind = 0").orderBy(*order).limit(max_entries).select(cols).unionAll(entry.where("kind > 0").orderBy(*order).limit(max_entries).select(cols))
-    table = top.toPandas()
-    totals: dict[str, int] = {}
-    for by in table["by"]:
-        for k, v in by.items():
-            totals[k] = totals.get(k, 0) + v
+    entry = write_table(entry, "language-entries")
+    # The most frequent entries by a least count from a histogram: no task sorts or gathers more than its share.
+    least = [least_count(entry.where(kind), max_entries) for kind in ("kind = 0", "kind > 0")]
+    top = entry.where(F.col("n") >= F.when(F.col("kind") == 0, least[0]).otherwise(least[1])).select("kind", "key", "by")
+    # Flat columns of numbers and few strings: a few MB on the driver, whatever the corpus.
+    table = top.select("kind", "key", F.explode("by").alias("lang", "n")).toArrow()
+    kinds, hashes, n = (table[c].to_numpy() for c in ("kind", "key", "n"))
+    names = table["lang"].combine_chunks().dictionary_encode()
+    seen, codes = names.dictionary.to_pylist(), names.indices.to_numpy()
+    totals = dict(zip(seen, np.bincount(codes, n, len(seen)), strict=True))
     languages = sorted(sorted(totals, key=lambda k: (-totals[k], k))[:max_languages])
+    column = np.array([languages.index(x) if x in languages else -1 for x in seen], np.int64)[codes] if len(codes) else codes
     keys, logs = {}, {}
     for kind in range(n_max + 1):
-        part = table[table["kind"] == kind]
-        values = np.array([[by.get(k, 0) for k in languages] for by in part["by"]], dtype=float).reshape(len(part), len(languages))
-        order = np.argsort(part["key"].to_numpy(np.int64).view(np.uint64))
-        keys[kind] = part["key"].to_numpy(np.int64).view(np.uint64)[order]
-        logs[kind] = np.log((values + 0.5) / (values.sum(axis=0) + 0.5 * (len(part) + 1)))[order]
+        at = kinds == kind
+        keys[kind], row = np.unique(hashes[at].view(np.uint64), return_inverse=True)
+        values = np.zeros((len(keys[kind]), len(languages)))
+        known = column[at] >= 0
+        np.add.at(values, (row[known], column[at][known]), n[at][known])
+        logs[kind] = np.log((values + 0.5) / (values.sum(axis=0) + 0.5 * (len(values) + 1)))
     return LanguageModel(languages, keys, logs)
 
 

@@ -28,7 +28,7 @@ def tempered_shares(cells: DataFrame, dimension: str, power: float = 0.5) -> Dat
     return by.select("value", (F.col("mass") / F.nullif(total.scalar(), F.lit(0.0))).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = 8) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = 8, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """cells with weight: tokens, scaled again and again so that each dimension's sums are its target shares of all tokens.
 
     targets: per dimension a table (value, share); a value without a share gets weight 0. Each step sums the cells by one
@@ -38,12 +38,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = 8) ->
     total = cells.agg(F.sum("tokens")).scalar()
     targets = {d: write_table(t.select("value", (F.col("share") * total).alias("target")), "target") for d, t in targets.items()}
     at = write_table(cells.withColumn("weight", F.col("tokens")), "cells")
+    # A dimension has no more values than there are cells: the size of the cells bounds that of the factors.
+    small = table_bytes(at) <= broadcast_bytes
     for _ in range(rounds):
         step = at
         for d, target in targets.items():
             sums = step.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("sum"))
             factors = sums.join(target, "value", "left").select(F.col("value").alias(d), F.when(F.col("sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("sum")).otherwise(F.lit(0.0)).alias("factor"))
-            step = step.join(factors, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            step = step.join(F.broadcast(factors) if small else factors, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         before, at = at, write_table(step, "cells")
         drop_table(before)
     return at
@@ -64,7 +66,7 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep:
     """
     dims = DIMENSIONS
     cells = write_table(token_cells(df, text_col), "token-cells")
-    raked = rake(cells, {d: tempered_shares(cells, d, power) for d in dims}, rounds=rounds)
+    raked = rake(cells, {d: tempered_shares(cells, d, power) for d in dims}, rounds=rounds, broadcast_bytes=broadcast_bytes)
     ratio = write_table(raked.select(*[F.col(d).alias(f"_{d}") for d in dims], F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0)).alias("weight")), "cell-weights")
     ratio = F.broadcast(ratio) if table_bytes(ratio) <= broadcast_bytes else ratio
     names = [c for c in df.columns if c not in ("n_tokens", "weight", "probability", "sampled")]
