@@ -54,7 +54,7 @@ def first_line(c: Column) -> Column:
 
 
 def keep_term(t: Column) -> Column:
-    return ~t.isin(*STOP_WORDS) & ~t.rlike("^[a-z0-9]$") & (t != "")
+    return (t != "") & ((F.length(t) > 1) | ~t.rlike("^[a-z0-9]$")) & ~t.isin(*STOP_WORDS)
 
 
 def tokens(c: Column) -> Column:

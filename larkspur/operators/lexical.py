@@ -11,6 +11,8 @@ from larkspur.functions.text import tokens
 
 #: Decimals to which scores are rounded before they are ranked, so that the order of a sum decides nothing.
 DIGITS = 6
+#: Questions' terms that may be broadcast.
+WANTED = 200_000
 
 
 @dataclass(frozen=True)
@@ -33,8 +35,8 @@ def chunk_terms(chunks: DataFrame, tokenize=tokens) -> DataFrame:
 
 
 def term_frequencies(chunks: DataFrame, tokenize=tokens) -> DataFrame:
-    """(chunk_ord, term, tf, len)."""
-    rows = chunk_terms(chunks, tokenize).select("chunk_ord", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    """(chunk_ord, term, tf, len), partitioned by chunk: counting terms, and later summing a question's gains in a chunk, then needs no shuffle of its own."""
+    rows = chunk_terms(chunks, tokenize).repartition("chunk_ord").select("chunk_ord", F.size("terms").alias("len"), F.explode("terms").alias("term"))
     return rows.groupBy("chunk_ord", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -61,10 +63,13 @@ def question_terms(questions: DataFrame, tokenize=tokens) -> DataFrame:
 def gains(index: LexicalIndex, questions: DataFrame, tokenize=tokens) -> DataFrame:
     """(qid, chunk_ord, pos, term, gain) of every posting of a question's terms.
 
-    Questions' terms meet document frequencies first, so that only postings of wanted terms are joined.
+    Questions' terms meet document frequencies first, so that only postings of wanted terms are joined. Up to WANTED of them are broadcast to the
+    postings, which stay partitioned by chunk; more are joined by a shuffle on the term.
     """
-    wanted = question_terms(questions, tokenize).join(index.df, "term").crossJoin(F.broadcast(index.stats))
-    rows = wanted.join(index.postings, "term")
+    terms = question_terms(questions, tokenize)
+    few = terms.limit(WANTED + 1).count() <= WANTED
+    wanted = terms.join(index.df, "term").crossJoin(F.broadcast(index.stats))
+    rows = index.postings.join(F.broadcast(wanted) if few else wanted, "term")
     norm = index.k1 * (1 - index.b + index.b * F.col("len") / F.when(F.col("avgdl") == 0, F.lit(1.0)).otherwise(F.col("avgdl")))
     return rows.select("qid", "chunk_ord", "pos", "term", (idf(F.col("n"), F.col("df")) * F.col("tf") * (index.k1 + 1) / (F.col("tf") + norm)).alias("gain"))
 
