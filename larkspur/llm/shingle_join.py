@@ -116,7 +116,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["counter", "id", "n", "k1", "k2", "sketch"]
         hits = np.zeros(1 << COUNTER_BITS, np.uint32)
-        for b in small_batches(batches, 2048):
+        for b in small_batches(batches, 512):
             found = []
             for s in shingle_sets(b.column("text")):
                 found.append((len(s), *set_ids(s), dense_sketch(s)))
@@ -165,7 +165,7 @@ def _emit(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *[pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (keys, sets, sizes)]], names=["bucket", "keys", "sets", "sizes"])
             held.clear()
 
-        for b in small_batches(batches, 2048):
+        for b in small_batches(batches, 512):
             for s in shingle_sets(b.column("text")):
                 if not len(s) or (k := set_ids(s)[0]) in seen:
                     continue
@@ -174,7 +174,7 @@ def _emit(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                 seen.add(k)
                 held.append((join_keys(s, counters), k, len(s)))
                 size += len(held[-1][0])
-                if size > 2_000_000:
+                if size > 400_000:
                     yield from flush()
                     size = 0
         if held:
