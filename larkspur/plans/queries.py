@@ -320,17 +320,20 @@ def ann_lsh_topk(spark, sf_dir):
 
 @query
 def ann_recall(spark, sf_dir):
-    """Recall on perturbed copies of the vectors, and the share of pairs that were scored."""
+    """Recall, and the share of pairs that were scored: of the embeddings themselves, which ann_lsh_topk searches, and of perturbed copies of them."""
     e, q = _embeddings(Inputs(spark, sf_dir))
     noise = lambda k: F.transform("embedding", lambda x, i: (x + (F.pmod(F.xxhash64("chunk_ord", F.lit(k), i), F.lit(2001)) / 1000.0 - 1.0) * 0.03).cast("float"))
     copies = e.select((F.col("chunk_ord") * 10).alias("chunk_ord"), "embedding")
     for k in range(1, 10):
         copies = copies.unionAll(e.select((F.col("chunk_ord") * 10 + k).alias("chunk_ord"), noise(k).alias("embedding")))
-    q = q.withColumn("qid", F.col("qid") * 10)
-    found, truth = vector.lsh_search(copies, q, 10, dim=64), vector.search(copies, q, 10)
-    pairs = vector.lsh_candidates(copies, q, key="chunk_ord", dim=64).agg(F.count(F.lit(1)).alias("n_scored"))
-    every = copies.agg(F.count(F.lit(1)).alias("n")).crossJoin(q.agg(F.count(F.lit(1)).alias("nq"))).select((F.col("n") * F.col("nq")).alias("n_pairs"))
-    return vector.recall(found, truth).crossJoin(pairs).crossJoin(every).select("recall", F.round(F.col("n_scored") / F.col("n_pairs"), 6).alias("share_scored"))
+    return _recall("table", e, q).unionAll(_recall("copies", copies, q.withColumn("qid", F.col("qid") * 10)))
+
+
+def _recall(name: str, vectors: DataFrame, q: DataFrame) -> DataFrame:
+    found, truth = vector.lsh_search(vectors, q, 10, dim=64), vector.search(vectors, q, 10)
+    pairs = vector.lsh_candidates(vectors, q, key="chunk_ord", dim=64).agg(F.count(F.lit(1)).alias("n_scored"))
+    every = vectors.agg(F.count(F.lit(1)).alias("n")).crossJoin(q.agg(F.count(F.lit(1)).alias("nq"))).select((F.col("n") * F.col("nq")).alias("n_pairs"))
+    return vector.recall(found, truth).crossJoin(pairs).crossJoin(every).select(F.lit(name).alias("vectors"), "recall", F.round(F.col("n_scored") / F.col("n_pairs"), 6).alias("share_scored"))
 
 
 # Fusion, graph, reranking

@@ -90,6 +90,15 @@ def test_lsh_recall_on_perturbed_copies(spark):
     assert vector.search(df.where("false"), q, 3).count() == 0
 
 
+def test_ann_recall_measures_the_table_that_is_searched(spark, sf_dir):
+    from larkspur.plans.queries import QUERIES
+
+    got = {r["vectors"]: r["recall"] for r in QUERIES["ann_recall"](spark, sf_dir).collect()}
+    truth = {(r["qid"], r["chunk_ord"]) for r in QUERIES["vector_topk"](spark, sf_dir).collect()}
+    found = {(r["qid"], r["chunk_ord"]) for r in QUERIES["ann_lsh_topk"](spark, sf_dir).collect()}
+    assert set(got) == {"table", "copies"} and abs(got["table"] - len(found & truth) / len(truth)) < 1e-6
+
+
 def ranked(spark, **lists):
     return spark.createDataFrame([(0, r, key, k + 1) for r, keys in lists.items() for k, key in enumerate(keys)], "qid long, route string, chunk_ord long, rank int")
 
