@@ -1,9 +1,12 @@
-"""Language-model scores: a hashed maximum-entropy model with a class-factored softmax, beside a smoothed unigram base.
+"""Language-model scores: a hashed maximum-entropy model with a class-factored softmax down to small groups of words, beside a smoothed unigram base.
 
 Tokens are the words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) and one end for each text. A word's class is its shape: length, last mark,
-characters beyond ASCII; the end is a class of its own. P(token | history) = P(class | features) * P(token | class).
-The first factor is a softmax over the classes whose features, hashed into WIDTH rows of weights, are the word before, the two words
-before and, skipping one, the word before that. The second is the multinomial of the class, smoothed as the base is.
+characters beyond ASCII; the end is a class of its own. Each class is a tree of BRANCHES children a node, which the digits of a word's hash descend; it has
+as many levels as the vocabulary needs, so a leaf holds a few words at any size.
+P(token | history) = P(class | features) * P(digit | node, features) for each level * P(token | leaf).
+All but the last factor are softmaxes whose features are the word before, the two words before and, skipping one, the word before that, each hashed
+with the node into the rows of weights; where they say nothing, a digit has its share of the node's tokens. The last is the multinomial of the leaf,
+smoothed as the base is.
 
 Counts are exact and cover all training texts. The FREQUENT most frequent words go to every worker; the rest of the vocabulary
 stays a distributed table, which the rare words of the texts are joined with.
@@ -28,6 +31,9 @@ from larkspur.llm.wordhash import byte_runs, mix, small_batches
 WIDTH, FREQUENT, ALPHA = 1 << 14, 1 << 18, 0.1
 #: Classes: 3 lengths x 2 last marks x ASCII or not, then the end.
 CLASSES, END = 13, 12
+#: Children of a node of a class's tree; a power of 2, at least CLASSES.
+BITS = 4
+BRANCHES = 1 << BITS
 #: Tokens of a gradient step, and its rate.
 STEP, RATE = 8192, 0.2
 _MARKS = np.zeros(256, bool)
@@ -44,13 +50,47 @@ class Tokens:
     first: np.ndarray
 
     def features(self) -> list[np.ndarray]:
-        """The rows of weights of each token's features."""
+        """A hash of each of a token's features."""
         at = np.arange(len(self.keys))
         begin = np.repeat(self.first[:-1], np.diff(self.first))
         one = np.where(at - 1 >= begin, self.keys[at - 1], _BEGIN)
         two = np.where(at - 2 >= begin, self.keys[at - 2], _BEGIN)
-        row = lambda x: (mix(x) % np.uint64(WIDTH)).astype(np.int64)
-        return [row(one), row(one * np.uint64(3) + two * np.uint64(5) + np.uint64(1)), row(two ^ np.uint64(0x5851F42D4C957F2D))]
+        return [mix(one), mix(one * np.uint64(3) + two * np.uint64(5) + np.uint64(1)), mix(two ^ np.uint64(0x5851F42D4C957F2D))]
+
+    def leaves(self, levels: int) -> np.ndarray:
+        """The leaf of each word's class that it belongs to; an end has leaf CLASSES * BRANCHES^levels - 1."""
+        path = (self.keys >> np.uint64(64 - BITS * levels)).astype(np.int64) if levels else np.zeros(len(self.keys), np.int64)
+        return np.where(self.classes == END, (CLASSES << BITS * levels) - 1, (self.classes << BITS * levels) + path)
+
+
+def tree_levels(words: int) -> int:
+    """Levels that leave a few words to a leaf."""
+    return max(1, int(np.log2(max(words, 1) / 4) // BITS)) if words else 0
+
+
+def _decisions(classes: np.ndarray, leaves: np.ndarray, features: list[np.ndarray], levels: int, width: int) -> Iterator[tuple[np.ndarray | slice, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """The class and each digit of some tokens: (which tokens, level, node, digit, rows of weights). Ends have no digits."""
+    last = np.uint64(width - 1)
+    yield slice(None), 0, np.zeros(len(classes), np.int64), classes, [(f & last).astype(np.int64) for f in features]
+    words = np.flatnonzero(classes != END)
+    leaves, features = leaves[words], [f[words] for f in features]
+    for level in range(1, levels + 1):
+        path = leaves >> BITS * (levels - level)
+        node = path >> BITS
+        salt = mix(node.astype(np.uint64) + (np.uint64(level) << np.uint64(56)))
+        yield words, level, node, path & (BRANCHES - 1), [(((f ^ salt) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) & last).astype(np.int64) for f in features]
+
+
+def tree_biases(class_tokens: np.ndarray, leaf_tokens: np.ndarray, levels: int) -> list[np.ndarray]:
+    """By level: the logarithm of each child's smoothed share of its node's tokens, a row for each node."""
+    top = np.full((1, BRANCHES), -1e9, np.float32)
+    top[0, :CLASSES] = np.log((class_tokens + 1) / (class_tokens.sum() + CLASSES))
+    out, n = [], leaf_tokens
+    for _ in range(levels):
+        n = n.reshape(-1, BRANCHES)
+        out.append(np.log((n + ALPHA) / (n.sum(axis=1, keepdims=True) + ALPHA * BRANCHES)).astype(np.float32))
+        n = n.sum(axis=1)
+    return [top, *out[::-1]]
 
 
 def read_tokens(texts: pa.Array) -> Iterator[tuple[int, int, Tokens]]:
@@ -77,12 +117,13 @@ class Model:
     tokens: int
     words: int
     ends: int
-    class_tokens: np.ndarray
-    class_words: np.ndarray
+    levels: int
+    leaf_tokens: np.ndarray
+    leaf_words: np.ndarray
     frequent: np.ndarray
     frequent_counts: np.ndarray
     weights: np.ndarray
-    bias: np.ndarray
+    biases: list[np.ndarray]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -126,39 +167,48 @@ def _probabilities(rows: list[np.ndarray], weights: np.ndarray, bias: np.ndarray
     return logits
 
 
-def train_weights(texts: DataFrame, bias: np.ndarray) -> np.ndarray:
+def train_weights(texts: DataFrame, biases: list[np.ndarray], width: int) -> np.ndarray:
     """One pass of gradient steps over all texts: each task on its own copy of the weights, whose rows are then averaged by how often each task updated them.
 
-    A task hands over WIDTH rows at most.
+    A task hands over width rows at most.
     """
+    shared, levels = texts.sparkSession.sparkContext.broadcast(biases), len(biases) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, squares = np.zeros((WIDTH, CLASSES), np.float32), np.full((WIDTH, CLASSES), 1.0, np.float32)
-        seen = np.zeros(WIDTH, np.int64)
+        biases = shared.value
+        weights, squares = np.zeros((width, BRANCHES), np.float32), np.ones((width, BRANCHES), np.float32)
+        seen = np.zeros(width, np.int64)
         for b in small_batches(batches, 2048):
             for _, _, t in read_tokens(b.column("text")):
-                rows = t.features()
+                features, leaves = t.features(), t.leaves(levels)
                 for i in range(0, len(t.keys), STEP):
-                    part = [r[i : i + STEP] for r in rows]
-                    slope = _probabilities(part, weights, bias)
-                    slope[np.arange(len(slope)), t.classes[i : i + STEP]] -= 1
-                    for r in part:
-                        order = np.argsort(r, kind="stable")
-                        sorted_rows = r[order]
-                        first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-                        at = sorted_rows[first]
-                        g = np.add.reduceat(slope[order], first, axis=0)
-                        squares[at] += g * g
-                        weights[at] -= np.float32(RATE) * g / np.sqrt(squares[at])
-                        seen[at] += np.diff(np.r_[first, len(r)])
+                    cut = slice(i, i + STEP)
+                    for _, level, node, digit, rows in _decisions(t.classes[cut], leaves[cut], [f[cut] for f in features], levels, width):
+                        if not len(digit):
+                            continue
+                        slope = _probabilities(rows, weights, biases[level][node])
+                        slope[np.arange(len(slope)), digit] -= 1
+                        for r in rows:
+                            order = np.argsort(r, kind="stable")
+                            sorted_rows = r[order]
+                            first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+                            at = sorted_rows[first]
+                            g = np.add.reduceat(slope[order], first, axis=0)
+                            squares[at] += g * g
+                            weights[at] -= np.float32(RATE) * g / np.sqrt(squares[at])
+                            seen[at] += np.diff(np.r_[first, len(r)])
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at]), *[pa.array(weights[at, k].astype(np.float64)) for k in range(CLASSES)]], names=["row", "seen", *[f"w{k}" for k in range(CLASSES)]])
-
-    names = [f"w{k}" for k in range(CLASSES)]
-    rows = texts.mapInArrow(run, "row int, seen long, " + ", ".join(f"{w} double" for w in names))
-    mean = rows.groupBy("row").agg(*[(F.sum(F.col(w) * F.col("seen")) / F.sum("seen")).alias(w) for w in names]).toPandas()
-    out = np.zeros((WIDTH, CLASSES), np.float32)
-    out[mean["row"].to_numpy()] = mean[names].to_numpy(np.float32)
+        for i in range(0, len(at), 1 << 14):
+            rows = at[i : i + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(seen[rows]), *[pa.array(weights[rows, k]) for k in range(BRANCHES)]], names=["row", "seen", *names])
+
+    names = [f"w{k}" for k in range(BRANCHES)]
+    rows = texts.mapInArrow(run, "row int, seen long, " + ", ".join(f"{w} float" for w in names))
+    mean = rows.groupBy("row").agg(*[(F.sum(F.col(w) * F.col("seen")) / F.sum("seen")).cast("float").alias(w) for w in names]).toArrow()
+    out = np.zeros((width, BRANCHES), np.float32)
+    at = mean["row"].to_numpy()
+    for k, w in enumerate(names):
+        out[at, k] = mean[w].to_numpy()
     return out
 
 
@@ -167,14 +217,19 @@ def train(df: DataFrame, text_col: str = "text") -> Model:
     texts = df.select(F.col(text_col).alias("text"))
     vocabulary = write_table(count_words(texts), "vocabulary")
     ends = texts.count()
-    class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in vocabulary.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        class_tokens[r["class"]], class_words[r["class"]] = r["n"], r["v"]
-    class_tokens[END], class_words[END] = ends, min(ends, 1)
+    words = vocabulary.count()
+    levels = tree_levels(words)
+    leaf_tokens, leaf_words = np.zeros(CLASSES << BITS * levels), np.zeros(CLASSES << BITS * levels)
+    path = F.shiftrightunsigned("key", 64 - BITS * levels) if levels else F.lit(0).cast("long")
+    by = vocabulary.groupBy((F.shiftleft(F.col("class").cast("long"), BITS * levels) + path).alias("leaf")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
+    at = by["leaf"].to_numpy()
+    leaf_tokens[at], leaf_words[at] = by["n"].to_numpy(), by["v"].to_numpy()
+    class_tokens = leaf_tokens.reshape(CLASSES, -1).sum(axis=1)
+    class_tokens[END] = ends
     top = vocabulary.where(F.col("n") >= least_count(vocabulary, FREQUENT)).select("key", "n").toPandas()
     order = np.argsort(top["key"].to_numpy(np.int64).view(np.uint64))
-    bias = np.log((class_tokens + 1) / (class_tokens.sum() + CLASSES)).astype(np.float32)
-    return Model(vocabulary, int(class_tokens.sum()), int(class_words.sum()), ends, class_tokens, class_words, top["key"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.float64)[order], train_weights(texts, bias), bias)
+    biases = tree_biases(class_tokens, leaf_tokens, levels)
+    return Model(vocabulary, int(class_tokens.sum()), words + min(ends, 1), ends, levels, leaf_tokens, leaf_words, top["key"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.float64)[order], train_weights(texts, biases, WIDTH), biases)
 
 
 def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -188,12 +243,12 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str
     rows = df.select(*names, F.col(text_col).alias("_text_to_score"))
     zero = F.lit(0).cast("long")
     schema = rows.select(*names, zero.alias("_row"), zero.alias("n_tokens"), zero.alias("_known"), F.lit(0.0).alias("_counts"), F.lit(0.0).alias("_model"), F.array(zero).alias("_rare"), F.array(zero).alias("_times")).schema
-    bounded = {k: getattr(model, k) for k in ("class_tokens", "class_words", "frequent", "frequent_counts", "weights", "bias", "ends")}
+    bounded = {k: getattr(model, k) for k in ("levels", "leaf_tokens", "leaf_words", "frequent", "frequent_counts", "weights", "biases", "ends")}
     shared = df.sparkSession.sparkContext.broadcast(bounded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        inside = np.log10(m["class_tokens"] + ALPHA * (m["class_words"] + 1))
+        inside = np.log10(m["leaf_tokens"] + ALPHA * (m["leaf_words"] + 1))
         logs = np.log10(m["frequent_counts"] + ALPHA)
         log_end = float(np.log10(m["ends"] + ALPHA))
         at_row = TaskContext.get().partitionId() << 33
@@ -201,13 +256,16 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str
             out: list[tuple] = []
             for _, n, t in read_tokens(b.column("_text_to_score")):
                 first = t.first[:-1]
-                values = np.empty(len(t.keys))
-                rows = t.features()
+                values = np.zeros(len(t.keys))
+                features, leaves = t.features(), t.leaves(m["levels"])
                 for i in range(0, len(t.keys), STEP):
-                    p = _probabilities([r[i : i + STEP] for r in rows], m["weights"], m["bias"])
-                    values[i : i + STEP] = np.log10(np.maximum(p[np.arange(len(p)), t.classes[i : i + STEP]], 1e-30))
+                    cut = slice(i, i + STEP)
+                    for at, level, node, digit, rows in _decisions(t.classes[cut], leaves[cut], [f[cut] for f in features], m["levels"], len(m["weights"])):
+                        if len(digit):
+                            p = _probabilities(rows, m["weights"], m["biases"][level][node])
+                            values[cut][at] += np.log10(np.maximum(p[np.arange(len(p)), digit], 1e-30))
                 word = t.classes != END
-                values -= np.where(word, inside[t.classes], 0.0)
+                values -= np.where(word, inside[leaves], 0.0)
                 found = np.zeros(len(t.keys), bool)
                 counts = np.where(word, 0.0, log_end)
                 if len(m["frequent"]):
@@ -229,7 +287,7 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str
     rare = scored.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select("_row", F.col("x._rare").alias("key"), F.col("x._times").alias("times"))
     looked = rare.join(model.vocabulary.select("key", "n"), "key", "left")
     by = looked.groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA))).alias("_rare_counts"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("_rare_known"))
-    # Ends have probability 1 in their class; words their smoothed count, whose denominator _model holds.
+    # Ends have probability 1 in their class; words in their leaf their smoothed count, whose denominator _model holds.
     counts = F.col("_counts") + F.coalesce("_rare_counts", F.lit(0.0))
     base = counts - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + ALPHA * (model.words + 1))))
     total = F.col("_model") + counts - F.lit(float(np.log10(model.ends + ALPHA)))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,31 @@ def test_language_model_beats_its_base(spark):
     assert rows["s"] > rows["b"]
 
 
+def test_history_tells_words_of_one_shape_apart(spark):
+    df = spark.createDataFrame([("aaaa bbbb",), ("cccc dddd",)] * 30000, "text string")
+    model = lm_score.train(df)
+    got = [r["score"] for r in lm_score.score(spark.createDataFrame([("aaaa bbbb",), ("aaaa dddd",)], "text string").coalesce(1), model).collect()]
+    assert got[0] > got[1] + 0.5
+
+
+def test_probabilities_of_all_first_words_sum_to_one(spark):
+    words = [f"w{k}" for k in range(40)]
+    model = lm_score.train(spark.createDataFrame([(" ".join(words[k:]),) for k in range(40)] * 3, "text string"))
+    tokens = next(lm_score.read_tokens(pa.array(words)))[2]
+    first = tokens.first[:-1]
+    leaves, total = tokens.leaves(model.levels), np.ones(len(words))
+    counts = {r["key"]: r["n"] for r in model.vocabulary.collect()}
+    for at, level, node, digit, rows in lm_score._decisions(tokens.classes[first], leaves[first], [f[first] for f in tokens.features()], model.levels, len(model.weights)):
+        if level:
+            p = lm_score._probabilities(rows, model.weights, model.biases[level][node])
+            total[at] *= p[np.arange(len(p)), digit]
+    n = np.array([counts[int(k)] for k in tokens.keys[first].view(np.int64)])
+    total *= (n + lm_score.ALPHA) / (model.leaf_tokens + lm_score.ALPHA * (model.leaf_words + 1))[leaves[first]]
+    # Of the two shapes w0 to w9 and w10 to w39: what is missing is for unknown words.
+    for c in set(tokens.classes[first]):
+        assert 0.5 < total[tokens.classes[first] == c].sum() <= 1
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     w = rng.standard_normal((lm_score.WIDTH, lm_score.CLASSES)).astype(np.float32)
