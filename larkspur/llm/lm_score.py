@@ -8,7 +8,7 @@ All but the last factor are softmaxes whose features are the word before, the tw
 with the node into the rows of weights; where they say nothing, a digit has its share of the node's tokens. The last is the multinomial of the leaf,
 smoothed as the base is.
 
-Counts are exact and cover all training texts. The FREQUENT most frequent words go to every worker; the rest of the vocabulary
+The rows of weights grow with the vocabulary, and every worker holds all of them. Counts are exact and cover all training texts. The FREQUENT most frequent words go to every worker; the rest of the vocabulary
 stays a distributed table, which the rare words of the texts are joined with.
 """
 
@@ -27,10 +27,12 @@ from larkspur.llm.language_id import least_count
 from larkspur.llm.storage import write_table
 from larkspur.llm.wordhash import byte_runs, mix, small_batches
 
-#: Rows of hashed weights, words known to all workers (at most), and the smoothing of counts.
+#: Rows of hashed weights (at least), words known to all workers (at most), and the smoothing of counts.
 WIDTH, FREQUENT, ALPHA = 1 << 14, 1 << 18, 0.1
 #: Classes: 3 lengths x 2 last marks x ASCII or not, then the end.
 CLASSES, END = 13, 12
+#: Distinct words for each row of weights, so that rows are in proportion to what the corpus has.
+WORDS_A_ROW = 16
 #: Children of a node of a class's tree; a power of 2, at least CLASSES.
 BITS = 4
 BRANCHES = 1 << BITS
@@ -68,6 +70,11 @@ def tree_levels(words: int) -> int:
     return max(1, int(np.log2(max(words, 1) / 4) // BITS)) if words else 0
 
 
+def weight_rows(words: int) -> int:
+    """Rows of hashed weights for a vocabulary, a power of 2."""
+    return max(WIDTH, 1 << (max(1, words // WORDS_A_ROW) - 1).bit_length())
+
+
 def _decisions(classes: np.ndarray, leaves: np.ndarray, features: list[np.ndarray], levels: int, width: int) -> Iterator[tuple[np.ndarray | slice, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
     """The class and each digit of some tokens: (which tokens, level, node, digit, rows of weights). Ends have no digits."""
     last = np.uint64(width - 1)
@@ -111,7 +118,7 @@ def read_tokens(texts: pa.Array) -> Iterator[tuple[int, int, Tokens]]:
 
 @dataclass
 class Model:
-    """vocabulary: (key, class, n), a table; the rest is of bounded size."""
+    """vocabulary: (key, class, n), a table; weights, biases and leaves grow with it, the rest is of bounded size."""
 
     vocabulary: DataFrame
     tokens: int
@@ -229,7 +236,7 @@ def train(df: DataFrame, text_col: str = "text") -> Model:
     top = vocabulary.where(F.col("n") >= least_count(vocabulary, FREQUENT)).select("key", "n").toPandas()
     order = np.argsort(top["key"].to_numpy(np.int64).view(np.uint64))
     biases = tree_biases(class_tokens, leaf_tokens, levels)
-    return Model(vocabulary, int(class_tokens.sum()), words + min(ends, 1), ends, levels, leaf_tokens, leaf_words, top["key"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.float64)[order], train_weights(texts, biases, WIDTH), biases)
+    return Model(vocabulary, int(class_tokens.sum()), words + min(ends, 1), ends, levels, leaf_tokens, leaf_words, top["key"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.float64)[order], train_weights(texts, biases, weight_rows(words)), biases)
 
 
 def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -224,6 +224,15 @@ def test_history_tells_words_of_one_shape_apart(spark):
     assert got[0] > got[1] + 0.5
 
 
+def test_rows_of_weights_follow_the_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "WORDS_A_ROW", 1)
+    df = spark.range(40_000).select(F.concat(F.lit("w"), "id", F.lit(" x w"), F.col("id") + 1).alias("text"))
+    model = lm_score.train(df)
+    assert len(model.weights) == lm_score.weight_rows(40_002) == 1 << 16
+    assert lm_score.weight_rows(100 * 40_002) > 50 * len(model.weights)
+    assert (np.abs(model.weights).sum(axis=1) > 0).mean() > 0.5
+
+
 def test_probabilities_of_all_first_words_sum_to_one(spark):
     words = [f"w{k}" for k in range(40)]
     model = lm_score.train(spark.createDataFrame([(" ".join(words[k:]),) for k in range(40)] * 3, "text string"))
