@@ -34,9 +34,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents by their calibrated probabilities."""
+    """Samples documents by their weights; one of a large weight is repeated, so that the sample has the shares it was raked to."""
     mixed = mixing.mix(docs.withColumn("topic", mixing.topic_of(F.col("text"))))
-    return mixed.where("sampled").select(docs.columns)
+    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

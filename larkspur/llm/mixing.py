@@ -57,10 +57,12 @@ def uniform(key: Column, salt: str) -> Column:
 
 
 def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.8, salt: str = ":mix", rounds: int = 8, power: float = 0.5, broadcast_bytes: int = 16 << 20) -> DataFrame:
-    """df (with the dimensions as columns) with n_tokens, weight, probability and sampled added (they replace columns of these names).
+    """df (with the dimensions as columns) with n_tokens, weight, probability, sampled and copies added (they replace columns of these names).
 
     weight: raked over tokens of the document's cell, 1 on average over all tokens. probability: min(1, keep * weight). sampled: a hash
-    of the id is below it, so the draw is the same on every run, and repeated rows share it. Null and empty texts have no
+    of the id is below it, so the draw is the same on every run, and repeated rows share it. copies: how often the document goes into the mix,
+    keep * weight on average, so that the mix has the shares it was raked to: the whole part of that, and one more if the hash is below
+    the rest. It is 0 where sampled is false, and over 1 only where keep * weight is. Null and empty texts have no
     tokens; in a cell without any tokens weight and probability are 0. The cells' weights are broadcast if their table is
     under broadcast_bytes, else joined by a shuffle whose skewed partitions adaptive execution splits.
     """
@@ -69,9 +71,10 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep:
     raked = rake(cells, {d: tempered_shares(cells, d, power) for d in dims}, rounds=rounds, broadcast_bytes=broadcast_bytes)
     ratio = write_table(raked.select(*[F.col(d).alias(f"_{d}") for d in dims], F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0)).alias("weight")), "cell-weights")
     ratio = F.broadcast(ratio) if table_bytes(ratio) <= broadcast_bytes else ratio
-    names = [c for c in df.columns if c not in ("n_tokens", "weight", "probability", "sampled")]
+    names = [c for c in df.columns if c not in ("n_tokens", "weight", "probability", "sampled", "copies")]
     on = [F.coalesce(F.col(d).cast("string"), F.lit("")) == F.col(f"_{d}") for d in dims]
     joined = df.select(names).join(ratio, on, "left")
     out = joined.select(*names, F.size(words(F.col(text_col))).cast("long").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
     out = out.withColumn("probability", F.least(F.lit(1.0), F.lit(keep) * F.col("weight")))
-    return out.withColumn("sampled", uniform(F.col(id_col), salt) < F.col("probability"))
+    draw, times = uniform(F.col(id_col), salt), F.lit(keep) * F.col("weight")
+    return out.withColumn("sampled", draw < F.col("probability")).withColumn("copies", F.floor(times) + (draw < times - F.floor(times)).cast("long"))

@@ -52,7 +52,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), "text")
-    return mixing.mix(docs).drop("text").withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
+    return mixing.mix(docs).drop("text", "copies").withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
 
 
 def _op6_sql() -> str:

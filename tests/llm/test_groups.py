@@ -187,6 +187,26 @@ def test_mixing_against_brute_force(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def test_sampled_marginals_meet_their_targets(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    texts = {"prose": "a b c d", "legal": "a license b c", "numeric": "a b c 1"}
+    rows = [(k, texts[rng.choices(list(texts), [94, 3, 3])[0]], rng.choices(["en", "es"], [95, 5])[0], "a", 9) for k in range(6000)]
+    df = spark.createDataFrame(rows, DOCS)
+    topic = mixing.topic_of(F.col("text"))
+    got = mixing.mix(df.withColumn("topic", topic)).collect()
+    assert all((r["copies"] > 0) == r["sampled"] for r in got) and max(r["copies"] for r in got) > 1
+    out = p.mix_sources(spark, df, "none")
+    for column, key in ((topic, "topic"), (F.col("lang"), "lang")):
+        target, sample = Counter(), Counter()
+        for r in got:
+            target[r[key]] += r["weight"] / len(got)
+        for r in out.groupBy(column.alias("value")).count().collect():
+            sample[r["value"]] = r["count"]
+        assert all(abs(sample[v] / sample.total() - target[v]) < 0.02 for v in target)
+
+
 def test_language_model_against_brute_force(spark):
     rng = random.Random(9)
     vocabulary = [f"w{k}" for k in range(60)] + ["End.", "é,", "#1"]
