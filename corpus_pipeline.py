@@ -13,6 +13,8 @@ from larkspur.llm import bpe, language_id, line_dedup, mixing, shingle_join
 from larkspur.llm.registry import tokenizer_path
 from larkspur.llm.storage import write_table
 
+#: A line on more than this share of a source's pages, and on so many at least, is boilerplate.
+LINE_RATIO, LINE_PAGES = 0.05, 20
 #: A language is rejected below this share of the posterior.
 MIN_SCORE = 0.5
 
@@ -26,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes boilerplate lines of each source out of the texts; n_chars follows."""
-    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return line_dedup.drop_boilerplate(docs, max_ratio=LINE_RATIO, min_pages=LINE_PAGES).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -304,6 +304,14 @@ def test_pipeline_against_its_parts(spark):
     assert {r["doc_id"] for r in p.run(spark, d).collect()} == set(out)
 
 
+def test_pipeline_drops_lines_of_a_twelfth_of_the_pages(spark):
+    import corpus_pipeline as p
+
+    rows = [(k, ("menu\n" if k % 12 == 0 else "chance\n" if k < 10 else "") + f"own {k}", "en", "a", 9) for k in range(300)]
+    got = {r["doc_id"]: r["text"] for r in p.dedup_lines(spark, spark.createDataFrame(rows, DOCS), "none").collect()}
+    assert len(got) == 300 and all("menu" not in t for t in got.values()) and sum("chance" in t for t in got.values()) == 9
+
+
 def test_pipeline_of_an_empty_table(spark):
     import corpus_pipeline as p
 
