@@ -1,7 +1,7 @@
 """From raw documents to token ids in five stages, each on all that the one before kept.
 
 Language ID rejects documents without a language and relabels the others; line dedup takes out site boilerplate; the shingle join leaves one
-document of each group of near duplicates; mixing samples documents by raked weights; BPE encodes what is left.
+document of each group of near duplicates; mixing samples documents by raked weights; BPE encodes what is left, and decodes it to see that nothing is lost.
 """
 
 from __future__ import annotations
@@ -42,8 +42,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens and ids."""
-    return bpe.encode(docs.select("doc_id", "source", "lang", "text"), tokenizer_path()).select("doc_id", "source", "lang", "n_tokens", "ids")
+    """doc_id, source, lang, n_tokens and ids; an error if the ids of a text decode to another."""
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text"), tokenizer_path()), tokenizer_path())
+    same = F.assert_true(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit("ids decode to another text"))
+    return coded.where(same.isNull()).select("doc_id", "source", "lang", "n_tokens", "ids")
 
 
 STAGES = [

@@ -312,6 +312,17 @@ def test_pipeline_drops_lines_of_a_twelfth_of_the_pages(spark):
     assert len(got) == 300 and all("menu" not in t for t in got.values()) and sum("chance" in t for t in got.values()) == 9
 
 
+def test_pipeline_decodes_what_it_encodes(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    df = spark.createDataFrame([(1, "a text", "en", "a", 6), (2, None, "en", "a", 0)], DOCS)
+    assert p.encode_tokens(spark, df, "none").count() == 2
+    decode = p.bpe.decode
+    monkeypatch.setattr(p.bpe, "decode", lambda *a: decode(*a).withColumn("decoded", F.concat("decoded", F.lit("?"))))
+    with pytest.raises(Exception, match="decode to another text"):
+        p.encode_tokens(spark, df, "none").collect()
+
+
 def test_pipeline_of_an_empty_table(spark):
     import corpus_pipeline as p
 
