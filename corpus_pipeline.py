@@ -1,7 +1,7 @@
 """From raw documents to token ids in five stages, each on all that the one before kept.
 
 Language ID rejects documents without a language and relabels the others; line dedup takes out site boilerplate; the shingle join leaves one
-document of each group of near duplicates; mixing samples documents by raked weights; BPE encodes what is left, and decodes it to see that nothing is lost.
+document of each group of near duplicates; mixing draws documents by raked weights, some more than once; BPE encodes what is left, and decodes it to see that nothing is lost.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, language_id, line_dedup, mixing, shingle_join
-from larkspur.llm.registry import tokenizer_path
+from larkspur.llm.registry import KEEP, LINE_PAGES, LINE_RATIO, tokenizer_path
 from larkspur.llm.storage import write_table
 
-#: A line on more than this share of a source's pages, and on so many at least, is boilerplate.
-LINE_RATIO, LINE_PAGES = 0.05, 20
+#: A page that would lose more than this share of its lines is a copy of a document, not a page in a frame: it stays whole, for the next stage to judge.
+LINE_LOSS = 0.5
 #: A language is rejected below this share of the posterior.
 MIN_SCORE = 0.5
 
@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes boilerplate lines of each source out of the texts; n_chars follows."""
-    return line_dedup.drop_boilerplate(docs, max_ratio=LINE_RATIO, min_pages=LINE_PAGES).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return line_dedup.drop_boilerplate(docs, max_ratio=LINE_RATIO, min_pages=LINE_PAGES, max_loss=LINE_LOSS).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +37,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents by their weights; one of a large weight is repeated, so that the sample has the shares it was raked to."""
-    mixed = mixing.mix(docs.withColumn("topic", mixing.topic_of(F.col("text"))))
+    mixed = mixing.mix(docs.withColumn("topic", mixing.topic_of(F.col("text"))), keep=KEEP)
     return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens and ids; an error if the ids of a text decode to another."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text"), tokenizer_path()), tokenizer_path())
+    coded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), tokenizer_path(), decoded=True)
     same = F.assert_true(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit("ids decode to another text"))
     return coded.where(same.isNull()).select("doc_id", "source", "lang", "n_tokens", "ids")
 
