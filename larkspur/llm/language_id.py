@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.names import col, others, quoted, unused
 from larkspur.llm.storage import write_table
-from larkspur.llm.wordhash import Symbols, small_batches
+from larkspur.llm.wordhash import SEGMENT, KeyTable, Symbols, room, small_batches, tidy
 
 UNDETERMINED = "und"
+#: What every count begins with, and the entries that a task counts before it hands them on.
+SMOOTHING, HELD_ENTRIES = 0.5, 1 << 20
 _LETTERS: list[np.ndarray] = []
 
 
@@ -29,8 +32,26 @@ def _is_letter() -> np.ndarray:
     return _LETTERS[0]
 
 
-def _letter_words(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int, Symbols, np.ndarray, np.ndarray, np.ndarray]]:
-    """Like wordhash.byte_runs, over lower-cased code points; words are runs of letters."""
+def _pieces(text: str, most: int) -> Iterator[str]:
+    """A text in parts of about `most` characters that end between words; a longer word stays whole."""
+    at = 0
+    while at < len(text):
+        to = min(at + most, len(text))
+        if to < len(text):
+            cut = to
+            while cut > at and text[cut - 1].isalpha():
+                cut -= 1
+            if cut == at:
+                cut = to
+                while cut < len(text) and text[cut].isalpha():
+                    cut += 1
+            to = cut
+        yield text[at:to]
+        at = to
+
+
+def letter_words(texts: list[str | None], most: int = SEGMENT) -> Iterator[tuple[int, int, Symbols, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, code points, starts and ends of words, first word of each text): words are runs of letters of the lower-cased texts. A text of over `most` characters comes in parts, as the same row again and again."""
     row = 0
     while row < len(texts):
         last, size, part = row, 0, []
@@ -38,11 +59,12 @@ def _letter_words(texts: list[str | None], most: int = 1 << 20) -> Iterator[tupl
             part.append((texts[last] or "").lower())
             size += len(part[-1])
             last += 1
-        offsets = np.zeros(len(part) + 1, np.int64)
-        np.cumsum([len(x) for x in part], out=offsets[1:])
-        points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
-        s = Symbols(points, offsets)
-        yield row, last - row, s, *s.runs(_is_letter()[points])
+        for run in [part] if size <= most or len(part) > 1 else ([x] for x in _pieces(part[0], most)):
+            offsets = np.zeros(len(run) + 1, np.int64)
+            np.cumsum([len(x) for x in run], out=offsets[1:])
+            points = np.frombuffer("".join(run).encode("utf-32-le", "surrogatepass"), np.uint32)
+            s = Symbols(points, offsets)
+            yield row, last - row, s, *s.runs(_is_letter()[points])
         row = last
 
 
@@ -54,40 +76,51 @@ def _grams(s: Symbols, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np
     return s.hashes(at, at + n), word
 
 
+@dataclass
+class Entries:
+    """Words, or n-grams of one length: entry i has the languages codes[first[i]:first[i + 1]], and gains over `base`, the log frequency of what a language lacks."""
+
+    table: KeyTable
+    first: np.ndarray
+    codes: np.ndarray
+    gains: np.ndarray
+    base: np.ndarray
+
+
 @dataclass
 class LanguageModel:
-    """keys[n] (sorted hashes) and logs[n] (entries x languages): n = 0 for words, else for n-grams."""
+    """entries[n]: n = 0 for words, else for n-grams."""
 
     languages: list[str]
-    keys: dict[int, np.ndarray]
-    logs: dict[int, np.ndarray]
-
-    def find(self, n: int, hashes: np.ndarray) -> np.ndarray:
-        """The entry of each hash, -1 if there is none."""
-        keys = self.keys[n]
-        if not len(keys):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        return np.where(keys[at] == hashes, at, -1)
+    entries: dict[int, Entries]
 
     def sums(self, s: Symbols, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Per text and language, the sum over words."""
-        values = np.zeros((len(starts), len(self.languages)))
-        at = self.find(0, s.hashes(starts, ends))
-        values[at >= 0] = self.logs[0][at[at >= 0]]
+        rows, wide = len(first) - 1, len(self.languages)
+        text = np.repeat(np.arange(rows), np.diff(first))
+        out = np.zeros((rows, wide))
+
+        def add(e: Entries, at: np.ndarray, of: np.ndarray, share: np.ndarray | None) -> None:
+            """Entries `at` of the texts `of`, each counting for its share (none: 1)."""
+            n = e.first[at + 1] - e.first[at]
+            inside = np.repeat(e.first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            gains = e.gains[inside] if share is None else e.gains[inside] * np.repeat(share, n)
+            out.ravel()[:] += np.bincount(np.repeat(of, n) * wide + e.codes[inside], gains, rows * wide)
+            out[:] += np.bincount(of, share, rows)[:, None] * e.base
+
+        words = self.entries[0]
+        at = words.table.find(s.hashes(starts, ends))
+        add(words, at[at >= 0], text[at >= 0], None)
         left = np.flatnonzero(at < 0)
-        for n in sorted((n for n in self.keys if n), reverse=True):
+        for n in sorted((n for n in self.entries if n), reverse=True):
+            e = self.entries[n]
             hashes, word = _grams(s, starts[left], ends[left], n)
-            at = self.find(n, hashes)
+            at = e.table.find(hashes)
             word, at = word[at >= 0], at[at >= 0]
             seen = np.bincount(word, minlength=len(left))
-            for k in range(len(self.languages)):
-                total = np.bincount(word, self.logs[n][at, k], len(left))
-                values[left[seen > 0], k] = (total / np.maximum(seen, 1))[seen > 0]
+            add(e, at, text[left[word]], 1 / seen[word])
             left = left[seen == 0]
-        sums = np.zeros((len(values) + 1, len(self.languages)))
-        np.cumsum(values, axis=0, out=sums[1:])
-        return sums[first[1:]] - sums[first[:-1]]
+        return out
 
 
 def least_count(counts: DataFrame, most: int) -> int:
@@ -101,91 +134,91 @@ def least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_documents: int = 40_000, n_max: int = 4, max_entries: int = 150_000, max_languages: int = 256, salt_col: str = "doc_id") -> LanguageModel:
-    """Learns from the rows with text and language; at most about max_documents of them, drawn by a hash of salt_col.
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_documents: int = 40_000, max_chars: int = 1 << 27, n_max: int = 4, salt_col: str = "doc_id") -> LanguageModel:
+    """Learns from a sample of the rows with text and language, drawn by a hash of salt_col: about max_documents of them and max_chars characters at most.
 
-    The model keeps at most the max_entries most frequent words and as many n-grams, so its size has a bound that does
-    not depend on the corpus; what falls out is unseen and takes the fallback. Null texts and languages are left out.
-    No rows give a model that finds UNDETERMINED everywhere.
+    These two bound the model's size and what the driver and the workers hold, whatever the size of the corpus. All words and n-grams of the sample are in the
+    model, in all its languages. Null texts and languages are left out. No rows give a model that finds UNDETERMINED everywhere.
     """
-    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(salt_col).alias("salt"))
-    share = min(1.0, max_documents / max(1, df.count()))
-    rows = rows.where(F.pmod(F.xxhash64(F.col("salt").cast("string"), F.lit("language")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = df.where(col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).alias("text"), col(lang_col).cast("string").alias("lang"), col(salt_col).cast("string").alias("salt"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    share = min(1.0, max_documents / max(1, size["n"]), max_chars / max(1, size["chars"]))
+    rows = rows.where(F.pmod(F.xxhash64("salt", F.lit("language")), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], tuple[KeyTable, np.ndarray]] = {}
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for (kind, lang), (table, counts) in held.items():
+                n = table.n
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(table.keys[:n].view(np.int64)), pa.array([lang] * n, pa.string()), pa.array(counts[:n])], names=["kind", "key", "lang", "n"])
+            held.clear()
+
         for b in small_batches(batches, 1024):
             langs = b.column("lang").to_pylist()
             names = sorted(set(langs))
             of = np.array([names.index(x) for x in langs])
-            found: list[list[np.ndarray]] = [[], [], []]
-            for row, n, s, starts, ends, first in _letter_words(b.column("text").to_pylist()):
+            for row, n, s, starts, ends, first in letter_words(b.column("text").to_pylist()):
                 lang = np.repeat(of[row : row + n], np.diff(first))
                 for kind in range(n_max + 1):
                     hashes, word = (s.hashes(starts, ends), np.arange(len(starts))) if kind == 0 else _grams(s, starts, ends, kind)
-                    for k in np.unique(lang):
-                        keys, counts = np.unique(hashes[lang[word] == k], return_counts=True)
-                        found[0].append(keys.view(np.int64))
-                        found[1].append(np.full(len(keys), kind * 1000 + k))
-                        found[2].append(counts)
-            keys, what, counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
-            order = np.lexsort((keys, what))
-            keys, what, counts = keys[order], what[order], counts[order]
-            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (what[1:] != what[:-1])]) if len(keys) else np.zeros(0, np.int64)
-            total = np.add.reduceat(counts, new) if len(new) else counts
-            yield pa.RecordBatch.from_arrays([pa.array(what[new] // 1000, pa.int32()), pa.array(keys[new]), pa.array([names[k] for k in what[new] % 1000], pa.string()), pa.array(total.astype(np.int64))], names=["kind", "key", "lang", "n"])
-
-    counts = rows.select("text", "lang").mapInArrow(count, "kind int, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-    entry = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    entry = write_table(entry, "language-entries")
-    # The most frequent entries by a least count from a histogram: no task sorts or gathers more than its share.
-    least = [least_count(entry.where(kind), max_entries) for kind in ("kind = 0", "kind > 0")]
-    top = entry.where(F.col("n") >= F.when(F.col("kind") == 0, least[0]).otherwise(least[1])).select("kind", "key", "by")
-    # Flat columns of numbers and few strings: a few MB on the driver, whatever the corpus.
-    table = top.select("kind", "key", F.explode("by").alias("lang", "n")).toArrow()
-    kinds, hashes, n = (table[c].to_numpy() for c in ("kind", "key", "n"))
-    names = table["lang"].combine_chunks().dictionary_encode()
-    seen, codes = names.dictionary.to_pylist(), names.indices.to_numpy()
-    totals = dict(zip(seen, np.bincount(codes, n, len(seen)), strict=True))
-    languages = sorted(sorted(totals, key=lambda k: (-totals[k], k))[:max_languages])
-    column = np.array([languages.index(x) if x in languages else -1 for x in seen], np.int64)[codes] if len(codes) else codes
-    keys, logs = {}, {}
+                    for k in np.unique(lang).tolist():
+                        keys, times = np.unique(hashes[lang[word] == k], return_counts=True)
+                        table, counts = held.get((kind, names[k]), (KeyTable(), np.zeros(0, np.int64)))
+                        at = table.find(keys)
+                        new = at < 0
+                        at[new] = table.n + np.arange(np.count_nonzero(new))
+                        table.add(keys[new])
+                        counts = room(counts, table.n)
+                        counts[at] += times
+                        held[kind, names[k]] = table, counts
+                if sum(t.n for t, _ in held.values()) > HELD_ENTRIES:
+                    yield from found()
+        yield from found()
+
+    counted = rows.select("text", "lang").mapInArrow(tidy(count), "kind int, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
+    # Flat columns of numbers, and a language's number for its name: some MB on the driver, by the bounds of the sample.
+    table = write_table(counted, "language-entries")
+    languages = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+    number = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, k)])[F.col("lang")] if languages else F.lit(0)
+    found = table.select("kind", "key", number.cast("int").alias("code"), "n").toArrow()
+    kinds, keys, codes, n = (found[c].to_numpy() for c in ("kind", "key", "code", "n"))
+    entries = {}
     for kind in range(n_max + 1):
-        at = kinds == kind
-        keys[kind], row = np.unique(hashes[at].view(np.uint64), return_inverse=True)
-        values = np.zeros((len(keys[kind]), len(languages)))
-        known = column[at] >= 0
-        np.add.at(values, (row[known], column[at][known]), n[at][known])
-        logs[kind] = np.log((values + 0.5) / (values.sum(axis=0) + 0.5 * (len(values) + 1)))
-    return LanguageModel(languages, keys, logs)
+        at = np.flatnonzero(kinds == kind)
+        hashes, code, counts = keys[at].view(np.uint64), codes[at], n[at].astype(float)
+        order = np.lexsort((code, hashes))
+        hashes, code, counts = hashes[order], code[order], counts[order]
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
+        total = np.bincount(code, counts, len(languages)) + SMOOTHING * (len(first) + 1)
+        gains = np.log((counts + SMOOTHING) / SMOOTHING)
+        entries[kind] = Entries(KeyTable(hashes[first]), np.r_[first, len(hashes)].astype(np.int32), code.astype(np.int32), gains, np.log(SMOOTHING / total) if languages else np.zeros(0))
+    return LanguageModel(languages, entries)
 
 
 def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", *, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: all of df) with lang_pred and score added in their place if they clash.
+    """The columns `keep` (default: all of df) with lang_pred and score added in the place of columns of these names, in any case.
 
     Null texts and texts without a letter: `und`, score 0. Rows are scored one by one, so repeated rows stay.
     """
-    names = [c for c in (keep or df.columns) if c not in ("lang_pred", "score")]
-    text = "_text_to_score"
-    rows = df.select(*names, F.col(text_col).alias(text))
-    schema = rows.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    names = others(keep or df.columns, ["lang_pred", "score"])
+    (text,) = unused([*names, "lang_pred", "score"], "text_to_score")
+    rows = df.select(*map(quoted, names), col(text_col).alias(text))
+    schema = rows.select(*map(quoted, names), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in small_batches(batches, 2048):
-            langs: list[str] = []
-            scores: list[np.ndarray] = []
-            for _, n, s, starts, ends, first in _letter_words(b.column(text).to_pylist()):
-                found = np.diff(first) > 0
-                if not m.languages:
-                    langs += [UNDETERMINED] * n
-                    scores.append(np.zeros(n))
-                    continue
-                sums = m.sums(s, starts, ends, first)
-                p = np.exp(sums - sums.max(axis=1, keepdims=True))
-                langs += [m.languages[k] if f else UNDETERMINED for k, f in zip(sums.argmax(axis=1), found, strict=True)]
-                scores.append(np.where(found, 1 / p.sum(axis=1), 0.0))
-            arrays = [b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*names, "lang_pred", "score"])
-
-    return rows.mapInArrow(score, schema)
+            sums, words = np.zeros((b.num_rows, max(1, len(m.languages)))), np.zeros(b.num_rows, np.int64)
+            if m.languages:
+                for row, n, s, starts, ends, first in letter_words(b.column(len(names)).to_pylist()):
+                    sums[row : row + n] += m.sums(s, starts, ends, first)
+                    words[row : row + n] += np.diff(first)
+            found = words > 0
+            p = np.exp(sums - sums.max(axis=1, keepdims=True))
+            langs = [m.languages[k] if f else UNDETERMINED for k, f in zip(sums.argmax(axis=1).tolist(), found.tolist(), strict=True)]
+            scores = np.where(found, 1 / p.sum(axis=1), 0.0)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array(langs, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
+
+    return rows.mapInArrow(tidy(score), schema)
