@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.blocks import deal, large_groups, run_blocks
 from larkspur.llm.components import connected_components
-from larkspur.llm.storage import table_bytes, write_table
-from larkspur.llm.wordhash import byte_runs, mix, small_batches, windows
+from larkspur.llm.names import col, others, quoted, unused
+from larkspur.llm.storage import drop_table, table_bytes, write_table
+from larkspur.llm.wordhash import mix, small_batches, tidy, windows, word_runs
 
 N = 5
 #: Sets under SMALL shingles have words of one shingle each.
@@ -38,14 +39,16 @@ _COUNTER = np.uint64(64 - COUNTER_BITS)
 #: Keys with at most this many sets give all pairs at once; those with more first give a star around one of HUBS sets, and a ring.
 FEW, HUBS = 6, 8
 #: Members of a group that are compared in one block.
-BLOCK = 1024
+BLOCK = 512
+#: Keys of a bucket (about), which is what a task holds at once; sets whose keys a task remembers to have emitted; keys that it sends at once.
+BUCKET_KEYS, SEEN, SENT_KEYS = 200_000, 100_000, 400_000
 _SALT = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text (A-Z lower-cased): 5-word windows, or all words if there are fewer. Null: none."""
-    for _, rows, s, starts, ends, first in byte_runs(texts, lower=True):
-        hashes, of = windows(s.hashes(starts, ends), first, N)
+    for _, rows, words, _, first in word_runs(texts, lower=True):
+        hashes, of = windows(words, first, N)
         for i in range(rows):
             yield np.unique(hashes[of[i] : of[i + 1]])
 
@@ -128,7 +131,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         zero = pa.array(np.zeros(len(at), np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([True] * len(at), pa.bool_()), pa.array(at.astype(np.int64)), pa.array(hits[at].astype(np.int64)), zero, zero, pa.array([b""] * len(at), pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "counter boolean, id long, n long, k1 long, k2 long, sketch binary")
+    return docs.mapInArrow(tidy(run), "counter boolean, id long, n long, k1 long, k2 long, sketch binary")
 
 
 def common_counters(sig: DataFrame, n_docs: int) -> np.ndarray:
@@ -169,26 +172,37 @@ def _emit(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
             for s in shingle_sets(b.column("text")):
                 if not len(s) or (k := set_ids(s)[0]) in seen:
                     continue
-                if len(seen) >= 1_000_000:
+                if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(k)
                 held.append((join_keys(s, counters), k, len(s)))
                 size += len(held[-1][0])
-                if size > 400_000:
+                if size > SENT_KEYS:
                     yield from flush()
                     size = 0
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "bucket int, keys binary, sets binary, sizes binary")
+    return docs.mapInArrow(tidy(run), "bucket int, keys binary, sets binary, sizes binary")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of some buckets to candidates: (false, x, y, 0) for a pair, (true, x, group, size) for a set in a larger group."""
-    read: list[list[np.ndarray]] = [[], [], []]
+    """Keys, in order of their buckets, to candidates: (false, x, y, 0) for a pair, (true, x, group, size) for a set in a larger group. A task holds one bucket."""
+    now, held = None, ([], [], [])
+    groups: set[int] = set()
     for b in batches:
-        for i, t in enumerate((np.uint64, np.int64, np.uint32)):
-            read[i] += [np.frombuffer(x, t) for x in b.column(i + 1).to_pylist()]
+        buckets = b.column(0).to_numpy()
+        for i in range(b.num_rows):
+            if buckets[i] != now:
+                yield from _meet_bucket(held, groups)
+                now, held = buckets[i], ([], [], [])
+            for k, t in enumerate((np.uint64, np.int64, np.uint32)):
+                held[k].append(np.frombuffer(b.column(k + 1)[i].as_buffer(), t))
+    yield from _meet_bucket(held, groups)
+
+
+def _meet_bucket(read: tuple[list, list, list], groups: set[int]) -> Iterator[pa.RecordBatch]:
+    """groups: names of the member lists that the task has handed on (at most SEEN: more are repeated, which does no harm)."""
     if not read[0]:
         return
     keys, sets, sizes = map(np.concatenate, read)
@@ -199,8 +213,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     counts = np.diff(np.r_[first, len(keys)])
     found: list[np.ndarray] = []
-    groups: set[int] = set()
-    members: list[tuple[np.ndarray, np.ndarray, int]] = []
 
     def pair(x: np.ndarray, y: np.ndarray) -> None:
         fit = (sets[x] != sets[y]) & (5 * np.minimum(sizes[x], sizes[y]) >= 4 * np.maximum(sizes[x], sizes[y]))
@@ -222,25 +234,32 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = ring, np.roll(ring, 1)
         pair(np.maximum(x, y), np.minimum(x, y))
         if name not in groups:
+            if len(groups) >= SEEN:
+                groups.clear()
             groups.add(name)
-            members.append((ids, sizes[f : f + n], name))
+            yield _candidates(True, ids, np.full(n, name), sizes[f : f + n])
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     for i in range(0, len(pairs), 100_000):
         p = pairs[i : i + 100_000]
         yield _candidates(False, p[:, 0], p[:, 1], np.zeros(len(p), np.int64))
-    for ids, n, name in members:
-        yield _candidates(True, ids, np.full(len(ids), name), n)
 
 
 def _candidates(member: bool, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), member)), pa.array(x), pa.array(y), pa.array(n)], names=["member", "x", "y", "n"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, shingles): the sorted shingle hashes of each text."""
+    for b in small_batches(batches, 512):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())], names=["id", "shingles"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their texts to those that link."""
+    """Pairs with their shingles to those that link."""
     for b in small_batches(batches, 1024):
         keep = []
-        for s, t in zip(shingle_sets(b.column("text_a")), shingle_sets(b.column("text_b")), strict=True):
+        for x, y in zip(b.column("shingles_a"), b.column("shingles_b"), strict=True):
+            s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             shared = len(np.intersect1d(s, t, assume_unique=True))
             keep.append(shared > 0 and 100 * shared >= 80 * (len(s) + len(t) - shared))
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -252,17 +271,21 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*columns, strict=True)], pa.bool_()))
 
 
-def _across(_: int, a: list, b: list | None) -> list[tuple]:
+def _across(_: int, a: pa.Table, b: pa.Table | None) -> list[np.ndarray] | None:
     """Pairs of a group whose members are in different components and may link, by vectorised Hamming distances of dense sketches of equal length."""
 
-    def by_length(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        found: dict[int, list] = {}
-        for r in rows:
-            found.setdefault(len(r[3]), []).append(r)
-        return {k: (np.array([r[1] for r in rs]), np.array([r[2] for r in rs]), np.array([r[4] for r in rs]), np.frombuffer(b"".join([r[3] for r in rs]), np.uint64).reshape(len(rs), -1)) for k, rs in found.items()}
+    def by_length(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        ids, n, c = (rows.column(x).to_numpy() for x in ("id", "n", "c"))
+        sketches = rows.column("sketch").to_pylist()
+        sizes = np.array([len(x) for x in sketches])
+        found = {}
+        for k in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == k)
+            found[k] = (ids[at], n[at], c[at], np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1))
+        return found
 
     x, y = by_length(a), by_length(a if b is None else b)
-    out: set[tuple] = set()
+    out: list[np.ndarray] = []
     for p, (ids, n, c, words) in x.items():
         for q, (ids_q, n_q, c_q, words_q) in y.items():
             if not q / 2 <= p <= 2 * q or b is None and p > q:
@@ -274,20 +297,23 @@ def _across(_: int, a: list, b: list | None) -> list[tuple]:
                 distance = np.bitwise_count(u[i : i + step, None, :] ^ v[None, :, :]).sum(axis=2, dtype=np.int64)
                 m, k = n[i : i + step, None], n_q[None, :]
                 may = (9 * distance <= m + k) & (5 * np.minimum(m, k) >= 4 * np.maximum(m, k)) & (c[i : i + step, None] != c_q[None, :])
-                for r, t in zip(*np.nonzero(may), strict=True):
-                    s, d = int(ids[i + r]), int(ids_q[t])
-                    out.add((max(s, d), min(s, d)))
-    return list(out)
+                r, t = np.nonzero(may)
+                s, d = ids[i + r], ids_q[t]
+                out.append(np.stack([np.maximum(s, d), np.minimum(s, d)]))
+    return list(np.unique(np.concatenate(out, axis=1), axis=1)) if out else None
 
 
 def verify(pairs: DataFrame, docs: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
-    """Those of pairs (a, b: ids) that link, written. Only texts of documents in pairs are shuffled; b is the end that many pairs may share."""
+    """Those of pairs (a, b: ids) that link, written. Only the shingles of documents in pairs are shuffled, hashed once a document; b is the end that many pairs may share."""
     ids = write_table(pairs.select(F.col("a").alias("i")).unionAll(pairs.select(F.col("b").alias("i"))).distinct(), "pair-ids")
     wanted = F.broadcast(ids) if table_bytes(ids) <= broadcast_bytes else ids
-    texts = write_table(docs.join(wanted, docs["id"] == wanted["i"], "left_semi"), "pair-texts")
-    a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return write_table(rows.mapInArrow(_verify, "a long, b long").distinct(), "links")
+    sets = write_table(docs.join(wanted, docs["id"] == wanted["i"], "left_semi").mapInArrow(tidy(_shingles), "id long, shingles binary"), "pair-shingles")
+    a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab")
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "shingles_a", "shingles_b")
+    links = write_table(rows.mapInArrow(tidy(_verify), "a long, b long").distinct(), "links")
+    drop_table(ids)
+    drop_table(sets)
+    return links
 
 
 def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -302,31 +328,42 @@ def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     no check, since only components are asked for. So a group of near copies costs its size, and no link is lost.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     tasks = write_table(signatures(docs), "signatures")
     sig = tasks.where("not counter").drop("counter")
     whole = docs.where("id is not null")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << max(8, (4 * partitions - 1).bit_length())
-    packed = _emit(whole, common_counters(tasks, sig.count()), buckets)
-    candidates = write_table(packed.repartition(partitions, "bucket").mapInArrow(_meet, "member boolean, x long, y long, n long").distinct(), "candidates")
+    total = sig.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.floor(F.col("n") / 4) + 1), F.lit(0)).alias("keys")).first()
+    # As many buckets as keep one small, and partitions as keep one under some ten MB, whatever the data.
+    buckets = 1 << max(8, (max(4 * partitions, total["keys"] // BUCKET_KEYS) - 1).bit_length())
+    packed = _emit(whole, common_counters(tasks, total["rows"]), buckets)
+    met = packed.repartition(max(partitions, total["keys"] // (4 * BUCKET_KEYS)), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_meet), "member boolean, x long, y long, n long")
+    candidates = write_table(met.distinct(), "candidates")
     classes = write_table(sig.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     sig = sig.drop("sketch")
 
     def screened(rows: DataFrame) -> DataFrame:
-        return write_table(rows.where("a <> b").mapInArrow(_may_link, "a long, b long").distinct(), "pairs")
+        return write_table(rows.where("a <> b").mapInArrow(tidy(_may_link), "a long, b long").distinct(), "pairs")
 
     end = lambda key, c: classes.select(F.col("k1").alias(key), *[F.col(x).alias(y) for x, y in (("rep", c), ("n", f"n_{c}"), ("sketch", f"sketch_{c}"))])
-    pairs = candidates.where("not member").select("x", "y").join(end("x", "a"), "x").join(end("y", "b"), "y").drop("x", "y")
-    links = verify(screened(pairs), whole)
+    pairs = screened(candidates.where("not member").select("x", "y").join(end("x", "a"), "x").join(end("y", "b"), "y").drop("x", "y"))
+    links = verify(pairs, whole)
+    drop_table(pairs)
     # Repeated ids: all classes of one id are one document, so ids, not classes, are the vertices.
     joined = write_table(connected_components(links), "components")
     members = candidates.where("member").select(F.col("y").alias("g"), F.col("x").alias("k1")).join(classes, "k1").join(joined, F.col("rep") == F.col("id"), "left")
     members = write_table(members.select("g", F.col("rep").alias("doc"), "n", "sketch", F.coalesce("component", "rep").alias("c")), "group-members")
-    split = write_table(members.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g"), "split-groups")
-    left = write_table(members.join(split, "g").select(F.col("g").alias("key"), F.col("doc").alias("id"), "n", "sketch", "c"), "open-members")
+    drop_table(candidates)
+    # In a group, pairs with an end outside the component of most members; pairs within one need no check.
+    parts = members.groupBy("g", "c").agg(F.count(F.lit(1)).alias("size"))
+    split = write_table(parts.groupBy("g").agg(F.max(F.struct("size", "c"))["c"].alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("g", "most"), "split-groups")
+    left = members.join(split, "g").select(F.col("g").alias("key"), F.col("doc").alias("id"), "n", "sketch", "c", (F.col("c") != F.col("most")).alias("rest"))
+    left = write_table(left, "open-members")
     across = run_blocks(deal(left, large_groups(left, BLOCK)), ["id", "n", "sketch", "c"], _across, "a long, b long")
-    more = verify(write_table(across.distinct().join(links, ["a", "b"], "left_anti"), "pairs"), whole)
+    pairs = write_table(across.distinct().join(links, ["a", "b"], "left_anti"), "pairs")
+    more = verify(pairs, whole)
+    for t in (pairs, members, split, left):
+        drop_table(t)
     links = links.unionAll(more)
     same_id = sig.where("n > 0 and id is not null").join(classes, ["n", "k1", "k2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = write_table(connected_components(links.unionAll(same_id.where("a <> b"))), "components") if _repeats(sig) else None
@@ -342,13 +379,14 @@ def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """The rows of df whose id is the least of its component, so one document of each group; of rows with one id, the least. Rows with a null id stay."""
     rows, _ = link_documents(df, id_col=id_col, text_col=text_col)
-    gone = write_table(rows.where("id <> component_id").select(F.col("id").alias("_gone")).distinct(), "duplicates")
-    kept = df.join(F.broadcast(gone) if table_bytes(gone) <= broadcast_bytes else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone_id, row = unused(df.columns, "gone", "row")
+    gone = write_table(rows.where("id <> component_id").select(F.col("id").alias(gone_id)).distinct(), "duplicates")
+    kept = df.join(F.broadcast(gone) if table_bytes(gone) <= broadcast_bytes else gone, col(id_col).cast("long") == col(gone_id), "left_anti")
     if not _repeats(rows):
         return kept
-    rest = [c for c in df.columns if c != id_col]
-    one = kept.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.struct(*rest)).alias("_row")).select(id_col, "_row.*")
-    return one.select(df.columns).unionAll(kept.where(F.col(id_col).isNull()))
+    rest = list(map(quoted, others(df.columns, [id_col])))
+    one = kept.where(col(id_col).isNotNull()).groupBy(col(id_col)).agg(F.min(F.struct(*rest)).alias(row)).select(quoted(id_col), f"{quoted(row)}.*")
+    return one.select(*map(quoted, df.columns)).unionAll(kept.where(col(id_col).isNull()))
 
 
 def _repeats(sig: DataFrame) -> bool:
