@@ -22,9 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.bpe import Encoder, byte_characters
+from larkspur.llm.bpe import Encoder, byte_characters, read_settings
+from larkspur.llm.names import col
 from larkspur.llm.storage import table_bytes, write_table
-from larkspur.llm.wordhash import small_batches
+from larkspur.llm.wordhash import small_batches, tidy
 
 MAGIC, BLOCK, SEGMENT = b"DAC1", 512, 1 << 20
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -135,17 +136,28 @@ class LibraryEncoder(Encoder):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        read_settings(path)
         t = Tokenizer.from_file(path)
         super().__init__({x.content: i for i, x in t.get_added_tokens_decoder().items()})
         self.tokenize = t.model.tokenize
         self.shown = str.maketrans({chr(b): c for c, b in byte_characters().items()})
 
-    def word_ids(self, word: str) -> list[int]:
+    def one_word(self, word: str) -> list[int]:
+        if word in self.specials:
+            return [self.specials[word]]
         if word.isascii():  # only a leading space is shown as another character
             word = "\u0120" + word[1:] if word[0] == " " and word.isprintable() and " " not in word[1:] else word.translate(self.shown)
             return [x.id for x in self.tokenize(word)]
         return [x.id for x in self.tokenize(word.encode().decode("latin-1").translate(self.shown))]
 
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[int] = []
+        ends = []
+        for w in words:
+            ids += self.one_word(w)
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(np.array([0, *ends], np.int64))
+
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
@@ -158,57 +170,57 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 
 def write_token_file(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Writes the ids of all texts in ascending order of id_col (ties by text) and returns the file's table.
+    """Writes the ids of all texts in ascending order of id_col (ties by a hash of the text, then the text) and returns the file's table.
 
     Columns: part, segment (the order), n_docs, n_ids, docs (id_col as int64, a bitmap of nulls before), counts (ids per document as unsigned 32-bit),
     codes (the blob). Null text is empty; end_id is appended to each document. Rows of one table may repeat: each is a document.
-    One range shuffle of the texts; a task holds one segment and one batch of texts.
+    A tokenizer file with settings other than plain byte-level BPE is an error. One range shuffle of the texts, whose sample on the driver holds ids and hashes
+    alone, so an id that many rows share is split; a task holds one segment and one batch of texts.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    by = [F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    rows = df.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    by = [F.col("id").asc_nulls_first(), F.col("h").asc()]
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    ordered = rows.repartitionByRange(n, *by).sortWithinPartitions(*by, F.col("text").asc_nulls_first()).drop("h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, segment = library_encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
-        tail = b"" if end_id is None else end_id.to_bytes(4, "little")
-        held: list[tuple[int | None, bytes]] = []
+        encoder, part, segment = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        tail = np.array([] if end_id is None else [end_id], np.uint32)
+        held: list[tuple[int | None, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal segment, size
-            ids = np.frombuffer(b"".join([x for _, x in held]), "<u4")
+            ids = np.concatenate([x for _, x in held])
             docs = np.array([x or 0 for x, _ in held], "<i8").tobytes()
             nulls = np.packbits([x is None for x, _ in held]).tobytes()
-            counts = np.array([len(x) // 4 for _, x in held], "<u4").tobytes()
+            counts = np.array([len(x) for _, x in held], "<u4").tobytes()
             out = pa.RecordBatch.from_pydict({"part": [part], "segment": [segment], "n_docs": [len(held)], "n_ids": [len(ids)], "docs": [nulls + docs], "counts": [counts], "codes": [encode_blob(ids)]}, schema=pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary())]))
             segment, size = segment + 1, 0
             held.clear()
             return out
 
-        for b in small_batches(batches, 128):
-            for doc, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = encode(text or "") + tail
-                if held and size + len(ids) // 4 > SEGMENT:
-                    yield flush()
-                held.append((doc, ids))
-                size += len(ids) // 4
+        for b in small_batches(batches):
+            docs = b.column("id").to_pylist()
+            for row, rows, found, first in encoder.encode_texts(b.column("text")):
+                for k in range(rows):
+                    ids = np.concatenate([found[first[k] : first[k + 1]], tail])
+                    if held and size + len(ids) > SEGMENT:
+                        yield flush()
+                    held.append((docs[row + k], ids))
+                    size += len(ids)
         if held:
             yield flush()
 
     schema = "part int, segment int, n_docs long, n_ids long, docs binary, counts binary, codes binary"
-    return write_table(ordered.mapInArrow(write, schema), "token-file")
+    return write_table(ordered.mapInArrow(tidy(write), schema), "token-file")
 
 
-def _documents(row: dict) -> Iterator[tuple[int | None, int, np.ndarray]]:
+def _documents(row: dict) -> tuple[list[int | None], np.ndarray, Blob]:
+    """The documents' ids, how many ids each has, and the blob."""
     n = row["n_docs"]
     nulls = np.unpackbits(np.frombuffer(row["docs"], np.uint8, (n + 7) // 8), count=n)
     docs = np.frombuffer(row["docs"], "<i8", n, (n + 7) // 8).tolist()
-    counts = np.frombuffer(row["counts"], "<u4").tolist()
-    ids, at = Blob(row["codes"]).all(), 0
-    for doc, null, k in zip(docs, nulls, counts, strict=True):
-        yield None if null else doc, at, ids[at : at + k]
-        at += k
+    return [None if null else doc for doc, null in zip(docs, nulls, strict=True)], np.frombuffer(row["counts"], "<u4").astype(np.int64), Blob(row["codes"])
 
 
 def segment_starts(file: DataFrame) -> DataFrame:
@@ -219,23 +231,47 @@ def segment_starts(file: DataFrame) -> DataFrame:
     return sizes.select("part", "segment", inside.alias("inside")).join(parts, "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("start"))
 
 
+def tokens_at(file: DataFrame, positions: list[int]) -> DataFrame:
+    """(position, id) of the ids at some places of the whole file, each read alone: only blobs that hold one are opened, and none is decoded. Places beyond the file have no row."""
+    wanted = file.sparkSession.createDataFrame([(p,) for p in positions], "position long")
+    spans = segment_starts(file).join(file.select("part", "segment", "n_ids"), ["part", "segment"])
+    inside = spans.join(F.broadcast(wanted), (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n_ids")))
+    rows = file.select("part", "segment", "codes").join(inside.groupBy("part", "segment").agg(F.collect_list("position").alias("positions"), F.first("start").alias("start")), ["part", "segment"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 1):
+            for row in b.to_pylist():
+                blob = Blob(row["codes"])
+                yield pa.RecordBatch.from_pydict({"position": row["positions"], "id": [blob[p - row["start"]] for p in row["positions"]]}, schema=pa.schema([("position", pa.int64()), ("id", pa.int64())]))
+
+    return rows.mapInArrow(tidy(read), "position long, id long")
+
+
 def read_token_file(file: DataFrame, *, digests: bool = False, broadcast_bytes: int = 16 << 20) -> DataFrame:
-    """One row a document: doc_id, start (ids of all documents before it), n_tokens, and ids (array<long>), or ids_crc32 with digests.
+    """One row a document: doc_id, start (ids of all documents before it), n_tokens, and ids (array<long>); or, with digests, ids_crc32 and middle_id.
 
-    ids_crc32: unsigned, of the ids as little-endian unsigned 32-bit integers. The starts of the segments (a row for about SEGMENT ids) are
-    broadcast if their table is under broadcast_bytes.
+    ids_crc32: unsigned, of the ids as little-endian unsigned 32-bit integers. middle_id: the id at n_tokens // 2, read by random access (null without ids).
+    The starts of the segments (a row for about SEGMENT ids) are broadcast if their table is under broadcast_bytes.
     """
-    last = "ids_crc32 long" if digests else "ids array<long>"
+    last = {"ids_crc32": pa.int64(), "middle_id": pa.int64()} if digests else {"ids": pa.list_(pa.int64())}
+    names = ["part", "segment", "doc_id", "inside", "n_tokens", *last]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 1):
             for row in b.to_pylist():
-                docs = list(_documents(row))
-                value = pa.array([zlib.crc32(np.ascontiguousarray(x, "<u4").tobytes()) if digests else x.astype(np.int64) for _, _, x in docs], pa.int64() if digests else pa.list_(pa.int64()))
+                docs, counts, blob = _documents(row)
+                ids, ends = np.ascontiguousarray(blob.all(), "<u4"), np.cumsum(counts)
+                starts = ends - counts
+                spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+                if digests:
+                    values = [[zlib.crc32(ids[a:e].tobytes()) for a, e in spans], [blob[(a + e) // 2] if e > a else None for a, e in spans]]
+                else:
+                    values = [[ids[a:e].astype(np.int64) for a, e in spans]]
                 same = [pa.array([row[k]] * len(docs), pa.int32()) for k in ("part", "segment")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array([d for d, _, _ in docs], pa.int64()), pa.array([a for _, a, _ in docs], pa.int64()), pa.array([len(x) for _, _, x in docs], pa.int64()), value], names=["part", "segment", "doc_id", "inside", "n_tokens", last.split()[0]])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(docs, pa.int64()), pa.array(starts), pa.array(counts), *map(pa.array, values, last.values())], names=names)
 
-    docs = file.mapInArrow(read, f"part int, segment int, doc_id long, inside long, n_tokens long, {last}")
+    kinds = "ids_crc32 long, middle_id long" if digests else "ids array<long>"
+    docs = file.mapInArrow(tidy(read), f"part int, segment int, doc_id long, inside long, n_tokens long, {kinds}")
     starts = write_table(segment_starts(file), "segment-starts")
     starts = F.broadcast(starts) if table_bytes(starts) <= broadcast_bytes else starts
-    return docs.join(starts, ["part", "segment"]).select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", last.split()[0])
+    return docs.join(starts, ["part", "segment"]).select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", *last)
