@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.wordhash import tidy
+
 #: The strings that mark turns: <s>[INST]role[/INST]text</s>
 OPEN, HEAD, BODY, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 _CONTROL = re.compile(r"\\|<(?=/?s>)|\[(?=/?INST\])")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(re.escape(OPEN + HEAD) + r"((?:[^\\\[]|\\.|\[(?!/INST\]))*)" + re.escape(BODY) + r"((?:[^\\<]|\\.|<(?!/s>))*)" + re.escape(CLOSE), re.DOTALL)
+# Runs are taken whole and never given back, so a long text costs one pass.
+_TURN = re.compile(re.escape(OPEN + HEAD) + r"((?:[^\\\[]++|\\.|\[(?!/INST\]))*+)" + re.escape(BODY) + r"((?:[^\\<]++|\\.|<(?!/s>))*+)" + re.escape(CLOSE), re.DOTALL)
 
 
 def escape(text: str) -> str:
@@ -81,7 +84,7 @@ def format_chats(events: DataFrame, *, learn: str = "assistant") -> DataFrame:
 
     Null role and text: ''. Null turn: -1, null kind: start. A null conv_id is a conversation of its own. Events with equal seq stand by turn,
     kind, role and text, so the result doesn't depend on the input's order; a repeated event counts again.
-    One shuffle by conversation, sorted; a task folds one conversation at a time, so it holds the messages of one.
+    One shuffle by conversation, sorted; a task folds one conversation at a time, so it holds the messages of one: by the method a conversation isn't split.
     """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = events.select("conv_id", F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("kind", F.lit("start")).alias("kind"), blank("role"), blank("text"))
@@ -110,7 +113,7 @@ def format_chats(events: DataFrame, *, learn: str = "assistant") -> DataFrame:
         if now:
             yield done([(now[0], *render(fold(held), learn))])
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(tidy(run), schema)
 
 
 def message_events(rows: DataFrame) -> DataFrame:
@@ -135,4 +138,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(tidy(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.names import col, others, quoted, unused
+
 BLANKS = " \t\n\x0b\x0c\r"
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -51,9 +53,9 @@ def repeat_words(hashes: Column, n: int = 5) -> Column:
     return F.when(F.size(hashes) < n, F.lit(0)).otherwise(let(made, count)).cast("long")
 
 
-def with_words(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with _words and _hashes (64-bit, of each word). Null text has none."""
-    return df.withColumn("_words", words(F.col(text_col))).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+def word_hashes(words: Column) -> Column:
+    """64-bit hashes of words."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def ratio_weights(df: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,8 +64,9 @@ def ratio_weights(df: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_i
     Counts cover all rows. Each task sums its n-grams into at most BUCKETS rows before the shuffle. No trusted
     or no raw n-grams at all give weights of 0, which pass every document.
     """
-    marked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(trusted_ids.select("id").distinct().withColumn("t", F.lit(1))), "id", "left")
-    grams = with_words(marked).select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(ngram_buckets(F.col("_hashes"))).alias("bucket"))
+    marked = df.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(trusted_ids.select("id").distinct().withColumn("t", F.lit(1))), "id", "left")
+    hashed = marked.withColumn("words", words(F.col("text"))).withColumn("hashes", word_hashes(F.col("words")))
+    grams = hashed.select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(ngram_buckets(F.col("hashes"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("trusted"))
     every = df.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
     one = every.agg(F.sum("raw").alias("n_raw"), F.sum("trusted").alias("n_trusted"), F.array_sort(F.collect_list(F.struct("bucket", "raw", "trusted"))).alias("by"))
@@ -72,34 +75,35 @@ def ratio_weights(df: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_i
 
 
 def trusted_sample(labels: DataFrame, *, id_col: str = "doc_id", most: int = 20_000) -> DataFrame:
-    """Ids (`id`) of about `most` documents of good quality and not toxic, drawn by a hash of the id. Conflicting labels: not trusted."""
-    by = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x"))
+    """Ids (`id`) of about `most` documents (the bound of what is broadcast) of good quality and not toxic, drawn by a hash of the id. Conflicting labels: not trusted."""
+    by = labels.where(col(id_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x"))
     good = by.where("q = 1 and coalesce(x, 0) = 0").select("id")
     share = min(1.0, most / max(1, good.count()))
     return good.where(F.pmod(F.xxhash64("id", F.lit("trusted")), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
 def rate(df: DataFrame, weights: DataFrame, *, text_col: str = "text", min_words: int = 10, max_repeat: float = 0.2, min_score: float = -0.2) -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept added (columns of these names are replaced).
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept added (columns of these names, in any case, are replaced).
 
     n_dup_lines: lines with a word that equal an earlier line. base_failed: fewer than min_words words, or more than max_repeat of them repeated.
     kept: not base_failed, and score >= min_score. Null and blank texts: all counts 0, base_failed, score 0. Row by row, so repeated rows agree.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    names = [c for c in df.columns if c not in new]
-    text = F.coalesce(F.col("_text"), F.lit(""))
+    names = others(df.columns, new)
+    raw, split, hashed, table = unused([*names, *new], "raw", "split", "hashed", "table")
+    text = F.coalesce(F.col(raw), F.lit(""))
     # A scalar subquery: the optimizer moves it into the expression that reads it, so the array isn't copied to rows.
-    rows = with_words(df.select(*names, F.col(text_col).alias("_text")), "_text").withColumn("_weights", weights.scalar())
+    rows = df.select(*map(quoted, names), col(text_col).alias(raw)).withColumn(split, words(F.col(raw))).withColumn(hashed, word_hashes(F.col(split))).withColumn(table, weights.scalar())
     filled = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    buckets = ngram_buckets(F.col("_hashes"))
-    score = F.when(F.size("_words") == 0, F.lit(0.0)).otherwise(F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.col("_weights")[b]) / (2 * F.size("_words") - 1))
+    buckets = ngram_buckets(F.col(hashed))
+    score = F.when(F.size(split) == 0, F.lit(0.0)).otherwise(F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.col(table)[b]) / (2 * F.size(split) - 1))
     counted = rows.select(
-        *names,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        *map(quoted, names),
+        F.size(split).cast("long").alias("n_words"),
+        F.length(F.array_join(split, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]++", "")).cast("long").alias("n_symbols"),
         let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_hashes")).alias("n_repeat_words"),
+        repeat_words(F.col(hashed)).alias("n_repeat_words"),
         score.alias("score"),
     )
     failed = (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(round(100 * max_repeat)) * F.col("n_words"))
