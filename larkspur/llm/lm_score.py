@@ -1,15 +1,18 @@
-"""Language-model scores: a hashed maximum-entropy model with a class-factored softmax down to small groups of words, beside a smoothed unigram base.
-
-Tokens are the words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) and one end for each text. A word's class is its shape: length, last mark,
-characters beyond ASCII; the end is a class of its own. Each class is a tree of BRANCHES children a node, which the digits of a word's hash descend; it has
-as many levels as the vocabulary needs, so a leaf holds a few words at any size.
-P(token | history) = P(class | features) * P(digit | node, features) for each level * P(token | leaf).
-All but the last factor are softmaxes whose features are the word before, the two words before and, skipping one, the word before that, each hashed
-with the node into the rows of weights; where they say nothing, a digit has its share of the node's tokens. The last is the multinomial of the leaf,
-smoothed as the base is.
-
-The rows of weights grow with the vocabulary, and every worker holds all of them. Counts are exact and cover all training texts. The FREQUENT most frequent words go to every worker; the rest of the vocabulary
-stays a distributed table, which the rare words of the texts are joined with.
+"""Language-model scores: a hashed maximum-entropy model with a class-factored softmax, beside a smoothed unigram base.
+
+Tokens are the words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) and one end for each text. The frequent words fall into HEAD classes by
+frequency, of about equal shares of the text each; the others, unseen words among them, into RARE classes by a hash of their last bytes; the end is a class of its
+own. A class has SLOTS slots: a class of few words deals them out one by one, others by the hash of their last bytes.
+P(token | history) = P(class | features) * P(slot | class, features) * P(token | class, slot).
+The first two are softmaxes. Their features are the word before, the two words before and, skipping one, the word before that, each hashed into rows
+of weights (for slots, rows of the class); where they say nothing, a class or slot has its share of the tokens. The last is the multinomial of the slot, smoothed as the base is.
+
+Training is by full steps along the gradient of the likelihood: by a weight it is how often the feature and the outcome meet, less how often the
+model expects them to. Tasks add up both over their texts, the sums are merged, and all weights move at once, by the logarithm of the ratio of the two (both
+smoothed by PRIOR), as in iterative scaling. Sums don't depend on how texts are dealt to tasks, so neither do the scores (but for rounding).
+
+Counts are exact and cover all training texts. The FREQUENT most frequent words go to every worker; the rest of the vocabulary
+stays a distributed table, which the rare words of the texts are joined with. Rows of weights grow with the vocabulary up to MOST_ROWS, which bounds a worker's memory.
 """
 
 from __future__ import annotations
@@ -24,279 +27,336 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.language_id import least_count
-from larkspur.llm.storage import write_table
-from larkspur.llm.wordhash import byte_runs, mix, small_batches
-
-#: Rows of hashed weights (at least), words known to all workers (at most), and the smoothing of counts.
-WIDTH, FREQUENT, ALPHA = 1 << 14, 1 << 18, 0.1
-#: Classes: 3 lengths x 2 last marks x ASCII or not, then the end.
-CLASSES, END = 13, 12
-#: Distinct words for each row of weights, so that rows are in proportion to what the corpus has.
-WORDS_A_ROW = 16
-#: Children of a node of a class's tree; a power of 2, at least CLASSES.
-BITS = 4
-BRANCHES = 1 << BITS
-#: Tokens of a gradient step, and its rate.
-STEP, RATE = 8192, 0.2
-_MARKS = np.zeros(256, bool)
-_MARKS[[ord(c) for c in ".,;:!?"]] = True
+from larkspur.llm.names import col, others, quoted, unused
+from larkspur.llm.storage import drop_table, write_table
+from larkspur.llm.wordhash import KeyTable, mix, room, small_batches, tidy, word_runs
+
+#: Words known to all workers (at most), and the smoothing of counts.
+FREQUENT, ALPHA = 1 << 18, 0.1
+#: Classes by frequency, by last bytes, and the end; slots of a class; how many last bytes tell slots apart.
+HEAD, RARE, SLOTS, TAIL = 15, 6, 22, 3
+END = HEAD + RARE
+CLASSES = END + 1
+#: Distinct words for each row of weights for classes; the least and the most rows. Slots have a share of them for each class.
+WORDS_A_ROW, LEAST_ROWS, MOST_ROWS, SLOT_SHARE = 16, 1 << 12, 1 << 15, 4
+#: The part of each step that is taken, and the tokens that every expectation and count of a row begins with.
+RATES, PRIOR = (0.6, 0.4), 100.0
+#: Weights stay within this, so exponentials neither overflow nor vanish.
+LIMIT = 6.0
+#: Tokens that are worked on at once, tokens for a task of a training pass, distinct words that a task holds, and rows of a block of sums.
+STEP, TASK_TOKENS, HELD_WORDS, BLOCK_ROWS = 4096, 6_000_000, 1 << 20, 1024
 _BEGIN, _END_KEY = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
 
 @dataclass
 class Tokens:
-    """Tokens of a run of texts, those of text i from first[i] to first[i + 1], the last an end."""
+    """Tokens of a run of texts, those of text i from first[i] to first[i + 1], the last an end; tails: hashes of words' last bytes."""
 
     keys: np.ndarray
-    classes: np.ndarray
+    tails: np.ndarray
+    word: np.ndarray
     first: np.ndarray
 
     def features(self) -> list[np.ndarray]:
         """A hash of each of a token's features."""
         at = np.arange(len(self.keys))
         begin = np.repeat(self.first[:-1], np.diff(self.first))
-        one = np.where(at - 1 >= begin, self.keys[at - 1], _BEGIN)
-        two = np.where(at - 2 >= begin, self.keys[at - 2], _BEGIN)
+        one = np.where(at - 1 >= begin, self.keys[np.maximum(at - 1, 0)], _BEGIN)
+        two = np.where(at - 2 >= begin, self.keys[np.maximum(at - 2, 0)], _BEGIN)
         return [mix(one), mix(one * np.uint64(3) + two * np.uint64(5) + np.uint64(1)), mix(two ^ np.uint64(0x5851F42D4C957F2D))]
 
-    def leaves(self, levels: int) -> np.ndarray:
-        """The leaf of each word's class that it belongs to; an end has leaf CLASSES * BRANCHES^levels - 1."""
-        path = (self.keys >> np.uint64(64 - BITS * levels)).astype(np.int64) if levels else np.zeros(len(self.keys), np.int64)
-        return np.where(self.classes == END, (CLASSES << BITS * levels) - 1, (self.classes << BITS * levels) + path)
-
-
-def tree_levels(words: int) -> int:
-    """Levels that leave a few words to a leaf."""
-    return max(1, int(np.log2(max(words, 1) / 4) // BITS)) if words else 0
-
-
-def weight_rows(words: int) -> int:
-    """Rows of hashed weights for a vocabulary, a power of 2."""
-    return max(WIDTH, 1 << (max(1, words // WORDS_A_ROW) - 1).bit_length())
-
-
-def _decisions(classes: np.ndarray, leaves: np.ndarray, features: list[np.ndarray], levels: int, width: int) -> Iterator[tuple[np.ndarray | slice, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """The class and each digit of some tokens: (which tokens, level, node, digit, rows of weights). Ends have no digits."""
-    last = np.uint64(width - 1)
-    yield slice(None), 0, np.zeros(len(classes), np.int64), classes, [(f & last).astype(np.int64) for f in features]
-    words = np.flatnonzero(classes != END)
-    leaves, features = leaves[words], [f[words] for f in features]
-    for level in range(1, levels + 1):
-        path = leaves >> BITS * (levels - level)
-        node = path >> BITS
-        salt = mix(node.astype(np.uint64) + (np.uint64(level) << np.uint64(56)))
-        yield words, level, node, path & (BRANCHES - 1), [(((f ^ salt) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) & last).astype(np.int64) for f in features]
-
-
-def tree_biases(class_tokens: np.ndarray, leaf_tokens: np.ndarray, levels: int) -> list[np.ndarray]:
-    """By level: the logarithm of each child's smoothed share of its node's tokens, a row for each node."""
-    top = np.full((1, BRANCHES), -1e9, np.float32)
-    top[0, :CLASSES] = np.log((class_tokens + 1) / (class_tokens.sum() + CLASSES))
-    out, n = [], leaf_tokens
-    for _ in range(levels):
-        n = n.reshape(-1, BRANCHES)
-        out.append(np.log((n + ALPHA) / (n.sum(axis=1, keepdims=True) + ALPHA * BRANCHES)).astype(np.float32))
-        n = n.sum(axis=1)
-    return [top, *out[::-1]]
-
 
 def read_tokens(texts: pa.Array) -> Iterator[tuple[int, int, Tokens]]:
     """(first row, rows, tokens) of a string column, about a MB at a time. Null is empty: an end alone."""
-    for row, rows, s, starts, ends, first in byte_runs(texts, lower=True):
-        counts = np.diff(first)
-        at = np.arange(len(starts)) + np.repeat(np.arange(rows), counts)
+    for row, rows, hashes, tails, first in word_runs(texts, lower=True, tail=TAIL):
+        at = np.arange(len(hashes)) + np.repeat(np.arange(rows), np.diff(first))
         begin = first + np.arange(rows + 1)
-        keys, classes = np.full(begin[-1], _END_KEY), np.full(begin[-1], END, np.int64)
-        keys[at] = s.hashes(starts, ends)
-        if len(starts):
-            length = np.digitize(ends - starts, [3, 6])
-            wide = np.zeros(len(s.symbols) + 1, np.int64)
-            np.cumsum(s.symbols >= 128, out=wide[1:])
-            classes[at] = length * 4 + _MARKS[s.symbols[ends - 1]] * 2 + (wide[ends] > wide[starts])
-        yield row, rows, Tokens(keys, classes, begin)
+        keys, ends, word = np.full(begin[-1], _END_KEY), np.zeros(begin[-1], np.int64), np.zeros(begin[-1], bool)
+        keys[at], ends[at], word[at] = hashes, (tails >> np.uint64(40)).astype(np.int64), True
+        yield row, rows, Tokens(keys, ends, word, begin)
+
+
+@dataclass
+class Leaves:
+    """What a class and slot is made of, and the frequent words with their leaf (class * SLOTS + slot): arrays of bounded size, which go to every worker."""
+
+    frequent: KeyTable
+    leaf: np.ndarray
+    counts: np.ndarray
+    tokens: np.ndarray
+    words: np.ndarray
+
+    def find(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's place among the frequent words (-1: none), and its leaf."""
+        at = self.frequent.find(t.keys)
+        at[~t.word] = -1
+        leaf = np.where(t.word, HEAD * SLOTS + t.tails % (RARE * SLOTS), END * SLOTS)
+        found = at >= 0
+        leaf[found] = self.leaf[at[found]]
+        return at, leaf
+
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Smoothed shares of the classes, and of the slots of each class."""
+        by = self.tokens.reshape(CLASSES, SLOTS)
+        classes = by.sum(axis=1) + 1
+        slots = by + 0.5
+        return classes / classes.sum(), slots / slots.sum(axis=1, keepdims=True)
 
 
 @dataclass
 class Model:
-    """vocabulary: (key, class, n), a table; weights, biases and leaves grow with it, the rest is of bounded size."""
+    """vocabulary: (key, tail, n), a table, the end among its rows (tail -1); the rest is of bounded size. tokens: of training; words: distinct ones, the end included."""
 
     vocabulary: DataFrame
     tokens: int
     words: int
     ends: int
-    levels: int
-    leaf_tokens: np.ndarray
-    leaf_words: np.ndarray
-    frequent: np.ndarray
-    frequent_counts: np.ndarray
-    weights: np.ndarray
-    biases: list[np.ndarray]
+    leaves: Leaves
+    weights: tuple[np.ndarray, np.ndarray]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(text) to (key, class, n), distinct words per task before the shuffle."""
+    """(text) to (key, tail, n), summed in each task before the shuffle. The end of texts is a row with tail -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        table, tails, counts, ends = KeyTable(), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-        def merged(last: bool) -> Iterator[pa.RecordBatch]:
-            keys, classes, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-            held[:] = [(keys, classes[first], np.bincount(at, n, len(keys)).astype(np.int64))]
-            if last or len(keys) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(held[0][1].astype(np.int32)), pa.array(held[0][2])], names=["key", "class", "n"])
-                held.clear()
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[table.keys[: table.n], _END_KEY].view(np.int64)), pa.array(np.r_[tails[: table.n], -1].astype(np.int32)), pa.array(np.r_[counts[: table.n], ends])], names=["key", "tail", "n"])
 
-        size = 0
         for b in small_batches(batches, 2048):
-            for _, _, t in read_tokens(b.column("text")):
-                word = t.classes != END
-                keys, first, n = np.unique(t.keys[word], return_index=True, return_counts=True)
-                held.append((keys, t.classes[word][first], n.astype(np.int64)))
-                size += len(keys)
-                if size > 2_000_000:
-                    yield from merged(False)
-                    size = len(held[0][0]) if held else 0
-        if held:
-            yield from merged(True)
+            for _, rows, t in read_tokens(b.column("text")):
+                keys, last = t.keys[t.word], t.tails[t.word]
+                at = table.find(keys)
+                new = np.flatnonzero(at < 0)
+                if len(new):
+                    fresh, where = np.unique(keys[new], return_index=True)
+                    table.add(fresh)
+                    tails, counts = room(tails, table.n), room(counts, table.n)
+                    tails[table.n - len(fresh) : table.n] = last[new[where]]
+                    at[new] = table.find(keys[new])
+                np.add.at(counts, at, 1)
+                ends += rows
+                if table.n > HELD_WORDS:
+                    yield found()
+                    table, tails, counts, ends = KeyTable(), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        if ends:
+            yield found()
+
+    counted = texts.mapInArrow(tidy(run), "key long, tail int, n long").groupBy("key", "tail").agg(F.sum("n").alias("n"))
+    return counted.where("n > 0")
+
+
+def deal_leaves(keys: np.ndarray, tails: np.ndarray, counts: np.ndarray, rare_tokens: np.ndarray, rare_words: np.ndarray, ends: int) -> Leaves:
+    """Frequent words to classes of equal shares of their tokens, most frequent first (ties by key), and to slots. rare_*: by leaf of the RARE classes."""
+    order = np.lexsort((keys, -counts))
+    before = np.cumsum(counts[order]) - counts[order]
+    cls = np.zeros(len(keys), np.int64)
+    cls[order] = np.minimum(HEAD - 1, before * HEAD // max(1, counts.sum()))
+    few = np.bincount(cls, minlength=HEAD) <= 2 * SLOTS
+    slot = np.where(few[cls], (keys % np.uint64(SLOTS)).astype(np.int64), tails % SLOTS)
+    leaf = cls * SLOTS + slot
+    tokens = np.concatenate([np.bincount(leaf, counts, HEAD * SLOTS), rare_tokens, np.zeros(SLOTS)])
+    words = np.concatenate([np.bincount(leaf, minlength=HEAD * SLOTS), rare_words, np.zeros(SLOTS)])
+    tokens[END * SLOTS] = ends
+    return Leaves(KeyTable(keys), leaf, counts.astype(np.float64), tokens, words)
+
+
+def weight_rows(words: int) -> tuple[int, int]:
+    """Rows of weights for classes, and for the slots of one class, for a vocabulary: powers of 2."""
+    rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (max(1, words // WORDS_A_ROW) - 1).bit_length()))
+    return rows, rows // SLOT_SHARE
+
+
+def class_rows(features: list[np.ndarray], rows: int) -> list[np.ndarray]:
+    return [(f & np.uint64(rows - 1)).astype(np.int64) for f in features]
+
+
+def slot_rows(features: list[np.ndarray], classes: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Rows for the slots of each token's class: the class's own part of the table."""
+    return [classes * rows + (f >> np.uint64(64 - rows.bit_length() + 1)).astype(np.int64) for f in features]
+
+
+def _exponentials(rows: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    out = np.take(weights, rows[0], axis=0)
+    for r in rows[1:]:
+        out += np.take(weights, r, axis=0)
+    out += bias
+    return np.exp(out, out=out)
 
-    return texts.mapInArrow(run, "key long, class int, n long").groupBy("key", "class").agg(F.sum("n").alias("n"))
 
+def _add_rows(sums: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Element by element, which numpy adds faster than it finds equal rows."""
+    width = sums.shape[1]
+    np.add.at(sums.ravel(), (rows[:, None] * width + np.arange(width)).ravel(), values.ravel())
 
-def _probabilities(rows: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    logits = weights[rows[0]]
-    for r in rows[1:]:
-        logits += weights[r]
-    logits += bias
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
 
+def _gather(texts: DataFrame, leaves: Leaves, rows: tuple[int, int], weights: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """How often rows and outcomes meet in the texts (weights None), or how often the model expects them to: for classes, and for slots.
 
-def train_weights(texts: DataFrame, biases: list[np.ndarray], width: int) -> np.ndarray:
-    """One pass of gradient steps over all texts: each task on its own copy of the weights, whose rows are then averaged by how often each task updated them.
-
-    A task hands over width rows at most.
+    A task adds into two arrays of the weights' size; blocks of their rows are shuffled, merged, and come to the driver, whose share is bounded by MOST_ROWS.
     """
-    shared, levels = texts.sparkSession.sparkContext.broadcast(biases), len(biases) - 1
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast((leaves, None if weights is None else tuple(w.astype(np.float16) for w in weights)))
+    n_class, n_slot = rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        biases = shared.value
-        weights, squares = np.zeros((width, BRANCHES), np.float32), np.ones((width, BRANCHES), np.float32)
-        seen = np.zeros(width, np.int64)
+        leaves, weights = shared.value
+        class_share, slot_share = (np.log(x).astype(np.float32) for x in leaves.shares())
+        weights = None if weights is None else [w.astype(np.float32) for w in weights]
+        classes, slots = np.zeros((n_class, CLASSES), np.float32), np.zeros((END * n_slot, SLOTS), np.float32)
         for b in small_batches(batches, 2048):
             for _, _, t in read_tokens(b.column("text")):
-                features, leaves = t.features(), t.leaves(levels)
-                for i in range(0, len(t.keys), STEP):
-                    cut = slice(i, i + STEP)
-                    for _, level, node, digit, rows in _decisions(t.classes[cut], leaves[cut], [f[cut] for f in features], levels, width):
-                        if not len(digit):
-                            continue
-                        slope = _probabilities(rows, weights, biases[level][node])
-                        slope[np.arange(len(slope)), digit] -= 1
-                        for r in rows:
-                            order = np.argsort(r, kind="stable")
-                            sorted_rows = r[order]
-                            first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-                            at = sorted_rows[first]
-                            g = np.add.reduceat(slope[order], first, axis=0)
-                            squares[at] += g * g
-                            weights[at] -= np.float32(RATE) * g / np.sqrt(squares[at])
-                            seen[at] += np.diff(np.r_[first, len(r)])
-        at = np.flatnonzero(seen)
-        for i in range(0, len(at), 1 << 14):
-            rows = at[i : i + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(seen[rows]), *[pa.array(weights[rows, k]) for k in range(BRANCHES)]], names=["row", "seen", *names])
-
-    names = [f"w{k}" for k in range(BRANCHES)]
-    rows = texts.mapInArrow(run, "row int, seen long, " + ", ".join(f"{w} float" for w in names))
-    mean = rows.groupBy("row").agg(*[(F.sum(F.col(w) * F.col("seen")) / F.sum("seen")).cast("float").alias(w) for w in names]).toArrow()
-    out = np.zeros((width, BRANCHES), np.float32)
-    at = mean["row"].to_numpy()
-    for k, w in enumerate(names):
-        out[at, k] = mean[w].to_numpy()
+                features, leaf = t.features(), leaves.find(t)[1]
+                for i in range(0, len(leaf), STEP):
+                    some = leaf[i : i + STEP]
+                    cls, inside = some // SLOTS, [f[i : i + STEP] for f in features]
+                    word = np.flatnonzero(cls != END)
+                    by_class, by_slot = class_rows(inside, n_class), slot_rows([f[word] for f in inside], cls[word], n_slot)
+                    if weights is None:
+                        for r, s in zip(by_class, by_slot, strict=True):
+                            np.add.at(classes.ravel(), r * CLASSES + cls, np.float32(1))
+                            np.add.at(slots.ravel(), s * SLOTS + some[word] % SLOTS, np.float32(1))
+                        continue
+                    for sums, w, bias, where in ((classes, weights[0], class_share, by_class), (slots, weights[1], slot_share[cls[word]], by_slot)):
+                        if len(where[0]):
+                            p = _exponentials(where, w, bias)
+                            p /= np.einsum("ij->i", p)[:, None]
+                            for r in where:
+                                _add_rows(sums, r, p)
+        for table, sums in enumerate((classes, slots)):
+            for i in range(0, len(sums), BLOCK_ROWS):
+                part = sums[i : i + BLOCK_ROWS]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([table << 24 | i // BLOCK_ROWS], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "sums"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
+        for b in batches:
+            blocks = b.column(0).to_pylist()
+            for k, block in enumerate(blocks):
+                part = np.frombuffer(b.column(1)[k].as_buffer(), np.float32)
+                if block == now:
+                    total += part
+                else:
+                    if now is not None:
+                        yield give()
+                    now, total = block, part.astype(np.float64)
+        if now is not None:
+            yield give()
+
+    schema = "block int, sums binary"
+    merged = texts.mapInArrow(tidy(run), schema).repartition("block").sortWithinPartitions("block").mapInArrow(tidy(merge), schema).toArrow()
+    out = np.zeros((n_class, CLASSES), np.float32), np.zeros((END * n_slot, SLOTS), np.float32)
+    for block, sums in zip(merged.column(0).to_pylist(), merged.column(1), strict=True):
+        table, at = out[block >> 24], (block & 0xFFFFFF) * BLOCK_ROWS
+        part = np.frombuffer(sums.as_buffer(), np.float32).reshape(-1, table.shape[1])
+        table[at : at + len(part)] = part
+    shared.unpersist()
     return out
 
 
+def step(weights: np.ndarray, met: np.ndarray, expected: np.ndarray, rate: float) -> np.ndarray:
+    """All weights of a table, moved: up where the corpus has more than the model expects. As 16-bit floats, as the workers have them."""
+    prior = np.float32(PRIOR / met.shape[1])
+    return np.clip(weights + np.float32(rate) * np.log((met + prior) / (expected + prior)), -LIMIT, LIMIT).astype(np.float16).astype(np.float32)
+
+
+def train_weights(texts: DataFrame, leaves: Leaves, rows: tuple[int, int], rates: tuple[float, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A pass over all texts that counts, and one for each step but the first: what weights of zero expect follows from the counts and the shares."""
+    met = _gather(texts, leaves, rows, None)
+    class_share, slot_share = (x.astype(np.float32) for x in leaves.shares())
+    expected = met[0].sum(axis=1, keepdims=True) * class_share, met[1].sum(axis=1, keepdims=True) * np.repeat(slot_share[:END], rows[1], axis=0)
+    weights = np.zeros_like(met[0]), np.zeros_like(met[1])
+    for k, rate in enumerate(RATES if rates is None else rates):
+        if k:
+            expected = _gather(texts, leaves, rows, weights)
+        weights = tuple(step(w, n, e, rate) for w, n, e in zip(weights, met, expected, strict=True))
+    return weights
+
+
 def train(df: DataFrame, text_col: str = "text") -> Model:
-    """Learns from all rows. An empty table gives a model that knows nothing."""
-    texts = df.select(F.col(text_col).alias("text"))
+    """Learns from all rows, whatever their order and partitions. An empty table gives a model that knows nothing."""
+    texts = df.select(col(text_col).alias("text"))
     vocabulary = write_table(count_words(texts), "vocabulary")
-    ends = texts.count()
-    words = vocabulary.count()
-    levels = tree_levels(words)
-    leaf_tokens, leaf_words = np.zeros(CLASSES << BITS * levels), np.zeros(CLASSES << BITS * levels)
-    path = F.shiftrightunsigned("key", 64 - BITS * levels) if levels else F.lit(0).cast("long")
-    by = vocabulary.groupBy((F.shiftleft(F.col("class").cast("long"), BITS * levels) + path).alias("leaf")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
-    at = by["leaf"].to_numpy()
-    leaf_tokens[at], leaf_words[at] = by["n"].to_numpy(), by["v"].to_numpy()
-    class_tokens = leaf_tokens.reshape(CLASSES, -1).sum(axis=1)
-    class_tokens[END] = ends
-    top = vocabulary.where(F.col("n") >= least_count(vocabulary, FREQUENT)).select("key", "n").toPandas()
-    order = np.argsort(top["key"].to_numpy(np.int64).view(np.uint64))
-    biases = tree_biases(class_tokens, leaf_tokens, levels)
-    return Model(vocabulary, int(class_tokens.sum()), words + min(ends, 1), ends, levels, leaf_tokens, leaf_words, top["key"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.float64)[order], train_weights(texts, biases, weight_rows(words)), biases)
+    words = vocabulary.where("tail >= 0")
+    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("tail") < 0, F.col("n"))), F.lit(0)).alias("ends")).first()
+    # Words seen once are rare, like words that are never seen.
+    least = max(2, least_count(words, FREQUENT))
+    top = words.where(F.col("n") >= least).toArrow()
+    rare = words.where(F.col("n") < least).groupBy(F.pmod("tail", F.lit(RARE * SLOTS)).alias("leaf")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
+    sums = [np.zeros(RARE * SLOTS) for _ in range(2)]
+    for x, name in zip(sums, ("n", "v"), strict=True):
+        x[rare["leaf"].to_numpy()] = rare[name].to_numpy()
+    keys, tails, counts = (top[c].to_numpy() for c in ("key", "tail", "n"))
+    leaves = deal_leaves(keys.view(np.uint64), tails.astype(np.int64), counts, *sums, total["ends"])
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-total["n"] // TASK_TOKENS))
+    return Model(vocabulary, total["n"], total["v"], total["ends"], leaves, train_weights(texts.coalesce(tasks), leaves, weight_rows(total["v"])))
 
 
 def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: all) with n_tokens, n_known, train_tokens, base_score and score added (they replace columns of these names).
+    """The columns `keep` (default: all) with n_tokens, n_known, train_tokens, base_score and score added (they replace columns of these names, in any case).
 
     n_known: tokens that training saw. base_score: the sum of log10((c + ALPHA) / (N + ALPHA * (V + 1))) over tokens; score: the model's log10 probability of the text.
     Null text is empty: it has an end alone. Each row is scored for itself, so repeated rows stay.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    names = [c for c in (keep or df.columns) if c not in new]
-    rows = df.select(*names, F.col(text_col).alias("_text_to_score"))
+    names = others(keep or df.columns, new)
+    text, at_row, known, counted, modelled, rare, times, key, n = unused([*names, *new], "text_to_score", "row", "known", "counted", "modelled", "rare", "times", "key", "n")
+    rows = df.select(*map(quoted, names), col(text_col).alias(text))
     zero = F.lit(0).cast("long")
-    schema = rows.select(*names, zero.alias("_row"), zero.alias("n_tokens"), zero.alias("_known"), F.lit(0.0).alias("_counts"), F.lit(0.0).alias("_model"), F.array(zero).alias("_rare"), F.array(zero).alias("_times")).schema
-    bounded = {k: getattr(model, k) for k in ("levels", "leaf_tokens", "leaf_words", "frequent", "frequent_counts", "weights", "biases", "ends")}
-    shared = df.sparkSession.sparkContext.broadcast(bounded)
+    added = {at_row: zero, "n_tokens": zero, known: zero, counted: F.lit(0.0), modelled: F.lit(0.0), rare: F.array(zero), times: F.array(zero)}
+    schema = rows.select(*map(quoted, names), *[c.alias(x) for x, c in added.items()]).schema
+    columns_out = [*names, *added]
+    shared = df.sparkSession.sparkContext.broadcast((model.leaves, tuple(w.astype(np.float16) for w in model.weights), model.ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        inside = np.log10(m["leaf_tokens"] + ALPHA * (m["leaf_words"] + 1))
-        logs = np.log10(m["frequent_counts"] + ALPHA)
-        log_end = float(np.log10(m["ends"] + ALPHA))
-        at_row = TaskContext.get().partitionId() << 33
+        leaves, weights, ends = shared.value
+        weights = [w.astype(np.float32) for w in weights]
+        n_class, n_slot = len(weights[0]), len(weights[1]) // END
+        class_share, slot_share = (np.log(x).astype(np.float32) for x in leaves.shares())
+        inside, logs = np.log10(leaves.tokens + ALPHA * (leaves.words + 1)), np.log10(leaves.counts + ALPHA)
+        log_end = float(np.log10(ends + ALPHA))
+        place = TaskContext.get().partitionId() << 33
         for b in small_batches(batches, 2048):
-            out: list[tuple] = []
-            for _, n, t in read_tokens(b.column("_text_to_score")):
-                first = t.first[:-1]
-                values = np.zeros(len(t.keys))
-                features, leaves = t.features(), t.leaves(m["levels"])
-                for i in range(0, len(t.keys), STEP):
-                    cut = slice(i, i + STEP)
-                    for at, level, node, digit, rows in _decisions(t.classes[cut], leaves[cut], [f[cut] for f in features], m["levels"], len(m["weights"])):
-                        if len(digit):
-                            p = _probabilities(rows, m["weights"], m["biases"][level][node])
-                            values[cut][at] += np.log10(np.maximum(p[np.arange(len(p)), digit], 1e-30))
-                word = t.classes != END
-                values -= np.where(word, inside[leaves], 0.0)
-                found = np.zeros(len(t.keys), bool)
-                counts = np.where(word, 0.0, log_end)
-                if len(m["frequent"]):
-                    at = np.minimum(np.searchsorted(m["frequent"], t.keys), len(m["frequent"]) - 1)
-                    found = (m["frequent"][at] == t.keys) & word
-                    counts[found] = logs[at[found]]
-                known = found | (~word & (m["ends"] > 0))
-                rare = np.flatnonzero(word & ~found)
-                cut = np.searchsorted(rare, t.first)
-                sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), counts, values)]
-                for i in range(n):
-                    keys, times = np.unique(t.keys[rare[cut[i] : cut[i + 1]]], return_counts=True)
-                    out.append((at_row, int(t.first[i + 1] - t.first[i]), int(sums[0][i]), float(sums[1][i]), float(sums[2][i]), keys.view(np.int64), times))
-                    at_row += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], *[pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]], names=[*names, "_row", "n_tokens", "_known", "_counts", "_model", "_rare", "_times"])
-
-    scored = write_table(rows.mapInArrow(run, schema), "scored")
-    rare = scored.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select("_row", F.col("x._rare").alias("key"), F.col("x._times").alias("times"))
-    looked = rare.join(model.vocabulary.select("key", "n"), "key", "left")
-    by = looked.groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA))).alias("_rare_counts"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("_rare_known"))
-    # Ends have probability 1 in their class; words in their leaf their smoothed count, whose denominator _model holds.
-    counts = F.col("_counts") + F.coalesce("_rare_counts", F.lit(0.0))
+            for row, n, t in read_tokens(b.column(len(names))):
+                first, values, features = t.first[:-1], np.zeros(len(t.keys)), t.features()
+                at, leaf = leaves.find(t)
+                for i in range(0, len(leaf), STEP):
+                    some = leaf[i : i + STEP]
+                    cls, here = some // SLOTS, [f[i : i + STEP] for f in features]
+                    word = np.flatnonzero(cls != END)
+                    p = _exponentials(class_rows(here, n_class), weights[0], class_share)
+                    values[i : i + STEP] = np.log10(p[np.arange(len(p)), cls] / np.einsum("ij->i", p))
+                    if len(word):
+                        p = _exponentials(slot_rows([f[word] for f in here], cls[word], n_slot), weights[1], slot_share[cls[word]])
+                        values[i + word] += np.log10(p[np.arange(len(p)), some[word] % SLOTS] / np.einsum("ij->i", p))
+                values -= np.where(t.word, inside[leaf], 0.0)
+                found = at >= 0
+                counts = np.where(t.word, 0.0, log_end)
+                counts[found] = logs[at[found]]
+                seen = found | (~t.word & (ends > 0))
+                left = np.flatnonzero(t.word & ~found)
+                # Distinct rare words of each text, with how often it has them.
+                owner = np.searchsorted(t.first, left, "right") - 1
+                order = np.lexsort((t.keys[left], owner))
+                keys, owner = t.keys[left][order], owner[order]
+                fresh = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]) if len(keys) else np.zeros(0, np.int64)
+                ends_of = pa.array(np.searchsorted(owner[fresh], np.arange(n + 1)), pa.int32())
+                sums = [np.add.reduceat(x, first) for x in (seen.astype(np.int64), counts, values)]
+                columns = [pa.array(place + np.arange(n)), pa.array(np.diff(t.first)), *map(pa.array, sums)]
+                columns += [pa.ListArray.from_arrays(ends_of, pa.array(keys[fresh].view(np.int64))), pa.ListArray.from_arrays(ends_of, pa.array(np.diff(np.r_[fresh, len(keys)])))]
+                place += n
+                yield pa.RecordBatch.from_arrays([*[b.column(i).slice(row, n) for i in range(len(names))], *columns], names=columns_out)
+
+    scored = write_table(rows.mapInArrow(tidy(run), schema), "scored")
+    pairs = scored.select(at_row, F.explode(F.arrays_zip(rare, times)).alias("x")).select(at_row, F.col(f"x.{rare}").alias(key), F.col(f"x.{times}").alias(times))
+    looked = pairs.join(model.vocabulary.where("tail >= 0").select(F.col("key").alias(key), F.col("n").alias(n)), key, "left")
+    by = looked.groupBy(at_row).agg(F.sum(F.col(times) * F.log10(F.coalesce(n, F.lit(0)) + F.lit(ALPHA))).alias(rare), F.sum(F.when(F.col(n).isNotNull(), F.col(times))).alias(times))
+    # Ends have probability 1 in their class; words in their slot their smoothed count, whose denominator the modelled part holds.
+    joined = scored.drop(rare, times).join(by, at_row, "left")
+    counts = F.col(counted) + F.coalesce(rare, F.lit(0.0))
     base = counts - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + ALPHA * (model.words + 1))))
-    total = F.col("_model") + counts - F.lit(float(np.log10(model.ends + ALPHA)))
-    joined = scored.drop("_rare", "_times").join(by, "_row", "left")
-    return joined.select(*names, "n_tokens", (F.col("_known") + F.coalesce("_rare_known", zero)).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), total.alias("score"))
+    total = F.col(modelled) + counts - F.lit(float(np.log10(model.ends + ALPHA)))
+    return joined.select(*map(quoted, names), "n_tokens", (F.col(known) + F.coalesce(times, zero)).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), total.alias("score"))
