@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from larkspur.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, lm_score, mixing, quality_rules, shingle_join, token_file
 from larkspur.llm.storage import write_table
 
+#: A line on more than this share of a source's pages, and on more than one of them, is boilerplate.
+LINE_RATIO, LINE_PAGES = 0.05, 2
+#: How often a document of weight 1 goes into the mix, on average.
+KEEP = 0.8
+
 
 def tokenizer_path() -> str:
     """Where the installed vocabulary of public tokenizers keeps the byte-level BPE file."""
@@ -52,36 +57,62 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), "text")
-    return mixing.mix(docs).drop("text", "copies").withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
+    return mixing.mix(docs, keep=KEEP).drop("text").withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
 
 
-def _op6_sql() -> str:
+def _op6_sql(rounds: int = 24) -> str:
+    """As many rounds as leave no weight of the driver's tables to move."""
     steps, at = [], "cells0"
-    for k in range(8):
+    for k in range(rounds):
         for d in mixing.DIMENSIONS:
             to = f"{d}{k + 1}"
-            steps.append(f"{to} AS (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * coalesce(t.share, 0) * (SELECT sum(tokens) FROM cells0) / sum(c.weight) OVER (PARTITION BY c.{d}) AS weight FROM {at} c JOIN target_{d} t ON t.value = c.{d})")
+            steps.append(f"{to} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * coalesce(t.share, 0) * (SELECT sum(tokens) FROM cells0) / sum(c.weight) OVER (PARTITION BY c.{d}) AS weight FROM {at} c JOIN target_{d} t ON t.value = c.{d})")
             at = to
-    targets = [f"target_{d} AS (SELECT value, mass / sum(mass) OVER () AS share FROM (SELECT {d} AS value, pow(sum(tokens), 0.5) AS mass FROM cells0 GROUP BY {d}))" for d in mixing.DIMENSIONS]
+    targets = [f"target_{d} AS MATERIALIZED (SELECT value, mass / sum(mass) OVER () AS share FROM (SELECT {d} AS value, pow(sum(tokens), 0.5) AS mass FROM cells0 GROUP BY {d}))" for d in mixing.DIMENSIONS]
+    has = lambda mark: f"contains(lower(text), '{mark}')"
+    topic = " ".join(f"WHEN {' OR '.join(map(has, marks))} THEN '{name}'" for name, marks in mixing.MARKERS)
     return (
-        r"""WITH docs AS (SELECT doc_id, source, lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n_tokens,
-  CASE WHEN contains(lower(text), 'license') THEN 'legal' WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '[0-9]') THEN 'numeric' ELSE 'prose' END AS topic
+        rf"""WITH docs AS MATERIALIZED (SELECT doc_id, source, lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n_tokens,
+  CASE {topic} WHEN regexp_matches(text, '[0-9]') THEN 'numeric' ELSE 'prose' END AS topic, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
   FROM documents),
 cells0 AS MATERIALIZED (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS weight FROM docs GROUP BY ALL),
 """
-        + ",\n".join([*targets, *[s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps]])
-        + f"""
-SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens::BIGINT AS n_tokens, round(d.w, 6) AS weight, round(least(1, 0.8::DOUBLE * d.w), 6) AS probability,
-  ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':mix'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < least(1, 0.8::DOUBLE * d.w) AS sampled
-FROM (SELECT d.*, CASE WHEN c.tokens > 0 THEN c.weight / c.tokens ELSE 0 END AS w FROM docs d JOIN {at} c
-  ON coalesce(d.source, '') = c.source AND coalesce(d.lang, '') = c.lang AND d.topic = c.topic) d"""
+        + ",\n".join([*targets, *steps])
+        + f""",
+drawn AS (SELECT *, {KEEP}::DOUBLE * w AS times FROM (SELECT d.*, CASE WHEN c.tokens > 0 THEN c.weight / c.tokens ELSE 0 END AS w FROM docs d JOIN {at} c
+  ON coalesce(d.source, '') = c.source AND coalesce(d.lang, '') = c.lang AND d.topic = c.topic))
+SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, round(w, 6) AS weight, round(least(1, times), 6) AS probability,
+  (floor(times) + (draw < times - floor(times))::INT)::BIGINT AS copies, floor(times) + (draw < times - floor(times))::INT > 0 AS sampled FROM drawn"""
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs, max_ratio=LINE_RATIO, min_pages=LINE_PAGES)
+
+
+OP7_SQL = f"""
+WITH pages AS MATERIALIZED (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
+lines AS (SELECT page, source, i, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t
+  FROM (SELECT page, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM pages)),
+hosts AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
+boiler AS (SELECT p.source, p.t FROM (SELECT source, t, count(DISTINCT page) AS pages FROM lines WHERE t <> '' GROUP BY source, t) p
+  JOIN hosts h ON p.source IS NOT DISTINCT FROM h.source WHERE p.pages >= {LINE_PAGES} AND p.pages > {LINE_RATIO}::DOUBLE * h.total),
+marked AS (SELECT l.*, b.t IS NOT NULL AS gone FROM lines l LEFT JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND l.t = b.t),
+folded AS (SELECT page, string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY i) AS text, count(*) AS n_lines,
+  count(*) FILTER (WHERE gone) AS n_dropped FROM marked GROUP BY page)
+SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(f.text, '') END AS text, coalesce(f.n_lines, 0)::BIGINT AS n_lines,
+  coalesce(f.n_dropped, 0)::BIGINT AS n_dropped
+FROM pages d LEFT JOIN folded f ON d.page = f.page
+"""
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations")
-    # A conversation that was streamed, and whose answer was generated anew.
-    log = [(-7, 0, 0, "start", "user", "</s>[INST] "), (-7, 1, 0, "delta", "user", "ok [/INST]"), (-7, 2, 1, "start", "assistant", "no"), (-7, 3, 1, "regenerate", "assistant", ""), (-7, 4, 1, "delta", "assistant", "</s>[INST] ok"), (-7, 5, 1, "delta", "assistant", " [/INST]")]
+    # A conversation that was streamed, and whose answer was generated anew, then edited and streamed on.
+    user = [(-7, 0, 0, "start", "user", "</s>[INST] "), (-7, 1, 0, "delta", "user", "ok [/INST]")]
+    first = [(-7, 2, 1, "start", "assistant", "no"), (-7, 3, 1, "regenerate", "assistant", ""), (-7, 4, 1, "delta", "assistant", "no, ")]
+    log = [*user, *first, (-7, 5, 1, "edit", "assistant", "</s>[INST] ok"), (-7, 6, 1, "delta", "assistant", " [/INST]")]
     streamed = spark.createDataFrame(log, "conv_id long, seq long, turn long, kind string, role string, text string")
     return chat_format.digests(write_table(chat_format.format_chats(chat_format.message_events(rows).unionByName(streamed)), "chats"))
 
@@ -93,35 +124,14 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), ids=False, digests=True).drop("text")
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup.drop_boilerplate(docs)
-
-
-OP7_SQL = """
-WITH lines AS (SELECT doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-hosts AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-boiler AS (SELECT p.source, p.t FROM (SELECT source, t, count(DISTINCT doc_id) AS pages FROM lines WHERE t <> '' GROUP BY source, t) p
-  JOIN hosts h ON p.source IS NOT DISTINCT FROM h.source WHERE p.pages >= 5 AND p.pages > 0.1::DOUBLE * h.total),
-found AS (SELECT l.*, b.t IS NOT NULL AS boiler FROM lines l LEFT JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND l.t = b.t),
-marked AS (SELECT *, boiler AND NOT bool_and(boiler OR t = '') OVER (PARTITION BY doc_id) AS gone FROM found),
-folded AS (SELECT doc_id, string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY i) AS text, count(*) AS n_lines,
-  count(*) FILTER (WHERE gone) AS n_dropped FROM marked GROUP BY doc_id)
-SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(f.text, '') END AS text, coalesce(f.n_lines, 0)::BIGINT AS n_lines,
-  coalesce(f.n_dropped, 0)::BIGINT AS n_dropped
-FROM documents d LEFT JOIN folded f ON d.doc_id = f.doc_id
-"""
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

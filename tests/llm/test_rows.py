@@ -1,6 +1,7 @@
 """Operators that work row by row: quality rules, language ID, line dedup, chat formatting, BPE and token files."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -8,11 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat_format, language_id, line_dedup, quality_rules, registry, token_file, wordhash
+from larkspur.llm import bpe, chat_format, language_id, line_dedup, mixing, quality_rules, registry, token_file, wordhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k % 997}" for k in range(30_000))
@@ -38,13 +40,13 @@ def base_counts(text):
 def test_quality_counts_against_brute_force(spark):
     df = docs(spark)
     weights = quality_rules.ratio_weights(df, spark.createDataFrame([(3,)], "id long"))
-    rows = quality_rules.rate(df.withColumn("score", F.lit("clash")), weights).collect()
+    rows = quality_rules.rate(df.withColumn("Score", F.lit("clash")).withColumn("raw", F.lit("clash")).withColumn("_words", F.lit("other")), weights).collect()
     assert len(rows) == len(TEXTS)
     for r in rows:
         got = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
         assert got == base_counts(r["text"])
         assert r["base_failed"] == (got[0] < 10 or 100 * got[4] > 20 * got[0])
-        assert not (r["base_failed"] and r["kept"])
+        assert not (r["base_failed"] and r["kept"]) and r["raw"] == "clash" and r["_words"] == "other"
 
 
 def spark_hash(*values):
@@ -104,31 +106,114 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert r["n"] > 100 and r["a"] > 0.97
 
 
-def lines_by_hand(rows, ratio=0.1, least=5):
+def language_by_hand(train, n_max=4):
+    """A function from a text to (language, score), with dictionaries."""
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    seen = [{} for _ in range(n_max + 1)]
+    for t, lang in train:
+        for w in letters(t or "") if lang is not None else []:
+            for n in range(n_max + 1):
+                for g in [w] if n == 0 else [w[i : i + n] for i in range(len(w) - n + 1)]:
+                    seen[n].setdefault(g, Counter())[lang] += 1
+    langs = sorted({x for by in seen for c in by.values() for x in c})
+    total = [Counter() for _ in seen]
+    for n, by in enumerate(seen):
+        for c in by.values():
+            total[n].update(c)
+    log = lambda n, g, x: math.log((seen[n][g][x] + 0.5) / (total[n][x] + 0.5 * (len(seen[n]) + 1)))
+
+    def find(text):
+        sums = dict.fromkeys(langs, 0.0)
+        for w in letters(text or ""):
+            for n in [0, *range(n_max, 0, -1)]:
+                grams = [g for g in ([w] if n == 0 else [w[i : i + n] for i in range(len(w) - n + 1)]) if g in seen[n]]
+                if grams:
+                    for x in langs:
+                        sums[x] += sum(log(n, g, x) for g in grams) / len(grams)
+                    break
+        if not langs or not letters(text or ""):
+            return "und", 0.0
+        best = max(langs, key=lambda x: (round(sums[x], 9), [-ord(c) for c in x]))
+        return best, 1 / sum(math.exp(sums[x] - sums[best]) for x in langs)
+
+    return find
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    parts = {"aa": ["ba", "na", "na2ta"], "bb": ["sch", "ung", "ö"], "cc": ["ba", "ung"], "dd": []}
+    parts["dd"] = parts["bb"]  # a tie with bb, unless other counts decide
+    train = [("".join(rng.choice(parts[x]) + rng.choice(["", " ", ". "]) for _ in range(rng.randint(1, 30))), x) for x in parts for _ in range(12)]
+    train += [("same words here", "ee"), ("same words here", "ef"), (None, "aa"), ("lost", None)]
+    texts = [t for t, _ in train] + ["same words", "words unseenungba", "ZZZ QQQ", "", None, "123", "İstanbul ba", "ba " * 300 + "ung" * 50 + " ö"]
+    df = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(train)], "doc_id long, text string, lang string").repartition(3)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("LANG_pred", F.lit(1))
+    model = language_id.train(df)
+    assert model.languages == ["aa", "bb", "cc", "dd", "ee", "ef"]
+    for most in (1 << 20, 64):
+        monkeypatch.setattr(language_id.letter_words, "__defaults__", (most,))
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(rows, model).collect()}
+        find = language_by_hand(train)
+        for k, t in enumerate(texts):
+            lang, score = find(t)
+            assert got[k][0] == lang and abs(got[k][1] - score) < 1e-6, t
+    assert got[texts.index("same words")][0] == "ee"  # of ee and ef the first
+
+
+def test_language_model_keeps_every_word_of_its_sample(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.concat(F.lit("l"), F.col("id") % 300).alias("lang"))
+    model = language_id.train(df)
+    assert model.entries[0].table.n == 3000 and len(model.languages) == 300
+    got = language_id.predict(df, model).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert got == 1.0
+    assert 0 < language_id.train(df, max_documents=300).entries[0].table.n < 600 and language_id.train(df, max_chars=1200).entries[0].table.n < 600
+
+
+def lines_by_hand(rows, ratio=0.05, least=1, loss=1.0):
     total, pages = Counter(h for h, _ in rows), Counter()
+    trim = lambda x: x.strip(" \t\v\f\r")
     for h, t in rows:
-        pages.update((h, x) for x in {y.strip(" \t\v\f\r") for y in (t or "").split("\n")} if x)
+        pages.update((h, x) for x in {trim(y) for y in (t or "").split("\n")} if x)
     gone = {k for k, n in pages.items() if n >= least and n > ratio * total[k[0]]}
     out = []
     for h, t in rows:
-        kept = [x for x in (t or "").split("\n") if (h, x.strip(" \t\v\f\r")) not in gone]
-        whole = all(not x.strip(" \t\v\f\r") for x in kept)
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if (h, trim(x)) not in gone]
+        whole = len(lines) - len(kept) > loss * sum(bool(trim(x)) for x in lines)
         out.append(t if t is None or whole else "\n".join(kept))
     return out
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("rule", [{}, {"max_ratio": 0.1, "min_pages": 5}, {"min_pages": 2, "max_loss": 0.5}, {"max_ratio": 0.3, "max_loss": 0.99}])
+def test_line_dedup_against_brute_force(spark, rule):
     rng = random.Random(3)
     rows = [(rng.choice([None, "a", "b"]), "\n".join(rng.choice(["menu", " menu ", "foot", "", f"own {rng.randint(0, 999)}"]) for _ in range(rng.randint(0, 6)))) for _ in range(120)]
-    rows += [("a", None), ("a", ""), ("c", "menu"), ("a", "menu\nfoot")] + [("a", rows[0][1])] * 2
-    df = spark.createDataFrame([(k, h, t, "clash") for k, (h, t) in enumerate(rows)], "doc_id long, source string, text string, n_lines string")
+    rows += [("a", None), ("a", ""), ("c", "menu"), ("d", "menu"), ("d", "menu\nx"), ("a", "menu\nfoot"), ("b", f"menu\n{LONG}")] + [("a", rows[0][1])] * 2
+    df = spark.createDataFrame([(k, h, t, "clash", "other") for k, (h, t) in enumerate(rows)], "doc_id long, source string, text string, N_Lines string, lines string")
+    want = lines_by_hand(rows, rule.get("max_ratio", 0.05), rule.get("min_pages", 1), rule.get("max_loss", 1.0))
     for size in (16 << 20, -1):  # the broadcast, and the way beyond it
-        got = line_dedup.drop_boilerplate(df, broadcast_bytes=size).orderBy("doc_id").collect()
-        assert [r["text"] for r in got] == lines_by_hand(rows)
-        assert all(r["n_lines"] == (0 if r["text"] is None else len((rows[r["doc_id"]][1]).split("\n"))) for r in got)
+        got = line_dedup.drop_boilerplate(df, broadcast_bytes=size, **rule).orderBy("doc_id").collect()
+        assert [r["text"] for r in got] == want
+        assert all(r["n_lines"] == (0 if r["text"] is None else len((rows[r["doc_id"]][1]).split("\n"))) and r["lines"] == "other" for r in got)
     assert line_dedup.drop_boilerplate(df.where("false")).count() == 0
 
 
+def test_a_small_host_loses_lines_too(spark):
+    df = spark.createDataFrame([("a", "menu\none"), ("a", "menu\ntwo"), ("b", "menu\nthree")], "source string, text string")
+    got = lambda **more: sorted(r["text"] for r in line_dedup.drop_boilerplate(df, max_ratio=0.6, **more).collect())
+    assert got() == ["", "one", "two"] and got(min_pages=2) == ["menu\nthree", "one", "two"]
+
+
+def test_hosts_of_the_pages_table(spark, sf_dir):
+    urls = ["https://www.Site.org:80/x?y", "http://u@b.c/", "//h/p", "no url", None, "ftp://a.b#f"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(line_dedup.host_of(F.col("u"))).collect()]
+    assert got == ["site.org", "b.c", "h", None, None, "a.b"]
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("host", line_dedup.host_of(F.col("url")))
+    assert pages.where("host is null").count() == 0
+    got = line_dedup.drop_boilerplate(pages, host_col="host", text_col="html", max_ratio=0.5, min_pages=2)
+    assert got.count() == pages.count() and got.agg(F.sum("n_dropped")).first()[0] >= 0
+
+
 EVENTS = "conv_id long, seq long, turn long, kind string, role string, text string"
 
 
@@ -178,20 +263,42 @@ def ids_of(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
 
-def test_bpe_equals_the_library(library):
+def test_bpe_equals_the_library(library, monkeypatch):
     own, lib = bpe.codec(registry.tokenizer_path()), token_file.library_encoder(registry.tokenizer_path())
     rng = random.Random(7)
-    parts = [*"ab .,'s1<|>é中\n\t\x1c\xa0　", "<|endoftext|>", "  ", "'re", " the", "ing", " " * 5, "x" * 400]
+    parts = [*"ab .,'s1<|>é×中\n\t\x1c\xa0　", "<|endoftext|>", "  ", " word.", "été, ", "–,", "\nNew", "'re", " the", "ing", " " * 5, "x" * 400]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
-    texts += [f"a{chr(c)}b {chr(c)} c{chr(c)}{chr(c)}\n{chr(c)} z" for c in [*range(0x300), 0x2028, 0xFEFF, 0x1F600]] + ["x" * 5000, " " * 900, "ab" * 3000]
+    texts += [f"a{chr(c)}b {chr(c)} c{chr(c)}{chr(c)}\n{chr(c)} z{chr(c)}.y" for c in [*range(0x300), 0x1680, 0x2003, 0x2028, 0x205F, 0x3000, 0xFEFF, 0x1F600]] + ["x" * 5000, " " * 900, "ab" * 3000]
+    for most in (1 << 20, 256):  # in one go, and the pieces of long texts
+        monkeypatch.setattr(bpe, "SEGMENT", most)
+        for c in (own, lib):
+            got = [ids[a:b].tolist() for _, _, ids, first in c.encode_texts(pa.array([*texts, None])) for a, b in zip(first, first[1:])]
+            assert got == [*(ids_of(library, t) for t in texts), []]
     for t in texts:
-        want = np.array(ids_of(library, t), "<u4").tobytes()
-        assert own.encode(t) == want == lib.encode(t)
-        assert own.decode(want) == library.decode(ids_of(library, t), skip_special_tokens=False) == t
+        want = ids_of(library, t)
+        assert own.decode(np.array(want, np.uint32)) == library.decode(want, skip_special_tokens=False) == t
+
+
+def test_bpe_starts_anew_when_its_table_is_full(library, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 50)
+    own = bpe.Bpe(registry.tokenizer_path())
+    for k in range(30):
+        t = " ".join(f"word{k * j}x" for j in range(40))
+        assert own.encode(t).tolist() == ids_of(library, t)
+        assert own.table.n <= 50 + 41
+
+
+def test_files_with_other_settings_are_refused(tmp_path):
+    spec = json.loads(open(registry.tokenizer_path(), encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"type": "Unigram"}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}, {"model": spec["model"] | {"dropout": 0.1}}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        for read in (bpe.Bpe, token_file.LibraryEncoder):
+            with pytest.raises(ValueError, match="byte-level BPE"):
+                read(str(tmp_path / "t.json"))
 
 
 def test_bpe_query(spark, library):
-    df = docs(spark).withColumn("ids", F.lit("clash"))
+    df = docs(spark).withColumn("IDS", F.lit("clash")).withColumn("text_to_encode", F.lit("other"))
     rows = bpe.encode(df, registry.tokenizer_path(), digests=True).collect()
     for r in rows:
         want = ids_of(library, r["text"])
@@ -229,29 +336,79 @@ def test_token_file_against_the_library(spark, library, monkeypatch):
     df = docs(spark)
     for segment in (1 << 20, 10):
         monkeypatch.setattr(token_file, "SEGMENT", segment)
-        rows = token_file.read_token_file(token_file.write_token_file(df, registry.tokenizer_path(), end_id=2), digests=True).collect()
+        file = token_file.write_token_file(df, registry.tokenizer_path(), end_id=2)
+        rows = token_file.read_token_file(file, digests=True).collect()
         order = sorted(range(len(TEXTS)), key=lambda k: (k != 5, k))
-        at, want = 0, []
+        every, want = [], []
         for k in order:
             ids = [*ids_of(library, TEXTS[k]), 2]
-            want.append((None if k == 5 else k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-            at += len(ids)
+            want.append((None if k == 5 else k, len(every), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids[len(ids) // 2]))
+            every += ids
         assert sorted(map(tuple, rows), key=lambda r: r[1]) == want
-    assert token_file.read_token_file(token_file.write_token_file(df.where("false"), registry.tokenizer_path())).count() == 0
+        places = [0, 7, 12, len(every) // 2, len(every) - 1, len(every)]
+        assert {r["position"]: r["id"] for r in token_file.tokens_at(file, places).collect()} == {p: every[p] for p in places[:-1]}
+    empty = token_file.write_token_file(df.where("false"), registry.tokenizer_path())
+    assert token_file.read_token_file(empty).count() == 0 and token_file.tokens_at(empty, [0]).count() == 0
+    none = token_file.read_token_file(token_file.write_token_file(df.where("text is null"), registry.tokenizer_path()), digests=True).collect()
+    assert [(r["n_tokens"], r["middle_id"]) for r in none] == [(0, None)]
 
 
-def test_word_hashes_and_windows():
-    import pyarrow as pa
+def test_rows_of_one_id_are_split(spark):
+    df = spark.range(2000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).repartition(4)
+    file = token_file.write_token_file(df, registry.tokenizer_path(), end_id=2)
+    assert file.groupBy("part").agg(F.sum("n_docs").alias("n")).where("n < 1500").count() > 1
+    rows = token_file.read_token_file(file, digests=True)
+    assert rows.count() == 2000 and rows.agg(F.sum("n_tokens"), F.max(F.col("start") + F.col("n_tokens"))).first()[0:1] == rows.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0:1]
 
-    seen = {}
-    texts = [None, "", " a b", "A b c D e f", "é ü", LONG[:500], "x" * 50]
+
+def test_word_hashes_and_windows():
+    seen, tails = {}, {}
+    texts = [None, "", " a b", "A b c D e f", "é ü", LONG[:500], "x" * 50, "y " + "x" * 50 + " z"]
     for most in (8, 1 << 20):
-        for row, n, s, starts, ends, first in wordhash.byte_runs(pa.array(texts), True, most):
-            h = s.hashes(starts, ends)
+        for row, n, h, last, first in wordhash.word_runs(pa.array(texts), lower=True, tail=3, most=most):
             g, of = wordhash.windows(h, first, 5)
             for i in range(n):
                 w = [x.lower() if x.isascii() else x for x in words(texts[row + i])]
                 shingles = [tuple(w[k : k + 5]) for k in range(len(w) - 4)] or ([tuple(w)] if w else [])
                 for key, value in [*zip(w, h[first[i] : first[i + 1]], strict=True), *zip(shingles, g[of[i] : of[i + 1]], strict=True)]:
                     assert seen.setdefault(key, value) == value
-    assert len(set(seen.values())) == len(seen)
+                for x, value in zip(w, last[first[i] : first[i + 1]], strict=True):
+                    assert tails.setdefault(x.encode()[-3:], value) == value
+    assert len(set(seen.values())) == len(seen) and len(set(tails.values())) == len(tails)
+    assert sum(map(len, wordhash._POWERS)) < 4 * wordhash.SEGMENT + 4
+
+
+def test_key_tables():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) & ~np.uint64(7)  # many that begin at one slot
+    keys = np.unique(keys)
+    t = wordhash.KeyTable(keys[:10])
+    for i in range(10, len(keys), 700):
+        t.add(keys[i : i + 700])
+    assert (t.find(keys) == np.arange(len(keys))).all() and (t.find(keys + np.uint64(1)) == -1).all()
+    assert (wordhash.KeyTable().find(keys) == -1).all()
+
+
+def test_texts_of_some_megabytes(spark, library):
+    """Every operator that reads texts, on texts longer than what is hashed at once: many words, one long word, one long line."""
+    from larkspur.llm import lm_score, shingle_join
+
+    many = " ".join(f"w{k % 70001}" for k in range(300_000))
+    texts = [many, many + " end", "x" * 1_000_000, "a short text of words for the model to learn"]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS).repartition(4)
+    out = {r["doc_id"]: r for r in bpe.encode(df.where("doc_id <> 2"), registry.tokenizer_path(), ids=False, digests=True).drop("text").collect()}
+    for k in (0, 1, 3):
+        want = np.array(ids_of(library, texts[k]), "<u4")
+        assert out[k]["ids_sha256"] == hashlib.sha256(want.tobytes()).hexdigest() and out[k]["decoded_sha256"] == hashlib.sha256(texts[k].encode()).hexdigest()
+    rows = {r["id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.link_documents(df)[0].collect()}
+    assert rows == {0: (70001, 0), 1: (70002, 0), 2: (1, 2), 3: (6, 3)}
+    langs = language_id.predict(df, language_id.train(df)).select("doc_id", "lang_pred").collect()
+    assert {r["lang_pred"] for r in langs} == {"en"}
+    lm = {r["doc_id"]: r for r in lm_score.score(df.select("doc_id", "text"), lm_score.train(df), keep=["doc_id"]).collect()}
+    assert [lm[k]["n_tokens"] for k in range(4)] == [300_001, 300_002, 2, 11]
+    q = {r["doc_id"]: r["n_words"] for r in quality_rules.rate(df.select("doc_id", "text"), quality_rules.ratio_weights(df, spark.createDataFrame([(3,)], "id long"))).collect()}
+    assert q == {0: 300_000, 1: 300_001, 2: 1, 3: 10}
+    assert {r["n_tokens"] for r in mixing.mix(df.withColumn("topic", F.lit("t"))).collect()} == {300_000, 300_001, 1, 10}
+    assert line_dedup.drop_boilerplate(df, min_pages=2).agg(F.sum("n_dropped")).first()[0] == 0
+    chats = spark.createDataFrame([(1, 0, 0, "start", "user", texts[2]), (1, 1, 1, "start", "assistant", "<s>\\" * 500_000)], EVENTS)
+    assert chat_format.digests(chat_format.format_chats(chats)).first()["loss_chars"] == 2_000_000
