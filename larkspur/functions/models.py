@@ -149,9 +149,10 @@ def expand_questions(questions: DataFrame, expander: QueryExpander) -> DataFrame
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([(q, v, x) for q, text in zip(part["qid"], part["query"], strict=True) for v, x in enumerate(expander.expand(text))], columns=["qid", "variant", "query"])
+            yield pd.DataFrame([(text, v, x) for text in part["query"] for v, x in enumerate(expander.expand(text))], columns=["text", "variant", "query"])
 
-    return questions.select("qid", "query").mapInPandas(run, "qid long, variant int, query string")
+    once = questions.select("query").distinct().mapInPandas(run, "text string, variant int, query string")
+    return questions.select("qid", F.col("query").alias("asked")).join(once, F.col("asked").eqNullSafe(F.col("text"))).select("qid", "variant", "query")
 
 
 @dataclass(frozen=True)

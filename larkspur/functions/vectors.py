@@ -42,3 +42,18 @@ def overlap_score(query: Column, text: Column) -> Column:
     """A stand-in for a cross-encoder: how many distinct non-blank characters of the query the text has."""
     chars = F.filter(F.array_distinct(F.split(query, "")), lambda c: c.rlike(r"(?U)\S"))
     return F.size(F.filter(chars, lambda c: F.contains(text, c))).cast("double")
+
+
+def mulberry32(seed: int, i: Column) -> Column:
+    """The number in [0, 1) that the 32-bit generator mulberry32 gives after i steps more than one, by its place alone: no state, any order."""
+    mask = F.lit(0xFFFFFFFF)
+    right = lambda x, n: F.shiftrightunsigned(x, n)
+
+    def times(a: Column, b: Column) -> Column:
+        """a * b modulo 2^32, without a product beyond 64 bits."""
+        high = (a * right(b, 16)).bitwiseAND(F.lit(0xFFFF))
+        return (F.shiftleft(high, 16) + a * b.bitwiseAND(F.lit(0xFFFF))).bitwiseAND(mask)
+
+    low = F.lit(0x6D2B79F5)  # fixed value: the generator's step
+    a = (F.lit(seed & 0xFFFFFFFF).cast("long") + times((i.cast("long") + 1).bitwiseAND(mask), low.cast("long"))).bitwiseAND(mask)
+    return F.transform(F.array(a), lambda x: F.transform(F.array(times(x.bitwiseXOR(right(x, 15)), x.bitwiseOR(F.lit(1)))), lambda t: F.transform(F.array((t + times(t.bitwiseXOR(right(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(mask).bitwiseXOR(t)), lambda u: u.bitwiseXOR(right(u, 14)) / F.lit(4294967296.0))[0])[0])[0]

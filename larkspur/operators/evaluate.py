@@ -77,38 +77,70 @@ def lint_gold(cases: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
+def first_pass(rounds: Column, errors: Column) -> Column:
+    """Whether an answer was accepted as it first came: no repairs, no errors left."""
+    return (rounds == 0) & (errors == 0)
+
+
 def answer_rates(rows: DataFrame) -> DataFrame:
-    """Per run, and for all runs (run null): cases, cost, and how many were honest, answered and clean of errors, by what was expected. rows: (run, expected, refused, honest, errors, rounds, cost)."""
-    n = lambda cond: F.count_if(cond)
-    is_ = lambda e: F.col("expected") == e
+    """Per run, and for all runs (run null), of answers (run, expected, refused, honest, rounds, errors, cost).
+
+    n, n_honest and cost of all; refuse_ok: cases to refuse that were; partial_ok: honest partial cases, conservative those of them that were refused; answered:
+    cases to answer that weren't refused, clean those that passed at once.
+    """
+    n, is_ = F.count_if, lambda e: F.col("expected") == e
     return rows.rollup("run").agg(
         F.count(F.lit(1)).alias("n"),
         n(F.col("honest")).alias("n_honest"),
-        n(is_("refuse") & F.col("honest")).alias("refuse_ok"),
+        n(is_("refuse") & F.col("refused")).alias("refuse_ok"),
         n(is_("partial") & F.col("honest")).alias("partial_ok"),
         n(is_("answer") & ~F.col("refused")).alias("answered"),
-        n(is_("answer") & F.col("refused")).alias("conservative"),
-        n(~F.col("refused") & (F.col("errors") == 0)).alias("clean"),
+        n(is_("partial") & F.col("refused")).alias("conservative"),
+        n(is_("answer") & first_pass(F.col("rounds"), F.col("errors"))).alias("clean"),
         F.round(F.sum("cost"), 6).alias("cost"),
     )
 
 
 def rule_histogram(found: DataFrame) -> DataFrame:
-    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    """How often each rule was broken; warnings don't count."""
+    return found.where("severity = 'error'").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_stability(rates: DataFrame, value: str) -> DataFrame:
-    """One row: the mean over runs, and the population's standard deviation."""
-    return rates.agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("sd"), F.count(F.lit(1)).alias("runs"))
+def run_stability(rows: DataFrame) -> DataFrame:
+    """One row: over runs, the mean and the population's standard deviation of the honest share of the cases to refuse, and of the clean share of those to answer. A run without such cases counts as 1."""
+    share = lambda cases, good: F.coalesce(F.count_if(cases & good) / F.nullif(F.count_if(cases), F.lit(0)), F.lit(1.0))
+    refuse, answer = F.col("expected") == "refuse", F.col("expected") == "answer"
+    by = rows.groupBy("run").agg(share(refuse, F.col("honest")).alias("honest"), share(answer, first_pass(F.col("rounds"), F.col("errors"))).alias("clean"))
+    stat = lambda c: [F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(F.stddev_pop(c), 6).alias(f"{c}_sd")]
+    return by.agg(*stat("honest"), *stat("clean"), F.count(F.lit(1)).alias("runs"))
 
 
 def flaky_cases(rows: DataFrame) -> DataFrame:
-    """Cases of two rows or more that differ in honest or clean. rows: (case_id, honest, clean)."""
-    by = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("honest").alias("n_honest"), F.count_if("clean").alias("n_clean"))
+    """Cases of two rows or more that differ in honest, or in passing at once. rows: (case_id, honest, rounds, errors)."""
+    by = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("honest").alias("n_honest"), F.count_if(first_pass(F.col("rounds"), F.col("errors"))).alias("n_clean"))
     mixed = lambda c: (F.col(c) > 0) & (F.col(c) < F.col("n"))
     return by.where((F.col("n") >= 2) & (mixed("n_honest") | mixed("n_clean")))
 
 
+def select_cases(cases: DataFrame, *, refusal: bool = False, start: str | None = None, limit: int | None = None) -> DataFrame:
+    """A slice of a gold set (case_id, ord, ...) in its order: only cases that aren't to be answered; from a case on (an unknown one changes nothing); the first `limit`."""
+    rows = cases.where(expected(F.col("expect"), F.col("gold_doc_ids")) != "answer") if refusal else cases
+    if start is not None:
+        first = rows.where(F.col("case_id") == start).agg(F.min("ord").alias("first"))
+        rows = rows.crossJoin(F.broadcast(first)).where(F.col("first").isNull() | (F.col("ord") >= F.col("first"))).drop("first")
+    return rows.orderBy("ord").limit(limit) if limit else rows
+
+
+def report_table(summaries: DataFrame, label: str = "label") -> str:
+    """Summaries, one row a configuration, side by side as text: a line for each measure. The rows are few: they come to the driver."""
+    rows = summaries.collect()
+    names = [c for c in summaries.columns if c != label]
+    show = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    table = [["", *(str(r[label]) for r in rows)], *([n, *(show(r[n]) for r in rows)] for n in names)]
+    widths = [max(len(line[k]) for line in table) for k in range(len(rows) + 1)]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(line, widths, strict=True)).rstrip() for line in table)
+
+
 def score_gaps(scores: DataFrame) -> DataFrame:
     """(case_id, answerable, top1, top_last, gap) of ranked scores (case_id, answerable, rank, score)."""
     by = scores.groupBy("case_id", "answerable").agg(F.min_by("score", "rank").alias("top1"), F.max_by("score", "rank").alias("top_last"))

@@ -13,7 +13,8 @@ def rrf(lists: DataFrame, key: str = "chunk_ord", k: int = 60) -> DataFrame:
     """(qid, route, key, rank) to (qid, key, score, ranks, rank): the sum of 1 / (k + rank). A key twice in a list adds twice; ranks (a map by route) holds its last. Ties by key."""
     by = lists.groupBy("qid", key, "route").agg(F.sum(1.0 / (k + F.col("rank"))).alias("part"), F.max("rank").alias("at"))
     out = by.groupBy("qid", key).agg(F.round(F.sum("part"), 9).alias("score"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("route", "at")))).alias("ranks"))
-    return rank(out, order=key)
+    # String keys tie in the order of a dictionary, not of code points.
+    return rank(out, order=F.collate(F.col(key), "UNICODE") if out.schema[key].dataType.simpleString() == "string" else key)
 
 
 def fuse_routes(routes: dict[str, DataFrame], size: int, key: str = "chunk_ord", k: int = 60) -> DataFrame:
@@ -65,6 +66,12 @@ def title_graph(docs: DataFrame) -> DataFrame:
     return out.unionAll(back).groupBy("src", "dst").agg(F.min("phase").alias("phase")).withColumn("ord", F.col("dst"))
 
 
+def two_hops(edges: DataFrame) -> DataFrame:
+    """(src, dst): the documents that a document reaches over exactly two edges, itself left out."""
+    on = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    return edges.select("src", "dst").join(on, "dst").where("next <> src").select("src", F.col("next").alias("dst")).distinct()
+
+
 def graph_stats(docs: DataFrame, edges: DataFrame, hubs: int = 5) -> DataFrame:
     """One row: nodes, edges (undirected), isolated ids, and the ids and degrees of the nodes with most neighbours."""
     degree = docs.select("doc_ord").join(edges.groupBy(F.col("src").alias("doc_ord")).agg(F.count(F.lit(1)).alias("d")), "doc_ord", "left").select("doc_ord", F.coalesce("d", F.lit(0)).alias("d"))

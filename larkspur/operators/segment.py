@@ -16,12 +16,13 @@ _HEADING = re.compile(r"#{1,6}\s")
 
 
 def sentence_spans(docs: DataFrame) -> DataFrame:
-    """(doc_ord, n, start, end, text): a run of terminators belongs to the sentence before it; blank sentences are left out, n counts the others."""
-    parts = F.regexp_extract_all("text", F.lit(r"[^。！？；\n]*[。！？；\n]+|[^。！？；\n]+\z"), F.lit(0))
-    rows = docs.select("doc_ord", F.posexplode(parts).alias("i", "text"))
-    w = Window.partitionBy("doc_ord").orderBy("i")
-    rows = rows.withColumn("end", F.sum(F.length("text")).over(w).cast("int")).withColumn("start", F.col("end") - F.length("text")).where(~is_blank(F.col("text")))
-    return rows.select("doc_ord", (F.row_number().over(w) - 1).alias("n"), "start", "end", "text")
+    """(doc_ord, n, start, end, text): a run of terminators belongs to the sentence before it; blank sentences are left out, n counts the others. A document is a row, so nothing is shuffled."""
+
+    @F.pandas_udf("array<struct<start: int, end: int, text: string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": a, "end": b, "text": t[a:b]} for a, b in _sentences(t or "")])
+
+    return docs.select("doc_ord", F.posexplode(run("text")).alias("n", "s")).select("doc_ord", "n", "s.start", "s.end", "s.text")
 
 
 def _sentences(text: str) -> list[tuple[int, int]]:
@@ -70,8 +71,9 @@ def _spans(docs: DataFrame, of, columns: list[str]) -> DataFrame:
 
 
 def _chunks(rows: DataFrame, start: Column, end: Column, context: Column) -> DataFrame:
-    """The columns of a chunk, of documents with a number n and a span."""
-    return rows.select((F.shiftleft(F.col("doc_ord"), CHUNK_SHIFT) + F.col("n")).alias("chunk_ord"), F.concat("doc_id", F.lit("#"), F.col("n").cast("string")).alias("chunk_id"), "doc_id", F.col("n").cast("int").alias("n"), "title", F.substring("text", start + 1, end - start).alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"), "source", context.alias("context"))
+    """The columns of a chunk, of documents with a number n and a span; title_terms, if documents have them, go along."""
+    more = ["title_terms"] if "title_terms" in rows.columns else []
+    return rows.select(*more, (F.shiftleft(F.col("doc_ord"), CHUNK_SHIFT) + F.col("n")).alias("chunk_ord"), F.concat("doc_id", F.lit("#"), F.col("n").cast("string")).alias("chunk_id"), "doc_id", F.col("n").cast("int").alias("n"), "title", F.substring("text", start + 1, end - start).alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"), "source", context.alias("context"))
 
 
 def chunk_fixed(docs: DataFrame, size: int = 300, overlap: int = 60) -> DataFrame:

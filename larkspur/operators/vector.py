@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.vectors import dot
-from larkspur.operators.lexical import DIGITS, rank
+from larkspur.operators.lexical import DIGITS, count_better, rank
 
 #: Bytes of query vectors that go to every worker at once.
 QUERY_BYTES = 32 << 20
+#: More than any product of two unit vectors is below 0; a power of 2.
+OFFSET = 1024.0
 
 
 def check_dims(vectors: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
@@ -22,11 +24,11 @@ def check_dims(vectors: DataFrame, dim: int, column: str = "embedding") -> DataF
     return vectors.where(F.assert_true(F.size(column) == dim, F.lit("dimension mismatch")).isNull())
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, key: str = "chunk_ord", column: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, key: str = "chunk_ord", column: str = "embedding", cells: Cells | None = None) -> DataFrame:
     """The k vectors (key, column) with the largest dot product for each query (qid, column): (qid, key, score, rank). Ties by key.
 
     Queries are a stated set: they go to the workers in blocks of QUERY_BYTES, and each batch of vectors is multiplied with a block at once. A batch hands on its own
-    k best of each query, so what is shuffled is a fraction of all pairs. Rows without a vector are left out.
+    k best of each query, so what is shuffled is a fraction of all pairs. Rows without a vector are left out. With cells, a query is held only against the vectors of those it looks into.
     """
     found = None
     qs = queries.where(F.col(column).isNotNull()).select("qid", column)
@@ -38,61 +40,132 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, key: str = "ch
         rows = part.toPandas()
         ids = rows["qid"].tolist()
         matrix = np.array(rows[column].tolist(), dtype=float).reshape(len(ids), -1)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, cells))
 
         def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
+            ids, matrix, cells = shared.value
+            asked = cells.looks_into(matrix) if cells is not None and len(ids) else None
             for p in parts:
                 if p.empty or not ids:
                     continue
                 if any(len(v) != matrix.shape[1] for v in p[column]):
                     raise ValueError("dimension mismatch")
-                scores = np.round(matrix @ np.array(p[column].tolist(), dtype=float).T, DIGITS) + 0.0
-                keys = p[key].to_numpy()
+                x, keys = np.array(p[column].tolist(), dtype=float), p[key].to_numpy()
+                if asked is None:
+                    scores = np.round(matrix @ x.T, DIGITS) + 0.0
+                else:
+                    scores, at = np.full((len(ids), len(x)), -np.inf), cells.nearest(x)
+                    for c in np.unique(at):
+                        rows, some = np.flatnonzero(at == c), np.flatnonzero(asked[:, c])
+                        if len(some):
+                            scores[np.ix_(some, rows)] = np.round(matrix[some] @ x[rows].T, DIGITS) + 0.0
                 by_key = np.argsort(keys, kind="stable")
                 scores, keys = scores[:, by_key], keys[by_key]
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(ids, top.shape[1]), key: keys[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()})
+                best = np.take_along_axis(scores, top, axis=1).ravel()
+                found = best > -np.inf
+                yield pd.DataFrame({"qid": np.repeat(ids, top.shape[1])[found], key: keys[top].ravel()[found], "score": best[found]})
 
         out = vectors.where(F.col(column).isNotNull()).select(key, column).mapInPandas(run, f"qid long, {key} {kind}, score double")
         found = out if found is None else found.unionAll(out)
     return rank(found, order=key).where(F.col("rank") <= k)
 
 
-def planes(dim: int, tables: int, bits: int, seed: int = 42) -> np.ndarray:
-    """Normal vectors of the hash planes (tables x bits x dim), with few decimals so that they can be written down."""
-    return np.round(np.random.default_rng(seed).standard_normal((tables, bits, dim)), 3)
+@dataclass(frozen=True)
+class Cells:
+    """An index of cells: unit centroids, and how many cells a query looks into."""
 
+    centroids: np.ndarray
+    probes: int
 
-def lsh_keys(rows: DataFrame, id_col: str, *, dim: int, tables: int = 8, bits: int = 10, column: str = "embedding") -> DataFrame:
-    """(id_col, column, t, bucket): for each table, on which side of its planes the vector lies."""
-    normals = planes(dim, tables, bits)
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        return np.argmax(x @ self.centroids.T, axis=1)
 
-    @F.pandas_udf("array<int>")
-    def buckets(v: pd.Series) -> pd.Series:
-        x = np.array(v.tolist(), dtype=float).reshape(len(v), dim)
-        side = np.einsum("nd,tbd->ntb", x, normals) >= 0
-        return pd.Series(list((side * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)))
+    def looks_into(self, x: np.ndarray) -> np.ndarray:
+        """Which cells each query looks into: the `probes` nearest, its own first."""
+        order = np.argsort(-(x @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+        out = np.zeros((len(x), len(self.centroids)), bool)
+        np.put_along_axis(out, order, True, axis=1)
+        return out
 
-    keys = rows.where(F.col(column).isNotNull()).withColumn("_keys", buckets(column))
-    return keys.select(id_col, column, F.posexplode("_keys").alias("t", "bucket"))
 
+def fit_cells(vectors: DataFrame, *, column: str = "embedding", k: int = 10, target: float = 0.97, probes: int | None = None, sample: int = 20_000, rounds: int = 8, seed: int = 42) -> Cells:
+    """Cells for vectors, fitted on about `sample` of them, drawn by a hash: that many come to the driver, whatever the table.
 
-def lsh_candidates(vectors: DataFrame, queries: DataFrame, *, key: str, dim: int, tables: int = 8, bits: int = 10, column: str = "embedding") -> DataFrame:
-    """Distinct (qid, key) pairs that share a bucket: an equi join on (table, bucket)."""
-    v = lsh_keys(vectors, key, dim=dim, tables=tables, bits=bits, column=column).select(key, "t", "bucket")
-    q = lsh_keys(queries, "qid", dim=dim, tables=tables, bits=bits, column=column).select("qid", "t", "bucket")
-    return q.join(v, ["t", "bucket"]).select("qid", key).distinct()
+    As many cells as the root of the number of vectors, at most a quarter of the sample, by spherical k-means. probes: by default the fewest with which up to 200 vectors of
+    the sample find `target` of their k nearest in it. Vectors without neighbourhoods need most cells: then the search is close to the exact one, in its cost as well.
+    """
+    rows = vectors.where(F.col(column).isNotNull()).select(column)
+    n = rows.count()
+    share = min(1.0, sample / max(1, n))
+    some = rows.where(F.pmod(F.xxhash64(column, F.lit("cells")), F.lit(1 << 20)) < int(share * (1 << 20))).toPandas()[column].tolist()
+    if not some:
+        return Cells(np.zeros((0, 0)), 0)
+    x = np.array(sorted(map(tuple, some)), float)
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-30)
+    rng = np.random.default_rng(seed)
+    count = max(1, min(round(math.sqrt(n)), len(x) // 4))
+    centroids = x[rng.choice(len(x), count, replace=False)]
+    for _ in range(rounds):
+        at = np.argmax(x @ centroids.T, axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, at, x)
+        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centroids = np.where(size > 0, sums / np.maximum(size, 1e-30), centroids)
+    if probes is None:
+        q = x[rng.choice(len(x), min(200, len(x)), replace=False)]
+        near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+        place = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1)
+        needed = np.sort(np.take_along_axis(place, np.argmax(x @ centroids.T, axis=1)[near], axis=1).ravel())
+        probes = int(needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)]) + 1
+    return Cells(centroids, min(probes, count))
+
+
+def ann_search(vectors: DataFrame, queries: DataFrame, cells: Cells, k: int = 5, *, key: str = "chunk_ord", column: str = "embedding") -> DataFrame:
+    """Like search, over the vectors of the cells that a query looks into. More probes never lower the recall; a vector that is in the table finds itself first."""
+    return search(vectors, queries, k, key=key, column=column, cells=cells)
+
+
+def share_scored(vectors: DataFrame, queries: DataFrame, cells: Cells, *, column: str = "embedding") -> DataFrame:
+    """One row: n_scored, the pairs that ann_search multiplies, and n_pairs, all pairs."""
+
+    @F.pandas_udf("int")
+    def cell(v: pd.Series) -> pd.Series:
+        return pd.Series(cells.nearest(np.array(v.tolist(), float)) if len(v) else [], dtype="int32")
 
+    @F.pandas_udf("array<int>")
+    def looks(v: pd.Series) -> pd.Series:
+        return pd.Series([np.flatnonzero(r).astype(np.int32) for r in cells.looks_into(np.array(v.tolist(), float))] if len(v) else [], dtype=object)
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, dim: int, key: str = "chunk_ord", tables: int = 8, bits: int = 10, column: str = "embedding") -> DataFrame:
-    """Like search, over candidates alone, scored exactly. More tables never lower the recall."""
-    pairs = lsh_candidates(vectors, queries, key=key, dim=dim, tables=tables, bits=bits, column=column)
-    rows = pairs.join(queries.select("qid", F.col(column).alias("_q")), "qid").join(vectors.select(key, F.col(column).alias("_v")), key)
-    return rank(rows.select("qid", key, F.round(dot(F.col("_q"), F.col("_v")), DIGITS).alias("score")), order=key).where(F.col("rank") <= k)
+    sizes = vectors.where(F.col(column).isNotNull()).groupBy(cell(column).alias("cell")).agg(F.count(F.lit(1)).alias("size"))
+    asked = queries.where(F.col(column).isNotNull()).select(F.explode(looks(column)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
+    scored = sizes.join(asked, "cell", "left").agg(F.sum(F.col("size") * F.coalesce("asked", F.lit(0))).alias("n_scored"), F.sum("size").alias("n"))
+    return scored.crossJoin(queries.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("q"))).select("n_scored", (F.col("n") * F.col("q")).alias("n_pairs"))
 
 
 def recall(found: DataFrame, truth: DataFrame, key: str = "chunk_ord") -> DataFrame:
     """One row: the share of the true pairs (qid, key) that were found."""
     hits = truth.select("qid", key).join(found.select("qid", key).withColumn("hit", F.lit(1)), ["qid", key], "left")
     return hits.agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"), F.round(F.coalesce(F.count("hit") / F.count(F.lit(1)), F.lit(0.0)), 6).alias("recall"))
+
+
+def best_ranks(vectors: DataFrame, queries: DataFrame, targets: DataFrame, *, key: str = "chunk_ord", column: str = "embedding") -> DataFrame:
+    """(qid, rank): the best rank over all vectors of a query's targets (qid, chunk_ord), as search would give it without a k. Vectors that beat a target are counted where they are multiplied."""
+    rows = queries.where(F.col(column).isNotNull()).select("qid", column).toPandas().sort_values("qid")
+    qids, matrix = rows["qid"].to_numpy(), np.array(rows[column].tolist(), dtype=float).reshape(len(rows), -1)
+
+    def run(keep: Callable, schema: str) -> DataFrame:
+        names = [x.split()[0] for x in schema.split(", ")]
+
+        def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                for i in range(0, len(p), 512):
+                    part = p.iloc[i : i + 512]
+                    # Scores of all pairs count here: they are moved above 0, where none is.
+                    made = keep(part[key].to_numpy(), np.round(np.array(part[column].tolist(), dtype=float) @ matrix.T, DIGITS) + OFFSET)
+                    if made is not None:
+                        yield pd.DataFrame(dict(zip(names, made, strict=True)))
+
+        return vectors.where(F.col(column).isNotNull()).select(key, column).mapInPandas(blocks, schema)
+
+    return count_better(qids, run, targets.select("qid", F.col(key).alias("chunk_ord")).distinct().toArrow())

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from larkspur.operators.attribution import MESSAGES, REPAIR_HEAD, REPAIR_TAIL
-from larkspur.operators.vector import planes
 from larkspur.plans.queries import DIM
 
 ORACLES: dict[str, str] = {}
@@ -79,10 +78,10 @@ sql("slug", rf"""WITH {DOCS} SELECT doc_ord, 'wiki-' || CASE WHEN doc_ord < 1000
 sql("ingest_filter", r"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 5 <> 4 THEN html END AS raw FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)),
 t AS (SELECT raw, length(regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', '')) AS n FROM p)
 SELECT count(*) FILTER (WHERE n >= 2000) AS n_ok, count(*) FILTER (WHERE n IS NULL OR n < 2000) AS n_miss, coalesce(sum(n) FILTER (WHERE n >= 2000), 0)::BIGINT AS n_chars FROM t""")
-sql("embed_todo", "SELECT vec_id AS chunk_ord FROM embeddings WHERE label < 5 AND NOT (vec_id % 3 <> 2 AND vec_id % 2 = 0)")
-sql("cache_compact", "SELECT vec_id AS chunk_ord FROM embeddings WHERE label < 5 AND vec_id % 3 <> 2 AND vec_id % 2 = 0")
-sql("vector_coverage", "SELECT count(*) AS n_chunks, count(*) FILTER (WHERE vec_id % 3 <> 2 AND vec_id % 2 = 0) AS n_vectors FROM embeddings WHERE label < 5")
-sql("vector_roundtrip", "SELECT vec_id, true AS same FROM embeddings")
+sql("embed_todo", "SELECT vec_id AS chunk_ord FROM embeddings WHERE NOT (vec_id % 3 <> 2 AND vec_id % 2 = 0)")
+sql("cache_compact", "SELECT vec_id AS chunk_ord FROM embeddings WHERE vec_id % 3 <> 2 AND vec_id % 2 = 0")
+sql("vector_coverage", "SELECT count(*) AS n_chunks, count(*) FILTER (WHERE vec_id % 3 <> 2 AND vec_id % 2 = 0) AS n_vectors FROM embeddings")
+sql("vector_roundtrip", "SELECT vec_id, true AS same, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
 sql("sentence_spans", rf"""WITH {DOCS}, parts AS (SELECT doc_ord, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT doc_ord, regexp_extract_all(text, '[^。！？；\n]*[。！？；\n]+|[^。！？；\n]+$') AS l FROM docs)),
 placed AS (SELECT *, sum(length(s)) OVER (PARTITION BY doc_ord ORDER BY i) AS e FROM parts)
 SELECT doc_ord, row_number() OVER (PARTITION BY doc_ord ORDER BY i) - 1 AS n, (e - length(s))::BIGINT AS start, e::BIGINT AS "end" FROM placed WHERE NOT regexp_full_match(s, '\s*')""")
@@ -91,8 +90,10 @@ for name, overlap in (("chunk_fixed", 0), ("chunk_overlap", 60)):
 sql("chunk_stats", f"""WITH {DOCS}, {windows(300, 60)}, l AS (SELECT length(text) AS len, row_number() OVER (ORDER BY length(text)) - 1 AS i, count(*) OVER () AS n FROM chunks)
 SELECT (SELECT count(*) FROM docs) AS n_docs, (SELECT sum(length(text)) FROM docs)::BIGINT AS n_chars, any_value(n) AS n_chunks, min(len) AS min_len, max(CASE WHEN i = least(n - 1, floor(n * 0.5)) THEN len END) AS p50_len,
 max(CASE WHEN i = least(n - 1, floor(n * 0.9)) THEN len END) AS p90_len, max(len) AS max_len FROM l""")
-sql("chunk_invariant", "SELECT 0::BIGINT AS n_faults")
-sql("chunk_coverage", "SELECT 0::BIGINT AS n_holes")
+sql("chunk_invariant", "SELECT unnest(['fixed', 'overlap', 'structure', 'parent-child']) AS strategy, (SELECT count(*) FROM documents) = 0 AS empty, 0::BIGINT AS n_faults")
+sql("chunk_coverage", f"""WITH {DOCS}, {windows(300, 0)}, {windows(300, 60, "lapped")} SELECT 0::INT AS overlap, count(*) AS n_chunks, sum("end" - start)::BIGINT AS n_chars, 0::BIGINT AS n_holes FROM chunks
+UNION ALL SELECT 60, count(*), sum("end" - start)::BIGINT, 0 FROM lapped""")
+sql("han_terms", f"WITH {DOCS} SELECT doc_ord, array_to_string(list_concat(['玄武岩', '喷出岩'], {terms('title')}), ' ') AS terms FROM docs")
 sql("term_freq", f"WITH {DOC_CHUNKS}, {bm25('chunks', '(SELECT 1 AS qid, NULL::VARCHAR AS query)')} SELECT chunk_ord, term, tf FROM tf")
 sql("corpus_stats", f"WITH {DOC_CHUNKS}, {QUESTIONS}, {bm25()} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS n_terms FROM stats")
 sql("idf", f"WITH {DOC_CHUNKS}, {QUESTIONS}, {bm25()} SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df, stats")
@@ -102,13 +103,12 @@ sql("bm25_matched", f"WITH {DOC_CHUNKS}, {QUESTIONS}, {bm25()} SELECT qid, chunk
 sql("l2_normalized", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS l1 FROM embeddings")
 VECTOR_PAIRS = "SELECT q.vec_id AS qid, v.vec_id AS chunk_ord, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0"
 sql("vector_topk", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_ord) AS rank FROM ({VECTOR_PAIRS})) WHERE rank <= 10")
-_normals = planes(64, 8, 10)
-_planes = ", ".join(f"({t}, {b}, [{', '.join(str(float(x)) for x in _normals[t, b])}])" for t in range(8) for b in range(10))
-sql("ann_lsh_topk", f"""WITH planes(t, b, p) AS (VALUES {_planes}),
-keys AS MATERIALIZED (SELECT vec_id, t, sum(CASE WHEN list_inner_product(embedding::DOUBLE[], p::DOUBLE[]) >= 0 THEN (1 << b) ELSE 0 END) AS bucket FROM embeddings, planes GROUP BY vec_id, t),
-pairs AS (SELECT DISTINCT q.vec_id AS qid, v.vec_id AS chunk_ord FROM keys q JOIN keys v USING (t, bucket) WHERE q.vec_id % 20 = 0)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_ord) AS rank FROM (SELECT qid, chunk_ord, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
-FROM pairs JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = chunk_ord)) WHERE rank <= 10""")
+sql("ann_first", "SELECT vec_id AS qid, least(10, (SELECT count(*) FROM embeddings)) AS n_hits, vec_id AS first, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS score FROM embeddings WHERE vec_id % 20 = 0")
+sql("ann_recall", "SELECT unnest(['table', 'copies']) AS vectors, (SELECT 10 * count(*) FROM embeddings WHERE vec_id % 20 = 0) AS n_true, true AS reached")
+U32 = "4294967295::HUGEINT"
+sql("seeded_random", f"""WITH a AS (SELECT vec_id, (7 + (vec_id + 1) * 1831565813::HUGEINT) & {U32} AS a FROM embeddings),
+t AS (SELECT vec_id, (xor(a, a >> 15) * (a | 1)) & {U32} AS t FROM a), u AS (SELECT vec_id, xor((t + xor(t, t >> 7) * (t | 61)) & {U32}, t) AS u FROM t)
+SELECT vec_id, round(xor(u, u >> 14)::DOUBLE / 4294967296, 9) AS value FROM u""")
 BASE = f"{DOC_CHUNKS}, {QUESTIONS}, {bm25()}"
 BOTH = f"{BASE}, {sem()}"
 sql("fake_embedding", f"WITH {BASE}, {sem()} SELECT doc_ord AS chunk_ord, round(embedding[1]::DOUBLE, 4) AS v0, round(embedding[2]::DOUBLE, 4) AS v1, round(embedding[{DIM}]::DOUBLE, 4) AS v{DIM - 1} FROM dv")
@@ -133,6 +133,7 @@ SELECT qid, chunk_ord, rank, before, before - rank AS lift FROM (SELECT *, row_n
 sql("graph_edges", f"WITH {DOCS}, {EDGES} SELECT src, dst, phase::BIGINT AS phase FROM edges")
 sql("graph_stats", f"""WITH {DOCS}, {EDGES}, degree AS (SELECT d.doc_ord, count(e.src) AS d FROM docs d LEFT JOIN edges e ON e.src = d.doc_ord GROUP BY 1)
 SELECT count(*) AS nodes, (sum(d) // 2)::BIGINT AS edges, count(*) FILTER (WHERE d = 0) AS n_isolated, (SELECT string_agg(doc_ord || ':' || d, ',' ORDER BY d DESC, doc_ord) FROM (SELECT * FROM degree WHERE d > 0 ORDER BY d DESC, doc_ord LIMIT 5)) AS top_hubs FROM degree""")
+sql("graph_two_hops", f"WITH {DOCS}, {EDGES} SELECT DISTINCT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE b.dst <> a.src")
 sql("graph_expand", f"""WITH {BASE}, {EDGES}, pool AS (SELECT qid, chunk_ord, rank FROM lex WHERE rank <= 10),
 near AS (SELECT qid, dst, min(p.rank * 10000000000 + e.phase * 1000000000 + e.dst) AS o FROM pool p JOIN edges e ON e.src = p.chunk_ord WHERE p.rank <= 3 GROUP BY ALL),
 added AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o) AS r FROM near n WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.qid = n.qid AND p.chunk_ord = n.dst)) WHERE r <= 5),
@@ -154,13 +155,16 @@ FACTS = f"""{BASE}, ctx AS (SELECT qid, string_agg(c.text, chr(10) ORDER BY rank
 facts AS (SELECT qid, (CASE WHEN qid % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS n_facts, contains(coalesce(t, ''), query)::BIGINT + (CASE WHEN qid % 3 = 0 THEN contains(coalesce(t, ''), 'never said')::BIGINT ELSE 0 END) AS n_found, query, t FROM questions LEFT JOIN ctx USING (qid))"""
 sql("fact_recall", f"WITH {FACTS} SELECT qid, n_facts, n_found, round(n_found::DOUBLE / n_facts, 6) AS fact_recall, (n_found = n_facts)::BIGINT AS fact_complete FROM facts")
 sql("missing_facts", f"WITH {FACTS} SELECT qid, concat_ws('|', CASE WHEN NOT contains(coalesce(t, ''), query) THEN query END, CASE WHEN qid % 3 = 0 THEN 'never said' END) AS missing FROM facts WHERE n_found < n_facts")
-sql("gold_lint", f"""WITH {GOLD}, c AS (SELECT 'c' || (b.item_id // 2) AS case_id, b.item_id AS ord, b.text AS question, CASE b.item_id % 7 WHEN 3 THEN 'partial' WHEN 5 THEN 'refuse' END AS expect,
-  list_concat(coalesce((SELECT list(g.doc_id::VARCHAR) FROM gold_pairs g WHERE g.qid = b.item_id), []), CASE WHEN b.item_id % 5 = 1 THEN ['nowhere'] ELSE [] END) AS ids, CASE WHEN b.item_id % 4 = 2 THEN 'never said' ELSE b.text END AS must, b.item_id % 6 = 4 AS blank FROM benchmark b)
+CASES = f"""{GOLD}, c AS (SELECT 'c' || (b.item_id // 2) AS case_id, b.item_id AS ord, b.text AS question, CASE b.item_id % 7 WHEN 3 THEN 'partial' WHEN 5 THEN 'refuse' END AS expect,
+  list_concat(coalesce((SELECT list(g.doc_id::VARCHAR) FROM gold_pairs g WHERE g.qid = b.item_id), []), CASE WHEN b.item_id % 5 = 1 THEN ['nowhere'] ELSE [] END) AS ids, CASE WHEN b.item_id % 4 = 2 THEN 'never said' ELSE b.text END AS must, b.item_id % 6 = 4 AS blank FROM benchmark b)"""
+sql("gold_lint", f"""WITH {CASES}
 SELECT case_id, 'duplicate id' AS problem, '' AS about FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ord) AS r FROM c) WHERE r > 1
 UNION ALL SELECT case_id, 'blank note', '' FROM c WHERE blank UNION ALL SELECT case_id, 'unknown document', 'nowhere' FROM c WHERE list_contains(ids, 'nowhere')
 UNION ALL SELECT case_id, 'fact not in gold documents', must FROM c WHERE NOT EXISTS (SELECT 1 FROM documents d JOIN gold_pairs g USING (doc_id) WHERE g.qid = c.ord AND contains(d.text, must))
 UNION ALL SELECT case_id, 'refusal with facts', '' FROM c WHERE coalesce(expect, CASE WHEN len(ids) > 0 THEN 'answer' ELSE 'refuse' END) = 'refuse'
 UNION ALL SELECT case_id, 'partial with documents', '' FROM c WHERE expect = 'partial' AND len(ids) > 0""")
+EXPECTED = "coalesce(expect, CASE WHEN len(ids) > 0 THEN 'answer' ELSE 'refuse' END)"
+sql("case_slice", f"WITH {CASES}, r AS (SELECT * FROM c WHERE {EXPECTED} <> 'answer'), f AS (SELECT min(ord) AS first FROM r WHERE case_id = 'c3') SELECT case_id, ord FROM r, f WHERE first IS NULL OR ord >= first ORDER BY ord LIMIT 10")
 sql("diag_answer_chunks", f"WITH {DOCS}, {windows(300, 60)}, {GOLD} SELECT g.qid, count(*) AS n_chunks, count(*) FILTER (WHERE contains(c.text, b.text)) AS n_answer FROM gold_pairs g JOIN chunks c ON c.doc_ord = g.doc_id JOIN benchmark b ON b.item_id = g.qid GROUP BY 1")
 sql("diag_ranks", f"WITH {BOTH}, {GOLD} SELECT g.qid, min(lex.rank) AS bm25_rank, min(sem.rank) AS vector_rank FROM gold_pairs g LEFT JOIN lex ON lex.qid = g.qid AND lex.chunk_ord = g.doc_id LEFT JOIN sem ON sem.qid = g.qid AND sem.chunk_ord = g.doc_id GROUP BY 1")
 SCORES = f"{BASE}, {GOLD}, top AS (SELECT qid, qid IN (SELECT qid FROM gold_pairs) AS answerable, max_by(score, -rank) AS top1, round(max_by(score, -rank) - max_by(score, rank), 6) AS gap FROM lex WHERE rank <= 5 GROUP BY qid), ends AS (SELECT min(top1) FILTER (WHERE answerable) AS lo, max(top1) FILTER (WHERE NOT answerable) AS hi FROM top)"
@@ -188,15 +192,18 @@ verdicts AS (SELECT answer_id, count(*) FILTER (WHERE severity = 'error') AS err
 for name, rules in (("attr_refusal", ("refusal.required", "refusal.with-claims", "refusal.no-reason", "claims.empty")), ("attr_unknown_chunk", ("cite.unknown-chunk",)), ("attr_quote", ("quote.not-substring",)), ("attr_number", ("number.unsupported",)), ("attr_summary", ("summary.unclaimed-number",))):
     sql(name, f"WITH {ANSWERS} SELECT answer_id, rule, severity, path, message, detail FROM issues WHERE rule IN ({', '.join(repr(r) for r in rules)})")
 sql("attr_verdict", f"WITH {ANSWERS} SELECT * FROM verdicts")
-sql("attr_rule_hist", f"WITH {ANSWERS} SELECT rule, count(*) AS n FROM issues GROUP BY 1")
+sql("attr_rule_hist", f"WITH {ANSWERS} SELECT rule, count(*) AS n FROM issues WHERE severity = 'error' GROUP BY 1")
 sql("repair_text", f"""WITH {ANSWERS}, e AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY ord) AS i FROM issues WHERE severity = 'error')
 SELECT answer_id, '{REPAIR_HEAD}' || chr(10) || string_agg(i || '. [' || rule || '] ' || path || ': ' || message, chr(10) ORDER BY i) || chr(10) || '{REPAIR_TAIL}' AS repair FROM e GROUP BY 1""")
 sql("attr_report", f"""WITH {ANSWERS} SELECT answer_id, CASE WHEN passed THEN '✅ 归因校验通过（' || claims || ' 条断言逐条溯源，' || warns || ' 条提醒）' ELSE '❌ 归因校验未通过：' || errors || ' 个错误 / ' || warns || ' 条提醒' END AS head FROM verdicts""")
-RUNS = f"""{ANSWERS}, runs AS (SELECT run, answer_id AS case_id, expected, refused, CASE expected WHEN 'answer' THEN NOT refused WHEN 'refuse' THEN refused ELSE refused OR r = 3 END AS honest, errors, errors = 0 AS clean, 0.25::DOUBLE AS cost
+RUNS = f"""{ANSWERS}, runs AS (SELECT run, answer_id AS case_id, expected, refused, CASE expected WHEN 'answer' THEN NOT refused WHEN 'refuse' THEN refused ELSE refused OR r = 3 END AS honest, errors, CASE WHEN r = 2 THEN 2 WHEN r = 4 AND run = 1 THEN 1 ELSE 0 END AS rounds, 0.25::DOUBLE AS cost
 FROM (SELECT run, answer_id, r, CASE WHEN insufficient THEN CASE WHEN qid % 2 = 0 THEN 'refuse' ELSE 'partial' END ELSE 'answer' END AS expected, CASE WHEN run = 2 AND r = 4 THEN NOT refused ELSE refused END AS refused, errors FROM ans JOIN verdicts USING (answer_id), range(3) t(run)))"""
 sql("answer_honesty", f"WITH {RUNS} SELECT run::INT AS run, case_id, expected, honest FROM runs")
-RATES = """count(*) AS n, count(*) FILTER (WHERE honest) AS n_honest, count(*) FILTER (WHERE expected = 'refuse' AND honest) AS refuse_ok, count(*) FILTER (WHERE expected = 'partial' AND honest) AS partial_ok,
-count(*) FILTER (WHERE expected = 'answer' AND NOT refused) AS answered, count(*) FILTER (WHERE expected = 'answer' AND refused) AS conservative, count(*) FILTER (WHERE NOT refused AND clean) AS clean, round(sum(cost), 6) AS cost"""
+CLEAN = "rounds = 0 AND errors = 0"
+RATES = f"""count(*) AS n, count(*) FILTER (WHERE honest) AS n_honest, count(*) FILTER (WHERE expected = 'refuse' AND refused) AS refuse_ok, count(*) FILTER (WHERE expected = 'partial' AND honest) AS partial_ok,
+count(*) FILTER (WHERE expected = 'answer' AND NOT refused) AS answered, count(*) FILTER (WHERE expected = 'partial' AND refused) AS conservative, count(*) FILTER (WHERE expected = 'answer' AND {CLEAN}) AS clean, round(sum(cost), 6) AS cost"""
 sql("answer_rates", f"WITH {RUNS} SELECT run::INT AS run, {RATES} FROM runs GROUP BY 1 UNION ALL SELECT NULL, {RATES} FROM runs")
-sql("run_stability", f"WITH {RUNS}, x AS (SELECT run, avg(honest::INT) AS rate FROM runs GROUP BY 1) SELECT round(avg(rate), 6) AS mean, round(stddev_pop(rate), 6) AS sd, count(*) AS runs FROM x")
-sql("flaky_cases", f"WITH {RUNS} SELECT case_id, count(*) AS n, count(*) FILTER (WHERE honest) AS n_honest, count(*) FILTER (WHERE clean) AS n_clean FROM runs GROUP BY 1 HAVING count(*) >= 2 AND (count(DISTINCT honest) > 1 OR count(DISTINCT clean) > 1)")
+sql("run_stability", f"""WITH {RUNS}, x AS (SELECT run, coalesce(avg(honest::INT) FILTER (WHERE expected = 'refuse'), 1) AS honest, coalesce(avg(({CLEAN})::INT) FILTER (WHERE expected = 'answer'), 1) AS clean FROM runs GROUP BY 1)
+SELECT round(avg(honest), 6) AS honest_mean, round(stddev_pop(honest), 6) AS honest_sd, round(avg(clean), 6) AS clean_mean, round(stddev_pop(clean), 6) AS clean_sd, count(*) AS runs FROM x""")
+sql("flaky_cases", f"""WITH {RUNS} SELECT case_id, count(*) AS n, count(*) FILTER (WHERE honest) AS n_honest, count(*) FILTER (WHERE {CLEAN}) AS n_clean FROM runs GROUP BY 1
+HAVING count(*) >= 2 AND (count(DISTINCT honest) > 1 OR count(DISTINCT ({CLEAN})) > 1)""")

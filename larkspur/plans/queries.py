@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import contains, first_line
-from larkspur.functions.vectors import fake_embed, l2_normalize, overlap_score
+from larkspur.functions.text import contains, han_tokens
+from larkspur.functions.vectors import fake_embed, l2_normalize, mulberry32, overlap_score
 from larkspur.operators import attribution, evaluate, fusion, lexical, segment, vector
+from larkspur.operators.containment import find_contained
 from larkspur.plans.pipeline import Retriever
 from larkspur.sources import corpus
 
@@ -32,7 +34,8 @@ class Inputs:
         self.questions = self.table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
     def chunks(self, size: int = 300, overlap: int = 0) -> DataFrame:
-        return segment.chunk_fixed(self.docs, size, overlap).withColumn("doc_ord", F.col("doc_id").cast("long"))
+        docs = self.docs.withColumn("title_terms", lexical.tokens(F.col("title")))
+        return segment.chunk_fixed(docs, size, overlap).withColumn("doc_ord", F.col("doc_id").cast("long"))
 
     def doc_chunks(self) -> DataFrame:
         """Each document as one chunk."""
@@ -57,8 +60,8 @@ class Inputs:
         return fusion.fuse_routes({"bm25": self.lex(size), "vector": self.sem(size)}, size).select("qid", "chunk_ord", "rank", "score")
 
     def gold(self) -> DataFrame:
-        """(qid, gold): the documents in which an item's text stands. The items are the small side: Spark broadcasts them if their size allows it."""
-        hits = self.table("documents").select("doc_id", "text").join(self.questions, contains(F.col("text"), F.col("query"))).select("qid", "doc_id")
+        """(qid, gold): the documents in which an item's text stands."""
+        hits = find_contained(self.table("documents").select("doc_id", "text"), self.questions, "doc_id")
         by = hits.groupBy("qid").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
         return self.questions.select("qid").join(by, "qid", "left").select("qid", F.coalesce("gold", F.array().cast("array<long>")).alias("gold"))
 
@@ -104,7 +107,8 @@ class Inputs:
         expected = F.when(F.col("insufficient"), F.when(F.col("qid") % 2 == 0, "refuse").otherwise("partial")).otherwise("answer")
         rows = rows.withColumn("expected", expected).withColumn("refused", F.when((F.col("run") == 2) & (F.col("r") == 4), ~F.col("refused")).otherwise(F.col("refused")))
         rows = rows.withColumn("honest", attribution.honest(F.col("expected"), F.col("refused"), F.col("gaps")))
-        return rows.select("run", F.col("answer_id").alias("case_id"), "expected", "refused", "honest", "errors", (F.col("errors") == 0).alias("clean"), F.lit(0.25).alias("cost"))
+        rounds = F.when(F.col("r") == 2, 2).when((F.col("r") == 4) & (F.col("run") == 1), 1).otherwise(0)
+        return rows.select("run", F.col("answer_id").alias("case_id"), "expected", "refused", "honest", "errors", rounds.alias("rounds"), F.lit(0.25).alias("cost"))
 
     def rerank_scores(self) -> DataFrame:
         hits = lexical.search(self.index(), self.questions, 5)
@@ -153,7 +157,7 @@ def _cache(i: Inputs) -> DataFrame:
 
 
 def _vector_chunks(i: Inputs) -> DataFrame:
-    return i.table("embeddings").where("label < 5").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("chunk_ord"))
+    return i.table("embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("chunk_ord"))
 
 
 @query
@@ -177,7 +181,8 @@ def vector_coverage(spark, sf_dir):
 @query
 def vector_roundtrip(spark, sf_dir):
     e = Inputs(spark, sf_dir).table("embeddings").select("vec_id", "embedding", F.col("embedding").alias("was"))
-    return corpus.unpack_vectors(corpus.pack_vectors(e)).select("vec_id", (F.col("embedding") == F.col("was")).alias("same"))
+    back = corpus.unpack_vectors(corpus.pack_vectors(e))
+    return back.select("vec_id", (F.col("embedding") == F.col("was")).alias("same"), F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
 # Segmentation
@@ -229,14 +234,33 @@ def chunk_stats(spark, sf_dir):
 
 @query
 def chunk_invariant(spark, sf_dir):
+    """By strategy: whether there are chunks, and how many aren't the text between their offsets."""
     i = Inputs(spark, sf_dir)
-    bad = [segment.chunk_faults(i.docs, segment.chunk_by(i.docs, s)) for s in ("fixed", "overlap", "structure", "parent-child")]
-    return bad[0].unionAll(bad[1]).unionAll(bad[2]).unionAll(bad[3]).agg(F.count(F.lit(1)).alias("n_faults"))
+    parts = []
+    for name in ("fixed", "overlap", "structure", "parent-child"):
+        chunks = segment.chunk_by(i.docs, name)
+        faults = segment.chunk_faults(i.docs, chunks).agg(F.count(F.lit(1)).alias("n_faults"))
+        parts.append(chunks.agg(F.lit(name).alias("strategy"), (F.countDistinct("doc_id") == F.lit(0)).alias("empty")).crossJoin(faults))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
 @query
 def chunk_coverage(spark, sf_dir):
-    return segment.chunk_holes(Inputs(spark, sf_dir).chunks(300, 60)).agg(F.count(F.lit(1)).alias("n_holes"))
+    """By overlap: chunks, and how many begin after the one before has ended."""
+    i = Inputs(spark, sf_dir)
+    parts = []
+    for overlap in (0, 60):
+        chunks = i.chunks(300, overlap)
+        holes = segment.chunk_holes(chunks).agg(F.count(F.lit(1)).alias("n_holes"))
+        parts.append(chunks.agg(F.lit(overlap).alias("overlap"), F.count(F.lit(1)).alias("n_chunks"), F.sum(F.col("end") - F.col("start")).alias("n_chars")).crossJoin(holes))
+    return parts[0].unionAll(parts[1])
+
+
+@query
+def han_terms(spark, sf_dir):
+    """Terms of Han words by a lexicon, before those of the title."""
+    docs = Inputs(spark, sf_dir).docs
+    return docs.select("doc_ord", F.array_join(han_tokens(F.concat(F.lit("玄武岩是喷出岩 "), "title"), ["玄武岩", "喷出岩"]), " ").alias("terms"))
 
 
 # Lexical search
@@ -276,7 +300,7 @@ def bm25_topk(spark, sf_dir):
 @query
 def bm25_matched(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    hits = lexical.search(i.index(), i.questions, 5)
+    hits = lexical.search(i.index(), i.questions, 5, matched=True)
     return hits.select("qid", "chunk_ord", F.col("rank").cast("long").alias("rank"), F.array_join("matched", " ").alias("matched"))
 
 
@@ -313,27 +337,58 @@ def fake_vector_topk(spark, sf_dir):
 
 
 @query
-def ann_lsh_topk(spark, sf_dir):
+def seeded_random(spark, sf_dir):
+    e = Inputs(spark, sf_dir).table("embeddings")
+    return e.select("vec_id", F.round(mulberry32(7, F.col("vec_id")), 9).alias("value"))
+
+
+@query
+def ann_topk(spark, sf_dir):
     e, q = _embeddings(Inputs(spark, sf_dir))
-    return vector.lsh_search(e, q, 10, dim=64).select("qid", "chunk_ord", "score", F.col("rank").cast("long").alias("rank"))
+    return vector.ann_search(e, q, vector.fit_cells(e), 10).select("qid", "chunk_ord", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def ann_first(spark, sf_dir):
+    """How many hits approximate search has for each query, and the first of them: the query itself, which is in the table."""
+    by = ann_topk(spark, sf_dir).groupBy("qid")
+    return by.agg(F.count(F.lit(1)).alias("n_hits"), F.min_by("chunk_ord", "rank").alias("first"), F.round(F.max("score"), 4).alias("score"))
+
+
+def _copies(e: DataFrame, times: int) -> DataFrame:
+    """Each vector and times - 1 perturbed copies of it; ids are those of the vectors, times 100."""
+    noise = F.transform("embedding", lambda x, i: (x + F.when(F.col("k") == 0, F.lit(0.0)).otherwise((F.pmod(F.xxhash64("chunk_ord", F.col("k"), i), F.lit(2001)) / 1000.0 - 1.0) * 0.03)).cast("float"))
+    return e.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).select((F.col("chunk_ord") * 100 + F.col("k")).alias("chunk_ord"), noise.alias("embedding"))
 
 
 @query
 def ann_recall(spark, sf_dir):
-    """Recall, and the share of pairs that were scored: of the embeddings themselves, which ann_lsh_topk searches, and of perturbed copies of them."""
+    """Whether approximate search finds nine tenths of what the exact one does: on the embeddings themselves, and on ten perturbed copies of each."""
     e, q = _embeddings(Inputs(spark, sf_dir))
-    noise = lambda k: F.transform("embedding", lambda x, i: (x + (F.pmod(F.xxhash64("chunk_ord", F.lit(k), i), F.lit(2001)) / 1000.0 - 1.0) * 0.03).cast("float"))
-    copies = e.select((F.col("chunk_ord") * 10).alias("chunk_ord"), "embedding")
-    for k in range(1, 10):
-        copies = copies.unionAll(e.select((F.col("chunk_ord") * 10 + k).alias("chunk_ord"), noise(k).alias("embedding")))
-    return _recall("table", e, q).unionAll(_recall("copies", copies, q.withColumn("qid", F.col("qid") * 10)))
+    parts = []
+    for name, vectors, asked in (("table", e, q), ("copies", _copies(e, 10), q.withColumn("qid", F.col("qid") * 100))):
+        got = vector.recall(vector.ann_search(vectors, asked, vector.fit_cells(vectors), 10), vector.search(vectors, asked, 10))
+        parts.append(got.select(F.lit(name).alias("vectors"), "n_true", (F.col("recall") >= 0.9).alias("reached")))
+    return parts[0].unionAll(parts[1])
 
 
-def _recall(name: str, vectors: DataFrame, q: DataFrame) -> DataFrame:
-    found, truth = vector.lsh_search(vectors, q, 10, dim=64), vector.search(vectors, q, 10)
-    pairs = vector.lsh_candidates(vectors, q, key="chunk_ord", dim=64).agg(F.count(F.lit(1)).alias("n_scored"))
-    every = vectors.agg(F.count(F.lit(1)).alias("n")).crossJoin(q.agg(F.count(F.lit(1)).alias("nq"))).select((F.col("n") * F.col("nq")).alias("n_pairs"))
-    return vector.recall(found, truth).crossJoin(pairs).crossJoin(every).select(F.lit(name).alias("vectors"), "recall", F.round(F.col("n_scored") / F.col("n_pairs"), 6).alias("share_scored"))
+@query
+def ann_benchmark(spark, sf_dir):
+    """On the embeddings and on 10 and 50 copies of each: recall of approximate search, the share of pairs that it multiplies, and milliseconds of fitting, of the exact search and of the other."""
+    e, q = _embeddings(Inputs(spark, sf_dir))
+    asked, rows = q.withColumn("qid", F.col("qid") * 100), []
+    for times in (1, 10, 50):
+        vectors, at = _copies(e, times), [time.perf_counter()]
+        cells = vector.fit_cells(vectors)
+        at.append(time.perf_counter())
+        truth = vector.search(vectors, asked, 10).toPandas()
+        at.append(time.perf_counter())
+        found = vector.ann_search(vectors, asked, cells, 10).toPandas()
+        at.append(time.perf_counter())
+        hit = len(truth.merge(found, on=["qid", "chunk_ord"])) / max(1, len(truth))
+        share = vector.share_scored(vectors, asked, cells).first()
+        rows.append((times, float(hit), share["n_scored"] / share["n_pairs"] if share["n_pairs"] else 0.0, *[(y - x) * 1000 for x, y in zip(at, at[1:])]))
+    return spark.createDataFrame(rows, "times int, recall double, share_scored double, fit_ms double, exact_ms double, ann_ms double")
 
 
 # Fusion, graph, reranking
@@ -401,6 +456,11 @@ def graph_stats(spark, sf_dir):
     return s.select("nodes", F.col("edges").cast("long").alias("edges"), "n_isolated", F.array_join(F.transform("top_hubs", lambda h: F.concat_ws(":", h["id"].cast("string"), h["degree"].cast("string"))), ",").alias("top_hubs"))
 
 
+@query
+def graph_two_hops(spark, sf_dir):
+    return fusion.two_hops(fusion.title_graph(Inputs(spark, sf_dir).docs))
+
+
 @query
 def graph_expand(spark, sf_dir):
     i = Inputs(spark, sf_dir)
@@ -495,9 +555,16 @@ def diag_ranks(spark, sf_dir):
     """The best rank of a gold document over the whole corpus, on each route."""
     i = Inputs(spark, sf_dir)
     gold = i.gold().select("qid", F.explode("gold").alias("chunk_ord"))
-    best = lambda r, name: gold.join(r, ["qid", "chunk_ord"]).groupBy("qid").agg(F.min("rank").cast("long").alias(name))
-    lex = lexical.rank(lexical.score(i.index(), i.questions))
-    return best(lex, "bm25_rank").join(best(i.sem(1_000_000_000), "vector_rank"), "qid", "full")
+    lex = lexical.best_ranks(i.index(), i.questions, gold).select("qid", F.col("rank").cast("long").alias("bm25_rank"))
+    sem = vector.best_ranks(i.doc_vectors(), i.query_vectors(), gold).select("qid", F.col("rank").cast("long").alias("vector_rank"))
+    return lex.join(sem, "qid", "full")
+
+
+@query
+def case_slice(spark, sf_dir):
+    """The first ten of the cases that aren't to be answered, from a case on."""
+    cases = evaluate.select_cases(Inputs(spark, sf_dir).cases(), refusal=True, start="c3", limit=10)
+    return cases.select("case_id", "ord")
 
 
 @query
@@ -589,8 +656,7 @@ def answer_rates(spark, sf_dir):
 
 @query
 def run_stability(spark, sf_dir):
-    rates = evaluate.answer_rates(Inputs(spark, sf_dir).runs()).where("run is not null")
-    return evaluate.run_stability(rates.withColumn("rate", F.col("n_honest") / F.col("n")), "rate")
+    return evaluate.run_stability(Inputs(spark, sf_dir).runs())
 
 
 @query

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable
 
 import numpy as np
@@ -108,6 +112,26 @@ def fetch_article(get: Callable[[str], tuple[int, dict, dict | None]], title: st
     raise RuntimeError(f"HTTP {status}")
 
 
+def article_url(title: str, api: str) -> str:
+    """Asks a MediaWiki API for an article's text, without markup, redirects followed."""
+    ask = {"action": "query", "format": "json", "formatversion": 2, "prop": "extracts", "explaintext": 1, "exsectionformat": "plain", "redirects": 1, "titles": title}
+    return f"{api}?{urllib.parse.urlencode(ask, quote_via=urllib.parse.quote)}"
+
+
+def http_get(api: str, agent: str, timeout: float = 30.0) -> Callable[[str], tuple[int, dict, dict | None]]:
+    """A get for fetch_article over the network."""
+
+    def get(title: str) -> tuple[int, dict, dict | None]:
+        request = urllib.request.Request(article_url(title, api), headers={"User-Agent": agent})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                return answer.status, {k.lower(): v for k, v in answer.headers.items()}, json.load(answer)
+        except urllib.error.HTTPError as e:
+            return e.code, {k.lower(): v for k, v in e.headers.items()}, None
+
+    return get
+
+
 def embed_todo(chunks: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     """Chunks without a vector of this model."""
     return chunks.join(cache.where(F.col("model") == model).select("chunk_id"), "chunk_id", "left_anti")

@@ -109,12 +109,30 @@ def test_lint(spark):
 
 
 def test_reports(spark):
-    runs = spark.createDataFrame([(0, "c", "answer", False, True, 0, True, 1.0), (1, "c", "answer", True, False, 0, True, 1.0), (0, "d", "refuse", True, True, 0, True, 1.0), (1, "d", "refuse", True, True, 0, True, 1.0)], "run int, case_id string, expected string, refused boolean, honest boolean, errors long, clean boolean, cost double")
-    rates = {r["run"]: (r["n"], r["n_honest"], r["conservative"], r["cost"]) for r in evaluate.answer_rates(runs).collect()}
-    assert rates == {0: (2, 2, 0, 2.0), 1: (2, 1, 1, 2.0), None: (4, 3, 1, 4.0)}
-    assert [r["case_id"] for r in evaluate.flaky_cases(runs).collect()] == ["c"]
-    s = evaluate.run_stability(evaluate.answer_rates(runs).where("run is not null").withColumn("x", F.col("n_honest") / F.col("n")), "x").first()
-    assert (s["mean"], s["sd"]) == (0.75, 0.25)
+    rows = [(0, "c", "answer", False, True, 0, 0), (1, "c", "answer", True, False, 0, 0), (0, "d", "refuse", True, True, 0, 0), (1, "d", "refuse", True, True, 0, 0)]
+    rows += [(0, "e", "partial", True, True, 0, 0), (1, "e", "partial", False, True, 1, 0), (0, "f", "answer", False, True, 0, 2), (1, "f", "answer", False, True, 0, 0), (1, "g", "refuse", False, False, 0, 0)]
+    runs = spark.createDataFrame([(*r, 1.0) for r in rows], "run int, case_id string, expected string, refused boolean, honest boolean, rounds int, errors long, cost double")
+    rates = {r["run"]: tuple(r)[1:] for r in evaluate.answer_rates(runs).collect()}
+    # n, honest, refuse_ok, partial_ok, answered, conservative, clean, cost
+    assert rates == {0: (4, 4, 1, 1, 2, 1, 1, 4.0), 1: (5, 3, 1, 1, 1, 0, 2, 5.0), None: (9, 7, 2, 2, 3, 1, 3, 9.0)}
+    assert sorted(r["case_id"] for r in evaluate.flaky_cases(runs).collect()) == ["c", "e", "f"]
+    s = evaluate.run_stability(runs).first()
+    assert (s["honest_mean"], s["honest_sd"], s["clean_mean"], s["clean_sd"], s["runs"]) == (0.75, 0.25, 0.75, 0.25, 2)
+    alone = evaluate.run_stability(runs.where("expected = 'partial'")).first()
+    assert (alone["honest_mean"], alone["clean_mean"]) == (1.0, 1.0)
+    found = spark.createDataFrame([("r", "error"), ("r", "error"), ("w", "warn")], "rule string, severity string")
+    assert [tuple(r) for r in evaluate.rule_histogram(found).collect()] == [("r", 2)]
+    assert evaluate.report_table(spark.createDataFrame([("bm25", 0.5, 3), ("hybrid", None, 4)], "label string, recall double, n int")) == "        bm25   hybrid\nrecall  0.500  -\nn       3      4"
+
+
+def test_slices_of_a_gold_set(spark):
+    cases = spark.createDataFrame([(f"g{k}", k, e, ["d"] if k % 2 else []) for k, e in enumerate([None, None, "partial", "refuse", None])], "case_id string, ord long, expect string, gold_doc_ids array<string>")
+    ids = lambda **more: sorted(r["case_id"] for r in evaluate.select_cases(cases, **more).collect())
+    assert ids() == ["g0", "g1", "g2", "g3", "g4"] and ids(refusal=True) == ["g0", "g2", "g3", "g4"]
+    assert ids(start="g3") == ["g3", "g4"] and ids(start="none", limit=2) == ["g0", "g1"] and ids(refusal=True, start="g2", limit=1) == ["g2"]
+
+
+def test_score_gaps(spark):
     gaps = spark.createDataFrame([("a", True, 5.0, 1.0), ("b", True, 7.0, 2.0), ("c", False, 1.0, 0.5)], "case_id string, answerable boolean, top1 double, gap double")
     c = {r["answerable"]: (r["median_top1"], r["threshold"]) for r in evaluate.calibrate(gaps).collect()}
     assert c == {True: (7.0, 3.0), False: (1.0, 3.0)} and evaluate.overlapping(gaps).count() == 0

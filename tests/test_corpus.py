@@ -57,6 +57,45 @@ def test_fetch_waits_and_gives_up():
         corpus.fetch_article(lambda t: (404, {}, None), "t")
 
 
+def test_a_question_is_expanded_once(spark):
+    class Counted:
+        def expand(self, question):
+            import uuid
+
+            return [question, uuid.uuid4().hex]
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
+    df = spark.createDataFrame([(k, "same") for k in range(20)] + [(20, "other")], "qid long, query string").repartition(4)
+    rows = expand_questions(df, Counted()).collect()
+    assert len(rows) == 42 and len({r["query"] for r in rows if r["variant"] == 1}) == 2
+
+
+def test_article_urls_and_the_schema_of_answers():
+    assert corpus.article_url("a b&c", "https://host/w/api.php").endswith("&redirects=1&titles=a%20b%26c")
+    from larkspur.schema import answer_json_schema
+
+    s = answer_json_schema()
+    assert "refusalReason" not in s["required"] and s["properties"]["claims"]["items"]["properties"]["quote"]["minLength"] == 2
+
+
+def test_seeded_numbers(spark):
+    from larkspur.functions.vectors import mulberry32
+
+    def by_hand(seed, n):
+        out, a = [], seed
+        for _ in range(n):
+            a = (a + 0x6D2B79F5) % 2**32
+            t = (a ^ a >> 15) * (a | 1) % 2**32
+            t = (t + (t ^ t >> 7) * (t | 61)) % 2**32 ^ t
+            out.append((t ^ t >> 14) / 2**32)
+        return out
+
+    got = [r[0] for r in spark.range(40).coalesce(1).select(mulberry32(2026, F.col("id"))).collect()]
+    assert got == by_hand(2026, 40)
+
+
 def test_vectors_round_trip_bit_by_bit(spark):
     x = np.random.default_rng(0).standard_normal((3, 8)).astype(np.float32)
     df = spark.createDataFrame([(f"c{k}", "m", v.tolist()) for k, v in enumerate(x)], "chunk_id string, model string, embedding array<float>")

@@ -21,7 +21,7 @@ def questions(spark, *texts):
 
 
 def hits(index, spark, text, k=5):
-    return [(r["chunk_ord"], r["score"], r["matched"]) for r in lexical.search(index, questions(spark, text), k).orderBy("rank").collect()]
+    return [(r["chunk_ord"], r["score"], r["matched"]) for r in lexical.search(index, questions(spark, text), k, matched=True).orderBy("rank").collect()]
 
 
 def test_tokens(spark):
@@ -75,28 +75,74 @@ def test_vector_search_and_blocks(spark, monkeypatch):
         assert got == want
 
 
-def test_lsh_recall_on_perturbed_copies(spark):
+def vectors_of(spark, x):
+    return spark.createDataFrame([(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)], "chunk_ord long, embedding array<float>")
+
+
+def test_matrices_and_joins_score_alike(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(40)]
+    c = chunks(spark, *[" ".join(rng.choices(words[: rng.choice([5, 40])], k=rng.randint(0, 30))) for _ in range(90)], titles=[rng.choice(words) for _ in range(90)]).repartition(3)
+    q = questions(spark, "w0 w1 w1 w39", "nowhere", "", "w7", *[" ".join(rng.choices(words, k=6)) for _ in range(9)])
+    index = lexical.build_index(c)
+    rows = lambda: sorted((r["qid"], r["rank"], r["chunk_ord"], round(r["score"], 5)) for r in lexical.search(index, q, 7).collect())
+    fast = rows()
+    monkeypatch.setattr(lexical, "HELD", 50)
+    assert rows() == fast and len(fast) > 50
+    targets = spark.createDataFrame([(k, o) for k in range(13) for o in (3 * k, 80 - k)] + [(99, 1)], "qid long, chunk_ord long")
+    best = lambda: {r["qid"]: r["rank"] for r in lexical.best_ranks(index, q, targets).collect()}
+    ranks = best()
+    monkeypatch.setattr(lexical, "WANTED", 0)
+    assert rows() == fast and best() == ranks and len(ranks) > 5
+
+
+def test_cells_find_nine_tenths_of_random_vectors(spark):
+    rng = np.random.default_rng(7)
+    x = rng.uniform(-1, 1, (500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df, q = vectors_of(spark, x), vectors_of(spark, rng.uniform(-1, 1, (20, 32))).withColumnRenamed("chunk_ord", "qid")
+    truth, cells = vector.search(df, q, 10), vector.fit_cells(df)
+    got = [vector.recall(vector.ann_search(df, q, vector.Cells(cells.centroids, p), 10), truth).first()["recall"] for p in (1, cells.probes, len(cells.centroids))]
+    assert got[1] >= 0.9 and got[0] <= got[1] <= got[2] == 1.0
+    itself = vector.ann_search(df, df.where("chunk_ord < 30").withColumnRenamed("chunk_ord", "qid"), vector.Cells(cells.centroids, 1), 1)
+    assert itself.where("qid = chunk_ord").count() == 30
+    assert (vector.fit_cells(df).centroids == cells.centroids).all()
+
+
+def test_cells_scan_little_where_vectors_have_neighbours(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 32))
     x = np.concatenate([base + 0.03 * rng.standard_normal(base.shape) for _ in range(12)])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    df = spark.createDataFrame([(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)], "chunk_ord long, embedding array<float>")
+    df = vectors_of(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
     q = df.where("chunk_ord < 20").withColumnRenamed("chunk_ord", "qid")
-    truth = vector.search(df, q, 10)
-    recalls = [vector.recall(vector.lsh_search(df, q, 10, dim=32, tables=t), truth).first()["recall"] for t in (2, 8)]
-    share = vector.lsh_candidates(df, q, key="chunk_ord", dim=32).count() / (20 * len(x))
-    assert recalls[1] >= 0.9 and recalls[1] >= recalls[0] and share < 0.2
-    assert vector.lsh_search(df, q, 1, dim=32).where("qid = chunk_ord").count() == 20
-    assert vector.search(df.where("false"), q, 3).count() == 0
-
-
-def test_ann_recall_measures_the_table_that_is_searched(spark, sf_dir):
-    from larkspur.plans.queries import QUERIES
-
-    got = {r["vectors"]: r["recall"] for r in QUERIES["ann_recall"](spark, sf_dir).collect()}
-    truth = {(r["qid"], r["chunk_ord"]) for r in QUERIES["vector_topk"](spark, sf_dir).collect()}
-    found = {(r["qid"], r["chunk_ord"]) for r in QUERIES["ann_lsh_topk"](spark, sf_dir).collect()}
-    assert set(got) == {"table", "copies"} and abs(got["table"] - len(found & truth) / len(truth)) < 1e-6
+    cells = vector.fit_cells(df)
+    assert vector.recall(vector.ann_search(df, q, cells, 10), vector.search(df, q, 10)).first()["recall"] >= 0.9
+    share = vector.share_scored(df, q, cells).first()
+    assert share["n_pairs"] == 20 * 480 and share["n_scored"] < 0.3 * share["n_pairs"]
+    none = df.where("false")
+    assert vector.search(none, q, 3).count() == 0 and vector.ann_search(none, q, vector.fit_cells(none), 3).count() == 0
+    one = vectors_of(spark, x[:1])
+    assert vector.ann_search(one, q, vector.fit_cells(one), 3).count() == 20
+
+
+def test_contained_strings(spark, monkeypatch):
+    from larkspur.operators import containment
+
+    texts = spark.createDataFrame([(0, "abcd"), (1, "bc"), (2, None), (3, ""), (4, "xbcx abcd")], "doc_id long, text string")
+    strings = spark.createDataFrame([(0, "bc"), (1, "abcd"), (2, ""), (3, None), (4, "none"), (5, "bc")], "qid long, query string")
+    want = {(0, 0), (0, 1), (0, 4), (5, 0), (5, 1), (5, 4), (1, 0), (1, 4), (2, 0), (2, 1), (2, 3), (2, 4)}
+    for most in (1 << 20, 0):
+        got = [tuple(r) for r in containment.find_contained(texts, strings, "doc_id", string_bytes=most).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_two_hops_and_ties_of_names(spark):
+    edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 1)], "src long, dst long")
+    assert sorted(map(tuple, fusion.two_hops(edges).collect())) == [(0, 2), (2, 0)]
+    lists = spark.createDataFrame([(0, r, k, 1) for r, k in (("a", "Zebra"), ("b", "apple"), ("c", "Äpfel"))], "qid long, route string, key string, rank int")
+    assert [r["key"] for r in fusion.rrf(lists, key="key").orderBy("rank").collect()] == ["Äpfel", "apple", "Zebra"] or [r["key"] for r in fusion.rrf(lists, key="key").orderBy("rank").collect()] == ["apple", "Äpfel", "Zebra"]
 
 
 def ranked(spark, **lists):
