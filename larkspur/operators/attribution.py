@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import contains, is_blank, numbers, quote_form, without_ids
+from larkspur.operators.frames import stacked
 
 #: What each rule says; %s stands for the id or the numbers in question.
 MESSAGES = {
@@ -39,9 +40,9 @@ def refusal_issues(answers: DataFrame) -> DataFrame:
     none = F.coalesce(is_blank(F.col("refusal_reason")), F.lit(True))
     at = lambda k: F.lit(k)
     out = _issue(rows, "refusal.required", F.coalesce("insufficient", F.lit(False)) & ~refused, at(0), F.lit("refused"))
-    out = out.unionAll(_issue(rows, "refusal.with-claims", refused & (claims > 0), at(1), F.lit("claims")))
-    out = out.unionAll(_issue(rows, "refusal.no-reason", refused & none, at(2), F.lit("refusalReason")))
-    return out.unionAll(_issue(rows, "claims.empty", ~refused & (claims <= 0), at(3), F.lit("claims")))
+    out = stacked(out, _issue(rows, "refusal.with-claims", refused & (claims > 0), at(1), F.lit("claims")))
+    out = stacked(out, _issue(rows, "refusal.no-reason", refused & none, at(2), F.lit("refusalReason")))
+    return stacked(out, _issue(rows, "claims.empty", ~refused & (claims <= 0), at(3), F.lit("claims")))
 
 
 def claim_sources(answers: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -57,8 +58,8 @@ def claim_issues(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     at = lambda k: 10 + 3 * F.col("i") + k
     known = F.col("source").isNotNull()
     out = _issue(rows, "cite.unknown-chunk", ~known, at(0), path, F.col("chunk_id"))
-    out = out.unionAll(_issue(rows, "quote.not-substring", known & ~contains(quote_form(F.col("source")), quote_form(F.col("quote"))), at(1), path, None, F.substring("quote", 1, 60)))
-    return out.unionAll(_issue(rows, "number.unsupported", known & (F.size("bad") > 0), at(2), path, F.concat_ws("、", "bad"), F.substring("claim_text", 1, 60)))
+    out = stacked(out, _issue(rows, "quote.not-substring", known & ~contains(quote_form(F.col("source")), quote_form(F.col("quote"))), at(1), path, None, F.substring("quote", 1, 60)))
+    return stacked(out, _issue(rows, "number.unsupported", known & (F.size("bad") > 0), at(2), path, F.concat_ws("、", "bad"), F.substring("claim_text", 1, 60)))
 
 
 def summary_issues(answers: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def summary_issues(answers: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def issues(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """All issues, (answer_id, ord, rule, severity, path, message, detail); ord gives their order in an answer."""
-    return refusal_issues(answers).unionAll(claim_issues(answers, evidence)).unionAll(summary_issues(answers, evidence)).select(_ISSUE)
+    return stacked(refusal_issues(answers), claim_issues(answers, evidence), summary_issues(answers, evidence)).select(_ISSUE)
 
 
 def verdicts(answers: DataFrame, found: DataFrame) -> DataFrame:

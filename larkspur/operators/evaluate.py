@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import contains, is_blank
+from larkspur.operators.frames import stacked
 
 
 def expected(expect: Column, gold_doc_ids: Column) -> Column:
@@ -71,10 +72,7 @@ def lint_gold(cases: DataFrame, docs: DataFrame) -> DataFrame:
         out(cases.where((expected(F.col("expect"), F.col("gold_doc_ids")) == "refuse") & (size("must_contain") > 0)), "refusal with facts"),
         out(cases.where((F.col("expect") == "partial") & (size("gold_doc_ids") > 0)), "partial with documents"),
     ]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    return found
+    return stacked(*parts)
 
 
 def first_pass(rounds: Column, errors: Column) -> Column:

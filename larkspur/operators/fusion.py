@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import contains
+from larkspur.operators.frames import stacked
 from larkspur.operators.lexical import DIGITS, rank
 
 
@@ -22,7 +23,7 @@ def fuse_routes(routes: dict[str, DataFrame], size: int, key: str = "chunk_ord",
     lists = None
     for name, r in routes.items():
         part = r.select("qid", F.lit(name).alias("route"), key, "rank")
-        lists = part if lists is None else lists.unionAll(part)
+        lists = part if lists is None else stacked(lists, part)
     return rrf(lists, key, k).where(F.col("rank") <= size)
 
 
@@ -34,12 +35,12 @@ def guarantee(pool: DataFrame, routes: list[DataFrame], size: int, seats: int, k
     wanted = None
     for at, r in enumerate(routes):
         part = r.where(F.col("rank") <= seats).select("qid", key, F.lit(at).alias("route"), "rank")
-        wanted = part if wanted is None else wanted.unionAll(part)
+        wanted = part if wanted is None else stacked(wanted, part)
     firsts = wanted.groupBy("qid", key).agg(F.min(F.struct("route", "rank")).alias("o"))
     missing = firsts.join(pool.select("qid", key), ["qid", key], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("o")))
     count = missing.groupBy("qid").agg(F.count(F.lit(1)).alias("extra"))
     kept = pool.join(count, "qid", "left").withColumn("keep", F.lit(size) - F.coalesce("extra", F.lit(0))).where(F.col("rank") <= F.col("keep")).select("qid", key, F.lit(0).alias("part"), F.col("rank").alias("o"))
-    both = kept.unionAll(missing.select("qid", key, F.lit(1).alias("part"), F.col("r").alias("o")))
+    both = stacked(kept, missing.select("qid", key, F.lit(1).alias("part"), F.col("r").alias("o")))
     return both.select("qid", key, F.row_number().over(Window.partitionBy("qid").orderBy("part", "o")).alias("rank"))
 
 
@@ -60,10 +61,10 @@ def title_graph(docs: DataFrame) -> DataFrame:
     long = words.join(anchors, "w").select("doc_ord", "title").join(text, "doc_ord").where(contains(F.col("text"), F.col("title"))).select("doc_ord", "title")
     short = text.join(titles.where(F.size("inner") == 0).select("title"), contains(F.col("text"), F.col("title"))).select("doc_ord", "title")
     owners = d.where(F.length("title") >= 2).select(F.col("doc_ord").alias("owner"), "title")
-    mention = long.unionAll(short).join(owners, "title").where("doc_ord <> owner").select(F.col("doc_ord").alias("holder"), "owner")
+    mention = stacked(long, short).join(owners, "title").where("doc_ord <> owner").select(F.col("doc_ord").alias("holder"), "owner")
     out = mention.select(F.col("holder").alias("src"), F.col("owner").alias("dst"), F.when(F.col("owner") < F.col("holder"), 0).otherwise(2).alias("phase"))
     back = mention.select(F.col("owner").alias("src"), F.col("holder").alias("dst"), F.lit(1).alias("phase"))
-    return out.unionAll(back).groupBy("src", "dst").agg(F.min("phase").alias("phase")).withColumn("ord", F.col("dst"))
+    return stacked(out, back).groupBy("src", "dst").agg(F.min("phase").alias("phase")).withColumn("ord", F.col("dst"))
 
 
 def two_hops(edges: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def expand_pool(pool: DataFrame, edges: DataFrame, chunks: DataFrame, seeds: int
     extra = added.groupBy("qid").agg(F.count(F.lit(1)).alias("extra"))
     sizes = pool.groupBy("qid").agg(F.count(F.lit(1)).alias("size"))
     kept = pool.join(sizes, "qid").join(extra, "qid", "left").where(F.col("rank") <= F.greatest(F.lit(0), F.col("size") - F.coalesce("extra", F.lit(0)))).select("qid", "chunk_ord", F.lit(0).alias("part"), F.col("rank").alias("o"))
-    both = kept.unionAll(added.select("qid", "chunk_ord", F.lit(1).alias("part"), F.col("r").alias("o")))
+    both = stacked(kept, added.select("qid", "chunk_ord", F.lit(1).alias("part"), F.col("r").alias("o")))
     return both.select("qid", "chunk_ord", F.row_number().over(Window.partitionBy("qid").orderBy("part", "o")).alias("rank"))
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.frames import stacked
 from larkspur.operators.lexical import DIGITS, count_better, rank
 
 #: Bytes of query vectors that go to every worker at once.
@@ -67,7 +68,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, key: str = "ch
                 yield pd.DataFrame({"qid": np.repeat(ids, top.shape[1])[found], key: keys[top].ravel()[found], "score": best[found]})
 
         out = vectors.where(F.col(column).isNotNull()).select(key, column).mapInPandas(run, f"qid long, {key} {kind}, score double")
-        found = out if found is None else found.unionAll(out)
+        found = out if found is None else stacked(found, out)
     return rank(found, order=key).where(F.col("rank") <= k)
 
 

@@ -207,3 +207,34 @@ def test_pipeline_modes(spark):
     variants = spark.createDataFrame([(0, 0, "nowhere"), (0, 1, "word7"), (1, 0, "word2")], "qid long, variant int, query string")
     got = Retriever(c, mode="bm25", index=lexical.build_index(c)).search_variants(variants)[1]
     assert {(r["qid"], r["chunk_ord"]) for r in got.collect()} == {(0, 7), (1, 2)}
+
+
+def test_guarantee_is_the_same_however_shuffles_are_coalesced(spark):
+    """Routes of very different sizes, ranked by windows: each question has its ten seats, the five best of each route among them. The session's unions claim no partitioning."""
+    from larkspur.operators.frames import UNION_PARTITIONING
+    from larkspur.operators.lexical import rank
+
+    made = spark.range(0, 40_000, 1, 8).select((F.col("id") % 200).alias("qid"), (F.col("id") + 0).alias("chunk_ord"), F.lit("x" * 200).alias("pad"))
+    first = rank(made.withColumn("score", F.xxhash64("chunk_ord").cast("double"))).where("rank <= 10").select("qid", "chunk_ord", "rank")
+    second = rank(made.where("chunk_ord >= 30000 and qid < 150").drop("pad").withColumn("score", F.xxhash64("chunk_ord", F.lit(1)).cast("double"))).where("rank <= 10").select("qid", "chunk_ord", "rank")
+    pool = fusion.fuse_routes({"a": first, "b": second}, 10).select("qid", "chunk_ord", "rank")
+    got = fusion.guarantee(pool, [first, second], 10, 5).collect()
+    assert spark.conf.get(UNION_PARTITIONING) == "false"
+    lists = [{}, {}]
+    for at, r in enumerate((first, second)):
+        for x in r.collect():
+            lists[at].setdefault(x["qid"], {})[x["rank"]] = x["chunk_ord"]
+    expected = {}
+    for q, a in lists[0].items():
+        b, score = lists[1].get(q, {}), {}
+        for r in (a, b):
+            for place, c in r.items():
+                score[c] = score.get(c, 0) + 1 / (60 + place)
+        fused = sorted(score, key=lambda c: (-round(score[c], 9), c))[:10]
+        wanted = [a[i] for i in range(1, 6)] + [b[i] for i in range(1, 6) if i in b]
+        missing = [c for c in dict.fromkeys(wanted) if c not in fused]
+        expected[q] = fused[: 10 - len(missing)] + missing
+    by = {}
+    for x in sorted(got, key=lambda x: x["rank"]):
+        by.setdefault(x["qid"], []).append(x["chunk_ord"])
+    assert by == expected
