@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, lm_score, mixing, quality_rules, shingle_join, token_file
+from larkspur.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, lm_score, mixing, periodic_runs, quality_rules, shingle_join, token_file
 from larkspur.llm.storage import write_table
 
 #: A line on more than this share of a source's pages, and on more than one of them, is boilerplate.
@@ -128,6 +128,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), ids=False, digests=True).drop("text")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+    words = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+    docs = docs.withColumn("words", F.when(h % 10 == 0, words)).withColumn("n", F.greatest(F.size("words"), F.lit(0)).cast("long"))
+    a = F.when(F.col("n") > 0, g % F.col("n")).cast("int")
+    docs = docs.withColumn("a", a).withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    # From word a on, words a .. a + p - 1 again and again.
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times)), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    rows = periodic_runs.find_runs(docs.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    rows = rows.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), digest(lines).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+    run = rows.select("*", F.col("longest.start").alias("start"), (-F.col("longest.less")).alias("length"), F.col("longest.period").alias("period"))
+    return run.select("doc_id", "n_words", "n_runs", "start", "length", "period", F.floor(1000 * F.col("length") / F.col("period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -135,7 +156,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_shingle_join, op4_token_file, op5_embedding_dedup, op6_mixing, op7_line_dedup, op8_chat_format, op9_lm_score, op10_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_shingle_join, op4_token_file, op5_embedding_dedup, op6_mixing, op7_line_dedup, op8_chat_format, op9_lm_score, op10_bpe, op12_periodic_runs, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
