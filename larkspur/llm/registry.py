@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, lm_score, mixing, periodic_runs, quality_rules, shingle_join, token_file
+from larkspur.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, lm_score, mixing, periodic_runs, quality_rules, shingle_join, token_file, vantage_trees
 from larkspur.llm.storage import write_table
 
 #: A line on more than this share of a source's pages, and on more than one of them, is boilerplate.
@@ -128,6 +128,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), ids=False, digests=True).drop("text")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = vantage_trees.build_index(vectors)
+    return vantage_trees.search(index, vectors.where(F.col("vec_id") % 50 == 0), 5, factor=vantage_trees.fit_factor(index, 5))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -156,7 +162,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_shingle_join, op4_token_file, op5_embedding_dedup, op6_mixing, op7_line_dedup, op8_chat_format, op9_lm_score, op10_bpe, op12_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_shingle_join, op4_token_file, op5_embedding_dedup, op6_mixing, op7_line_dedup, op8_chat_format, op9_lm_score, op10_bpe, op11_nearest_neighbours, op12_periodic_runs, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
