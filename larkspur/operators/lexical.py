@@ -34,11 +34,16 @@ class LexicalIndex:
         return LexicalIndex(self.postings.persist(), self.stats.persist(), self.df.persist(), self.k1, self.b, None if self.terms is None else self.terms.persist())
 
 
-def chunk_terms(chunks: DataFrame, tokenize=tokens) -> DataFrame:
-    """(chunk_ord, terms): of title and text. Chunks may bring title_terms, found once a document."""
+def terms_of(chunks: DataFrame, tokenize=tokens) -> Column:
+    """The terms of a chunk's title and text. Chunks may bring title_terms, found once a document."""
     if "title_terms" in chunks.columns:
-        return chunks.select("chunk_ord", F.concat(F.coalesce("title_terms", F.array().cast("array<string>")), F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>"))).alias("terms"))
-    return chunks.select("chunk_ord", tokenize(F.concat_ws(" ", "title", "text")).alias("terms"))
+        return F.concat(F.coalesce("title_terms", F.array().cast("array<string>")), F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")))
+    return tokenize(F.concat_ws(" ", "title", "text"))
+
+
+def chunk_terms(chunks: DataFrame, tokenize=tokens) -> DataFrame:
+    """(chunk_ord, terms): of title and text."""
+    return chunks.select("chunk_ord", terms_of(chunks, tokenize).alias("terms"))
 
 
 def term_frequencies(chunks: DataFrame, tokenize=tokens) -> DataFrame:

@@ -71,8 +71,8 @@ def _spans(docs: DataFrame, of, columns: list[str]) -> DataFrame:
 
 
 def _chunks(rows: DataFrame, start: Column, end: Column, context: Column) -> DataFrame:
-    """The columns of a chunk, of documents with a number n and a span; title_terms, if documents have them, go along."""
-    more = ["title_terms"] if "title_terms" in rows.columns else []
+    """The columns of a chunk, of documents with a number n and a span; title_terms and lang, if documents have them, go along."""
+    more = [c for c in ("title_terms", "lang") if c in rows.columns]
     return rows.select(*more, (F.shiftleft(F.col("doc_ord"), CHUNK_SHIFT) + F.col("n")).alias("chunk_ord"), F.concat("doc_id", F.lit("#"), F.col("n").cast("string")).alias("chunk_id"), "doc_id", F.col("n").cast("int").alias("n"), "title", F.substring("text", start + 1, end - start).alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"), "source", context.alias("context"))
 
 

@@ -99,6 +99,8 @@ sql("corpus_stats", f"WITH {DOC_CHUNKS}, {QUESTIONS}, {bm25()} SELECT n, round(a
 sql("idf", f"WITH {DOC_CHUNKS}, {QUESTIONS}, {bm25()} SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df, stats")
 sql("bm25_index", f"WITH {DOC_CHUNKS}, {QUESTIONS}, {bm25()} SELECT chunk_ord, count(*) AS n_terms, sum(tf)::BIGINT AS n_tokens, sum(df)::BIGINT AS sum_df FROM tf JOIN df USING (term) GROUP BY 1")
 sql("bm25_topk", f"WITH {DOCS}, {windows(300, 0)}, {QUESTIONS}, {bm25()} SELECT qid, chunk_ord, score, rank FROM lex WHERE rank <= 5")
+sql("stored_topk", ORACLES["bm25_topk"])
+sql("stored_share", f"WITH {DOCS}, {windows(300, 0)}, {QUESTIONS}, {bm25()} SELECT qid, sum(df)::BIGINT AS n_postings, true AS within FROM qt JOIN df USING (term) GROUP BY qid")
 sql("bm25_matched", f"WITH {DOC_CHUNKS}, {QUESTIONS}, {bm25()} SELECT qid, chunk_ord, rank, matched FROM lex WHERE rank <= 5")
 sql("l2_normalized", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS l1 FROM embeddings")
 VECTOR_PAIRS = "SELECT q.vec_id AS qid, v.vec_id AS chunk_ord, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0"

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import contains, han_tokens
 from larkspur.functions.vectors import fake_embed, l2_normalize, mulberry32, overlap_score
-from larkspur.operators import attribution, evaluate, fusion, lexical, segment, vector
+from larkspur.operators import attribution, evaluate, fusion, lexical, segment, stored, vector
 from larkspur.operators.containment import find_contained
 from larkspur.plans.pipeline import Retriever
 from larkspur.sources import corpus
+from larkspur.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DIM = 32
@@ -297,6 +298,26 @@ def bm25_topk(spark, sf_dir):
     return hits.select("qid", "chunk_ord", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _stored(i: Inputs) -> stored.StoredIndex:
+    """The index of the chunks of bm25_topk, stored in two batches."""
+    path, chunks = new_folder(i.spark, "stored-index"), i.chunks()
+    for k in range(2):
+        stored.append(chunks.where(F.pmod("doc_ord", F.lit(2)) == k), path, k)
+    return stored.read(i.spark, path)
+
+
+@query
+def stored_topk(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return stored.search(_stored(i), i.questions, 5).select("qid", "chunk_ord", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def stored_share(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return stored.share_read(_stored(i), i.questions, 5).select("qid", "n_postings", (F.col("n_kept") <= F.col("n_postings")).alias("within"))
+
+
 @query
 def bm25_matched(spark, sf_dir):
     i = Inputs(spark, sf_dir)

@@ -52,9 +52,9 @@ def load_docs(spark: SparkSession, folders: list[str] | tuple[str, ...] = DEFAUL
     return parse_front_matter(rows.withColumn("doc_ord", F.row_number().over(Window.orderBy("k", "doc_id")).cast("long") - 1))
 
 
-def documents_as_docs(documents: DataFrame) -> DataFrame:
-    """The documents table as documents of the engine: the title is the first line."""
-    return documents.select(F.col("doc_id").alias("doc_ord"), F.col("doc_id").cast("string").alias("doc_id"), first_line(F.col("text")).alias("title"), "text", "source", F.lit("unknown").alias("license"))
+def documents_as_docs(documents: DataFrame, *more: str) -> DataFrame:
+    """The documents table as documents of the engine, with `more` columns of it: the title is the first line."""
+    return documents.select(F.col("doc_id").alias("doc_ord"), F.col("doc_id").cast("string").alias("doc_id"), first_line(F.col("text")).alias("title"), "text", "source", F.lit("unknown").alias("license"), *more)
 
 
 def load_gold(spark: SparkSession, path: str) -> DataFrame:

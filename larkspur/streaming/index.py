@@ -1,41 +1,38 @@
-"""Incremental indexing: a stream of documents feeds the same chunk and posting tables as a batch does."""
+"""Incremental indexing: a stream of documents feeds the same stored index as a batch does."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from larkspur.operators import lexical
+from larkspur.operators import stored
 
+#: State on each executor's disk, in the checkpoint folder after each batch: the ids of all documents ever seen don't fit in memory.
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def write_stream(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Chunks new documents of a stream and appends chunks and postings under path. A document that is there already is left out, so a repeated batch adds nothing twice."""
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        chunks = chunk(batch.dropDuplicates(["doc_ord"]))
-        known = read_table(spark, f"{path}/chunks")
-        if known is not None:
-            chunks = chunks.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
-        chunks = chunks.persist()
-        # Postings first: if the batch fails between the two, it is repeated and its postings overwritten.
-        lexical.term_frequencies(chunks).write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
-        chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
-        chunks.unpersist()
-
-    return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def write_stream(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, *, by: tuple[str, ...] = ()) -> StreamingQuery:
+    """Chunks the documents of a stream that no earlier batch had (by doc_ord, null left out), and adds chunks and postings to the index at path; ends when all that is there is taken.
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+    Which documents are known is state of the stream, so a batch costs what is new, not what is stored. A batch that is repeated after a failure overwrites its own folders.
+    """
+    spark = docs.sparkSession
 
+    def add(batch: DataFrame, batch_id: int) -> None:
+        chunks = chunk(batch).persist()
+        stored.append(chunks, path, batch_id, by=by)
+        chunks.unpersist()
 
-def read_index(spark: SparkSession, path: str, *, k1: float = 1.5, b: float = 0.75) -> lexical.LexicalIndex:
-    """The index of all that the stream has written; frequencies and lengths are of the whole corpus."""
-    from pyspark.sql import functions as F
-
-    chunks, postings = read_table(spark, f"{path}/chunks").drop("batch"), read_table(spark, f"{path}/postings").drop("batch")
-    return lexical.LexicalIndex(postings, lexical.corpus_stats(chunks), postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), k1, b)
+    before = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    try:
+        new = docs.where("doc_ord is not null").dropDuplicates(["doc_ord"])
+        return new.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_PROVIDER)
+        else:
+            spark.conf.set(STATE_PROVIDER, before)

@@ -3,6 +3,7 @@ from pathlib import Path
 import __spark_entry__ as entry
 import pytest
 
+from jobs.registry import QUERIES as JOBS
 from larkspur.operators import lexical
 from larkspur.plans.queries import QUERIES, Inputs
 
@@ -18,7 +19,7 @@ def test_flagship(spark):
 
 
 def test_every_query_of_the_library_is_registered():
-    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert {*QUERIES, *JOBS} <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def _rows(columns, rows):
@@ -29,11 +30,11 @@ def _rows(columns, rows):
     return sorted((tuple(clean(r[i]) for i in at) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted({**QUERIES, **JOBS}))
 def test_queries_against_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     sql = entry.oracle_sql().get(name)
-    got = QUERIES[name](spark, sf_dir)
+    got = entry.queries()[name](spark, sf_dir)
     rows = [tuple(r) for r in got.collect()]
     if sql is None:
         assert name in WITHOUT_SQL and rows and len(set(got.columns)) == len(got.columns)
@@ -61,5 +62,5 @@ def test_the_library_stands_without_the_llm_subpackage():
     import sys
 
     for hidden in ("larkspur.llm", "regex"):
-        code = f"import sys; sys.modules['{hidden}'] = None; import __spark_entry__ as e; assert len(e.queries()) == len(e.QUERIES) and e.llm is None"
+        code = f"import sys; sys.modules['{hidden}'] = None; import __spark_entry__ as e; assert len(e.queries()) == len(e.QUERIES) + len(e.jobs.QUERIES) and e.llm is None"
         subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
