@@ -1,60 +1,158 @@
-"""Which of a list of strings stand in which texts."""
+"""Which strings stand in which texts, by equi joins alone, whatever the number of strings.
+
+A string of L characters is known by windows of 2^j characters, the largest power of two within L: one at its start, one at its end and some between. Windows of texts
+that are among them are rows (text, place, hash), found in one pass; a bitmap of bounded size that every worker has lets few others through. A string's rarest window is joined
+with these rows, which gives the places where it may stand, and it stands where its first and last window do. Windows are told apart by 64-bit hashes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import contains
+from larkspur.operators.frames import written
 
-#: Bytes of strings that go to every worker.
-STRING_BYTES = 16 << 20
-_AUTOMATA: dict[int, object] = {}
+#: Windows of a string at most; characters of texts that are hashed at once; bits of the bitmap at most (32 MB) and for each window.
+WINDOWS, CHARS, BITS, SPARSE = 8, 1 << 19, 1 << 28, 32
+#: Bits in a bucket of Spark's bitmap functions.
+BUCKET = 32768
+#: The level of the empty string, which stands in every text.
+EMPTY = -1
 
 
-def _automaton(number: int, strings: list[tuple[int, str]]):
-    """One for each list and worker; the last list's alone is kept."""
-    if number not in _AUTOMATA:
-        import ahocorasick
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-        found = ahocorasick.Automaton()
-        by: dict[str, list[int]] = {}
-        for k, s in strings:
-            by.setdefault(s, []).append(k)
-        for s, ks in by.items():
-            found.add_word(s, ks)
-        found.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[number] = found
-    return _AUTOMATA[number]
 
+def window_hashes(chars: np.ndarray, levels: int) -> Iterator[np.ndarray]:
+    """For each j below levels: a hash of the 2^j characters from each place on. A window is hashed from its halves; places too near the end are left out."""
+    h = _mix(chars.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for j in range(levels):
+        yield h
+        half = 1 << j
+        if len(h) <= half:
+            return
+        h = _mix(h[:-half] * np.uint64(0x9FB21C651E98DF25) + (h[half:] ^ np.uint64(j + 1)))
 
-def find_contained(texts: DataFrame, strings: DataFrame, key: str, *, string_bytes: int = STRING_BYTES) -> DataFrame:
-    """(qid, key) for each string (qid, query) that stands in a text (key, text); the empty string stands in every text, null in none.
 
-    One pass over the texts, with an automaton of all strings on every worker, if these have string_bytes at most; more are joined by comparison.
-    """
-    rows = strings.where(F.col("query").isNotNull()).select(F.col("qid").cast("long").alias("qid"), "query")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()[0]
-    if size > string_bytes:
-        return texts.join(rows, contains(F.col("text"), F.col("query"))).select("qid", key)
-    every = [(r["qid"], r["query"]) for r in rows.collect()]
-    none = [k for k, s in every if s == ""]
-    shared = texts.sparkSession.sparkContext.broadcast([(k, s) for k, s in every if s])
-    kind = texts.schema[key].dataType.simpleString()
+def _characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _string_windows(strings: DataFrame) -> DataFrame:
+    """(pid, j, h, at, last) of strings (pid, string): a row for each window and its place; last is the place of the last one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _automaton(id(shared.value), shared.value) if shared.value else None
         for b in batches:
-            qids, at = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                if text is not None:
-                    hits = {*none, *(k for _, ks in (found.iter(text) if found is not None else ()) for k in ks)}
-                    qids += hits
-                    at += [i] * len(hits)
-            yield pa.RecordBatch.from_arrays([pa.array(qids, pa.int64()), b.column(0).take(pa.array(at, pa.int64()))], names=["qid", key])
-
-    return texts.select(key, "text").mapInArrow(run, f"qid long, {key} {kind}")
+            pids, js, hs, ats, lasts = [], [], [], [], []
+            for pid, string in zip(b.column("pid").to_pylist(), b.column("string").to_pylist(), strict=True):
+                n = len(string)
+                j = n.bit_length() - 1
+                last = n - (1 << j) if n else 0
+                at = sorted({last * k // (WINDOWS - 1) for k in range(WINDOWS)})
+                h = [0]
+                if n:
+                    *_, found = window_hashes(_characters(string), j + 1)
+                    h = found[at].view(np.int64).tolist()
+                pids += [pid] * len(at)
+                js += [j] * len(at)
+                hs += h
+                ats += at
+                lasts += [last] * len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(js, pa.int32()), pa.array(hs, pa.int64()), pa.array(ats, pa.int64()), pa.array(lasts, pa.int64())], names=["pid", "j", "h", "at", "last"])
+
+    return strings.select("pid", "string").mapInArrow(run, "pid long, j int, h long, at long, last long")
+
+
+def _bitmap(windows: DataFrame) -> tuple[np.ndarray, int, list[int]]:
+    """Bytes of a bitmap of the windows' hashes, how many bits it has, and the levels there are: at most BITS, however many windows."""
+    n = windows.count()
+    bits = BUCKET
+    while bits < min(BITS, SPARSE * n):
+        bits *= 2
+    bit = F.pmod("h", F.lit(bits)) + 1
+    rows = windows.where(F.col("j") >= 0).select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map"))
+    out = np.zeros(bits // 8, np.uint8)
+    for bucket, part in rows.toLocalIterator():
+        out[(bucket - 1) * BUCKET // 8 : bucket * BUCKET // 8] = np.frombuffer(bytes(part), np.uint8)
+    return out, bits, sorted(r[0] for r in windows.select("j").distinct().collect())
+
+
+def _text_windows(texts: DataFrame, key: str, bitmap: np.ndarray, bits: int, levels: list[int]) -> DataFrame:
+    """(key, j, h, at) of the windows of texts that the bitmap lets through; the first of each single character alone, since it decides all."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    wanted, top, empty = [j for j in levels if j >= 0], max(levels, default=EMPTY), EMPTY in levels
+    mask = np.uint64(bits - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+
+        def rows(ids: list, texts: list[str]) -> pa.RecordBatch:
+            parts = [_characters(t) for t in texts]
+            sizes = np.array([len(p) for p in parts], np.int64)
+            ends = np.cumsum(sizes)
+            chars, text = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+            for j, h in enumerate(window_hashes(chars, top + 1)):
+                if j not in wanted:
+                    continue
+                bit = h & mask
+                at = np.flatnonzero(bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                at = at[at + (1 << j) <= ends[text[at]]]
+                if j == 0:
+                    at = at[np.unique(text[at] << 21 | chars[at].astype(np.int64), return_index=True)[1]]
+                found.append((text[at], np.full(len(at), j, np.int32), h[at].view(np.int64), at - (ends - sizes)[text[at]]))
+            if empty:
+                n = len(parts)
+                found.append((np.arange(n), np.full(n, EMPTY, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)))
+            of, j, h, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(of)) if ids else pa.array([]), pa.array(j), pa.array(h), pa.array(at)], names=[key, "j", "h", "at"])
+
+        for b in batches:
+            ids, held, size = [], [], 0
+            for i in range(b.num_rows):
+                text = b.column(1)[i].as_py()
+                if text is None:
+                    continue
+                if held and size + len(text) > CHARS:
+                    yield rows(ids, held)
+                    ids, held, size = [], [], 0
+                ids.append(b.column(0)[i].as_py())
+                held.append(text)
+                size += len(text)
+            if held:
+                yield rows(ids, held)
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.where(F.col(key).isNotNull()).select(key, "text").mapInArrow(run, f"{key} {kind}, j int, h long, at long")
+
+
+def find_contained(texts: DataFrame, strings: DataFrame, key: str) -> DataFrame:
+    """(qid, key), once each, for each string (qid, query) that stands in a text (key, text); the empty string stands in every text, null in none. Texts with a null key are left out; keys tell texts apart.
+
+    Equal strings are one. A string that has a window that no text has is out at once; of the others the rarest window is joined, so one that begins or ends like very many is found by what it
+    doesn't share with them. All joins are on equal keys, of rows that have passed the bitmap; texts are read once and never shuffled.
+    """
+    asked = strings.where(F.col("query").isNotNull()).select(F.col("qid").cast("long").alias("qid"), F.col("query").alias("string"))
+    distinct = asked.groupBy("string").agg(F.min("qid").alias("pid"))
+    windows = written(_string_windows(distinct))
+    found = written(_text_windows(texts, key, *_bitmap(windows)))
+    counts = windows.select("j", "h").distinct().join(found, ["j", "h"]).groupBy("j", "h").agg(F.count(F.lit(1)).alias("df"))
+    known = windows.join(counts, ["j", "h"], "left")
+    of = Window.partitionBy("pid")
+    known = known.withColumn("missing", F.count_if(F.col("df").isNull()).over(of)).withColumn("place", F.row_number().over(of.orderBy("df", "at"))).where("missing = 0")
+    anchors = known.where("place = 1").select("pid", "j", "h", F.col("at").alias("inside"), "last")
+    starts = found.join(anchors, ["j", "h"]).select("pid", key, "j", (F.col("at") - F.col("inside")).alias("start"), "last").distinct()
+    # Where the first and the last window stand as well, the string does.
+    ends = windows.where((F.col("at") == 0) | (F.col("at") == F.col("last"))).select("pid", F.col("at").alias("inside"), "h")
+    need = starts.join(ends, "pid").select("pid", key, "start", "j", "h", (F.col("start") + F.col("inside")).alias("at"), F.when(F.col("last") == 0, 1).otherwise(2).alias("needed"))
+    # A single character has one place in a text.
+    met = need.join(found.distinct(), [key, "j", "h", "at"]).groupBy("pid", key, "start").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed")).where("n = needed")
+    pairs = met.select("pid", key).distinct()
+    return pairs.join(distinct, "pid").join(asked, "string").select("qid", key).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import contains
+from larkspur.operators.containment import find_contained
 from larkspur.operators.frames import stacked
 from larkspur.operators.lexical import DIGITS, rank
 
@@ -48,20 +48,13 @@ def title_graph(docs: DataFrame) -> DataFrame:
     """(src, dst, phase, ord): an edge in either direction wherever a title of two characters or more occurs in another document's text.
 
     phase and ord give a document's neighbours their order: 0 for earlier documents whose title it mentions, 1 for documents that mention it, 2 for later ones
-    whose title it mentions; then by ordinal. A title of three words or more can only occur where its rarest inner word is a word of the text: that
-    equi join finds the candidates. Shorter titles are compared with every text, once for each distinct title.
+    whose title it mentions; then by ordinal. Texts are searched once for all titles, in any script: see find_contained.
     """
     d = docs.select("doc_ord", F.trim("title").alias("title"), "text")
-    titles = d.where(F.length("title") >= 2).select("title").distinct().withColumn("inner", F.expr("filter(slice(split(title, ' '), 2, greatest(size(split(title, ' ')) - 2, 0)), x -> x <> '')"))
-    words = d.select("doc_ord", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
-    inner = titles.where(F.size("inner") > 0).select("title", F.explode(F.array_distinct("inner")).alias("w"))
-    frequency = words.join(inner.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    anchors = inner.join(frequency, "w").groupBy("title").agg(F.min(F.struct("df", "w")).alias("m")).select("title", F.col("m.w").alias("w"))
-    text = d.select("doc_ord", "text")
-    long = words.join(anchors, "w").select("doc_ord", "title").join(text, "doc_ord").where(contains(F.col("text"), F.col("title"))).select("doc_ord", "title")
-    short = text.join(titles.where(F.size("inner") == 0).select("title"), contains(F.col("text"), F.col("title"))).select("doc_ord", "title")
+    titles = d.where(F.length("title") >= 2).groupBy("title").agg(F.min("doc_ord").alias("qid"))
+    found = find_contained(d.select("doc_ord", "text"), titles.select("qid", F.col("title").alias("query")), "doc_ord")
     owners = d.where(F.length("title") >= 2).select(F.col("doc_ord").alias("owner"), "title")
-    mention = stacked(long, short).join(owners, "title").where("doc_ord <> owner").select(F.col("doc_ord").alias("holder"), "owner")
+    mention = found.join(titles, "qid").join(owners, "title").where("doc_ord <> owner").select(F.col("doc_ord").alias("holder"), "owner")
     out = mention.select(F.col("holder").alias("src"), F.col("owner").alias("dst"), F.when(F.col("owner") < F.col("holder"), 0).otherwise(2).alias("phase"))
     back = mention.select(F.col("owner").alias("src"), F.col("holder").alias("dst"), F.lit(1).alias("phase"))
     return stacked(out, back).groupBy("src", "dst").agg(F.min("phase").alias("phase")).withColumn("ord", F.col("dst"))

@@ -91,15 +91,15 @@ class Cells:
 
 
 def fit_cells(vectors: DataFrame, *, column: str = "embedding", k: int = 10, target: float = 0.97, probes: int | None = None, sample: int = 20_000, rounds: int = 8, seed: int = 42) -> Cells:
-    """Cells for vectors, fitted on about `sample` of them, drawn by a hash: that many come to the driver, whatever the table.
+    """Cells for vectors, fitted on about `sample` distinct ones, drawn by a hash: that many come to the driver, whatever the table and however often one vector stands in it.
 
     As many cells as the root of the number of vectors, at most a quarter of the sample, by spherical k-means. probes: by default the fewest with which up to 200 vectors of
     the sample find `target` of their k nearest in it. Vectors without neighbourhoods need most cells: then the search is close to the exact one, in its cost as well.
     """
     rows = vectors.where(F.col(column).isNotNull()).select(column)
-    n = rows.count()
+    n = rows.agg(F.approx_count_distinct(F.xxhash64(column), 0.01)).first()[0]
     share = min(1.0, sample / max(1, n))
-    some = rows.where(F.pmod(F.xxhash64(column, F.lit("cells")), F.lit(1 << 20)) < int(share * (1 << 20))).toPandas()[column].tolist()
+    some = rows.where(F.shiftrightunsigned(F.xxhash64(column, F.lit("cells")), 1) <= (int(share * (1 << 62)) << 1) - 1).distinct().toPandas()[column].tolist()
     if not some:
         return Cells(np.zeros((0, 0)), 0)
     x = np.array(sorted(map(tuple, some)), float)
@@ -123,8 +123,8 @@ def fit_cells(vectors: DataFrame, *, column: str = "embedding", k: int = 10, tar
 
 
 def ann_search(vectors: DataFrame, queries: DataFrame, cells: Cells, k: int = 5, *, key: str = "chunk_ord", column: str = "embedding") -> DataFrame:
-    """Like search, over the vectors of the cells that a query looks into. More probes never lower the recall; a vector that is in the table finds itself first."""
-    return search(vectors, queries, k, key=key, column=column, cells=cells)
+    """Like search, over the vectors of the cells that a query looks into, or over all, if there are no cells. More probes never lower the recall; a vector that is in the table finds itself first."""
+    return search(vectors, queries, k, key=key, column=column, cells=cells if cells.probes else None)
 
 
 def share_scored(vectors: DataFrame, queries: DataFrame, cells: Cells, *, column: str = "embedding") -> DataFrame:

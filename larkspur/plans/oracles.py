@@ -105,6 +105,8 @@ sql("bm25_matched", f"WITH {DOC_CHUNKS}, {QUESTIONS}, {bm25()} SELECT qid, chunk
 sql("l2_normalized", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS l1 FROM embeddings")
 VECTOR_PAIRS = "SELECT q.vec_id AS qid, v.vec_id AS chunk_ord, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0"
 sql("vector_topk", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_ord) AS rank FROM ({VECTOR_PAIRS})) WHERE rank <= 10")
+sql("ann_stored", "SELECT vec_id AS qid, least(10, (SELECT count(*) FROM embeddings)) AS n_hits, least(10, (SELECT count(*) FROM embeddings)) AS n_same FROM embeddings WHERE vec_id % 20 = 0")
+sql("ann_graph_recall", "SELECT 10 * count(*) AS n_true, true AS reached, count(*) AS n_self FROM embeddings WHERE vec_id % 20 = 0")
 sql("ann_first", "SELECT vec_id AS qid, least(10, (SELECT count(*) FROM embeddings)) AS n_hits, vec_id AS first, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS score FROM embeddings WHERE vec_id % 20 = 0")
 sql("ann_recall", "SELECT unnest(['table', 'copies']) AS vectors, (SELECT 10 * count(*) FROM embeddings WHERE vec_id % 20 = 0) AS n_true, true AS reached")
 U32 = "4294967295::HUGEINT"

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import contains, han_tokens
 from larkspur.functions.vectors import fake_embed, l2_normalize, mulberry32, overlap_score
-from larkspur.operators import attribution, evaluate, fusion, lexical, segment, stored, vector
+from larkspur.operators import attribution, cells, evaluate, fusion, lexical, neighbours, segment, stored, vector
 from larkspur.operators.containment import find_contained
+from larkspur.operators.frames import written
 from larkspur.plans.pipeline import Retriever
 from larkspur.sources import corpus
 from larkspur.sources.shared import new_folder
@@ -369,6 +370,35 @@ def ann_topk(spark, sf_dir):
     return vector.ann_search(e, q, vector.fit_cells(e), 10).select("qid", "chunk_ord", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def ann_stored(spark, sf_dir):
+    """Approximate search over vectors stored by cell: the share of queries for which it finds what ann_topk does, all."""
+    e, q = _embeddings(Inputs(spark, sf_dir))
+    index, path = vector.fit_cells(e), new_folder(spark, "cells")
+    cells.write_cells(e, index, path)
+    stored_hits = cells.search_cells(spark, path, q, index, 10).select("qid", "rank", "chunk_ord")
+    found = vector.ann_search(e, q, index, 10).select("qid", "rank", F.col("chunk_ord").alias("want")).join(stored_hits, ["qid", "rank"], "left")
+    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(F.col("chunk_ord") == F.col("want")).alias("n_same"))
+
+
+@query
+def ann_graph_topk(spark, sf_dir):
+    e, q = _embeddings(Inputs(spark, sf_dir))
+    return neighbours.search(neighbours.build(e), q, 10).select("qid", F.col("key").alias("chunk_ord"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def ann_graph_recall(spark, sf_dir):
+    """Whether the neighbour graph finds nine tenths of the ten nearest by cosine, and each query, which is in the table, itself."""
+    e, q = _embeddings(Inputs(spark, sf_dir))
+    unit = lambda df, key: df.select(key, l2_normalize(F.col("embedding")).alias("embedding"))
+    graph = neighbours.build(e)
+    got = written(neighbours.search(graph, q, 10).select("qid", F.col("key").alias("chunk_ord"), "rank"))
+    found = vector.recall(got, vector.search(unit(e, "chunk_ord"), unit(q, "qid"), 10))
+    first = got.where("rank = 1").agg(F.count_if(F.col("qid") == F.col("chunk_ord")).alias("n_self"))
+    return found.select("n_true", (F.col("recall") >= 0.9).alias("reached")).crossJoin(first)
+
+
 @query
 def ann_first(spark, sf_dir):
     """How many hits approximate search has for each query, and the first of them: the query itself, which is in the table."""

@@ -133,9 +133,60 @@ def test_contained_strings(spark, monkeypatch):
     texts = spark.createDataFrame([(0, "abcd"), (1, "bc"), (2, None), (3, ""), (4, "xbcx abcd")], "doc_id long, text string")
     strings = spark.createDataFrame([(0, "bc"), (1, "abcd"), (2, ""), (3, None), (4, "none"), (5, "bc")], "qid long, query string")
     want = {(0, 0), (0, 1), (0, 4), (5, 0), (5, 1), (5, 4), (1, 0), (1, 4), (2, 0), (2, 1), (2, 3), (2, 4)}
-    for most in (1 << 20, 0):
-        got = [tuple(r) for r in containment.find_contained(texts, strings, "doc_id", string_bytes=most).collect()]
-        assert len(got) == len(want) and set(got) == want
+    got = [tuple(r) for r in containment.find_contained(texts, strings, "doc_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("seed, chars", [(0, 1 << 19), (1, 50)])
+def test_contained_strings_against_brute_force(spark, monkeypatch, seed, chars):
+    """Strings of all lengths, repeated ones, such that only begin or end like a text's, Han text, characters beyond the 16-bit ones, and a bitmap that lets all through."""
+    import random
+
+    from larkspur.operators import containment
+
+    monkeypatch.setattr(containment, "SPARSE", 1)
+    monkeypatch.setattr(containment, "CHARS", chars)
+    rng = random.Random(seed)
+    letters = "ab \U0001d4d0玄武岩"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 120))) for _ in range(60)] + [None, "", "ab" * 300]
+    strings = ["", None, "zz", "a", "玄", "ab" * 200, "ab" * 299 + "a" * 3]
+    for t in texts[:60]:
+        for _ in range(3):
+            n = rng.randrange(1, 40)
+            at = rng.randrange(0, max(1, len(t)))
+            s = t[at : at + n]
+            strings.append(s)
+            strings.append(s[: len(s) // 2] + "q" + s[len(s) // 2 + 1 :])  # one character changed
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(strings)), "qid long, query string")
+    got = sorted(map(tuple, containment.find_contained(df, asked, "doc_id").collect()))
+    assert got == sorted((i, k) for i, s in enumerate(strings) for k, t in enumerate(texts) if s is not None and t is not None and s in t)
+
+
+def test_two_lists_in_one_session_do_not_mix(spark):
+    from larkspur.operators import containment
+
+    texts = spark.createDataFrame([(0, "first list"), (1, "second list")], "doc_id long, text string")
+    for k, word in enumerate(("first", "second") * 3):
+        strings = spark.createDataFrame([(0, word)], "qid long, query string")
+        assert [tuple(r) for r in containment.find_contained(texts, strings, "doc_id").collect()] == [(0, k % 2)]
+
+
+def test_titles_of_any_script_without_nested_loops(spark):
+    rows = [(0, "玄武岩", "玄武岩是喷出岩"), (1, "喷出岩", "与玄武岩有关"), (2, "Granite rock", "x 喷出岩 y"), (3, "a", "Granite rock, a"), (4, None, None), (5, "", ""), (6, "玄武岩", "same title")]
+    docs = spark.createDataFrame(rows, "doc_ord long, title string, text string")
+    edges = fusion.title_graph(docs)
+    text = {k: t or "" for k, _, t in rows}
+    want = {}
+    for owner, title, _ in rows:
+        for holder in text:
+            if title and len(title) >= 2 and owner != holder and title in text[holder]:
+                phase = 0 if owner < holder else 2
+                want[holder, owner] = min(want.get((holder, owner), 9), phase)
+                want[owner, holder] = min(want.get((owner, holder), 9), 1)
+    assert {(r["src"], r["dst"]): r["phase"] for r in edges.collect()} == want
+    plan = edges._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join Cross" not in plan
 
 
 def test_two_hops_and_ties_of_names(spark):
