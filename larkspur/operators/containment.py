@@ -71,13 +71,14 @@ def _string_windows(strings: DataFrame) -> DataFrame:
 
 
 def _bitmap(windows: DataFrame) -> tuple[np.ndarray, int, list[int]]:
-    """Bytes of a bitmap of the windows' hashes, how many bits it has, and the levels there are: at most BITS, however many windows."""
+    """Bytes of a bitmap with two bits for each window, from either half of its hash, how many bits it has, and the levels there are: at most BITS, however many windows."""
     n = windows.count()
     bits = BUCKET
     while bits < min(BITS, SPARSE * n):
         bits *= 2
+    halves = F.explode(F.array("h", F.shiftrightunsigned("h", 32)))
     bit = F.pmod("h", F.lit(bits)) + 1
-    rows = windows.where(F.col("j") >= 0).select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map"))
+    rows = windows.where(F.col("j") >= 0).select(halves.alias("h")).select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map"))
     out = np.zeros(bits // 8, np.uint8)
     for bucket, part in rows.toLocalIterator():
         out[(bucket - 1) * BUCKET // 8 : bucket * BUCKET // 8] = np.frombuffer(bytes(part), np.uint8)
@@ -93,6 +94,10 @@ def _text_windows(texts: DataFrame, key: str, bitmap: np.ndarray, bits: int, lev
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
 
+        def through(h: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
+            bit = h[at] >> np.uint64(shift) & mask
+            return at[(bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+
         def rows(ids: list, texts: list[str]) -> pa.RecordBatch:
             parts = [_characters(t) for t in texts]
             sizes = np.array([len(p) for p in parts], np.int64)
@@ -102,8 +107,8 @@ def _text_windows(texts: DataFrame, key: str, bitmap: np.ndarray, bits: int, lev
             for j, h in enumerate(window_hashes(chars, top + 1)):
                 if j not in wanted:
                     continue
-                bit = h & mask
-                at = np.flatnonzero(bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                at = through(h, np.arange(len(h)), 0)
+                at = through(h, at, 32)
                 at = at[at + (1 << j) <= ends[text[at]]]
                 if j == 0:
                     at = at[np.unique(text[at] << 21 | chars[at].astype(np.int64), return_index=True)[1]]

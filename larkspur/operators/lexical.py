@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import tokens
+from larkspur.operators.frames import written
 
 #: Decimals to which scores are rounded before they are ranked, so that the order of a sum decides nothing.
 DIGITS = 6
@@ -52,7 +53,8 @@ def term_frequencies(chunks: DataFrame, tokenize=tokens) -> DataFrame:
     starts = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (i == 0) | (F.col("terms")[F.greatest(i - 1, F.lit(0))] != F.col("terms")[i]))
     rows = rows.withColumn("starts", starts).withColumn("ends", F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("len")))
     runs = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct(F.col("terms")[x["starts"]].alias("term"), (x["ends"] - x["starts"]).cast("long").alias("tf")))
-    return rows.select("chunk_ord", "len", F.explode(runs).alias("x")).select("chunk_ord", "len", "x.term", "x.tf")
+    # The outer form: for the other one Spark adds a filter on the array's size, and pushes it, with all that makes the array, below. No array is empty here.
+    return rows.select("chunk_ord", "len", F.explode_outer(runs).alias("x")).select("chunk_ord", "len", "x.term", "x.tf")
 
 
 def corpus_stats(chunks: DataFrame, tokenize=tokens) -> DataFrame:
@@ -108,10 +110,15 @@ def found_terms(column: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarr
     return np.repeat(np.arange(len(sizes)), sizes)[keep], pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)[keep].astype(np.int64)
 
 
+def _numbered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and values of a column of arrays."""
+    return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False)), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 class Scan:
-    """Scores of all chunks for a set of questions, block after block: a pass for the frequencies of the questions' terms, and one for each use.
+    """Scores of all chunks for a set of questions, block after block. Texts are turned into terms once: a pass over them leaves each chunk's length and its terms among the questions', by number.
 
-    Tasks look terms up in the questions' few, and add gains in a matrix of some chunks and all questions; only what `keep` makes of it leaves them.
+    Tasks add gains in a matrix of some chunks and all questions; only what `keep` makes of it leaves them.
     """
 
     def __init__(self, index: LexicalIndex, terms: pa.Table, qid_type: str):
@@ -122,21 +129,35 @@ class Scan:
         order = np.argsort(of, kind="stable")
         self.questions, self.count = owner[order], np.bincount(of, minlength=len(self.terms))
         self.first = np.cumsum(self.count) - self.count
+        self.hits = self._hits()
         self.n, self.total, self.df = self._frequencies()
 
-    def _frequencies(self) -> tuple[int, int, np.ndarray]:
+    def _hits(self) -> DataFrame:
+        """(chunk_ord, len, ids), a row for each chunk, written."""
         terms = self.terms
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, total, df = 0, 0, np.zeros(len(terms), np.int64)
             for b in batches:
-                rows, ids = found_terms(b.column(0), terms)
-                df += np.bincount(np.unique(rows * len(terms) + ids) % max(1, len(terms)), minlength=len(terms))
-                n, total = n + b.num_rows, total + len(b.column(0).flatten())
+                rows, ids = found_terms(b.column(1), terms)
+                offsets = pa.array(np.searchsorted(rows, np.arange(b.num_rows + 1)).astype(np.int32))
+                size = pc.fill_null(pc.list_value_length(b.column(1)), 0).cast(pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), size, pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], names=["chunk_ord", "len", "ids"])
+
+        return written(self.index.terms.select("chunk_ord", "terms").mapInArrow(run, "chunk_ord long, len int, ids array<int>"))
+
+    def _frequencies(self) -> tuple[int, int, np.ndarray]:
+        width = max(1, len(self.terms))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total, df = 0, 0, np.zeros(width, np.int64)
+            for b in batches:
+                rows, ids = _numbered(b.column(1))
+                df += np.bincount(np.unique(rows * width + ids) % width, minlength=width)
+                n, total = n + b.num_rows, total + int(pc.sum(b.column(0)).as_py() or 0)
             at = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, at]), pa.array(np.r_[total, n, df[at]])], names=["id", "n"])
 
-        got = self.index.terms.select("terms").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+        got = self.hits.select("len", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
         by = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
         df = np.zeros(len(self.terms))
         for k, v in by.items():
@@ -146,7 +167,7 @@ class Scan:
 
     def run(self, keep: Callable[[np.ndarray, np.ndarray], list[np.ndarray] | None], schema: str) -> DataFrame:
         """What keep(chunk_ords, scores) makes of each block (arrays of the schema's columns, or None); scores: chunks x questions, 0 where no term meets."""
-        n, df, first, count, questions, terms = self.n, self.df, self.first, self.count, self.questions, self.terms
+        n, df, first, count, questions, distinct = self.n, self.df, self.first, self.count, self.questions, max(1, len(self.terms))
         k1, b_, width = self.index.k1, self.index.b, len(self.qids)
         average = (self.total / n if n else 0) or 1.0
         weight = np.log(1 + (n - df + 0.5) / (df + 0.5)) * (k1 + 1)
@@ -157,11 +178,10 @@ class Scan:
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     b = batch.slice(at, step)
-                    keys = b.column(0).to_numpy(zero_copy_only=False)
-                    rows, ids = found_terms(b.column(1), terms)
-                    length = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
-                    code, tf = np.unique(rows * len(terms) + ids, return_counts=True)
-                    row, term = np.divmod(code, max(1, len(terms)))
+                    keys, length = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+                    rows, ids = _numbered(b.column(2))
+                    code, tf = np.unique(rows * distinct + ids, return_counts=True)
+                    row, term = np.divmod(code, distinct)
                     gain = weight[term] * tf / (tf + k1 * (1 - b_ + b_ * length[row] / average))
                     each = count[term]
                     inside = np.repeat(first[term] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
@@ -170,7 +190,7 @@ class Scan:
                     if made is not None and len(made[0]):
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=names)
 
-        return self.index.terms.select("chunk_ord", "terms").mapInArrow(run, schema)
+        return self.hits.mapInArrow(run, schema)
 
 
 def scan(index: LexicalIndex, questions: DataFrame, tokenize=tokens) -> Scan | None:
@@ -182,16 +202,18 @@ def scan(index: LexicalIndex, questions: DataFrame, tokenize=tokens) -> Scan | N
 
 
 def best_of(k: int, qids: np.ndarray) -> Callable[[np.ndarray, np.ndarray], list[np.ndarray] | None]:
-    """The k best chunks of each question in a block, ties by chunk."""
+    """The k best chunks of each question in a block, ties by chunk: only scores above 0 are sorted."""
 
     def keep(keys: np.ndarray, scores: np.ndarray) -> list[np.ndarray] | None:
-        order = np.argsort(keys, kind="stable")
-        keys, scores = keys[order], scores[order]
-        rounded = np.where(scores > 0, np.round(scores, DIGITS), -1.0)
-        top = np.argsort(-rounded, axis=0, kind="stable")[:k]
-        best = np.take_along_axis(rounded, top, axis=0)
-        found = best >= 0
-        return [np.broadcast_to(qids, top.shape)[found], keys[top[found]], best[found]]
+        row, question = np.nonzero(scores)
+        if not len(row):
+            return None
+        key, score = keys[row], np.round(scores[row, question], DIGITS)
+        order = np.lexsort((key, -score, question))
+        question = question[order]
+        place = np.arange(len(question)) - np.searchsorted(question, question)
+        top = order[place < k]
+        return [qids[question[place < k]], key[top], score[top]]
 
     return keep
 

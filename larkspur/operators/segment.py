@@ -70,10 +70,10 @@ def _spans(docs: DataFrame, of, columns: list[str]) -> DataFrame:
     return docs.select("*", F.posexplode(run("text")).alias("n", "span"))
 
 
-def _chunks(rows: DataFrame, start: Column, end: Column, context: Column) -> DataFrame:
+def _chunks(rows: DataFrame, start: Column, end: Column, context: Column, text: Column | None = None) -> DataFrame:
     """The columns of a chunk, of documents with a number n and a span; title_terms and lang, if documents have them, go along."""
     more = [c for c in ("title_terms", "lang") if c in rows.columns]
-    return rows.select(*more, (F.shiftleft(F.col("doc_ord"), CHUNK_SHIFT) + F.col("n")).alias("chunk_ord"), F.concat("doc_id", F.lit("#"), F.col("n").cast("string")).alias("chunk_id"), "doc_id", F.col("n").cast("int").alias("n"), "title", F.substring("text", start + 1, end - start).alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"), "source", context.alias("context"))
+    return rows.select(*more, (F.shiftleft(F.col("doc_ord"), CHUNK_SHIFT) + F.col("n")).alias("chunk_ord"), F.concat("doc_id", F.lit("#"), F.col("n").cast("string")).alias("chunk_id"), "doc_id", F.col("n").cast("int").alias("n"), "title", (F.substring("text", start + 1, end - start) if text is None else text).alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"), "source", context.alias("context"))
 
 
 def chunk_fixed(docs: DataFrame, size: int = 300, overlap: int = 60) -> DataFrame:
@@ -81,14 +81,20 @@ def chunk_fixed(docs: DataFrame, size: int = 300, overlap: int = 60) -> DataFram
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive, and overlap at least 0 and less than size")
     stride = size - overlap
-    length = F.length("text")
-    count = F.when(length > 0, F.greatest(F.ceil((length - size) / F.lit(stride)), F.lit(0)) + 1).otherwise(0).cast("int")
-    starts = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: i * stride)).otherwise(F.array().cast("array<int>"))
+    # A text is cut once, into pieces of the stride; a window is some neighbouring pieces, so a long text costs what its length does.
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{stride}}}"), F.lit(0))
+    rows = docs.withColumn("pieces", F.when(F.length("text") > 0, pieces).otherwise(F.array().cast("array<string>")))
+    count = F.greatest(F.ceil((F.length("text") - size) / F.lit(stride)), F.lit(0)) + 1
+    window = lambda i: F.substring(F.array_join(F.slice("pieces", i + 1, F.lit(-(-size // stride))), ""), 1, size)
+    windows = F.when(F.size("pieces") > 0, F.transform(F.sequence(F.lit(0), (F.greatest(count, F.lit(1)) - 1).cast("int")), window)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("windows", windows)
     # Only a window without a character that isn't blank can end the chunking: most texts have none, so look for one first.
-    blank = F.array_position(F.transform("starts", lambda s: is_blank(F.substring("text", s + 1, F.lit(size)))), F.lit(True))
-    kept = F.when(F.col("text").rlike(rf"(?U)[\s\x{{FEFF}}]{{{min(size, 16)}}}|^[\s\x{{FEFF}}]|[\s\x{{FEFF}}]$"), F.when(blank > 0, F.slice("starts", 1, (blank - 1).cast("int"))).otherwise(F.col("starts"))).otherwise(F.col("starts"))
-    rows = docs.withColumn("starts", starts).withColumn("starts", kept).select("*", F.posexplode("starts").alias("n", "at"))
-    return _chunks(rows, F.col("at"), F.least(F.col("at") + size, F.length("text")), F.lit(None).cast("string"))
+    some = F.col("text").rlike(rf"(?U)[\s\x{{FEFF}}]{{{min(size, 16)}}}|^[\s\x{{FEFF}}]|[\s\x{{FEFF}}]$")
+    rows = rows.withColumn("blank", F.when(some, F.array_position(F.transform("windows", is_blank), F.lit(True)))).drop("pieces")
+    rows = rows.withColumn("windows", F.when(F.col("blank") > 0, F.slice("windows", F.lit(1), (F.col("blank") - 1).cast("int"))).otherwise(F.col("windows")))
+    # The outer form: for the other one Spark adds a filter on the array's size, and pushes it, with all that makes the array, below.
+    rows = rows.select("*", F.posexplode_outer("windows").alias("n", "window")).where("n is not null").withColumn("at", F.col("n") * stride)
+    return _chunks(rows, F.col("at"), F.col("at") + F.length("window"), F.lit(None).cast("string"), F.col("window"))
 
 
 def chunk_structure(docs: DataFrame, most: int = 300) -> DataFrame:
