@@ -98,6 +98,9 @@ sql("term_freq", f"WITH {DOC_CHUNKS}, {bm25('chunks', '(SELECT 1 AS qid, NULL::V
 sql("corpus_stats", f"WITH {DOC_CHUNKS}, {QUESTIONS}, {bm25()} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS n_terms FROM stats")
 sql("idf", f"WITH {DOC_CHUNKS}, {QUESTIONS}, {bm25()} SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df, stats")
 sql("bm25_index", f"WITH {DOC_CHUNKS}, {QUESTIONS}, {bm25()} SELECT chunk_ord, count(*) AS n_terms, sum(tf)::BIGINT AS n_tokens, sum(df)::BIGINT AS sum_df FROM tf JOIN df USING (term) GROUP BY 1")
+sql("han_segments", r"""WITH w AS (SELECT doc_id AS doc_ord, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '') AS words FROM documents)
+SELECT doc_ord, len(words) AS n_true, md5(array_to_string(list_transform(words, lambda x: array_to_string(list_transform(range(1 + ('0x' || substr(md5(x), 21, 2))::INT % 3), lambda i: chr((28416 + ('0x' || substr(md5(x), 1 + 4 * i::INT, 4))::INT % 300)::INT)), '')), '')) AS text_md5 FROM w""")
+sql("han_boundaries", r"SELECT sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '')))::BIGINT AS n_true, true AS reached FROM documents")
 sql("bm25_topk", f"WITH {DOCS}, {windows(300, 0)}, {QUESTIONS}, {bm25()} SELECT qid, chunk_ord, score, rank FROM lex WHERE rank <= 5")
 sql("stored_topk", ORACLES["bm25_topk"])
 sql("stored_share", f"WITH {DOCS}, {windows(300, 0)}, {QUESTIONS}, {bm25()} SELECT qid, sum(df)::BIGINT AS n_postings, true AS within FROM qt JOIN df USING (term) GROUP BY qid")

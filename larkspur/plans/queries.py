@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import contains, han_tokens
 from larkspur.functions.vectors import fake_embed, l2_normalize, mulberry32, overlap_score
-from larkspur.operators import attribution, cells, evaluate, fusion, lexical, neighbours, segment, stored, vector
+from larkspur.operators import attribution, cells, evaluate, fusion, han, lexical, neighbours, segment, stored, vector
 from larkspur.operators.containment import find_contained
 from larkspur.operators.frames import written
 from larkspur.plans.pipeline import Retriever
@@ -268,6 +272,50 @@ def han_terms(spark, sf_dir):
 # Lexical search
 
 
+def _in_han(docs: DataFrame) -> DataFrame:
+    """docs with words (array): those of the text, each written in one to three Han characters that its hash picks; a word that ends in a mark ends in a full stop."""
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+
+        def word(w: str) -> str:
+            if w not in known:
+                h = hashlib.md5(w.encode()).hexdigest()
+                known[w] = "".join(chr(28416 + int(h[4 * k : 4 * k + 4], 16) % 300) for k in range(1 + int(h[20:22], 16) % 3)) + ("。" if w[-1] in ".,;:!?" else "")
+            return known[w]
+
+        return texts.map(lambda t: [word(w) for w in re.split(r"[ \t\n\r]+", t or "") if w])
+
+    return docs.withColumn("words", words("text"))
+
+
+def _han_cuts(i: Inputs) -> DataFrame:
+    """(doc_ord, words, found): the words of documents in Han characters, and what is cut from their joined text by a model learned from all of these."""
+    docs = written(_in_han(i.docs).select("doc_ord", "words", F.array_join("words", "").alias("text")))
+    return docs.select("doc_ord", "words", "text", han.segmenter(han.learn(docs))(F.col("text")).alias("found"))
+
+
+@query
+def han_segments(spark, sf_dir):
+    """The cut words of each document, joined: its text without the marks."""
+    rows = _han_cuts(Inputs(spark, sf_dir))
+    return rows.select("doc_ord", F.size("words").cast("long").alias("n_true"), F.md5(F.array_join("found", "").cast("binary")).alias("text_md5"))
+
+
+@query
+def han_boundaries(spark, sf_dir):
+    """How many places there are at which words end, and whether F1 of those found is 0.72 or more (cutting everywhere gives some 0.67)."""
+    @F.pandas_udf("array<int>")
+    def ends(words: pd.Series) -> pd.Series:
+        return words.map(lambda ws: np.cumsum([len(w) for w in (w.replace("。", "") for w in ws) if w]).astype(np.int32))
+
+    rows = written(_han_cuts(Inputs(spark, sf_dir)))
+    true, found = (rows.select("doc_ord", F.explode(ends(c)).alias("at")) for c in ("words", "found"))
+    right = true.join(found, ["doc_ord", "at"]).agg(F.count(F.lit(1)).alias("n_right"))
+    total = right.crossJoin(true.agg(F.count(F.lit(1)).alias("n_true"))).crossJoin(found.agg(F.count(F.lit(1)).alias("n_found")))
+    return total.select("n_true", (2 * F.col("n_right") >= 0.72 * (F.col("n_true") + F.col("n_found"))).alias("reached"))
+
+
 @query
 def term_freq(spark, sf_dir):
     return lexical.term_frequencies(Inputs(spark, sf_dir).doc_chunks()).select("chunk_ord", "term", "tf")
