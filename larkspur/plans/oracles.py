@@ -198,6 +198,11 @@ issues AS (
 verdicts AS (SELECT answer_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warn') AS warns, claimed::BIGINT AS claims, count(*) FILTER (WHERE severity = 'error') = 0 AS passed FROM ans LEFT JOIN issues USING (answer_id) GROUP BY answer_id, claimed)""".replace("\\\\", "\\")
 for name, rules in (("attr_refusal", ("refusal.required", "refusal.with-claims", "refusal.no-reason", "claims.empty")), ("attr_unknown_chunk", ("cite.unknown-chunk",)), ("attr_quote", ("quote.not-substring",)), ("attr_number", ("number.unsupported",)), ("attr_summary", ("summary.unclaimed-number",))):
     sql(name, f"WITH {ANSWERS} SELECT answer_id, rule, severity, path, message, detail FROM issues WHERE rule IN ({', '.join(repr(r) for r in rules)})")
+sql("answer_intake", f"""WITH {ANSWERS}, m AS (SELECT *, (qid + coalesce(doc_id, 0)) % 11 AS m FROM ans),
+x AS (SELECT *, CASE WHEN m = 0 THEN 'malformed' WHEN m = 1 THEN 'refused: type' WHEN m = 2 AND claimed THEN 'claims[0].quote: short' WHEN m = 3 THEN 'gaps: missing' WHEN m = 4 THEN 'not an object'
+  WHEN m = 5 AND claimed THEN 'claims[0].text: missing' WHEN m = 6 THEN 'gaps[0]: type' ELSE '' END AS reasons FROM m)
+SELECT answer_id, reasons, CASE WHEN reasons = '' THEN refused END AS refused, CASE WHEN reasons = '' AND r <> 2 THEN 'no evidence' END AS refusal_reason, CASE WHEN reasons = '' THEN claimed::BIGINT END AS n_claims,
+  CASE WHEN reasons = '' THEN CASE WHEN claimed THEN CASE WHEN r = 1 THEN 'nowhere' ELSE doc_id::VARCHAR END || '/' || query || CASE WHEN r = 2 THEN ' never said' ELSE '' END ELSE '' END END AS quotes FROM x""")
 sql("attr_verdict", f"WITH {ANSWERS} SELECT * FROM verdicts")
 sql("attr_rule_hist", f"WITH {ANSWERS} SELECT rule, count(*) AS n FROM issues WHERE severity = 'error' GROUP BY 1")
 sql("repair_text", f"""WITH {ANSWERS}, e AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY ord) AS i FROM issues WHERE severity = 'error')

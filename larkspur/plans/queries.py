@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import contains, han_tokens
 from larkspur.functions.vectors import fake_embed, l2_normalize, mulberry32, overlap_score
-from larkspur.operators import attribution, cells, evaluate, fusion, han, lexical, neighbours, segment, stored, vector
+from larkspur.operators import attribution, cells, evaluate, fusion, han, intake, lexical, neighbours, segment, stored, vector
 from larkspur.operators.containment import find_contained
 from larkspur.operators.frames import written
 from larkspur.plans.pipeline import Retriever
@@ -721,6 +721,24 @@ def attr_summary(spark, sf_dir):
     return _issue_rows(attribution.summary_issues(i.answers(), i.evidence()))
 
 
+def _answers_as_json(i: Inputs) -> DataFrame:
+    """(answer_id, json): the answers as a model would write them, with seven kinds of faults by the ids."""
+    m = F.pmod(F.col("qid") + F.coalesce(F.try_element_at(F.split("answer_id", "-"), F.lit(2)).try_cast("long"), F.lit(0)), F.lit(11))
+    rows = i.answers().withColumn("m", m)
+    claim = lambda c: F.struct(F.when(F.col("m") != 5, c["text"]).alias("text"), c["chunk_id"].alias("chunkId"), F.when(F.col("m") == 2, F.lit("q")).otherwise(c["quote"]).alias("quote"))
+    fields = [F.col("refusal_reason").alias("refusalReason"), F.transform("claims", claim).alias("claims"), F.when(F.col("m") != 3, F.col("gaps")).alias("gaps"), F.coalesce("summary", F.lit("done")).alias("summary"), F.lit("ignored").alias("extra")]
+    good = F.to_json(F.struct(F.col("refused"), *fields))
+    text = F.when(F.col("m") == 0, F.substring(good, F.lit(1), F.length(good) - 1)).when(F.col("m") == 1, F.to_json(F.struct(F.col("refused").cast("string").alias("refused"), *fields)))
+    text = text.when(F.col("m") == 4, F.concat(F.lit("["), good, F.lit("]"))).when(F.col("m") == 6, F.to_json(F.struct(F.col("refused"), *fields[:2], F.array(F.lit(1)).alias("gaps"), *fields[3:])))
+    return rows.select("answer_id", text.otherwise(good).alias("json"))
+
+
+@query
+def answer_intake(spark, sf_dir):
+    rows = intake.check_answers(_answers_as_json(Inputs(spark, sf_dir)))
+    return rows.select("answer_id", F.array_join("reasons", "|").alias("reasons"), "refused", "refusal_reason", F.size("claims").cast("long").alias("n_claims"), F.array_join(F.transform("claims", lambda c: F.concat_ws("/", c["chunk_id"], c["quote"])), "|").alias("quotes"))
+
+
 @query
 def attr_verdict(spark, sf_dir):
     i = Inputs(spark, sf_dir)
