@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import contains, is_blank
 from larkspur.operators.frames import stacked
+from larkspur.operators.ranks import items_at
 
 
 def expected(expect: Column, gold_doc_ids: Column) -> Column:
@@ -147,8 +148,9 @@ def score_gaps(scores: DataFrame) -> DataFrame:
 
 def calibrate(gaps: DataFrame) -> DataFrame:
     """Per group: cases, least, upper median and greatest top1, and the mean gap; with the threshold midway if the groups are apart, else null."""
-    ranked = gaps.withColumn("i", F.row_number().over(Window.partitionBy("answerable").orderBy("top1")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("answerable")))
-    by = ranked.groupBy("answerable").agg(F.count(F.lit(1)).alias("n"), F.min("top1").alias("min_top1"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col("top1"))).alias("median_top1"), F.max("top1").alias("max_top1"), F.round(F.avg("gap"), 6).alias("mean_gap"))
+    by = gaps.groupBy("answerable").agg(F.count(F.lit(1)).alias("n"), F.min("top1").alias("min_top1"), F.max("top1").alias("max_top1"), F.round(F.avg("gap"), 6).alias("mean_gap"))
+    medians = items_at(gaps, "answerable", "top1", "case_id", 0.5, "median_top1").withColumnRenamed("answerable", "of")
+    by = by.join(medians, F.col("answerable").eqNullSafe(F.col("of"))).select("answerable", "n", "min_top1", "median_top1", "max_top1", "mean_gap")
     ends = gaps.agg(F.min(F.when(F.col("answerable"), F.col("top1"))).alias("lo"), F.max(F.when(~F.col("answerable"), F.col("top1"))).alias("hi"))
     return by.crossJoin(F.broadcast(ends)).select(*by.columns, F.when(F.col("lo") > F.col("hi"), F.round((F.col("lo") + F.col("hi")) / 2, 6)).alias("threshold"))
 

@@ -12,10 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import TAIL_HEADINGS, first_line, utrim
+from larkspur.operators.ranks import ordinals
 from larkspur.schema import CHUNK, GOLD
 
 DEFAULT_FOLDERS = ("data/corpus", "data/corpus-wiki")
@@ -48,8 +49,9 @@ def load_docs(spark: SparkSession, folders: list[str] | tuple[str, ...] = DEFAUL
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionAll(p)
-    # One row a file: the ordinals of a corpus of files are a small sort.
-    return parse_front_matter(rows.withColumn("doc_ord", F.row_number().over(Window.orderBy("k", "doc_id")).cast("long") - 1))
+    # Names alone are put in order; texts are read by the join, and lie in no one task.
+    places = ordinals(rows.select("k", "doc_id"), "k", "doc_id", name="doc_ord")
+    return parse_front_matter(rows.join(places, ["k", "doc_id"]))
 
 
 def documents_as_docs(documents: DataFrame, *more: str) -> DataFrame:
