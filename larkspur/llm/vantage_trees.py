@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.embedding_dedup import unit_vectors, valid
+from larkspur.llm.embedding_dedup import valid
 from larkspur.llm.names import col
 from larkspur.llm.storage import write_table
 from larkspur.llm.wordhash import small_batches, tidy
