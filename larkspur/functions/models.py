@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.vectors import QUERY_PREFIX
+from larkspur.sources.memo import Memo
 
 
 class Embedder(Protocol):
@@ -144,15 +145,26 @@ class LlmExpander:
         return [question, *found["rewrites"]]
 
 
-def expand_questions(questions: DataFrame, expander: QueryExpander) -> DataFrame:
-    """(qid, query) to (qid, variant, query); each distinct question is expanded once, on the workers."""
+def expand_questions(questions: DataFrame, expander: QueryExpander, memo: Memo | None = None, batch: str = "expansions") -> DataFrame:
+    """(qid, query) to (qid, variant, query); each distinct question is expanded once, on the workers.
+
+    With a memo (key `text`, fields `variants array<string>`), questions that an earlier run or another plan expanded aren't asked again; that runs a job, and a null question is its own only variant.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([(text, v, x) for text in part["query"] for v, x in enumerate(expander.expand(text))], columns=["text", "variant", "query"])
+            yield pd.DataFrame({"text": part["text"], "variants": [expander.expand(t) for t in part["text"]]})
+
+    once = questions.select(F.col("query").alias("text")).distinct()
+    expand = lambda rows: rows.select("text").mapInPandas(run, "text string, variants array<string>")
+    once = expand(once) if memo is None else memo.answered(once, expand, batch)
+    rows = questions.select("qid", F.col("query").alias("asked")).join(once, F.col("asked").eqNullSafe(F.col("text")))
+    return rows.select("qid", F.posexplode(F.coalesce("variants", F.array("asked"))).alias("variant", "query"))
+
 
-    once = questions.select("query").distinct().mapInPandas(run, "text string, variant int, query string")
-    return questions.select("qid", F.col("query").alias("asked")).join(once, F.col("asked").eqNullSafe(F.col("text"))).select("qid", "variant", "query")
+def embed_missing(chunks: DataFrame, memo: Memo, load: Callable[[], Embedder], batch: str) -> DataFrame:
+    """Chunks (with chunk_id and text) with their vectors; the model embeds only those that the memo (key `chunk_id`, fields `embedding array<float>`) lacks, and the memo keeps them."""
+    return memo.answered(chunks, lambda rows: rows.select("chunk_id", embed_column(F.col("text"), load).alias("embedding")), batch)
 
 
 @dataclass(frozen=True)

@@ -79,6 +79,8 @@ sql("ingest_filter", r"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 5 <
 t AS (SELECT raw, length(regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', '')) AS n FROM p)
 SELECT count(*) FILTER (WHERE n >= 2000) AS n_ok, count(*) FILTER (WHERE n IS NULL OR n < 2000) AS n_miss, coalesce(sum(n) FILTER (WHERE n >= 2000), 0)::BIGINT AS n_chars FROM t""")
 sql("embed_todo", "SELECT vec_id AS chunk_ord FROM embeddings WHERE NOT (vec_id % 3 <> 2 AND vec_id % 2 = 0)")
+sql("memo_runs", f"""WITH {DOCS}, {", ".join(reversed(fake("docs", "doc_ord", "text", "dv")))}
+SELECT doc_ord, min(CASE WHEN doc_ord % 3 = 0 THEN 1 WHEN doc_ord % 2 = 0 THEN 2 ELSE 3 END) OVER (PARTITION BY text) AS run, length(text) AS n_chars, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM docs JOIN dv USING (doc_ord)""")
 sql("cache_compact", "SELECT vec_id AS chunk_ord FROM embeddings WHERE vec_id % 3 <> 2 AND vec_id % 2 = 0")
 sql("vector_coverage", "SELECT count(*) AS n_chunks, count(*) FILTER (WHERE vec_id % 3 <> 2 AND vec_id % 2 = 0) AS n_vectors FROM embeddings")
 sql("vector_roundtrip", "SELECT vec_id, true AS same, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")

@@ -18,7 +18,7 @@ from larkspur.operators import attribution, cells, evaluate, fusion, han, intake
 from larkspur.operators.containment import find_contained
 from larkspur.operators.frames import written
 from larkspur.plans.pipeline import Retriever
-from larkspur.sources import corpus
+from larkspur.sources import corpus, memo
 from larkspur.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,6 +172,21 @@ def embed_todo(spark, sf_dir):
     return corpus.embed_todo(_vector_chunks(i), _cache(i), "new").select("chunk_ord")
 
 
+@query
+def memo_runs(spark, sf_dir):
+    """A memo of vectors by text, filled by three runs over growing sets of documents and compacted; of each document, the run that asked for its text, and what the compacted memo tells."""
+    i = Inputs(spark, sf_dir)
+    docs = i.docs.select("doc_ord", "text", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    embed = lambda rows: rows.select("text_md5", fake_embed(F.col("text"), DIM).alias("embedding"), F.length("text").cast("long").alias("n_chars"))
+    folder = new_folder(spark, "memo")
+    kept = memo.Memo(f"{folder}/runs", "fake", "text_md5", "embedding array<float>, n_chars long")
+    for batch, rows in {"1": docs.where("doc_ord % 3 = 0"), "2": docs.where("doc_ord % 3 = 0 or doc_ord % 2 = 0"), "3": docs}.items():
+        kept.fill(rows, embed, batch)
+    asked = kept.entries(spark).select("text_md5", F.col("batch").cast("long").alias("run"))
+    small = kept.compacted(spark, f"{folder}/compacted", docs)
+    return small.look_up(docs).join(asked, "text_md5").select("doc_ord", "run", "n_chars", F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
 @query
 def cache_compact(spark, sf_dir):
     i = Inputs(spark, sf_dir)
