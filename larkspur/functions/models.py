@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.subword import Subwords
 from larkspur.functions.vectors import QUERY_PREFIX
 from larkspur.sources.memo import Memo
 
@@ -74,25 +75,47 @@ def rerank_column(query: Column, text: Column, load: Callable[[], Reranker], *,
 
 
 @dataclass
-class OnnxEmbedder:
-    """A sentence encoder from a local ONNX file: mean over tokens, unit length; queries get a prefix. encode turns texts into the model's inputs."""
+class _Onnx:
+    """A model in a local ONNX file, read at its first use, with a vocabulary (a file of pieces) or an encode of one's own, that turns texts into the model's inputs."""
 
     path: str
-    encode: Callable[[list[str]], dict[str, np.ndarray]]
-    dim: int = 512
-    name: str = "onnx"
-    prefix: str = QUERY_PREFIX
+    vocabulary: str | None = None
+    encode: Callable[[list], dict[str, np.ndarray]] | None = None
+    most: int = 512
+    lower: bool = True
     _session: object = field(default=None, repr=False)
-
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    _pieces: Subwords | None = field(default=None, repr=False)
+
+    def _inputs(self, texts: list, kind: str) -> dict[str, np.ndarray]:
+        if self.encode is not None:
+            return self.encode(texts)
+        if self.vocabulary is None:
+            raise ValueError("a model needs a vocabulary or an encode")
+        if self._pieces is None:
+            self._pieces = Subwords(self.vocabulary, self.lower, self.most)
+        return getattr(self._pieces, kind)(texts)
+
+    def _run(self, inputs: dict[str, np.ndarray]) -> np.ndarray:
         if self._session is None:
             import onnxruntime
 
             self._session = onnxruntime.InferenceSession(self.path, providers=["CPUExecutionProvider"])
-        inputs = self.encode(texts)
-        hidden = np.asarray(self._session.run(None, inputs)[0], float)
+        known = {x.name for x in self._session.get_inputs()}
+        return np.asarray(self._session.run(None, {k: v for k, v in inputs.items() if k in known})[0], float)
+
+
+@dataclass
+class OnnxEmbedder(_Onnx):
+    """A sentence encoder: mean over tokens, unit length; queries get a prefix."""
+
+    dim: int = 512
+    name: str = "onnx"
+    prefix: str = QUERY_PREFIX
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        inputs = self._inputs(texts, "texts")
         mask = inputs["attention_mask"][:, :, None]
-        mean = (hidden * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)
+        mean = (self._run(inputs) * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)
         norm = np.sqrt((mean * mean).sum(axis=1, keepdims=True))
         return (mean / np.where(norm == 0, 1, norm)).astype(np.float32).tolist()
 
@@ -101,19 +124,11 @@ class OnnxEmbedder:
 
 
 @dataclass
-class OnnxReranker:
-    """A cross-encoder from a local ONNX file; raw logits."""
-
-    path: str
-    encode: Callable[[list[tuple[str, str]]], dict[str, np.ndarray]]
-    _session: object = field(default=None, repr=False)
+class OnnxReranker(_Onnx):
+    """A cross-encoder; raw logits."""
 
     def score(self, query: str, texts: list[str]) -> list[float]:
-        if self._session is None:
-            import onnxruntime
-
-            self._session = onnxruntime.InferenceSession(self.path, providers=["CPUExecutionProvider"])
-        return np.asarray(self._session.run(None, self.encode([(query, t) for t in texts]))[0], float).reshape(-1).tolist()
+        return self._run(self._inputs([(query, t) for t in texts], "pairs")).reshape(-1).tolist()
 
 
 @dataclass
