@@ -95,9 +95,8 @@ def ingest_report(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") != "ok").alias("n_miss"), F.coalesce(F.sum(F.when(F.col("status") == "ok", F.length("text"))), F.lit(0)).cast("long").alias("n_chars"))
 
 
-def fetch_article(get: Callable[[str], tuple[int, dict, dict | None]], title: str, *, retries: int = 4, sleep: Callable[[float], None] = time.sleep) -> str | None:
-    """An article's text by get(title) -> (status, headers, JSON). 429 and 5xx wait (Retry-After, else 5 s and thrice as long each time); None if there is no such page."""
-    wait = 5.0
+def fetch_article(get: Callable[[str], tuple[int, dict, dict | None]], title: str, *, retries: int = 4, sleep: Callable[[float], None] = time.sleep, wait: float = 5.0) -> str | None:
+    """An article's text by get(title) -> (status, headers, JSON). 429 and 5xx wait (Retry-After, else `wait` seconds and thrice as long each time); None if there is no such page."""
     for attempt in range(retries + 1):
         status, headers, body = get(title)
         if status == 429 or status >= 500:
