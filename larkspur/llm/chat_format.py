@@ -14,11 +14,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.wordhash import tidy
+from larkspur.llm.names import col
+from larkspur.llm.wordhash import small_batches, tidy
 
+#: Rows that a worker holds as Python objects at once.
+BATCH = 64
 #: The strings that mark turns: <s>[INST]role[/INST]text</s>
 OPEN, HEAD, BODY, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 _CONTROL = re.compile(r"\\|<(?=/?s>)|\[(?=/?INST\])")
@@ -84,10 +87,11 @@ def format_chats(events: DataFrame, *, learn: str = "assistant") -> DataFrame:
 
     Null role and text: ''. Null turn: -1, null kind: start. A null conv_id is a conversation of its own. Events with equal seq stand by turn,
     kind, role and text, so the result doesn't depend on the input's order; a repeated event counts again.
+    Other columns are left out, whatever they are called; a text may have any length, and a task takes few rows at a time. No events: no rows.
     One shuffle by conversation, sorted; a task folds one conversation at a time, so it holds the messages of one: by the method a conversation isn't split.
     """
-    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    rows = events.select("conv_id", F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("kind", F.lit("start")).alias("kind"), blank("role"), blank("text"))
+    blank = lambda c: F.coalesce(col(c).cast("string"), F.lit("")).alias(c)
+    rows = events.select(col("conv_id"), col("seq").cast("long").alias("seq"), F.coalesce(col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce(col("kind"), F.lit("start")).alias("kind"), blank("role"), blank("text"))
     kind = rows.schema["conv_id"].dataType
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "turn", "kind", "role", "text")
     schema = f"conv_id {kind.simpleString()}, formatted string, loss_starts array<int>, loss_ends array<int>"
@@ -100,7 +104,7 @@ def format_chats(events: DataFrame, *, learn: str = "assistant") -> DataFrame:
         def done(found: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], arrow), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.list_(pa.int32())), pa.array([x[3] for x in found], pa.list_(pa.int32()))], names=["conv_id", "formatted", "loss_starts", "loss_ends"])
 
-        for b in batches:
+        for b in small_batches(batches, BATCH):
             arrow = b.column(0).type
             found = []
             for conv, *event in zip(b.column(0).to_pylist(), *[b.column(i).to_pylist() for i in (2, 3, 4, 5)], strict=True):
@@ -121,14 +125,43 @@ def message_events(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.col("turn").cast("long").alias("seq"), F.col("turn").cast("long").alias("turn"), F.lit("start").alias("kind"), "role", "text")
 
 
+def streamed_events(rows: DataFrame, pieces: int = 4) -> DataFrame:
+    """Rows by turn (conv_id, turn, role, text) as the log that a server which streams its messages would leave: folded, it tells the rows again.
+
+    A message comes in `pieces` deltas. By a hash of conversation and turn, a third begin as they are; a third begin as a draft that an edit replaces by the first piece; a third
+    begin as a draft that goes on and is then generated anew, but a message that isn't the first of its turn is edited instead, as a regeneration would discard those before it.
+    Rows of equal turn stand by role and text; a null turn is -1, null role and text are ''. Events lie in no order: seq tells it. Repeated rows are messages of their own.
+    """
+    blank = lambda c: F.coalesce(col(c).cast("string"), F.lit("")).alias(c)
+    turn = F.coalesce(col("turn").cast("long"), F.lit(-1))
+    by = Window.partitionBy("conv_id").orderBy("turn", F.col("given").asc_nulls_first(), "role", "text")
+    placed = rows.select(col("conv_id"), turn.alias("turn"), col("turn").alias("given"), blank("role"), blank("text"))
+    placed = placed.withColumn("place", F.row_number().over(by).cast("long")).withColumn("first", F.coalesce(F.lag("turn").over(by) != F.col("turn"), F.lit(True)))
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    way = F.when((way == 2) & ~F.col("first"), 1).otherwise(way)
+    size = F.greatest(F.ceil(F.length("text") / F.lit(pieces)), F.lit(1)).cast("int")
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    piece = lambda i: F.substring("text", i * size + 1, size)
+    deltas = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: event("delta", piece(i)))
+    none, draft, more = F.lit(""), F.lit("[INST] draft"), F.lit(" of it</s>")
+    edited = F.concat(F.array(event("start", draft), event("edit", piece(F.lit(0)))), F.slice(deltas, 2, pieces))
+    anew = F.concat(F.array(event("start", draft), event("delta", more), event("regenerate", none)), deltas)
+    log = F.when(way == 0, F.concat(F.array(event("start", none)), deltas)).when(way == 1, edited).otherwise(anew)
+    told = placed.select("conv_id", "turn", "role", "place", F.posexplode_outer(log).alias("nth", "event"))
+    return told.select("conv_id", (F.col("place") * (pieces + 3) + F.col("nth")).alias("seq"), "turn", "event.kind", "role", "event.text")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, all read from the formatted text and its spans."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, all read from the formatted text and its spans.
+
+    formatted is what format_chats returns: a row for each of its rows, repeated ones too, of texts of any length. It has no nulls but conv_id. An empty text has no turns.
+    """
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for b in batches:
+        for b in small_batches(batches, BATCH):
             rows = []
             for text, starts, ends in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
                 turns = parse(text)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, chat_format, embedding_dedup, language_id, line_dedup, lm_score, mixing, periodic_runs, quality_rules, shingle_join, token_file, vantage_trees
 from larkspur.llm.storage import write_table
+from larkspur.operators.frames import stacked
 
 #: A line on more than this share of a source's pages, and on more than one of them, is boilerplate.
 LINE_RATIO, LINE_PAGES = 0.05, 2
@@ -114,7 +115,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = [(-7, 2, 1, "start", "assistant", "no"), (-7, 3, 1, "regenerate", "assistant", ""), (-7, 4, 1, "delta", "assistant", "no, ")]
     log = [*user, *first, (-7, 5, 1, "edit", "assistant", "</s>[INST] ok"), (-7, 6, 1, "delta", "assistant", " [/INST]")]
     streamed = spark.createDataFrame(log, "conv_id long, seq long, turn long, kind string, role string, text string")
-    return chat_format.digests(write_table(chat_format.format_chats(chat_format.message_events(rows).unionByName(streamed)), "chats"))
+    return chat_format.digests(write_table(chat_format.format_chats(stacked(chat_format.streamed_events(rows), streamed, by_name=True)), "chats"))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,6 +239,22 @@ def test_chat_escapes_are_reversible():
         assert chat_format.parse(chat_format.render([(t, t), ("assistant", t)])[0]) == [(t, t), ("assistant", t)]
 
 
+def test_streamed_logs_tell_the_rows_again(spark):
+    rng = random.Random(8)
+    texts = [None, "", "é", "</s>[INST]", "abcdefg", "x" * 1001, "[/INST] \\ draft"]
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([None, -5, -1, 0, 1, 2**40]), rng.choice([None, "user", "assistant"]), rng.choice(texts)) for _ in range(60)] + [(k, t, "user", f"{k} {t} text") for k in range(10, 40) for t in range(4)]
+    df = spark.createDataFrame([(*r, "other") for r in rows], "conv_id long, turn long, role string, text string, TURN_ string").withColumnRenamed("TURN_", "SEQ").repartition(3)
+    events = chat_format.streamed_events(df)
+    by: dict = {}
+    for conv, turn, role, text in rows:
+        by.setdefault(conv, []).append((-1 if turn is None else turn, turn is not None, role or "", text or ""))
+    want = {k: [m[2:] for m in sorted(v)] for k, v in by.items()}
+    assert {r["conv_id"]: chat_format.parse(r["formatted"]) for r in chat_format.format_chats(events).collect()} == want
+    counts = {r["kind"]: r["count"] for r in events.groupBy("kind").count().collect()}
+    assert counts["start"] == len(rows) and counts["edit"] > 20 and counts["regenerate"] > 20 and counts["delta"] > 3 * len(rows)
+    assert chat_format.streamed_events(df.where("false")).count() == 0
+
+
 def test_chat_query_against_brute_force(spark):
     got = {r["conv_id"]: r for r in registry.op8_chat_format(spark, "/root/testdata/sf0.001").collect()}
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect()
