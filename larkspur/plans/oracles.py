@@ -26,6 +26,47 @@ def windows(size: int, overlap: int, name: str = "chunks") -> str:
   SELECT *, min(CASE WHEN regexp_full_match(text, '\\s*') THEN n END) OVER (PARTITION BY doc_ord) AS blank FROM {name}_text) WHERE blank IS NULL OR n < blank)""".replace("\\\\", "\\")
 
 
+def folded(name: str, items: str, most: int) -> str:
+    """Items (doc_ord, i from 1, a, b, mode) one after another into spans of one document: an item begins a span ('new'), or joins the last one if the whole stays within most ('whole'), or their lengths do ('sum')."""
+    joins = f"CASE mode WHEN 'whole' THEN t.b - r.s <= {most} WHEN 'sum' THEN r.e - r.s + t.b - t.a <= {most} ELSE false END"
+    return f"""{name}_fold AS (SELECT doc_ord, i, a AS s, b AS e, 0::BIGINT AS n FROM {items} WHERE i = 1
+  UNION ALL SELECT r.doc_ord, t.i, CASE WHEN {joins} THEN r.s ELSE t.a END, t.b, r.n + CASE WHEN {joins} THEN 0 ELSE 1 END FROM {name}_fold r JOIN {items} t ON t.doc_ord = r.doc_ord AND t.i = r.i + 1),
+{name}_spans AS (SELECT doc_ord, n, min(s)::BIGINT AS start, max(e)::BIGINT AS "end" FROM {name}_fold GROUP BY ALL)"""
+
+
+SENTENCE = r"[^。！？；\n]*[。！？；\n]+|[^。！？；\n]+$"
+
+
+def sentences(name: str, blocks: str) -> str:
+    """(doc_ord, a, b, nth) of the sentences that aren't blank, of blocks (doc_ord, a, part), nth counting them in their block."""
+    return rf"""{name}_parts AS (SELECT doc_ord, a AS block, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT doc_ord, a, regexp_extract_all(part, '{SENTENCE}') AS l FROM {blocks})),
+{name}_placed AS (SELECT *, block + sum(length(s)) OVER (PARTITION BY doc_ord, block ORDER BY k) AS b FROM {name}_parts),
+{name} AS (SELECT doc_ord, b - length(s) AS a, b, row_number() OVER (PARTITION BY doc_ord, block ORDER BY k) AS nth FROM {name}_placed WHERE NOT regexp_full_match(s, '\s*'))"""
+
+
+def structure(name: str, most: int) -> str:
+    """Spans of docs that begin at headings and blank lines: small neighbours joined by length, large ones packed by sentence."""
+    return rf"""{name}_lines AS (SELECT doc_ord, text, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT doc_ord, text, string_split(text, chr(10)) AS l FROM docs)),
+{name}_at AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY doc_ord ORDER BY k) - length(line) - 1)::BIGINT AS a FROM {name}_lines),
+{name}_begins AS (SELECT doc_ord, text, a, lead(a, 1, length(text)) OVER (PARTITION BY doc_ord ORDER BY a) AS b FROM {name}_at WHERE k = 1 OR regexp_matches(line, '^#{{1,6}}\s') OR regexp_full_match(line, '\s*')),
+{name}_blocks AS (SELECT doc_ord, a, b, substr(text, a + 1, b - a) AS part FROM {name}_begins WHERE NOT regexp_full_match(substr(text, a + 1, b - a), '\s*')),
+{name}_large AS (SELECT * FROM {name}_blocks WHERE b - a > {most}), {sentences(f"{name}_s", f"{name}_large")},
+{name}_items AS (SELECT *, row_number() OVER (PARTITION BY doc_ord ORDER BY a) AS i FROM (
+  SELECT doc_ord, a, b, 'sum' AS mode FROM {name}_blocks WHERE b - a <= {most} UNION ALL SELECT doc_ord, a, b, CASE WHEN nth = 1 THEN 'new' ELSE 'whole' END FROM {name}_s)),
+{folded(name, f"{name}_items", most)}"""
+
+
+def children(name: str, child: int, parent: int) -> str:
+    """Sentences packed within spans of structure."""
+    return f"""{structure(f"{name}_p", parent)}, {name}_in AS (SELECT doc_ord, start AS a, substr(text, start + 1, "end" - start) AS part FROM {name}_p_spans JOIN docs USING (doc_ord)), {sentences(f"{name}_c", f"{name}_in")},
+{name}_items AS (SELECT doc_ord, a, b, CASE WHEN nth = 1 THEN 'new' ELSE 'whole' END AS mode, row_number() OVER (PARTITION BY doc_ord ORDER BY a) AS i FROM {name}_c),
+{folded(name, f"{name}_items", child)}"""
+
+
+#: Documents with headings, blank lines and full stops of both kinds planted, as in the queries.
+STRUCTURED = DOCS.replace(" text, source", " CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), chr(10) || chr(10) || '## ') WHEN 2 THEN replace(text, '. ', '。') ELSE replace(replace(text, ' a', chr(10) || ' ' || chr(10) || 'a'), '. ', '！？ ') END AS text, source")
+
+
 def bm25(chunks: str = "chunks", questions: str = "questions") -> str:
     return f"""toks AS (SELECT chunk_ord, unnest({terms("title || ' ' || text")}) AS term FROM {chunks}),
 tf AS (SELECT chunk_ord, term, count(*) AS tf FROM toks GROUP BY ALL),
@@ -89,6 +130,13 @@ placed AS (SELECT *, sum(length(s)) OVER (PARTITION BY doc_ord ORDER BY i) AS e
 SELECT doc_ord, row_number() OVER (PARTITION BY doc_ord ORDER BY i) - 1 AS n, (e - length(s))::BIGINT AS start, e::BIGINT AS "end" FROM placed WHERE NOT regexp_full_match(s, '\s*')""")
 for name, overlap in (("chunk_fixed", 0), ("chunk_overlap", 60)):
     sql(name, f'WITH {DOCS}, {windows(300, overlap)} SELECT chunk_ord, chunk_id, start, "end", md5(text) AS text_md5 FROM chunks')
+SPANS = """c.doc_ord * 1048576 + n AS chunk_ord, doc_id || '#' || n AS chunk_id, c.start, c."end", md5(substr(text, c.start + 1, c."end" - c.start)) AS text_md5"""
+sql("structure_chunks", f"WITH RECURSIVE {STRUCTURED}, {structure('u', 300)} SELECT {SPANS} FROM u_spans c JOIN docs USING (doc_ord)")
+sql("parent_child", f"""WITH RECURSIVE {STRUCTURED}, {children('v', 120, 400)}, p AS (SELECT doc_ord AS p_ord, start AS p_start, "end" AS p_end FROM v_p_spans)
+SELECT {SPANS}, md5(substr(text, p_start + 1, p_end - p_start)) AS context_md5 FROM v_spans c JOIN docs USING (doc_ord) JOIN p ON p_ord = c.doc_ord AND c.start BETWEEN p_start AND p_end - 1""")
+STRATEGIES = {"fixed": windows(300, 0, "k_fixed"), "overlap": windows(300, 60, "k_overlap"), "structure": structure("k_structure", 300), "parent-child": children("k_child", 120, 400)}
+CHUNKS_OF = {"fixed": "k_fixed", "overlap": "k_overlap", "structure": "k_structure_spans", "parent-child": "k_child_spans"}
+sql("chunk_strategies", f"WITH RECURSIVE {DOCS}, {', '.join(STRATEGIES.values())} " + " UNION ALL ".join([f"""SELECT '{k}' AS strategy, count(*) AS n_chunks, sum("end" - start)::BIGINT AS n_chars FROM {v}""" for k, v in CHUNKS_OF.items()]))
 sql("chunk_stats", f"""WITH {DOCS}, {windows(300, 60)}, l AS (SELECT length(text) AS len, row_number() OVER (ORDER BY length(text)) - 1 AS i, count(*) OVER () AS n FROM chunks)
 SELECT (SELECT count(*) FROM docs) AS n_docs, (SELECT sum(length(text)) FROM docs)::BIGINT AS n_chars, any_value(n) AS n_chunks, min(len) AS min_len, max(CASE WHEN i = least(n - 1, floor(n * 0.5)) THEN len END) AS p50_len,
 max(CASE WHEN i = least(n - 1, floor(n * 0.9)) THEN len END) AS p90_len, max(len) AS max_len FROM l""")
