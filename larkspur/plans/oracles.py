@@ -203,6 +203,13 @@ OUTCOMES = f"""{BASE}, {GOLD}, outcomes AS (SELECT q.qid, coalesce((SELECT min(r
 coalesce((SELECT min(rank) - 1 FROM lex JOIN gold_pairs g ON g.qid = lex.qid AND g.doc_id = lex.chunk_ord WHERE lex.qid = q.qid AND rank <= 20), -1) AS pool_rank FROM questions q),
 s AS (SELECT * FROM outcomes WHERE qid IN (SELECT qid FROM gold_pairs)),
 summary AS (SELECT count(*) AS n, {', '.join(f"round(coalesce(avg((rank >= 0 AND rank < {k})::INT), 0), 6) AS recall_{k}" for k in (1, 3, 5, 10))}, round(coalesce(avg(CASE WHEN rank >= 0 AND rank < 10 THEN 1.0::DOUBLE / (rank + 1) ELSE 0 END), 0), 6) AS mrr, round(coalesce(avg((pool_rank >= 0)::INT), 0), 6) AS pool_recall FROM s)"""
+WHOLE = {"fixed": "SELECT chunk_ord, title, text FROM k_fixed", "overlap": "SELECT chunk_ord, title, text FROM k_overlap"} | {
+    k: f"""SELECT c.doc_ord * 1048576 + n AS chunk_ord, title, substr(text, c.start + 1, c."end" - c.start) AS text FROM {CHUNKS_OF[k]} c JOIN docs USING (doc_ord)""" for k in ("structure", "parent-child")}
+SWEEP = """SELECT * FROM (WITH chunks AS ({chunks}), {bm25}, f AS (SELECT qid, chunk_ord // 1048576 AS doc_id, min(rank) AS r FROM lex WHERE rank <= 10 GROUP BY ALL),
+ranked AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY r) - 1 AS rank FROM f), best AS (SELECT qid, min(rank) AS rank FROM gold_pairs LEFT JOIN ranked USING (qid, doc_id) GROUP BY qid)
+SELECT '{name}' AS strategy, (SELECT count(*) FROM chunks) AS n_chunks, (SELECT round(avg(length(text)), 4) FROM chunks) AS avg_len, round(coalesce(avg((coalesce(rank, 99) < 1)::INT), 0), 6) AS recall_1,
+round(coalesce(avg((coalesce(rank, 99) < 5)::INT), 0), 6) AS recall_5, round(coalesce(avg(coalesce(1.0::DOUBLE / (rank + 1), 0)), 0), 6) AS mrr FROM best)"""
+sql("sweep_chunking", f"WITH RECURSIVE {DOCS}, {QUESTIONS}, {GOLD}, {', '.join(STRATEGIES.values())} " + " UNION ALL ".join([SWEEP.format(chunks=v, bm25=bm25(), name=k) for k, v in WHOLE.items()]))
 sql("case_outcomes", f"WITH {OUTCOMES} SELECT qid, rank, pool_rank, pool_rank AS pool_rank_chunk FROM outcomes")
 sql("recall_at_k", f"WITH {OUTCOMES} SELECT n, recall_1, recall_3, recall_5, recall_10 FROM summary")
 sql("mrr", f"WITH {OUTCOMES} SELECT mrr FROM summary")

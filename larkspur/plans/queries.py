@@ -690,11 +690,13 @@ def case_slice(spark, sf_dir):
 @query
 def sweep_chunking(spark, sf_dir):
     i = Inputs(spark, sf_dir)
+    gold = written(i.gold())
+    answerable = gold.where(F.size("gold") > 0)
     parts = None
     for s in ("fixed", "overlap", "structure", "parent-child"):
         c = segment.chunk_by(i.docs, s)
         hits = lexical.search(lexical.build_index(c), i.questions, 10).select("qid", F.shiftright("chunk_ord", 20).alias("doc_id"), "rank")
-        summary = evaluate.summarize(evaluate.case_outcomes(i.gold(), hits, hits), i.gold().where(F.size("gold") > 0)).select("recall_1", "recall_5", "mrr")
+        summary = evaluate.summarize(evaluate.case_outcomes(gold, hits, hits), answerable).select("recall_1", "recall_5", "mrr")
         row = c.agg(F.lit(s).alias("strategy"), F.count(F.lit(1)).alias("n_chunks"), F.round(F.avg(F.length("text")), 4).alias("avg_len")).crossJoin(summary)
         parts = row if parts is None else parts.unionAll(row)
     return parts

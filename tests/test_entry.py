@@ -10,7 +10,7 @@ from larkspur.plans.queries import QUERIES, Inputs
 
 ROOT = Path(__file__).resolve().parent.parent
 #: Queries that SQL doesn't tell: other tests hold their operators against plain versions.
-WITHOUT_SQL = {"sweep_chunking", "ann_topk", "ann_benchmark", "ann_graph_topk"}
+WITHOUT_SQL = {"ann_topk", "ann_benchmark", "ann_graph_topk"}
 
 
 def test_flagship(spark):
