@@ -143,7 +143,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_
     rows = df.where(col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).alias("text"), col(lang_col).cast("string").alias("lang"), col(salt_col).cast("string").alias("salt"))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     share = min(1.0, max_documents / max(1, size["n"]), max_chars / max(1, size["chars"]))
-    rows = rows.where(F.pmod(F.xxhash64("salt", F.lit("language")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = rows.where(F.pmod(F.xxhash64("salt", F.lit("language")), F.lit(1 << 62)) < int(share * (1 << 62)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, str], tuple[KeyTable, np.ndarray]] = {}

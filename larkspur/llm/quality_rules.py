@@ -79,7 +79,7 @@ def trusted_sample(labels: DataFrame, *, id_col: str = "doc_id", most: int = 20_
     by = labels.where(col(id_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x"))
     good = by.where("q = 1 and coalesce(x, 0) = 0").select("id")
     share = min(1.0, most / max(1, good.count()))
-    return good.where(F.pmod(F.xxhash64("id", F.lit("trusted")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return good.where(F.pmod(F.xxhash64("id", F.lit("trusted")), F.lit(1 << 62)) < int(share * (1 << 62)))
 
 
 def rate(df: DataFrame, weights: DataFrame, *, text_col: str = "text", min_words: int = 10, max_repeat: float = 0.2, min_score: float = -0.2) -> DataFrame:
