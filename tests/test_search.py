@@ -226,6 +226,34 @@ def test_title_graph(spark):
     assert (s["nodes"], s["edges"], s["n_isolated"]) == (6, 4, 0) and s["top_hubs"][0]["degree"] == 2
 
 
+def test_title_graph_by_classes(spark, monkeypatch):
+    """Copies, shared titles and titles in other texts, against pairs spelled out; classes larger than a block; no pair of documents is shuffled."""
+    monkeypatch.setattr(fusion, "BLOCK", 3)
+    rows = [(k, "alpha", "alpha" + " beta" * (k % 2)) for k in range(8)] + [(k, "beta", "beta then gamma") for k in range(8, 13)]
+    rows += [(13, "gamma", "no title"), (14, "gamma", "gamma"), (15, "twice", "twice"), (16, "twice", "twice"), (17, "alone", "alone"), (18, None, "alpha"), (19, "g", None), (20, "delta", None), (21, "three", "three"), (22, "three", "three"), (23, "three", "three"), (24, None, None)]
+    docs = spark.createDataFrame(rows, DOC)
+    mention = {(a, b) for a, _, text in rows for b, title, _ in rows if a != b and text and title and len(title) >= 2 and title in text}
+    want = {}
+    for a, b in mention:
+        for edge, phase in (((a, b), 0 if b < a else 2), ((b, a), 1)):
+            want[edge] = min(want.get(edge, phase), phase)
+    graph = fusion.title_classes(docs)
+    edges = graph.edges()
+    got = edges.collect()
+    assert {(r["src"], r["dst"]): r["phase"] for r in got} == want and len(got) == len(want) and all(r["ord"] == r["dst"] for r in got)
+    some = graph.edges(spark.createDataFrame([(1,), (13,), (13,), (24,)], "doc_ord long")).collect()
+    assert sorted((r["src"], r["dst"], r["phase"]) for r in some) == sorted((*e, p) for e, p in want.items() if e[0] in (1, 13))
+    hops = {(a, d) for a, b in want for c, d in want if b == c and a != d}
+    two = graph.two_hops()
+    assert sorted(map(tuple, two.collect())) == sorted(hops) and (15, 16) not in hops and (21, 22) in hops
+    degrees = {r["doc_ord"]: r["d"] for r in graph.degrees().collect()}
+    assert degrees == {a: sum(x == a for x, _ in want) for a, _ in want}
+    assert fusion.graph_stats(docs, graph).first() == fusion.graph_stats(docs, spark.createDataFrame([(*e, 0, 0) for e in want], "src long, dst long, phase int, ord long")).first()
+    for df in (fusion.title_graph(docs), two):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan[: plan.index("Generate")] and "Repartition" not in plan[: plan.index("Generate")]
+
+
 def test_expansion_grows_a_small_pool(spark):
     docs = spark.createDataFrame([(0, "hub", "t"), (1, "aa", "hub"), (2, "bb", "hub"), (3, "cc", "hub")], DOC)
     first = docs.select(F.col("doc_ord").alias("chunk_ord"), "doc_ord", F.lit(0).alias("start"))
