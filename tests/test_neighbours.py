@@ -114,3 +114,32 @@ def test_repeated_vectors_in_the_sample(spark):
     assert [r["chunk_ord"] for r in vector.ann_search(same, q, index, 3).orderBy("rank").collect()] == [0, 1, 2]
     none = vector.Cells(np.zeros((0, 0)), 0)
     assert vector.ann_search(same, q, none, 3).count() == 3  # no cells: the exact search
+
+
+def test_best_of_tiles_against_a_sort(monkeypatch):
+    """Ties by key, scores that round alike, nan, infinities and string keys, in tiles and rounds of any size; what waits to be sorted is bounded."""
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.standard_normal((7, 400)), 1) + rng.choice([0, 2e-7, -2e-7], (7, 400))
+    scores[0, :50], scores[1, 3], scores[2], scores[3, 5] = np.nan, np.inf, -np.inf, -np.inf
+    for keys in (rng.permutation(400), np.array([f"k{x:03d}" for x in rng.permutation(400)], dtype=object)):
+        want = [[(round(float(s), 6), x) for s, x in sorted(((s, x) for s, x in zip(np.round(row, 6), keys, strict=True) if s > -np.inf), key=lambda p: (-p[0], p[1]))][:10] for row in scores]
+        for waiting, wide, high in ((1 << 19, 400, 7), (30, 9, 3), (30, 150, 1)):
+            monkeypatch.setattr(vector, "WAITING", waiting)
+            best = vector._Best(7, 10)
+            for i in range(0, 400, wide):
+                for q in range(0, 7, high):
+                    best.add(np.arange(7)[q : q + high], scores[q : q + high, i : i + wide], keys[i : i + wide])
+                    assert best.size <= waiting
+            best.sort()
+            got = [[(float(s), x) for n, s, x in zip(*best.best, strict=True) if n == q] for q in range(7)]
+            assert got == want
+
+
+def test_tiles_are_bounded():
+    cells = vector.Cells(np.eye(64).repeat(20, axis=0), 40)
+    x = np.random.default_rng(1).standard_normal((3000, 64))
+    parts = vector._tiles(len(x), len(cells.centroids))
+    assert len(parts) > 1 and all(len(x[p]) * len(cells.centroids) <= vector.TILE for p in parts)
+    assert (cells.nearest(x) == np.argmax(x @ cells.centroids.T, axis=1)).all()
+    order = np.argsort(-(x @ cells.centroids.T), axis=1, kind="stable")[:, :40]
+    assert (np.flatnonzero(cells.looks_into(x)[7]) == np.sort(order[7])).all() and (cells.looks_into(x).sum(axis=1) == 40).all()
