@@ -10,6 +10,8 @@ from larkspur.llm.quality_rules import words
 from larkspur.llm.storage import drop_table, table_bytes, write_table
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Cells (not documents) that may be raked in one row.
+FEW_CELLS = 4096
 #: Strings that tell a topic, the first that a text (in lower case) has; then a digit; then prose.
 MARKERS = (("legal", ("license", "copyright", "warranty")), ("contact", ("@",)), ("table", (" | ",)), ("noise", ("%%%", "$$$", "***", "&&&", "###")))
 
@@ -69,6 +71,36 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, tolerance: float =
     return at
 
 
+def rake_few(cells: DataFrame, targets: dict[str, DataFrame], *, tolerance: float = 1e-9, rounds: int = 100) -> DataFrame:
+    """What rake returns, of few cells, none of whose dimensions is null: all rounds are folds over arrays in one row, so there is one plan, and no job for each round."""
+    names = cells.columns
+    row = cells.agg(F.array_sort(F.collect_list(F.struct(*targets, *[c for c in names if c not in targets]))).alias("cells"), F.sum("tokens").alias("total"))
+    for k, (d, t) in enumerate(targets.items()):
+        of = t.where("value is not null and share is not null").agg(F.map_from_entries(F.collect_list(F.struct("value", "share"))).alias(f"share{k}"))
+        row = row.crossJoin(F.broadcast(of)).withColumn(f"values{k}", F.array_sort(F.array_distinct(F.col("cells")[d])))
+        row = row.withColumn(f"at{k}", F.transform(F.col("cells")[d], lambda v: (F.array_position(f"values{k}", v) - 1).cast("int")))
+        members = F.transform(f"values{k}", lambda _, i: F.filter(F.sequence(F.lit(0), F.size("cells") - 1), lambda j: F.col(f"at{k}")[j] == i))
+        wanted = F.transform(f"values{k}", lambda v: F.coalesce(F.element_at(f"share{k}", v) * F.col("total"), F.lit(0.0)))
+        row = row.withColumn(f"d{k}", F.struct(F.col(f"at{k}").alias("at"), members.alias("members"), wanted.alias("target")))
+
+    def scaled(state: Column, d: Column) -> Column:
+        """state (w, moved: of each cell), each weight times its value's target over the value's sum."""
+        sums = F.transform(d["members"], lambda m: F.aggregate(m, F.lit(0.0), lambda s, j: s + F.coalesce(state["w"][j], F.lit(0.0))))
+        factors = F.zip_with(sums, d["target"], lambda s, t: F.when(s > 0, t / s).otherwise(F.lit(0.0)))
+        # An array of one element, transformed, is a name for it: factors are made once.
+        moved = lambda f: F.transform(d["at"], lambda v, i: F.when(state["w"][i] > 0, F.greatest(state["moved"][i], F.abs(f[v] - 1))).otherwise(F.lit(0.0)))
+        return F.transform(F.array(factors), lambda f: F.struct(F.transform(d["at"], lambda v, i: state["w"][i] * f[v]).alias("w"), moved(f).alias("moved")))[0]
+
+    fresh = lambda s, far: F.struct(s["w"].alias("w"), F.transform(s["w"], lambda _: F.lit(far)).alias("moved"))
+    around = lambda s: F.aggregate(F.array(*[F.col(f"d{k}") for k in range(len(targets))]), fresh(s, 0.0), scaled)
+    weights = F.transform(F.col("cells")["tokens"], lambda x: x.cast("double"))
+    start = fresh(F.struct(weights.alias("w")), float("inf"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: F.when(F.array_max(s["moved"]) <= tolerance, s).otherwise(around(s))) if rounds > 0 else start
+    # One element here too, so that the fold runs once, not for each cell.
+    made = F.transform(F.array(end), lambda s: F.transform("cells", lambda c, i: F.struct(*[c[n].alias(n) for n in names], s["w"][i].alias("weight"))))[0]
+    return row.select(F.explode_outer(made).alias("c")).where("c is not null").select("c.*")
+
+
 def uniform(key: Column, salt: str) -> Column:
     """A number in [0, 1) from the first 32 bits of the MD5 of key and salt."""
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(salt)).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
@@ -80,7 +112,7 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep:
     weight: raked over tokens of the document's cell, 1 on average over all tokens. copies: how often the document goes into the mix, keep * weight on
     average, so that the mix has the shares it was raked to: the whole part of that, and one more with the probability of the rest, if
     a hash of the id is below it. So the draw is the same on every run, and repeated rows share it. probability: that the document is in the mix at all, min(1, keep * weight);
-    sampled: whether it is. Null and empty texts have no
+    sampled: whether it is. Up to FEW_CELLS cells, whatever the number of documents, are raked by one job, more by a job a round. Null and empty texts have no
     tokens; in a cell without any tokens weight, probability and copies are 0. The cells' weights are broadcast if their table is
     under broadcast_bytes, else joined by a shuffle whose skewed partitions adaptive execution splits.
     """
@@ -89,7 +121,9 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep:
     names = others(df.columns, new)
     of = unused([*names, *new], *dims)
     cells = write_table(token_cells(df, text_col), "token-cells")
-    raked = rake(cells, {d: tempered_shares(cells, d, power) for d in dims}, tolerance=tolerance, rounds=rounds, broadcast_bytes=broadcast_bytes)
+    targets = {d: tempered_shares(cells, d, power) for d in dims}
+    few = table_bytes(cells) <= broadcast_bytes and cells.count() <= FEW_CELLS
+    raked = write_table(rake_few(cells, targets, tolerance=tolerance, rounds=rounds), "cells") if few else rake(cells, targets, tolerance=tolerance, rounds=rounds, broadcast_bytes=broadcast_bytes)
     ratio = write_table(raked.select(*[F.col(d).alias(x) for d, x in zip(dims, of, strict=True)], F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0)).alias("weight")), "cell-weights")
     drop_table(raked)
     drop_table(cells)

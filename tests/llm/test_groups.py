@@ -227,6 +227,23 @@ def test_raking_ends_when_weights_rest(spark, monkeypatch):
     assert len(none) == 2
 
 
+def test_few_cells_are_raked_by_one_job_as_by_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(a, b, c, float(rng.randint(0, 50) * rng.choice([0, 1, 1, 40]))) for a in "abcde" for b in "xyz" for c in ("p", "", "q") if rng.random() < 0.8]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    targets = {d: mixing.tempered_shares(cells, d) for d in mixing.DIMENSIONS}
+    for asked in (targets, targets | {"lang": targets["lang"].where("value <> 'y'")}):
+        for rounds in (1, 12):
+            one, many = ({(r["source"], r["lang"], r["topic"], r["tokens"]): r["weight"] for r in f(cells, asked, rounds=rounds).collect()} for f in (mixing.rake_few, mixing.rake))
+            assert one.keys() == many.keys() and all(abs(one[k] - w) <= 1e-9 * max(1.0, w) for k, w in many.items())
+    assert mixing.rake_few(cells.where("false"), targets).count() == 0
+    written = []
+    real = mixing.write_table
+    monkeypatch.setattr(mixing, "write_table", lambda df, name: (written.append(name), real(df, name))[1])
+    docs = spark.createDataFrame([(k, "w " * (k % 7), "ab"[k % 2], "xy"[k % 3 % 2], "p") for k in range(60)], "doc_id long, text string, source string, lang string, topic string")
+    assert mixing.mix(docs).count() == 60 and written.count("cells") == 1
+
+
 def test_the_mix_meets_its_targets_on_driver_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), "text")
     got = mixing.marginals(mixing.mix(docs)).collect()
