@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,13 @@ def check_dims(vectors: DataFrame, dim: int, column: str = "embedding") -> DataF
     return vectors.where(F.assert_true(F.size(column) == dim, F.lit("dimension mismatch")).isNull())
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """The rows of a column of arrays of dim numbers, taken from Arrow's buffers: no number becomes an object. Null: nan."""
+    if pc.any(pc.not_equal(pc.list_value_length(column), dim)).as_py():
+        raise ValueError("dimension mismatch")
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), dim)
+
+
 class _Best:
     """The k best keys of each of n queries among all scores that were added, ties by key. Scores below a query's k-th so far are never sorted."""
 
@@ -83,19 +92,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, key: str = "ch
         matrix = np.array(rows[column].tolist(), dtype=float).reshape(len(ids), -1)
         shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, cells))
 
-        def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix, cells = shared.value
-            asked = cells.looks_into(matrix) if cells is not None and len(ids) else None
-            best, every = _Best(len(ids), k), np.arange(len(ids))
-            for whole in parts:
-                for start in range(0, len(whole) if ids else 0, ROWS):
-                    p = whole.iloc[start : start + ROWS]
-                    if any(len(v) != matrix.shape[1] for v in p[column]):
-                        raise ValueError("dimension mismatch")
-                    x, keys = np.array(p[column].tolist(), dtype=float), p[key].to_numpy()
+            # A row for each cell: which queries look into it.
+            asked = np.ascontiguousarray(cells.looks_into(matrix).T) if cells is not None and len(ids) else None
+            best, every, of = _Best(len(ids), k), np.arange(len(ids)), None
+            for whole in batches:
+                of = whole.schema.field(0).type
+                for start in range(0, whole.num_rows if ids else 0, ROWS):
+                    p = whole.slice(start, ROWS)
+                    x, keys = _matrix(p.column(1), matrix.shape[1]), p.column(0).to_numpy(zero_copy_only=False)
                     at = np.zeros(len(x), int) if asked is None else cells.nearest(x)
                     for c in np.unique(at):
-                        rows, some = np.flatnonzero(at == c), every if asked is None else np.flatnonzero(asked[:, c])
+                        rows, some = np.flatnonzero(at == c), every if asked is None else np.flatnonzero(asked[c])
                         step = max(1, TILE // len(rows))
                         for i in range(0, len(some), step):
                             best.add(some[i : i + step], matrix[some[i : i + step]] @ x[rows].T, keys[rows])
@@ -103,9 +112,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, key: str = "ch
             if best.best:
                 q, score, keys = best.best
                 for i in range(0, len(q), 1 << 16):
-                    yield pd.DataFrame({"qid": np.array(ids)[q[i : i + (1 << 16)]], key: keys[i : i + (1 << 16)], "score": score[i : i + (1 << 16)]})
+                    part = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q[part]], pa.int64()), pa.array(keys[part], of), pa.array(score[part])], names=["qid", key, "score"])
 
-        out = vectors.where(F.col(column).isNotNull()).select(key, column).mapInPandas(run, f"qid long, {key} {kind}, score double")
+        out = vectors.where(F.col(column).isNotNull()).select(key, column).mapInArrow(run, f"qid long, {key} {kind}, score double")
         found = out if found is None else stacked(found, out)
     return rank(found, order=key).where(F.col("rank") <= k)
 
@@ -179,15 +189,19 @@ def ann_search(vectors: DataFrame, queries: DataFrame, cells: Cells, k: int = 5,
 def share_scored(vectors: DataFrame, queries: DataFrame, cells: Cells, *, column: str = "embedding") -> DataFrame:
     """One row: n_scored, the pairs that ann_search multiplies, and n_pairs, all pairs."""
 
-    @F.pandas_udf("int")
-    def cell(v: pd.Series) -> pd.Series:
-        return pd.Series(cells.nearest(np.array(v.tolist(), float)) if len(v) else [], dtype="int32")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(max(1, len(cells.centroids)), np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                n += np.bincount(cells.nearest(_matrix(whole.column(0).slice(start, ROWS), cells.centroids.shape[1])), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "size"])
 
     @F.pandas_udf("array<int>")
     def looks(v: pd.Series) -> pd.Series:
         return pd.Series([np.flatnonzero(r).astype(np.int32) for r in cells.looks_into(np.array(v.tolist(), float))] if len(v) else [], dtype=object)
 
-    sizes = vectors.where(F.col(column).isNotNull()).groupBy(cell(column).alias("cell")).agg(F.count(F.lit(1)).alias("size"))
+    sizes = vectors.where(F.col(column).isNotNull()).select(column).mapInArrow(count, "cell int, size long").groupBy("cell").agg(F.sum("size").alias("size"))
     asked = queries.where(F.col(column).isNotNull()).select(F.explode(looks(column)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
     scored = sizes.join(asked, "cell", "left").agg(F.sum(F.col("size") * F.coalesce("asked", F.lit(0))).alias("n_scored"), F.sum("size").alias("n"))
     return scored.crossJoin(queries.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("q"))).select("n_scored", (F.col("n") * F.col("q")).alias("n_pairs"))

@@ -317,3 +317,22 @@ def test_guarantee_is_the_same_however_shuffles_are_coalesced(spark):
     for x in sorted(got, key=lambda x: x["rank"]):
         by.setdefault(x["qid"], []).append(x["chunk_ord"])
     assert by == expected
+
+
+def test_matrices_come_from_sliced_arrow_arrays():
+    import pyarrow as pa
+
+    rows = pa.array([[1.0, 2.0], [3.0, None], [5.0, 6.0], [7.0, 8.0]], pa.list_(pa.float32()))
+    got = vector._matrix(rows.slice(1, 2), 2)
+    assert got.dtype == float and np.array_equal(got, [[3.0, np.nan], [5.0, 6.0]], equal_nan=True) and vector._matrix(rows.slice(0, 0), 2).shape == (0, 2)
+    with pytest.raises(ValueError, match="dimension"):
+        vector._matrix(pa.array([[1.0, 2.0], [3.0]]), 2)
+
+
+def test_the_benchmark_makes_its_copies_once(spark, sf_dir, monkeypatch, tmp_path):
+    from larkspur.plans import queries
+
+    monkeypatch.setattr(queries, "new_folder", lambda spark, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    rows = queries.QUERIES["ann_benchmark"](spark, sf_dir).collect()
+    n = queries.Inputs(spark, sf_dir).table("embeddings").count()
+    assert sorted(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()) == [n, 10 * n, 50 * n] and all(r["recall"] >= 0.9 and 0 < r["share_scored"] <= 1 for r in rows)
