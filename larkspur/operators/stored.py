@@ -8,17 +8,25 @@ their terms up for the few chunks that may still get there. The texts are never
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import tokens
 from larkspur.operators.frames import stacked, written
-from larkspur.operators.lexical import DIGITS, idf, question_terms, rank, term_frequencies, terms_of
+from larkspur.operators.lexical import DIGITS, HELD, best_of, idf, question_terms, rank, terms_of
 
 #: Partitions by term, chunks of a batch that share a block number (about), and questions' terms whose bounds may be broadcast.
-BUCKETS, BLOCK, WANTED = 32, 1024, 20_000
+BUCKETS, BLOCK, WANTED = 32, 4096, 20_000
+#: Postings of a term with one number that aren't told apart by cell; numbers in a task that makes or scores their blocks, about; rows of lookups that may be broadcast.
+RARE, NUMBERS, ASKED = 16, 8, 200_000
+#: Questions, on the average, that ask for a posting where all are scored in one pass, and terms of questions that such a pass may take to the tasks.
+PASSED, SHARED = 200_000, 2
 #: Postings that the first look takes, for each place of the ranking; what rounding may add to a score.
 SEEDS, SLACK = 8, 10.0 ** (1 - DIGITS)
 
@@ -41,17 +49,67 @@ def _sub(chunk: Column, subs: Column) -> Column:
     return F.pmod(F.xxhash64(chunk, F.lit("sub")), subs.cast("long")).cast("int")
 
 
+def _by_number(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each number (the first column), which come one after the other: a task holds one number's."""
+    now, held = None, []
+    for b in batches:
+        number = b.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+        for i, j in zip(cuts, cuts[1:]):
+            if number[i] != now:
+                if held:
+                    yield held
+                now, held = number[i], []
+            held.append(b.slice(i, j - i))
+    if held:
+        yield held
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of chunks (sub, chunk_ord, terms), in order of their numbers."""
+    for held in _by_number(batches):
+        yield from _blocks_of(held)
+
+
+def _blocks_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    t = pa.Table.from_batches(held).combine_chunks()
+    sub, keys, terms = t.column(0)[0].as_py(), t.column(1).combine_chunks(), t.column(2).combine_chunks()
+    size = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+    coded = terms.flatten().dictionary_encode()
+    if not len(coded):
+        return
+    width = len(coded.dictionary)
+    code, tf = np.unique(np.repeat(np.arange(len(size)), size) * width + coded.indices.to_numpy(), return_counts=True)
+    row, term = np.divmod(code, width)
+    cell = np.minimum(tf, 15) * 64 + np.minimum(np.floor(2 * np.log2(size[row])), 63).astype(np.int64)
+    cell = np.where(np.bincount(term, minlength=width)[term] <= RARE, -1, cell)
+    place = np.empty(len(keys), np.int64)
+    place[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+    order = np.lexsort((place[row], cell, term))
+    row, term, cell, tf = row[order], term[order], cell[order], tf[order].astype(np.int32)
+    length = size[row].astype(np.int32)
+    first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (cell[1:] != cell[:-1])])
+    ends = np.r_[first, len(row)].astype(np.int32)
+    entries = pa.StructArray.from_arrays([keys.take(pa.array(row)), pa.array(tf), pa.array(length)], names=["chunk_ord", "tf", "len"])
+    made = [pa.array(np.full(len(first), sub, np.int32)), coded.dictionary.take(pa.array(term[first])), pa.array(cell[first].astype(np.int32)), pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(length, first)), pa.ListArray.from_arrays(pa.array(ends), entries)]
+    whole = pa.RecordBatch.from_arrays(made, names=["sub", "term", "cell", "n", "max_tf", "min_len", "entries"])
+    for at in range(0, whole.num_rows, 8192):
+        yield whole.slice(at, 8192)
+
+
 def append(chunks: DataFrame, path: str, batch: int, *, tokenize=tokens, by: tuple[str, ...] = ()) -> None:
     """Adds a batch of chunks (chunk_ord, title, text, ...) that no other batch has. Repeated, it replaces what it wrote. Chunks may be partitioned `by` columns.
 
-    Blocks are made by one shuffle: a term's postings are dealt by hash, so one in every chunk makes many blocks, not a large one.
+    Chunks are dealt by number, with their terms, and a number's blocks are made where its chunks are: no posting is shuffled. So one term in every chunk makes many blocks, not a large one.
     Postings are written before chunks, and only batches with chunks are read, so a batch that was cut off counts for nothing.
     """
-    subs = F.lit(max(1, -(-chunks.count() // BLOCK)))
-    cell = F.least(F.col("tf"), F.lit(15)) * 64 + F.least(F.floor(2 * F.log2(F.col("len").cast("double"))), F.lit(63))
-    rows = term_frequencies(chunks, tokenize).select(_bucket(F.col("term")).alias("bucket"), "term", cell.cast("int").alias("cell"), subs.cast("int").alias("subs"), _sub(F.col("chunk_ord"), subs).alias("sub"), F.struct("chunk_ord", F.col("tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len")).alias("e"))
-    blocks = rows.groupBy("bucket", "term", "cell", "subs", "sub").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("e.tf").alias("max_tf"), F.min("e.len").alias("min_len"), F.sort_array(F.collect_list("e")).alias("entries"))
-    blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+    subs = max(1, -(-chunks.count() // BLOCK))
+    tasks = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), subs // NUMBERS)
+    dealt = chunks.select(_sub(F.col("chunk_ord"), F.lit(subs)).alias("sub"), "chunk_ord", terms_of(chunks, tokenize).alias("terms")).repartition(tasks, "sub")
+    key = chunks.schema["chunk_ord"].dataType.simpleString()
+    blocks = dealt.sortWithinPartitions("sub").mapInArrow(_made, f"sub int, term string, cell int, n int, max_tf int, min_len int, entries array<struct<chunk_ord: {key}, tf: int, len: int>>")
+    blocks = blocks.select(_bucket(F.col("term")).alias("bucket"), "term", "cell", F.lit(subs).cast("int").alias("subs"), "sub", "n", "max_tf", "min_len", "entries")
+    blocks.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     counted = chunks.withColumn("n_terms", F.size(terms_of(chunks, tokenize)).cast("long")).drop("title_terms")
     counted.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/chunks/batch={batch}")
 
@@ -96,14 +154,69 @@ def _postings(index: StoredIndex, cells: DataFrame, few: bool, *more: str) -> Da
     return rows.select("qid", "term", F.col("e.chunk_ord").alias("chunk_ord"), _gain(index, F.col("e.tf"), F.col("e.len")).alias("gain"), *more)
 
 
+def _passed(index: StoredIndex, cells: DataFrame, k: int) -> DataFrame:
+    """(qid, chunk_ord, score): of each block number the k best chunks of each question, by all postings of its terms.
+
+    Blocks of wanted terms are shuffled by number, each once, however many questions ask for it; as a number has its chunks whole, no gain leaves the task.
+    """
+    asked = cells.select("qid", "term", "idf", "avgdl").distinct().toArrow().combine_chunks()
+    qids, owner = np.unique(asked.column("qid").to_numpy(), return_inverse=True)
+    coded = pa.chunked_array(asked.column("term").chunks, pa.string()).combine_chunks().dictionary_encode()
+    terms, of, width = coded.dictionary, coded.indices.to_numpy(), len(qids)
+    weight = np.zeros(len(terms))
+    weight[of] = asked.column("idf").to_numpy() * (index.k1 + 1)
+    average = (float(asked.column("avgdl")[0].as_py()) if len(of) else 0.0) or 1.0
+    questions, count = owner[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(terms))
+    first, k1, b_, keep = np.cumsum(count) - count, index.k1, index.b, best_of(k, qids)
+
+    def score(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys, tf, length = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "tf", "len"))
+        term = np.repeat(pc.index_in(t.column("term").combine_chunks(), value_set=terms).to_numpy(), pc.list_value_length(t.column("keys").combine_chunks()).to_numpy()).astype(np.int64)
+        chunks, row = np.unique(keys, return_inverse=True)
+        order = np.argsort(row, kind="stable")
+        row, term, tf, length = row[order], term[order], tf[order], length[order]
+        gain = weight[term] * tf / (tf + k1 * (1 - b_ + b_ * length / average))
+        step = max(1, min(512, HELD // max(1, width)))
+        for at in range(0, len(chunks), step):
+            i, j = np.searchsorted(row, [at, at + step])
+            each, block = count[term[i:j]], chunks[at : at + step]
+            inside = np.repeat(first[term[i:j]] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            scores = np.bincount(np.repeat(row[i:j] - at, each) * width + questions[inside], np.repeat(gain[i:j], each), len(block) * width).reshape(len(block), width)
+            made = keep(block, scores)
+            if made is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["qid", "chunk_ord", "score"])
+
+    def best(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = pa.Table.from_batches(list(score(held)), pa.schema({"qid": pa.int64(), "chunk_ord": pa.int64(), "score": pa.float64()})).sort_by([("qid", "ascending"), ("score", "descending"), ("chunk_ord", "ascending")])
+        qid = parts.column("qid").to_numpy()
+        yield from parts.filter(pa.array(np.arange(len(qid)) - np.searchsorted(qid, qid) < k)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_number(batches):
+            yield from best(held)
+
+    wanted = cells.select("bucket", "term").where("bucket >= 0").distinct()
+    blocks = index.blocks.select("batch", "sub", "bucket", "term", "entries").join(F.broadcast(wanted), ["bucket", "term"], "left_semi")
+    numbers = index.blocks.select("batch", "subs").distinct().agg(F.coalesce(F.sum("subs"), F.lit(0))).first()[0]
+    tasks = max(int(index.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), numbers // NUMBERS)
+    rows = blocks.select(F.concat_ws("-", "batch", "sub").alias("number"), "term", F.col("entries.chunk_ord").alias("keys"), F.col("entries.tf").alias("tf"), F.col("entries.len").alias("len"))
+    return rows.repartition(tasks, "number").sortWithinPartitions("number").mapInArrow(run, "qid long, chunk_ord long, score double")
+
+
 def _looked_up(index: StoredIndex, asked: DataFrame) -> DataFrame:
     """(qid, term, cell, chunk_ord, gain) of asked (qid, chunk_ord, bucket, term, idf, avgdl), where the chunk has the term: only blocks of the chunks' numbers are opened."""
     subs = index.blocks.select("batch", "subs").distinct()
     at = asked.crossJoin(F.broadcast(subs)).withColumn("sub", _sub(F.col("chunk_ord"), F.col("subs")))
     wanted = at.select("batch", "bucket", "term", "subs", "sub").distinct()
-    some = index.blocks.select("batch", "bucket", "term", "cell", "subs", "sub", "entries").join(wanted, ["batch", "bucket", "term", "subs", "sub"])
+    few = wanted.limit(ASKED + 1).count() <= ASKED
+    blocks = index.blocks.select("batch", "bucket", "term", "cell", "subs", "sub", "entries")
+    if not few:  # what is shuffled then are the blocks of wanted terms alone
+        terms = asked.select("bucket", "term").distinct()
+        blocks = blocks.join(F.broadcast(terms) if terms.limit(WANTED + 1).count() <= WANTED else terms, ["bucket", "term"], "left_semi")
+    some = blocks.join(F.broadcast(wanted) if few else wanted, ["batch", "bucket", "term", "subs", "sub"])
     entries = some.select("term", "cell", F.explode("entries").alias("e")).select("term", "cell", F.col("e.chunk_ord").alias("chunk_ord"), F.col("e.tf").alias("tf"), F.col("e.len").alias("len"))
-    return asked.join(entries, ["term", "chunk_ord"]).select("qid", "term", "cell", "chunk_ord", _gain(index, F.col("tf"), F.col("len")).alias("gain"))
+    return entries.join(F.broadcast(asked) if asked.limit(ASKED + 1).count() <= ASKED else asked, ["term", "chunk_ord"]).select("qid", "term", "cell", "chunk_ord", _gain(index, F.col("tf"), F.col("len")).alias("gain"))
 
 
 def split_cells(index: StoredIndex, cells: DataFrame, k: int) -> DataFrame:
@@ -116,7 +229,7 @@ def split_cells(index: StoredIndex, cells: DataFrame, k: int) -> DataFrame:
     first = _postings(index, cells.where(F.col("before") < SEEDS * k), few).groupBy("qid", "chunk_ord").agg(F.sum("gain").alias("score"))
     seeds = rank(first).where(F.col("rank") <= 2 * k).select("qid", "chunk_ord")
     terms = cells.groupBy("qid", "bucket", "term").agg(F.sum("n").alias("n_term"), F.max("term_ub").alias("term_ub"), F.max("idf").alias("idf"), F.max("avgdl").alias("avgdl"))
-    exact = _looked_up(index, seeds.join(terms.drop("n_term", "term_ub"), "qid")).groupBy("qid", "chunk_ord").agg(F.sum("gain").alias("score"))
+    exact = _looked_up(index, written(seeds.join(terms.drop("n_term", "term_ub"), "qid"))).groupBy("qid", "chunk_ord").agg(F.sum("gain").alias("score"))
     kth = rank(exact).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
     upto = F.sum("term_ub").over(Window.partitionBy("qid").orderBy(F.desc(F.col("n_term") / F.col("term_ub")), "term"))
     rows = cells.join(terms.select("qid", "term", upto.alias("upto")), ["qid", "term"]).join(kth, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
@@ -126,18 +239,30 @@ def split_cells(index: StoredIndex, cells: DataFrame, k: int) -> DataFrame:
 
 
 def search(index: StoredIndex, questions: DataFrame, k: int = 5, tokenize=tokens) -> DataFrame:
-    """The k best chunks of each question (qid, query), as (qid, chunk_ord, score, rank): what lexical.search finds in the same chunks."""
-    rows = written(split_cells(index, written(bounds(index, questions, tokenize)), k))
+    """The k best chunks of each question (qid, query), as (qid, chunk_ord, score, rank): what lexical.search finds in the same chunks.
+
+    Where many questions share their terms, or many chunks may still get to the ranking, all postings of these terms are read once, for all questions; else bounds tell what needn't be read.
+    """
+    cells = written(bounds(index, questions, tokenize))
+    # A pass has its questions' terms in each task, and numbers for keys.
+    passes = index.chunks.schema["chunk_ord"].dataType.simpleString() == "bigint" and questions.schema["qid"].dataType.simpleString() == "bigint" and cells.select("qid", "term").distinct().limit(PASSED + 1).count() <= PASSED
+    if passes:
+        n = cells.groupBy("bucket", "term", "cell").agg(F.sum("n").alias("all"), F.max("n").alias("once")).agg(F.sum("all").alias("all"), F.sum("once").alias("once")).first()
+        if (n["all"] or 0) > SHARED * (n["once"] or 0):
+            return rank(_passed(index, cells, k)).where(F.col("rank") <= k)
+    rows = written(split_cells(index, cells, k))
     few = rows.limit(WANTED * 8 + 1).count() <= WANTED * 8
     # What a chunk may still have from the cells of a term that aren't read.
     rest = rows.where("not kept").groupBy("qid", "bucket", "term").agg(F.max("ub").alias("rest"), F.max("idf").alias("idf"), F.max("avgdl").alias("avgdl"))
     rest = rest.withColumn("all_rest", F.sum("rest").over(Window.partitionBy("qid")))
-    kept = rows.where("kept").join(rest.select("qid", "term", "rest"), ["qid", "term"], "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
-    read = _postings(index, kept, few, "rest", "least").groupBy("qid", "chunk_ord").agg(F.sum("gain").alias("score"), F.sum("rest").alias("met"), F.max("least").alias("least"))
-    read = read.join(rest.select("qid", "all_rest").distinct(), "qid", "left").withColumn("all_rest", F.coalesce("all_rest", F.lit(0.0)))
+    kept = rows.where("kept").join(rest.select("qid", "term", "rest"), ["qid", "term"], "left").join(rest.select("qid", "all_rest").distinct(), "qid", "left").na.fill(0.0, ["rest", "all_rest"])
+    read = _postings(index, kept, few, "rest", "all_rest", "least").groupBy("qid", "chunk_ord").agg(F.sum("gain").alias("score"), F.sum("rest").alias("met"), F.max("all_rest").alias("all_rest"), F.max("least").alias("least"))
     open_ = written(read.where(F.col("score") + F.col("all_rest") - F.col("met") >= F.col("least") - SLACK).select("qid", "chunk_ord", "score"))
     # The cells that were left out, looked up for the chunks that are left.
-    late = _looked_up(index, open_.select("qid", "chunk_ord").join(rest.select("qid", "bucket", "term", "idf", "avgdl"), "qid"))
+    asked = open_.select("qid", "chunk_ord").join(rest.select("qid", "bucket", "term", "idf", "avgdl"), "qid")
+    if passes and asked.limit(ASKED + 1).count() > ASKED:
+        return rank(_passed(index, cells, k)).where(F.col("rank") <= k)
+    late = _looked_up(index, asked)
     late = late.join(rows.where("not kept").select("qid", "term", "cell"), ["qid", "term", "cell"]).select("qid", "chunk_ord", F.col("gain").alias("score"))
     total = stacked(open_, late).groupBy("qid", "chunk_ord").agg(F.round(F.sum("score"), DIGITS).alias("score"))
     return rank(total).where(F.col("rank") <= k)

@@ -66,3 +66,19 @@ def test_a_batch_without_chunks_counts_for_nothing(spark, tmp_path):
     stored.append(chunks, str(tmp_path / "other"), 1)
     (tmp_path / "other" / "postings" / "batch=1").rename(tmp_path / "postings" / "batch=1")
     assert hits(stored.search(stored.read(spark, str(tmp_path)), q)) == want
+
+
+def test_many_questions_are_scored_in_one_pass(spark, tmp_path, monkeypatch):
+    """Questions that share their terms ask for every posting once: no pair of a question and a chunk is looked up, and a number's blocks are made without shuffling postings."""
+    monkeypatch.setattr(stored, "BLOCK", 64)
+    chunks = corpus_of(spark, 7, 300)
+    stored.append(chunks, str(tmp_path), 0)
+    index = stored.read(spark, str(tmp_path))
+    questions = spark.createDataFrame([(q, f"w1 w2 w{q} w5 w400") for q in range(40)], "qid long, query string")
+
+    def none(*_):
+        raise AssertionError("looked up")
+
+    monkeypatch.setattr(stored, "_looked_up", none)
+    for k in (1, 5, 1000):
+        assert hits(stored.search(index, questions, k)) == hits(lexical.search(lexical.build_index(chunks), questions, k))
