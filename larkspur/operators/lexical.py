@@ -218,14 +218,23 @@ def best_of(k: int, qids: np.ndarray) -> Callable[[np.ndarray, np.ndarray], list
     return keep
 
 
+def _with_matched(index: LexicalIndex, hits: DataFrame, questions: DataFrame, tokenize=tokens) -> DataFrame:
+    """hits with matched: the distinct terms of the question that are in the chunk, in the question's order."""
+    hits = written(hits)
+    few = hits.limit(WANTED + 1).count() <= WANTED
+    rows = index.terms.join(F.broadcast(hits) if few else hits, "chunk_ord").join(questions.select("qid", F.array_distinct(tokenize(F.col("query"))).alias("wanted")), "qid")
+    return rows.select("qid", "chunk_ord", "score", F.array_intersect("wanted", "terms").alias("matched"), "rank")
+
+
 def search(index: LexicalIndex, questions: DataFrame, k: int = 5, tokenize=tokens, *, matched: bool = False) -> DataFrame:
     """The k best chunks of each question (qid, query), as (qid, chunk_ord, score, rank), with matched terms on demand. A question without known terms has none.
 
-    Questions of up to WANTED terms are scored in matrices (Scan); more, questions with matched terms and stored indexes by joins.
+    Questions of up to WANTED terms are scored in matrices (Scan), and matched terms found in their hits alone; more and stored indexes are scored by joins.
     """
-    s = None if matched else scan(index, questions, tokenize)
+    s = scan(index, questions, tokenize)
     if s is not None:
-        return rank(s.run(best_of(k, s.qids), "qid long, chunk_ord long, score double")).where(F.col("rank") <= k)
+        hits = rank(s.run(best_of(k, s.qids), "qid long, chunk_ord long, score double")).where(F.col("rank") <= k)
+        return _with_matched(index, hits, questions, tokenize) if matched else hits
     rows = score(index, questions, tokenize)
     return rank(rows if matched else rows.drop("matched")).where(F.col("rank") <= k)
 

@@ -336,3 +336,18 @@ def test_the_benchmark_makes_its_copies_once(spark, sf_dir, monkeypatch, tmp_pat
     rows = queries.QUERIES["ann_benchmark"](spark, sf_dir).collect()
     n = queries.Inputs(spark, sf_dir).table("embeddings").count()
     assert sorted(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()) == [n, 10 * n, 50 * n] and all(r["recall"] >= 0.9 and 0 < r["share_scored"] <= 1 for r in rows)
+
+
+def test_matched_terms_are_found_in_hits_alone(spark, monkeypatch):
+    """No gain of a posting is made a row where questions' terms fit in a scan; terms come in the question's order, each once."""
+    chunks = spark.createDataFrame([(1, "one", "red green blue"), (2, None, "green green"), (3, "red", "x1 blue"), (4, None, None)], "chunk_ord long, title string, text string")
+    questions = spark.createDataFrame([(0, "blue red blue unseen green"), (1, "green"), (2, "unseen"), (3, None)], "qid long, query string")
+    index = lexical.build_index(chunks)
+    want = {(r["qid"], r["chunk_ord"]): r["matched"] for r in lexical.score(index, questions).collect()}
+
+    def none(*_):
+        raise AssertionError("joined with postings")
+
+    monkeypatch.setattr(lexical, "gains", none)
+    got = {(r["qid"], r["chunk_ord"]): r["matched"] for r in lexical.search(index, questions, 5, matched=True).collect()}
+    assert got == want and got[0, 1] == ["blue", "red", "green"]
