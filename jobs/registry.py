@@ -17,8 +17,9 @@ def job1_feed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         feed_index.run(spark, f"{sf_dir}/documents.parquet", f"{folder}/index", f"{folder}/checkpoint")
     postings = spark.read.parquet(f"{folder}/index/postings").select(F.explode("entries").alias("e")).groupBy(F.col("e.chunk_ord").alias("chunk_ord")).agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("e.tf").alias("n_occurrences"))
-    chunks = spark.read.parquet(f"{folder}/index/chunks").join(postings, "chunk_ord", "left")
-    return chunks.select("chunk_ord", "chunk_id", "source", "lang", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_terms", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_distinct", "n_occurrences")])
+    # Digests, not texts, are joined.
+    chunks = spark.read.parquet(f"{folder}/index/chunks").select("chunk_ord", "chunk_id", "source", "lang", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_terms")
+    return chunks.join(postings, "chunk_ord", "left").select(*chunks.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_distinct", "n_occurrences")])
 
 
 def job2_retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,3 +110,11 @@ def test_command_line(spark, tmp_path):
     assert done.returncode == 0, done.stderr[-3000:]
     assert "read 12 documents" in done.stderr
     assert spark.read.parquet(str(tmp_path / "out" / "chunks")).agg(F.max("end")).first()[0] == max(len(r[1]) for r in ROWS)
+
+
+def test_feed_index_is_read_back_without_joining_texts(spark):
+    """Texts become digests before chunks meet their postings."""
+    from jobs.registry import job1_feed_index
+
+    plan = job1_feed_index(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("md5(")
