@@ -1,43 +1,44 @@
-"""A graph of near vectors, built and searched by rounds of joins.
+"""A graph of near vectors in shards, built and searched where a shard is.
 
-Equal vectors are one node. Levels hold ever fewer nodes, drawn by a hash; each level has a graph of its own, so a search comes near its goal among few nodes and then walks on among more.
-A level's graph starts with the nearest vectors within small buckets of random hyperplanes. In each round a node's neighbours, and nodes whose neighbour it is, meet: neighbours
-of neighbours that are nearer replace others. In the end edges are pruned to a bounded degree, nearer neighbours before those that lie behind them, and reverse edges added.
-A search keeps the best nodes that it has seen for each query and in each round looks at the neighbours of those that it hasn't opened yet.
+Equal vectors are one node. Nodes are dealt by a hash into shards of about SHARD. Within a shard each node is tied to its nearest ones, pruned to a bounded degree: nearer neighbours before those
+that lie behind them; reverse edges are added. A search walks in every shard: it begins at TOP drawn nodes, and at the query itself, if the shard has it, keeps the best nodes that
+it has seen and opens those that it hasn't opened yet, until all are. How many it keeps is fitted in each shard, on SAMPLE of its nodes against all of it. What is shuffled are vectors,
+queries once for a shard, and the best of each shard: no pair of a query and a node.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.frames import stacked, written
 from larkspur.operators.lexical import DIGITS
 
-#: A level has one in RATIO of the nodes of the one below; the last has TOP at most and no graph. Vectors of a bucket, about, and how many hyperplane tables there are.
-RATIO, TOP, BUCKET, TABLES = 16, 256, 64, 4
-#: Rows of vectors that a worker turns into one matrix.
-ROWS = 2048
+#: Nodes of a shard, about; those at which a search begins; nodes on which a search's effort is fitted, and the share of their nearest that it must find.
+SHARD, TOP, SAMPLE, TARGET = 8192, 256, 32, 0.97
+#: Rows of vectors that a worker turns into one matrix; queries that walk together.
+ROWS, QUERIES = 512, 64
 
 
 @dataclass(frozen=True)
 class NeighbourGraph:
-    """nodes (node, v): distinct unit vectors, each called by its least key; edges (level, src, dst), None if there are TOP nodes at most; members (node, key); entries (node, v):
-    TOP nodes, where searches begin; how many levels have a graph, and how many nodes there are."""
+    """nodes (shard, node, v, near): distinct unit vectors, each called by its least key, and the nodes it is tied to; edges (level, src, dst): the same, None if there are TOP nodes at most;
+    members (node, key); how many levels have a graph (one at most), how many nodes and shards there are."""
 
     nodes: DataFrame
     edges: DataFrame | None
     members: DataFrame
-    entries: DataFrame
     levels: int
     size: int
+    shards: int
 
 
 def _unit(df: DataFrame, column: str) -> DataFrame:
@@ -54,215 +55,199 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
-def _grouped(df: DataFrame, work: Callable[[int, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray] | None], schema: str) -> DataFrame:
-    """What work(group, ids, vectors, flags) makes of each group of df (group long, id long, v, flag boolean): arrays of the schema's columns. One shuffle; groups are small by construction."""
-    names = [x.split()[0] for x in schema.split(", ")]
-
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The rows of each shard (the first column), which come one after the other."""
+
+    def parts() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for b in batches:
+            shard = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+            for i, j in zip(cuts, cuts[1:]):
+                yield int(shard[i]), b.slice(i, j - i)
+
+    for _, rows in groupby(parts(), itemgetter(0)):
+        yield map(itemgetter(1), rows)
+
+
+def _tied(x: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (from, to) of a graph of these unit vectors: of its 2 * degree nearest a node takes those nearer to it than to any one taken before, then others, nearest first, up to the degree; and up to degree reverse edges."""
+    n, most = len(x), min(2 * degree, len(x) - 1)
+    degree, out = min(degree, most), []
+    for i in range(0, n, ROWS):
+        own = x[i : i + ROWS]
+        near = own @ x.T
+        near[np.arange(len(own)), np.arange(i, i + len(own))] = -np.inf
+        at = np.argpartition(-near, most - 1, axis=1)[:, :most]
+        at = np.take_along_axis(at, np.argsort(-np.take_along_axis(near, at, axis=1), axis=1, kind="stable"), axis=1)
+        near = np.take_along_axis(near, at, axis=1)
+        among = x[at] @ x[at].transpose(0, 2, 1)
+        taken = np.zeros(at.shape, bool)
+        for j in range(most):
+            taken[:, j] = ~(taken[:, :j] & (among[:, j, :j] >= near[:, j, None])).any(axis=1) & (taken[:, :j].sum(axis=1) < degree)
+        out.append(np.take_along_axis(at, np.argsort(~taken, axis=1, kind="stable")[:, :degree], axis=1))
+    source, target = np.repeat(np.arange(n), degree), np.concatenate(out).ravel()
+    score = np.concatenate([(x[source[i : i + ROWS]] * x[target[i : i + ROWS]]).sum(axis=1) for i in range(0, len(source), ROWS)])
+    order = np.lexsort((source, -score, target))
+    back = target[order]
+    kept = order[np.arange(len(back)) - np.searchsorted(back, back) < degree]
+    return np.divmod(np.unique(np.r_[source * n + target, target[kept] * n + source[kept]]), n)
+
+
+def _graphs(degree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done() -> list[pa.RecordBatch]:
-            if not held:
-                return []
-            t = pa.Table.from_batches(held).combine_chunks()
-            made = work(now, t.column("id").to_numpy(), _matrix(t.column("v").combine_chunks()), t.column("flag").to_numpy(zero_copy_only=False))
-            return [pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=names)] if made is not None and len(made[0]) else []
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                group = b.column("group").to_numpy()
-                cuts = (np.flatnonzero(group[1:] != group[:-1]) + 1).tolist()
-                for i, j in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-                    if int(group[i]) != now:
-                        yield from done()
-                        now, held = int(group[i]), []
-                    held.append(b.slice(i, j - i))
-        yield from done()
-
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select("group", "id", "v", "flag").repartition(n, "group").sortWithinPartitions("group").mapInArrow(run, schema)
-
-
-def _nearest_in_group(keep: int) -> Callable:
-    def work(_: int, ids: np.ndarray, x: np.ndarray, __: np.ndarray) -> list[np.ndarray] | None:
-        if len(ids) < 2:
-            return None
-        near = x @ x.T
-        np.fill_diagonal(near, -np.inf)
-        top = np.argsort(-near, axis=1, kind="stable")[:, : min(keep, len(ids) - 1)]
-        return [np.repeat(ids, top.shape[1]), ids[top.ravel()], np.take_along_axis(near, top, axis=1).ravel()]
-
-    return work
-
-
-def _prune_group(degree: int) -> Callable:
-    def work(node: int, ids: np.ndarray, x: np.ndarray, self_: np.ndarray) -> list[np.ndarray] | None:
-        """Of a node's candidates, nearest first, those that are nearer to it than to any one taken before; then others, nearest first, up to the degree."""
-        own = np.flatnonzero(self_)
-        others = np.flatnonzero(~self_)
-        if not len(own) or not len(others):
-            return None
-        near = x[others] @ x[own[0]]
-        order = np.argsort(-near, kind="stable")
-        others, near = others[order], near[order]
-        among, taken = x[others] @ x[others].T, []
-        for i in range(len(others)):
-            if len(taken) < degree and all(among[i, j] < near[i] for j in taken):
-                taken.append(i)
-        left = [i for i in range(len(others)) if i not in set(taken)][: degree - len(taken)]
-        picked = np.array(sorted(taken + left))
-        return [np.full(len(picked), node), ids[others[picked]], near[picked]]
-
-    return work
-
-
-def _best(edges: DataFrame, most: int, by: str = "src", other: str = "dst") -> DataFrame:
-    """The `most` edges of the largest score of each node; a node with very many is cut within each task before they meet."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), other))
-    return edges.withColumn("place", place).where(F.col("place") <= most).drop("place")
-
-
-def _codes(planes: np.ndarray, bits: int) -> Callable[[Column], Column]:
-    """Of a vector column: on which sides of each table's hyperplanes it lies, as a number for each table."""
-
-    @F.pandas_udf("array<long>")
-    def codes(v: pd.Series) -> pd.Series:
-        x = np.array(v.tolist(), float).reshape(len(v), -1)
-        signs = (x @ planes > 0)[:, : TABLES * bits].reshape(len(x), TABLES, bits)
-        return pd.Series(list((signs << np.arange(bits, dtype=np.int64)).sum(axis=2)), dtype=object)
-
-    return codes
-
-
-def _buckets(nodes: DataFrame, n: int, dim: int, seed: int) -> DataFrame:
-    """(group, id, v, flag): each node in a bucket of each of TABLES tables of hyperplanes; larger buckets are cut by a hash."""
-    bits = max(0, math.ceil(math.log2(max(1, n / BUCKET))))
-    codes = _codes(np.random.default_rng([seed, dim]).standard_normal((dim, max(1, TABLES * bits))), bits)
-    rows = nodes.select(F.col("node").alias("id"), "v", F.posexplode(codes(F.col("v"))).alias("t", "code"))
-    sizes = rows.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * BUCKET)).alias("parts"))
-    rows = rows.join(sizes, ["t", "code"])
-    return rows.select(F.xxhash64("t", "code", F.pmod(F.xxhash64("id", "t"), "parts")).alias("group"), "id", "v", F.lit(False).alias("flag"))
-
-
-EDGE = "src long, dst long, score double"
-
-
-def _level_edges(nodes: DataFrame, n: int, dim: int, degree: int, rounds: int, seed: int) -> DataFrame:
-    """(src, dst) of a graph of these nodes (node, v)."""
-
-    def near(edges: DataFrame) -> DataFrame:
-        """(group, id): a node with its neighbours, and with `degree` of those whose neighbour it is."""
-        back = _best(edges, degree, "dst", "src").select(F.col("dst").alias("group"), F.col("src").alias("id"))
-        return stacked(edges.select(F.col("src").alias("group"), F.col("dst").alias("id")), back).distinct()
-
-    def with_vectors(groups: DataFrame) -> DataFrame:
-        own = nodes.select(F.col("node").alias("group"), F.col("node").alias("id"), "v", F.lit(True).alias("flag"))
-        return stacked(groups.join(nodes.select(F.col("node").alias("id"), "v"), "id").select("group", "id", "v", F.lit(False).alias("flag")), own)
-
-    start = _grouped(_buckets(nodes, n, dim, seed), _nearest_in_group(degree), EDGE)
-    edges = written(_best(start.dropDuplicates(["src", "dst"]), degree))
-    for _ in range(rounds):
-        nearer = _grouped(with_vectors(near(edges)), _nearest_in_group(max(1, degree // 2)), EDGE)
-        edges = written(_best(stacked(edges, nearer).dropDuplicates(["src", "dst"]), degree))
-    pruned = _grouped(with_vectors(near(edges)), _prune_group(degree), EDGE)
-    back = _best(pruned, degree, "dst", "src").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return written(stacked(pruned.select("src", "dst"), back).distinct())
-
-
-def build(vectors: DataFrame, *, key: str = "chunk_ord", column: str = "embedding", degree: int = 16, rounds: int = 3, seed: int = 42) -> NeighbourGraph:
+        for rows in _by_shard(batches):
+            t = pa.Table.from_batches(list(rows)).combine_chunks()
+            ids, n = t.column("node").to_numpy(), t.num_rows
+            source, target = _tied(_matrix(t.column("v").combine_chunks()), degree) if n > TOP else (np.zeros(0, int), np.zeros(0, int))
+            near = pa.ListArray.from_arrays(pa.array(np.searchsorted(source, np.arange(n + 1)).astype(np.int32)), pa.array(ids[target]))
+            for b in t.append_column("near", near).to_batches(max_chunksize=ROWS):
+                yield b
+
+    return run
+
+
+def build(vectors: DataFrame, *, key: str = "chunk_ord", column: str = "embedding", degree: int = 16, seed: int = 42) -> NeighbourGraph:
     """The graph of all rows with a key (a long) and a valid vector (with elements, all finite, not all zero) of one length; others take no part. Equal directions within rounding may be several nodes."""
     rows = written(_unit(vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), column), column).select("key", "v"))
-    nodes = rows.groupBy("v").agg(F.min("key").alias("node"))
-    draw = (F.shiftrightunsigned(F.xxhash64("node", F.lit(seed)), 24) + 1) / F.lit(float(1 << 40))
-    nodes = written(nodes.select("node", "v", draw.alias("draw"), F.floor(-F.log(draw) / math.log(RATIO)).cast("int").alias("level")))
+    nodes = written(rows.groupBy("v").agg(F.min("key").alias("node")))
     first = nodes.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("dim")).first()
     if first["least"] != first["dim"]:
         raise ValueError("dimension mismatch")
-    n, levels = first["n"], 0
-    while n / RATIO**levels > TOP:
-        levels += 1
-    edges = None
-    for level in range(levels):
-        here = nodes.where(F.col("level") >= level).select("node", "v")
-        found = _level_edges(here, max(1, n // RATIO**level), first["dim"], degree, rounds, seed + level).select(F.lit(level).alias("level"), "src", "dst")
-        edges = found if edges is None else stacked(edges, found)
-    members = rows.join(nodes.select("node", "v"), "v").select("node", "key")
-    entries = nodes.orderBy("draw", "node").limit(TOP).select("node", "v")
-    return NeighbourGraph(nodes.select("node", "v"), edges, written(members), written(entries), levels, n)
-
-
-def _scores(pairs: DataFrame) -> DataFrame:
-    """(qid, node, score) of pairs (qid, node, qv, v)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                score = (_matrix(b.column("qv")) * _matrix(b.column("v"))).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("node"), pa.array(score)], names=["qid", "node", "score"])
-
-    return pairs.select("qid", "node", "qv", "v").mapInArrow(run, "qid long, node long, score double")
-
-
-def _walk(graph: NeighbourGraph, queries: DataFrame, k: int, effort: int, rounds: int, column: str) -> tuple[DataFrame, int, int]:
-    """The best nodes seen for each query (qid, node, score), how many pairs of a query and a node were scored, and how many queries there are."""
-    asked = written(_unit(queries.where("qid is not null").select(F.col("qid").cast("long").alias("qid"), column), column).select("qid", F.col("v").alias("qv")))
-    entries = graph.entries.toArrow().combine_chunks()  # TOP rows at most
-    ids, x = entries.column("node").to_numpy(), _matrix(entries.column("v").combine_chunks()) if entries.num_rows else np.zeros((0, 0))
-    size = max(k, effort)
-
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                if not b.num_rows or not len(ids):
-                    continue
-                q = _matrix(b.column("qv"))
-                if q.shape[1] != x.shape[1]:
-                    raise ValueError("dimension mismatch")
-                score = np.stack([(x * v).sum(axis=1) for v in q])
-                top = np.argsort(-score, axis=1, kind="stable")[:, : 4 * size]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("qid").to_numpy(), top.shape[1])), pa.array(ids[top.ravel()]), pa.array(np.take_along_axis(score, top, axis=1).ravel())], names=["qid", "node", "score"])
-
-    n = asked.count()
-    state, scored = written(asked.mapInArrow(enter, "qid long, node long, score double")), n * len(ids)
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "node"))
-    for level in reversed(range(graph.levels)):
-        edges = graph.edges.where(F.col("level") == level)
-        state = state.select("qid", "node", "score", F.lit(True).alias("unopened"))
+    n, shards = first["n"], max(1, -(-first["n"] // SHARD))
+    dealt = nodes.select(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), "node", "v").repartitionById(shards, "shard").sortWithinPartitions("shard", "node")
+    whole = written(dealt.mapInArrow(_graphs(degree), "shard int, node long, v array<double>, near array<long>"))
+    edges = whole.select(F.lit(0).alias("level"), F.col("node").alias("src"), F.explode("near").alias("dst")) if n > TOP else None
+    members = rows.join(nodes, "v").select("node", "key")
+    return NeighbourGraph(whole, edges, written(members), int(n > TOP), n, shards)
+
+
+class _Walker:
+    """A shard: its nodes, in order of their ids, and the nodes that each is tied to."""
+
+    def __init__(self, rows: list[pa.RecordBatch], k: int, effort: int):
+        t = pa.Table.from_batches(rows).combine_chunks()
+        self.ids, self.x = t.column("node").to_numpy(), _matrix(t.column("v").combine_chunks())
+        near = t.column("near").combine_chunks()
+        size = near.value_lengths().to_numpy()
+        self.tied = np.full((len(size), max(1, int(size.max()))), -1)
+        source = np.repeat(np.arange(len(size)), size)
+        self.tied[source, np.arange(len(source)) - np.repeat(np.cumsum(size) - size, size)] = np.searchsorted(self.ids, near.flatten().to_numpy())
+        self.place = {v.tobytes(): i for i, v in enumerate(self.x)}
+        rng = np.random.default_rng(len(size))
+        self.entries = rng.permutation(len(size))[:TOP]
+        self.k, self.effort = k, max(k, effort)
+        # Its nodes' nearest are looked for without beginning at these themselves.
+        sample = self.x[rng.permutation(len(size))[:SAMPLE]]
+        true = np.sort(sample @ self.x.T, axis=1)[:, ::-1][:, :k]
+        while self.effort < len(size):
+            found = self.walk(sample, None, 1 << 30)[1]
+            if (found[:, : true.shape[1]] >= true[:, -1:] - 1e-9).mean() >= TARGET:
+                break
+            self.effort *= 2
+
+    def walk(self, q: np.ndarray, own: list[int | None] | None, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query the best nodes seen (places, -1 for none), best first, their scores, and how many were scored."""
+        n, b, size = len(self.ids), len(q), min(self.effort, len(self.ids))
+        opens = max(1, size // 4)
+        seen, first = np.zeros((b, n), bool), np.zeros((b, n), np.int32)
+        at = np.tile(self.entries, (b, 1))
+        seen[:, self.entries] = True
+        extra = np.array([-1 if own is None or (o := own[i]) is None or seen[i, o] else o for i in range(b)])
+        here = np.flatnonzero(extra >= 0)
+        seen[here, extra[here]] = True
+        at = np.c_[at, extra]
+        score = np.where(at >= 0, np.c_[q @ self.x[self.entries].T, (q * self.x[extra]).sum(axis=1)], -np.inf)
+        unopened = at >= 0
+        scored = unopened.sum(axis=1)
+        at, score, unopened = self._best(size, at, score, unopened)
         for _ in range(rounds):
-            of = Window.partitionBy("qid").orderBy(F.desc("score"), "node")
-            state = state.withColumn("inside", F.row_number().over(of) <= size).withColumn("nth", F.sum((F.col("unopened") & F.col("inside")).cast("int")).over(of))
-            state = state.withColumn("opens", F.col("unopened") & F.col("inside") & (F.col("nth") <= max(1, size // 4)))
-            near = state.where("opens").join(edges, F.col("node") == F.col("src")).select("qid", F.col("dst").alias("node")).distinct()
-            near = near.join(state.select("qid", "node"), ["qid", "node"], "left_anti")
-            new = written(_scores(near.join(graph.nodes, "node").join(asked, "qid")))
-            scored += new.count()
-            both = stacked(state.select("qid", "node", "score", (F.col("unopened") & ~F.col("opens")).alias("unopened")), new.withColumn("unopened", F.lit(True)))
-            # Nodes beyond those that may be opened are kept for a while, so that they aren't scored again.
-            state = written(both.withColumn("place", best).where(F.col("place") <= 4 * size))
-            done = not state.where(F.col("unopened") & (F.col("place") <= size)).limit(1).count()
-            state = state.drop("place")
-            if done:
+            nth = np.cumsum(unopened, axis=1)
+            row, col = np.nonzero(unopened & (nth <= opens))
+            if not len(row):
                 break
-    return state.select("qid", "node", "score"), scored, n
+            unopened[row, col] = False
+            to = self.tied[at[row, col]]
+            row, to = np.repeat(row, to.shape[1]), to.ravel()
+            new = (to >= 0) & ~seen[row, np.maximum(to, 0)]
+            row, to = row[new], to[new]
+            number = np.arange(len(row), dtype=np.int32)
+            first[row, to] = number  # a node that several opened ones are tied to counts once
+            once = first[row, to] == number
+            row, to = row[once], to[once]
+            if not len(row):
+                continue
+            seen[row, to] = True
+            count = np.bincount(row, minlength=b)
+            scored += count
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            at2, score2 = np.full((b, int(count.max())), -1), np.full((b, int(count.max())), -np.inf)
+            at2[row, place] = to
+            for i in range(0, len(row), 1 << 14):
+                part = slice(i, i + (1 << 14))
+                score2[row[part], place[part]] = np.einsum("ij,ij->i", q[row[part]], self.x[to[part]])
+            at, score, unopened = self._best(size, np.c_[at, at2], np.c_[score, score2], np.c_[unopened, at2 >= 0])
+        return at, score, scored
+
+    @staticmethod
+    def _best(size: int, *columns: np.ndarray) -> list[np.ndarray]:
+        """at, score and unopened, the `size` best of each row, best first."""
+        if columns[1].shape[1] > size:
+            part = np.argpartition(-columns[1], size - 1, axis=1)[:, :size]
+            columns = [np.take_along_axis(c, part, axis=1) for c in columns]
+        order = np.lexsort((columns[0], -columns[1]), axis=1)
+        return [np.take_along_axis(c, order, axis=1) for c in columns]
+
+    def answers(self, rows: pa.RecordBatch, rounds: int) -> pa.RecordBatch:
+        """(qid, node, score, scored) of the k best nodes for each query, and those that round alike; scored: the pairs of a query, in its first row."""
+        if pc.any(pc.not_equal(pc.list_value_length(rows.column("v")), self.x.shape[1])).as_py():
+            raise ValueError("dimension mismatch")
+        q = _matrix(rows.column("v"))
+        at, score, scored = self.walk(q, [self.place.get(v.tobytes()) for v in q], rounds)
+        rounded = np.round(score, DIGITS)
+        kth = rounded[:, min(self.k, rounded.shape[1]) - 1]
+        row, col = np.nonzero((at >= 0) & (rounded >= kth[:, None]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows.column("node").to_numpy()[row], self.ids[at[row, col]], score[row, col], np.where(col == 0, scored[row], 0))], names=["qid", "node", "score", "scored"])
+
+
+def _walk(graph: NeighbourGraph, queries: DataFrame, k: int, effort: int, rounds: int, column: str) -> DataFrame:
+    """(qid, node, score, scored): the best nodes of each shard for each query."""
+    asked = _unit(queries.where("qid is not null").select(F.col("qid").cast("long").alias("qid"), column), column)
+    # A query goes to each shard; a shard's nodes come before the queries.
+    shards = queries.sparkSession.range(graph.shards).select(F.col("id").cast("int").alias("shard"))
+    asked = asked.crossJoin(F.broadcast(shards)).select("shard", F.lit(True).alias("asked"), F.col("qid").alias("node"), "v", F.lit(None).cast("array<long>").alias("near"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_shard(batches):
+            held, walker = [], None
+            for b in rows:
+                cut = b.num_rows - int(pc.sum(b.column("asked")).as_py())
+                if cut:
+                    held.append(b.slice(0, cut))
+                if cut < b.num_rows and held:
+                    walker = walker or _Walker(held, k, effort)
+                    for at in range(cut, b.num_rows, QUERIES):
+                        yield walker.answers(b.slice(at, QUERIES), rounds)
+
+    both = stacked(graph.nodes.select("shard", F.lit(False).alias("asked"), "node", "v", "near"), asked)
+    return both.repartitionById(graph.shards, "shard").sortWithinPartitions("shard", "asked", "node").mapInArrow(run, "qid long, node long, score double, scored long")
 
 
 def search(graph: NeighbourGraph, queries: DataFrame, k: int = 5, *, effort: int = 64, rounds: int = 40, column: str = "embedding") -> DataFrame:
     """(qid, key, score, rank): the k keys with the largest cosine found for each query (qid, column), ties by key. Queries without a valid vector have none.
 
-    effort: how many nodes are kept for a query, a quarter of which are opened at once, until all are or `rounds` are done; more rounds never lower the recall.
-    A node's members share its score: its first k keys count.
+    effort: how many nodes are kept in a shard for a query, at least: it is doubled until SAMPLE nodes find TARGET of their k nearest in the shard. A quarter of them are opened at once, until
+    all are or `rounds` are done; more rounds never lower the recall. A query that is in the table finds itself. A node's members share its score: its first k keys count.
     """
-    state, _, _ = _walk(graph, queries, k, effort, rounds, column)
+    state = _walk(graph, queries, k, effort, rounds, column).select("qid", "node", F.round("score", DIGITS).alias("score"))
+    # A node has a member at least, so what is behind k nodes, and rounds otherwise, is no hit.
+    state = state.withColumn("place", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("place") <= k).drop("place")
     first = F.row_number().over(Window.partitionBy("node").orderBy("key"))
     members = graph.members.withColumn("place", first).where(F.col("place") <= k)
-    rows = state.join(members, "node").select("qid", "key", F.round("score", DIGITS).alias("score"))
+    rows = state.join(members, "node").select("qid", "key", "score")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= k)
 
 
 def share_scored(graph: NeighbourGraph, queries: DataFrame, k: int = 5, *, effort: int = 64, rounds: int = 40, column: str = "embedding") -> tuple[int, int]:
     """The pairs of queries and nodes that a search scores, and all of them."""
-    _, scored, n = _walk(graph, queries, k, effort, rounds, column)
-    return scored, n * graph.size
+    got = _walk(graph, queries, k, effort, rounds, column).agg(F.coalesce(F.sum("scored"), F.lit(0)), F.countDistinct("qid")).first()
+    return got[0], got[1] * graph.size

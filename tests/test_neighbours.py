@@ -143,3 +143,21 @@ def test_tiles_are_bounded():
     assert (cells.nearest(x) == np.argmax(x @ cells.centroids.T, axis=1)).all()
     order = np.argsort(-(x @ cells.centroids.T), axis=1, kind="stable")[:, :40]
     assert (np.flatnonzero(cells.looks_into(x)[7]) == np.sort(order[7])).all() and (cells.looks_into(x).sum(axis=1) == 40).all()
+
+
+def test_graph_in_shards(spark, monkeypatch):
+    """Vectors without neighbourhoods, in several shards: nine tenths of the nearest are found, each query finds itself, and no pair of a query and a node is shuffled."""
+    monkeypatch.setattr(neighbours, "SHARD", 1000)
+    x = np.random.default_rng(3).standard_normal((4000, 64))
+    df = frame(spark, x)
+    graph = neighbours.build(df)
+    assert graph.shards == 4 and graph.size == 4000
+    q = df.where("chunk_ord % 20 = 0").withColumnRenamed("chunk_ord", "qid")
+    got = neighbours.search(graph, q, 10)
+    found = got.collect()
+    want = nearest(x, x[::20], 10)
+    assert sum(len({r["key"] for r in found if r["qid"] == 20 * i} & set(w)) for i, w in enumerate(want)) >= 0.9 * 2000
+    assert all(r["key"] == r["qid"] for r in found if r["rank"] == 1) and len(found) == 2000
+    sent = neighbours._walk(graph, q, 10, 64, 40, "embedding").count()
+    assert sent <= 4 * 200 * 12
+    assert neighbours.share_scored(graph, q, 10)[1] == 200 * 4000
