@@ -7,8 +7,8 @@ make words of two or three shingles, and a word is known by the XOR of its bits'
 share one of the first D + 1 non-zero words of each, D = n // 4, in any order that is the same for all: these words are
 the join keys.
 
-Candidates are first held against dense sketches of 4 n to 8 n bits (the longer one folded to the shorter's length): pairs whose Hamming distance
-exceeds (n + m) / 9 can't link. What is left is verified with the shingle sets of the texts.
+Candidates are first held against dense sketches of n to 2 n bits (the longer one folded to the shorter's length): pairs whose Hamming distance
+exceeds (n + m) / 9 can't link. What is left is verified with the shingle sets of the texts: first one pair of each document, then pairs that these left in different components.
 
 The order puts shingles that many documents share last (words never mix the two kinds), so a common passage
 becomes a key only of documents that consist of little else. Size bands double; a set within a fifth of the band's upper end also emits the
@@ -93,8 +93,8 @@ def join_keys(shingles: np.ndarray, common_counters: np.ndarray) -> np.ndarray:
 
 
 def dense_sketch(shingles: np.ndarray) -> bytes:
-    """A parity sketch of 64 bits, or the power of two from four times the set's size on: bit h mod length flips for each shingle."""
-    bits = max(64, 1 << max(0, 4 * len(shingles) - 1).bit_length())
+    """A parity sketch of 64 bits, or the power of two from the set's size on: bit h mod length flips for each shingle."""
+    bits = max(64, 1 << max(0, len(shingles) - 1).bit_length())
     odd = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -316,6 +316,23 @@ def verify(pairs: DataFrame, docs: DataFrame, broadcast_bytes: int = 16 << 20) -
     return links
 
 
+def verify_components(pairs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links among pairs (a, b) that give the components of all links among them, and these (id, component): a pair of each document is verified first, then those whose ends are in different components."""
+    one = write_table(pairs.groupBy("a").agg(F.min("b").alias("b")), "first-pairs")
+    links = verify(one, docs)
+    # Repeated ids: all classes of one id are one document, so ids, not classes, are the vertices.
+    joined = write_table(connected_components(links), "components")
+    of = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"component_{c}"))
+    apart = pairs.join(one, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b"))
+    rest = write_table(apart.select("a", "b"), "pairs")
+    drop_table(one)
+    if rest.limit(1).count():
+        links = links.unionAll(verify(rest, docs))
+        joined = write_table(connected_components(links), "components")
+    drop_table(rest)
+    return links, joined
+
+
 def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, n_shingles, component_id) of every row, and the links (a, b) found between the least ids of different shingle sets.
 
@@ -347,10 +364,8 @@ def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     end = lambda key, c: classes.select(F.col("k1").alias(key), *[F.col(x).alias(y) for x, y in (("rep", c), ("n", f"n_{c}"), ("sketch", f"sketch_{c}"))])
     pairs = screened(candidates.where("not member").select("x", "y").join(end("x", "a"), "x").join(end("y", "b"), "y").drop("x", "y"))
-    links = verify(pairs, whole)
+    links, joined = verify_components(pairs, whole)
     drop_table(pairs)
-    # Repeated ids: all classes of one id are one document, so ids, not classes, are the vertices.
-    joined = write_table(connected_components(links), "components")
     members = candidates.where("member").select(F.col("y").alias("g"), F.col("x").alias("k1")).join(classes, "k1").join(joined, F.col("rep") == F.col("id"), "left")
     members = write_table(members.select("g", F.col("rep").alias("doc"), "n", "sketch", F.coalesce("component", "rep").alias("c")), "group-members")
     drop_table(candidates)

@@ -508,3 +508,22 @@ def test_sql_of_this_subpackage(spark, name):
     columns = [c[0] for c in cur.description]
     got = registry.queries()[name](spark, d).select(*columns)
     assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r)) for r in got.collect())
+
+
+def test_verification_takes_a_pair_of_each_document_first(spark, monkeypatch):
+    """Twenty near copies have 190 pairs; 19 are enough. A pair that its end's first pair doesn't tell is looked at all the same. Sketches have two bits a shingle at most."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*words[:i], "edit", *words[i + 1 :]]) for i in range(0, 200, 10)]
+    docs = spark.createDataFrame([*enumerate(texts), (50, "quite other words than these in here")], "id long, text string")
+    pairs = spark.createDataFrame([(i, j) for i in range(20) for j in range(i)] + [(60, 50), (60, 3)], "a long, b long")
+    docs = docs.unionAll(spark.createDataFrame([(60, texts[3] + " end")], docs.schema))
+    looked = []
+    real = shingle_join.verify
+    monkeypatch.setattr(shingle_join, "verify", lambda p, *a, **k: looked.append(p.count()) or real(p, *a, **k))
+    links, joined = shingle_join.verify_components(pairs, docs)
+    assert looked[0] == 20 and sum(looked) <= 22
+    assert {r["id"]: r["component"] for r in joined.collect()} == {k: 0 for k in [*range(20), 60]}
+    assert links.count() == 20
+    first = shingle_join.verify_components(pairs.where("a < 60 or b = 50"), docs)
+    assert first[1].where("id in (50, 60)").count() == 0
+    assert len(shingle_join.dense_sketch(np.arange(1000, dtype=np.uint64))) * 8 <= 2000
