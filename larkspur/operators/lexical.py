@@ -18,6 +18,8 @@ from larkspur.operators.frames import written
 DIGITS = 6
 #: Questions' terms that may be broadcast (a row for each term of a question, some ten bytes each), and scores that a worker holds at once.
 WANTED, HELD = 200_000, 1 << 21
+#: Chunks whose terms a worker turns into numbers at once.
+ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -102,6 +104,13 @@ def score(index: LexicalIndex, questions: DataFrame, tokenize=tokens) -> DataFra
     return by.agg(F.round(F.sum("gain"), DIGITS).alias("score"), matched.alias("matched"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ROWS rows at most, so that what a worker makes of one is bounded."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def found_terms(column: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows and places in `terms` of all tokens of a column of arrays that are among these."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
@@ -137,7 +146,7 @@ class Scan:
         terms = self.terms
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 rows, ids = found_terms(b.column(1), terms)
                 offsets = pa.array(np.searchsorted(rows, np.arange(b.num_rows + 1)).astype(np.int32))
                 size = pc.fill_null(pc.list_value_length(b.column(1)), 0).cast(pa.int32())
@@ -150,7 +159,7 @@ class Scan:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, total, df = 0, 0, np.zeros(width, np.int64)
-            for b in batches:
+            for b in sliced(batches):
                 rows, ids = _numbered(b.column(1))
                 df += np.bincount(np.unique(rows * width + ids) % width, minlength=width)
                 n, total = n + b.num_rows, total + int(pc.sum(b.column(0)).as_py() or 0)

@@ -351,3 +351,12 @@ def test_matched_terms_are_found_in_hits_alone(spark, monkeypatch):
     monkeypatch.setattr(lexical, "gains", none)
     got = {(r["qid"], r["chunk_ord"]): r["matched"] for r in lexical.search(index, questions, 5, matched=True).collect()}
     assert got == want and got[0, 1] == ["blue", "red", "green"]
+
+
+def test_a_worker_makes_numbers_of_few_chunks_at_a_time():
+    import pyarrow as pa
+
+    from larkspur.operators import lexical
+
+    sizes = [b.num_rows for b in lexical.sliced([pa.RecordBatch.from_arrays([pa.array(range(1300))], names=["x"])])]
+    assert sizes == [512, 512, 276]
