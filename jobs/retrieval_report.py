@@ -44,9 +44,8 @@ def run(spark: SparkSession, documents: str, questions: str, out: str, config: d
     hits = find_contained(table.select("doc_id", "text"), asked, "doc_id").groupBy("qid").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
     gold = written(asked.select("qid").join(hits, "qid", "left").select("qid", F.coalesce("gold", F.array().cast("array<long>")).alias("gold")))
     parts = []
-    for mode in settings["modes"]:
-        route = Retriever(chunks, mode=mode, index=lexical.build_index(chunks), vectors=vectors, embed_query=embed, pool_size=settings["pool_size"], top_k=settings["top_k"])
-        pool, found = route.search(asked)
+    routes = Retriever(chunks, index=lexical.build_index(chunks), vectors=vectors, embed_query=embed, pool_size=settings["pool_size"], top_k=settings["top_k"])
+    for mode, (pool, found) in routes.search_modes(asked, settings["modes"]).items():
         as_docs = lambda x: x.select("qid", F.col("chunk_ord").alias("doc_id"), "rank")
         outcomes = evaluate.case_outcomes(gold, as_docs(found), as_docs(pool))
         parts.append(outcomes.select(F.lit(mode).alias("mode"), "qid", *[F.col(c).cast("long").alias(c) for c in ("rank", "pool_rank", "pool_rank_chunk")]))

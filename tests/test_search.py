@@ -360,3 +360,21 @@ def test_a_worker_makes_numbers_of_few_chunks_at_a_time():
 
     sizes = [b.num_rows for b in lexical.sliced([pa.RecordBatch.from_arrays([pa.array(range(1300))], names=["x"])])]
     assert sizes == [512, 512, 276]
+
+
+def test_modes_search_each_route_once(spark, monkeypatch):
+    from larkspur.functions.vectors import fake_embed
+    from larkspur.operators import lexical, vector
+    from larkspur.plans.pipeline import Retriever
+    from pyspark.sql import functions as F
+
+    chunks = spark.createDataFrame([(k, k, f"t{k}", f"word{k} common text") for k in range(6)], "chunk_ord long, doc_ord long, title string, text string")
+    asked = spark.createDataFrame([(0, "word3 common"), (1, "word5")], "qid long, query string")
+    embed = lambda c: fake_embed(c, 8)
+    route = lambda mode: Retriever(chunks, mode=mode, index=lexical.build_index(chunks), vectors=chunks.select("chunk_ord", embed(F.col("text")).alias("embedding")), embed_query=embed, pool_size=4, top_k=2)
+    want = {m: [sorted(map(tuple, x.collect())) for x in route(m).search(asked)] for m in ("bm25", "vector", "hybrid")}
+    calls = []
+    for module in (lexical, vector):
+        monkeypatch.setattr(module, "search", lambda *a, f=module.search, n=module.__name__, **k: calls.append(n) or f(*a, **k))
+    got = route("hybrid").search_modes(asked, ["bm25", "vector", "hybrid"])
+    assert {m: [sorted(map(tuple, x.collect())) for x in v] for m, v in got.items()} == want and len(calls) == 2
