@@ -21,17 +21,17 @@ def large_groups(rows: DataFrame, block: int, broadcast_bytes: int = 16 << 20) -
 
 
 def deal(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """rows (key, id, rest, ...) with lo, hi, side and unit: in a large group each block of rest meets every block, itself among them; the other blocks don't meet each other.
+    """rows (key, id, rest, ...) with n_blocks, lo, hi, side and unit beside their own columns: in a large group each block of rest meets every block, itself among them; the other blocks don't meet each other.
 
     So a group whose rest is small costs its size. A group that isn't large is one block.
     """
-    x = rows.join(large, "key", "left").withColumn("n", F.col("n_main") + F.col("n_rest"))
+    x = rows.join(large, "key", "left").withColumn("n_blocks", F.col("n_main") + F.col("n_rest"))
     block = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    x = x.withColumn("own", F.when(F.col("n").isNull(), 0).when(F.col("rest"), F.col("n_main") + block("n_rest")).otherwise(block("n_main")))
+    x = x.withColumn("own", F.when(F.col("n_blocks").isNull(), 0).when(F.col("rest"), F.col("n_main") + block("n_rest")).otherwise(block("n_main")))
     first = F.when(F.col("rest"), 0).otherwise(F.col("n_main"))
-    partners = F.when(F.col("n").isNull(), F.array(F.lit(0))).when(F.col("n") > first, F.sequence(first, F.col("n") - 1))
+    partners = F.when(F.col("n_blocks").isNull(), F.array(F.lit(0))).when(F.col("n_blocks") > first, F.sequence(first, F.col("n_blocks") - 1))
     x = x.withColumn("other", F.explode(partners)).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    return x.withColumn("side", (F.col("own") > F.col("other")).cast("int")).withColumn("unit", F.xxhash64("key") + F.coalesce(F.col("lo") * F.col("n") + F.col("hi"), F.lit(0)))
+    return x.withColumn("side", (F.col("own") > F.col("other")).cast("int")).withColumn("unit", F.xxhash64("key") + F.coalesce(F.col("lo") * F.col("n_blocks") + F.col("hi"), F.lit(0)))
 
 
 def run_blocks(dealt: DataFrame, columns: list[str], work: Callable[[int, pa.Table, pa.Table | None], list | None], schema: str) -> DataFrame:

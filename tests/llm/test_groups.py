@@ -527,3 +527,25 @@ def test_verification_takes_a_pair_of_each_document_first(spark, monkeypatch):
     first = shingle_join.verify_components(pairs.where("a < 60 or b = 50"), docs)
     assert first[1].where("id in (50, 60)").count() == 0
     assert len(shingle_join.dense_sketch(np.arange(1000, dtype=np.uint64))) * 8 <= 2000
+
+
+def test_a_group_is_dealt_with_its_own_columns(spark):
+    from larkspur.llm import blocks
+
+    rows = spark.createDataFrame([(1, k, k < 3, 100 + k, 7) for k in range(30)] + [(2, k, k < 1, 100 + k, 8) for k in range(4)], "key long, id long, rest boolean, n long, c long")
+    dealt = blocks.deal(rows, blocks.large_groups(rows, 10))
+    assert {(r["key"], r["id"], r["n"], r["c"]) for r in dealt.collect()} == {tuple(r) for r in rows.select("key", "id", "n", "c").collect()}
+
+
+def test_near_copies_that_neither_hub_nor_ring_links(spark):
+    """Copies of a text that isn't there, with three edits each: a copy links with few of the others, and these are to be found."""
+    rng = random.Random(4)
+    base, texts = [f"w{k}" for k in range(150)], []
+    for k in range(120):
+        w = base.copy()
+        for e in range(3):
+            w[rng.randrange(150)] = f"x{k}y{e}"
+        texts.append(" ".join(w))
+    rows, _ = shingle_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    _, want = by_hand(texts)
+    assert [r["component_id"] for r in rows.orderBy("id").collect()] == want and len(set(want)) < 110
