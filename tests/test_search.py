@@ -378,3 +378,15 @@ def test_modes_search_each_route_once(spark, monkeypatch):
         monkeypatch.setattr(module, "search", lambda *a, f=module.search, n=module.__name__, **k: calls.append(n) or f(*a, **k))
     got = route("hybrid").search_modes(asked, ["bm25", "vector", "hybrid"])
     assert {m: [sorted(map(tuple, x.collect())) for x in v] for m, v in got.items()} == want and len(calls) == 2
+
+
+def test_a_string_that_stands_often_is_a_row_for_each_text(spark, monkeypatch):
+    from larkspur.operators import containment
+
+    strings = [(0, "the"), (1, "he"), (2, "of the day"), (3, "x"), (4, ""), (5, "the end of the"), (6, "the")]
+    texts = [(k, "the end of the day " * (40 * k)) for k in range(4)] + [(9, None)]
+    met, real = [], containment.written
+    monkeypatch.setattr(containment, "written", lambda df: (met.append(df.count()), real(df))[1])
+    got = containment.find_contained(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(strings, "qid long, query string"), "doc_id")
+    assert sorted(map(tuple, got.collect())) == sorted((q, d) for q, s in strings for d, t in texts if t is not None and s in t)
+    assert max(met) <= 10
