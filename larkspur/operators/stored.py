@@ -100,14 +100,15 @@ def _blocks_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def append(chunks: DataFrame, path: str, batch: int, *, tokenize=tokens, by: tuple[str, ...] = ()) -> None:
     """Adds a batch of chunks (chunk_ord, title, text, ...) that no other batch has. Repeated, it replaces what it wrote. Chunks may be partitioned `by` columns.
 
-    Chunks are dealt by number, with their terms, and a number's blocks are made where its chunks are: no posting is shuffled. So one term in every chunk makes many blocks, not a large one.
+    Chunks are dealt by number, as texts, and a number's terms and blocks are made where its chunks are: no term and no posting is shuffled. So one term in every chunk makes many blocks, not a large one.
     Postings are written before chunks, and only batches with chunks are read, so a batch that was cut off counts for nothing.
     """
     subs = max(1, -(-chunks.count() // BLOCK))
     tasks = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), subs // NUMBERS)
-    dealt = chunks.select(_sub(F.col("chunk_ord"), F.lit(subs)).alias("sub"), "chunk_ord", terms_of(chunks, tokenize).alias("terms")).repartition(tasks, "sub")
+    dealt = chunks.select(_sub(F.col("chunk_ord"), F.lit(subs)).alias("sub"), "chunk_ord", "title_terms" if "title_terms" in chunks.columns else "title", "text").repartition(tasks, "sub").sortWithinPartitions("sub")
+    dealt = dealt.select("sub", "chunk_ord", terms_of(dealt, tokenize).alias("terms"))
     key = chunks.schema["chunk_ord"].dataType.simpleString()
-    blocks = dealt.sortWithinPartitions("sub").mapInArrow(_made, f"sub int, term string, cell int, n int, max_tf int, min_len int, entries array<struct<chunk_ord: {key}, tf: int, len: int>>")
+    blocks = dealt.mapInArrow(_made, f"sub int, term string, cell int, n int, max_tf int, min_len int, entries array<struct<chunk_ord: {key}, tf: int, len: int>>")
     blocks = blocks.select(_bucket(F.col("term")).alias("bucket"), "term", "cell", F.lit(subs).cast("int").alias("subs"), "sub", "n", "max_tf", "min_len", "entries")
     blocks.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     counted = chunks.withColumn("n_terms", F.size(terms_of(chunks, tokenize)).cast("long")).drop("title_terms")

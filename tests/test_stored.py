@@ -82,3 +82,12 @@ def test_many_questions_are_scored_in_one_pass(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stored, "_looked_up", none)
     for k in (1, 5, 1000):
         assert hits(stored.search(index, questions, k)) == hits(lexical.search(lexical.build_index(chunks), questions, k))
+
+
+def test_append_deals_texts_not_terms(spark, tmp_path, monkeypatch):
+    """Terms as arrays are several times their texts: they are made where their blocks are."""
+    frame, seen = type(spark.range(1)), []
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: seen.append(self.dtypes) or deal(self, *a))
+    stored.append(corpus_of(spark, 3, 40), str(tmp_path), 0)
+    assert seen and all(kind != "array<string>" for columns in seen for _, kind in columns)
